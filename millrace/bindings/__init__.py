@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["equations"]
+MODULES = ["equations", "links"]
 
 
 def _registries():

@@ -162,29 +162,50 @@ def row_numbers(
     return running_sum(df, F.lit(1).cast("long"), order, keys, out, rows)
 
 
+def known_around(
+    df: DataFrame,
+    col: str,
+    order: Order,
+    keys: Sequence[str] = (),
+    before: str | None = None,
+    after: str | None = None,
+    rows: int | None = None,
+) -> DataFrame:
+    """Add the last known value up to each row (``before``) and the first one from it on (``after``)."""
+    b = buckets(df, order, keys, rows)
+    upto = b.local.rowsBetween(Window.unboundedPreceding, 0)
+    onward = b.local.rowsBetween(0, Window.unboundedFollowing)
+    framed = b.df
+    if before:
+        framed = framed.withColumn(before, F.last(col, ignorenulls=True).over(upto))
+    if after:
+        framed = framed.withColumn(after, F.first(col, ignorenulls=True).over(onward))
+    if b.count > 1:
+        at = F.when(F.col(col).isNotNull(), F.struct(*b.sort))
+        small = (
+            b.edges().groupBy("_b", *b.keys).agg(F.max_by(col, at).alias("_last"), F.min_by(col, at).alias("_first"))
+        )
+        earlier = b.across().rowsBetween(Window.unboundedPreceding, -1)
+        later = b.across().rowsBetween(1, Window.unboundedFollowing)
+        small = small.withColumn("_carry", F.last("_last", ignorenulls=True).over(earlier)).withColumn(
+            "_ahead", F.first("_first", ignorenulls=True).over(later)
+        )
+        framed = b.join_edges(framed, small.drop("_last", "_first"))
+        if before:
+            framed = framed.withColumn(before, F.coalesce(before, "_carry"))
+        if after:
+            framed = framed.withColumn(after, F.coalesce(after, "_ahead"))
+        framed = framed.drop("_carry", "_ahead")
+    return b.clean(framed)
+
+
 def fill(
     df: DataFrame, col: str, order: Order, keys: Sequence[str] = (), forward: bool = True, out: str | None = None
 ) -> DataFrame:
     """Last (``forward``) or next known value of ``col`` in ``order``."""
-    out = out or col
-    b = buckets(df, order, keys)
-    if forward:
-        inside = F.last(col, ignorenulls=True).over(b.local.rowsBetween(Window.unboundedPreceding, 0))
-    else:
-        inside = F.first(col, ignorenulls=True).over(b.local.rowsBetween(0, Window.unboundedFollowing))
-    framed = b.df.withColumn("_filled", inside)
-    if b.count > 1:
-        at = F.struct(*b.sort)
-        at = F.when(F.col(col).isNotNull(), at)
-        pick = F.max_by(col, at) if forward else F.min_by(col, at)
-        small = b.edges().groupBy("_b", *b.keys).agg(pick.alias("_part"))
-        if forward:
-            carry = F.last("_part", ignorenulls=True).over(b.across().rowsBetween(Window.unboundedPreceding, -1))
-        else:
-            carry = F.first("_part", ignorenulls=True).over(b.across().rowsBetween(1, Window.unboundedFollowing))
-        framed = b.join_edges(framed, small.withColumn("_carry", carry).drop("_part"))
-        framed = framed.withColumn("_filled", F.coalesce("_filled", "_carry")).drop("_carry")
-    return b.clean(framed.withColumn(out, F.col("_filled")).drop("_filled"))
+    side = {"before": "_filled"} if forward else {"after": "_filled"}
+    framed = known_around(df, col, order, keys, **side)
+    return framed.withColumn(out or col, F.col("_filled")).drop("_filled")
 
 
 def shift(
