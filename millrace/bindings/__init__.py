@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["equations", "links"]
+MODULES = ["equations", "links", "filters"]
 
 
 def _registries():

@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Escapes removed from names, brackets unified, prefixes dropped, unit spellings.
 ESCAPES = r"\\+[nrt]"
@@ -231,7 +232,7 @@ def system_name(name: Column) -> Column:
 
     kana = kana_table()
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def latin(texts: pd.Series) -> pd.Series:
         def fold(text: str) -> str:
             text = "".join(kana.get(c, c) for c in unicodedata.normalize("NFKC", text))

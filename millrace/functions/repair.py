@@ -135,7 +135,7 @@ CIRCLED = {chr(10102 + 10 * block + i): str(i + 1) for block in range(3) for i i
 IRREGULAR = {**CIRCLED, chr(12306): "T", chr(12342): "T"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
 
