@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["equations", "links", "filters"]
+MODULES = ["equations", "links", "filters", "aggregates", "series"]
 
 
 def _registries():
