@@ -161,7 +161,7 @@ def without_ids(df: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
 def batches_to_send(batches: DataFrame, order: str, size: str, limit: int) -> DataFrame:
     """Whole import batches in order until their row count passes ``limit``, at least one."""
     total = ordering.running_sum(batches, size, [order], out="_sum")
-    return total.where(F.col("_sum") - F.col(size) < limit).drop("_sum")
+    return total.where(F.col("_sum") - F.col(size) <= limit).drop("_sum")
 
 
 def union_columns(stored: DataFrame, restored: DataFrame) -> DataFrame:
