@@ -5,8 +5,10 @@ Each rule is an ordered list of patterns; the first that matches gives the parts
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -221,31 +223,30 @@ def kana_table() -> dict[str, str]:
     return {**table, **{chr(ord(c) - 0x60): v for c, v in table.items() if c != "ー"}}
 
 
-def system_name(name: Column) -> Column:
-    """ASCII system name: symbols spelled out, kana in Latin letters, accents folded; other scripts are kept.
+def _fold(text: str) -> str:
+    text = "".join(KANA.get(c, c) for c in unicodedata.normalize("NFKC", text))
+    parts = (unicodedata.normalize("NFD", c) for c in text)
+    return "".join(p[0] if p[0].isascii() else unicodedata.normalize("NFC", p) for p in parts)
 
-    Kanji have no reading here (that needs a dictionary), so they stay in the name.
-    """
-    import unicodedata
 
-    import pandas as pd
+KANA = kana_table()
 
-    kana = kana_table()
 
-    @F.pandas_udf(T.StringType())
-    def latin(texts: pd.Series) -> pd.Series:
-        def fold(text: str) -> str:
-            text = "".join(kana.get(c, c) for c in unicodedata.normalize("NFKC", text))
-            parts = (unicodedata.normalize("NFD", c) for c in text)
-            return "".join(p[0] if p[0].isascii() else unicodedata.normalize("NFC", p) for p in parts)
+@F.pandas_udf(T.StringType())
+def _latin(texts: pd.Series) -> pd.Series:
+    return texts.map(_fold, na_action="ignore")
 
-        return texts.map(fold, na_action="ignore")
 
+def system_name(name: Column) -> Column:
+    """ASCII system name: symbols spelled out, kana in Latin letters, accents folded; other scripts are kept.
+
+    Kanji have no reading here (that needs a dictionary), so they stay in the name.
+    """
     text = F.regexp_replace(name, *SYMBOLS[0])
     ascii_only = text.rlike(r"^[\x00-\x7f]*$")
     for pattern, spelling in SYMBOLS[1:]:
         text = F.regexp_replace(text, pattern, spelling)
-    text = F.when(ascii_only, text).otherwise(latin(F.when(~ascii_only, text)))
+    text = F.when(ascii_only, text).otherwise(_latin(F.when(~ascii_only, text)))
     return F.regexp_replace(text, DROPPED, "")
 
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.operators import ordering
 
@@ -33,7 +34,7 @@ def order_processes(rows: DataFrame, method: str = "count_keep_max") -> list[str
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}")
     names = sorted(r[0] for r in rows.select("process").distinct().collect())  # one row per configured process
-    ranks = rows.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], rows.select("process").schema.add("process_rank", "int"))
+    ranks = rows.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], T.StructType([rows.schema["process"], T.StructField("process_rank", T.IntegerType())]))
     left = _with_counts(rows.join(F.broadcast(ranks), "process"))
     if method.endswith("reversed"):
         power = 3 if method.startswith("function") else 1
@@ -61,7 +62,7 @@ def order_processes(rows: DataFrame, method: str = "count_keep_max") -> list[str
 def process_scores(rows: DataFrame) -> DataFrame:
     """(process, score, first): mean position among the serials seen by most processes."""
     names = sorted(r[0] for r in rows.select("process").distinct().collect())
-    ranks = rows.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], rows.select("process").schema.add("process_rank", "int"))
+    ranks = rows.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], T.StructType([rows.schema["process"], T.StructField("process_rank", T.IntegerType())]))
     left = _with_counts(rows.join(F.broadcast(ranks), "process"))
     most = left.agg(F.max("count")).first()[0]
     return _scored(left.where(F.col("count") == most))
