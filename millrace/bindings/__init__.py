@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["equations", "links", "filters", "aggregates", "series", "cleaning", "masters"]
+MODULES = ["equations", "links", "filters", "aggregates", "series", "cleaning", "masters", "multivariate", "flows"]
 
 
 def _registries():

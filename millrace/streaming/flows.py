@@ -6,7 +6,7 @@ them in, as import de-duplicates against stored rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from millrace.operators.aggregate import OPERATORS
+from millrace.operators.links import time_link
+from millrace.operators.ordering import first_rows
 from millrace.plans.importer import ImportSpec, import_batch
 from millrace.sources.store import read_rows, write_import
 
@@ -26,7 +28,7 @@ def new_file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: s
     return reader.load(path)
 
 
-def import_stream(stream: DataFrame, spec: ImportSpec, path: str, checkpoint: str, stored_schema: T.StructType | None = None) -> StreamingQuery:
+def import_stream(stream: DataFrame, spec: ImportSpec, path: str, checkpoint: str) -> StreamingQuery:
     """Every micro-batch goes through ``import_batch``.
 
     A batch that is run again after a failure finds its rows stored and adds nothing.
@@ -62,16 +64,18 @@ def cyclic_windows(stream: DataFrame, time: str, value: str, length: str, every:
     return out.select(F.col("window.start").alias("term_from"), F.col("window.end").alias("term_to"), "n", "mean")
 
 
-def time_link_stream(left: DataFrame, right: DataFrame, left_time: str, right_time: str, keys: Sequence[tuple[str, str]], delta_minutes: int, cut_off_minutes: int, delay: str = "1 hour") -> DataFrame:
-    """All pairs strictly within delta ± cut_off, the later side after the earlier one; state is bounded by the
-    watermarks.  The nearest pair is picked per micro-batch by the batch operator, or downstream."""
-    l, r = left.withWatermark(left_time, delay), right.withWatermark(right_time, delay)
-    lo, hi = delta_minutes - cut_off_minutes, delta_minutes + cut_off_minutes
-    at, other = F.col(left_time), F.col(right_time)
-    cond = (other > at) & (other > at + F.expr(f"interval {lo} minutes")) & (other < at + F.expr(f"interval {hi} minutes"))
-    for a, b in keys:
-        cond = cond & (F.col(a) == F.col(b))
-    return l.join(r, cond, "inner")
+def link_stream(stream: DataFrame, targets: Callable[[SparkSession], DataFrame], path: str, checkpoint: str, **how) -> StreamingQuery:
+    """Every micro-batch of start records is linked with the nearest stored target records (``links.time_link``).
+
+    No pairs beyond the result are kept in state.  A start record whose target arrives later is linked by a batch
+    run over its time range.
+    """
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        linked = time_link(batch, targets(batch.sparkSession), **how)
+        linked.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def alarms(stream: DataFrame, time: str, judge: str, operator: str, value, length: str = "1 hour", delay: str = "1 hour") -> DataFrame:
@@ -88,13 +92,16 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     query.trigger(availableNow=True).start(path).awaitTermination()
 
 
-def run_complete(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> None:
-    """Like ``run_to_table`` for results that are replaced as a whole (counters)."""
+def run_updates(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Changed groups of each micro-batch go to a folder of their own, which a repeated batch replaces."""
 
-    def replace(batch: DataFrame, _batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(replace)
+    query = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(save)
     query.trigger(availableNow=True).start().awaitTermination()
 
 
+def latest_updates(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The last state of every group written by ``run_updates``."""
+    return first_rows(spark.read.parquet(path), keys, [("batch", "desc")]).drop("batch")
