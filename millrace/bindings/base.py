@@ -7,6 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.session import prepare
 
@@ -14,7 +15,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 class Tables:
-    """The provided tables of one folder."""
+    """The provided tables of one folder.  A table's schema is read from its files once per application."""
+
+    _schemas: dict[tuple[str, str], T.StructType] = {}
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = prepare(spark)
@@ -23,7 +26,11 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
+        at = (self.spark.sparkContext.applicationId, path)
+        if at not in Tables._schemas:
+            Tables._schemas[at] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(Tables._schemas[at]).parquet(path)
 
     @cached_property
     def events_gap(self) -> DataFrame:

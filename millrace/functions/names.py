@@ -6,7 +6,7 @@ Each rule is an ordered list of patterns; the first that matches gives the parts
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -77,36 +77,51 @@ def spelled_unit(unit: Column) -> Column:
     return F.trim(unit)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once per row however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def data_name(name: Column, units: Sequence[str] = ()) -> Column:
     """struct(name, unit) of ``name[unit]suffix``; a known unit in round brackets counts as well."""
-    text = F.regexp_replace(name, DATA_ESCAPES, "")
+    known = F.array(*[F.lit(u) for u in units]) if units else F.array().cast("array<string>")
     one, two = DATA_NAME
 
-    def joined(pattern: str, tail: int) -> Column:
+    def joined(text: Column, pattern: str, tail: int) -> Column:
         head, suffix = F.trim(_part(text, pattern, 1)), _part(text, pattern, tail)
-        return F.when(suffix != "", F.concat(head, F.lit(" "), suffix)).otherwise(head)
-
-    label = _rules(text, [(one, joined(one, 3)), (two, joined(two, 4))], F.lit(None))
-    unit = _blank(spelled_unit(_rules(text, [(one, _part(text, one, 2)), (two, _part(text, two, 2))], F.lit(None))))
-    label = F.regexp_replace(F.regexp_replace(label, OPEN_BRACKETS, "("), CLOSE_BRACKETS, ")")
-    inner = F.transform(F.regexp_extract_all(label, F.lit(r"\((.*?)\)"), F.lit(1)), lambda u: F.trim(u))
-    known = F.array(*[F.lit(u) for u in units]) if units else F.array().cast("array<string>")
-    found = F.get(F.filter(inner, lambda u: (u != "") & F.array_contains(known, spelled_unit(u))), 0)
-    found = F.when(unit.isNull(), found)
-    escaped = F.concat(F.lit(r"\s?\(\s?\Q"), found, F.lit(r"\E\s?\)\s?"))
-    label = F.when(found.isNotNull(), F.regexp_replace(label, escaped, F.lit(""))).otherwise(label)
-    unit = F.coalesce(unit, spelled_unit(found))
-    label = F.regexp_replace(F.regexp_replace(label, r"[()]", " "), r"\s+", " ")
-    label = F.replace(F.replace(label, F.lit("No."), F.lit("No")), F.lit(";"), F.lit(":"))
-    for prefix in DATA_PREFIXES:
-        label = F.replace(label, F.lit(prefix), F.lit(""))
-    matched = text.rlike(one) | text.rlike(two)
-    return F.when(
-        name.isNotNull(),
-        F.struct(
-            F.when(matched, F.trim(label)).otherwise(text).alias("name"), F.when(matched, unit).alias("unit")
-        ),
-    )
+        label = bound(suffix, lambda s: F.when(s != "", F.concat(head, F.lit(" "), s)).otherwise(head))
+        return F.struct(label.alias("label"), _blank(spelled_unit(_part(text, pattern, 2))).alias("unit"))
+
+    def split(text: Column) -> Column:
+        return F.when(text.rlike(one), joined(text, one, 3)).when(text.rlike(two), joined(text, two, 4))
+
+    def brackets(parts: Column) -> Column:
+        round_only = F.regexp_replace(F.regexp_replace(parts["label"], OPEN_BRACKETS, "("), CLOSE_BRACKETS, ")")
+        return F.struct(round_only.alias("label"), parts["unit"].alias("unit"))
+
+    def assumed(parts: Column) -> Column:
+        inner = F.transform(F.regexp_extract_all(parts["label"], F.lit(r"\((.*?)\)"), F.lit(1)), lambda u: F.trim(u))
+        hit = F.get(F.filter(inner, lambda u: (u != "") & F.array_contains(known, spelled_unit(u))), 0)
+        found = F.when(parts["unit"].isNull() & parts["label"].contains("("), hit)
+        return F.struct(parts["label"].alias("label"), parts["unit"].alias("unit"), found.alias("found"))
+
+    def finished(parts: Column) -> Column:
+        escaped = F.concat(F.lit(r"\s?\(\s?\Q"), parts["found"], F.lit(r"\E\s?\)\s?"))
+        label = F.when(parts["found"].isNull(), parts["label"]).otherwise(
+            F.regexp_replace(parts["label"], escaped, F.lit(""))
+        )
+        label = F.regexp_replace(F.regexp_replace(label, r"[()]", " "), r"\s+", " ")
+        label = F.replace(F.replace(label, F.lit("No."), F.lit("No")), F.lit(";"), F.lit(":"))
+        for prefix in DATA_PREFIXES:
+            label = F.replace(label, F.lit(prefix), F.lit(""))
+        return F.struct(F.trim(label).alias("name"), F.coalesce(parts["unit"], spelled_unit(parts["found"])).alias("unit"))
+
+    def parsed(text: Column) -> Column:
+        plain = F.struct(text.alias("name"), F.lit(None).cast("string").alias("unit"))
+        known_shape = bound(split(text), lambda p: F.when(p.isNotNull(), bound(brackets(p), lambda b: bound(assumed(b), finished))))
+        return F.coalesce(known_shape, plain)
+
+    return F.when(name.isNotNull(), bound(F.regexp_replace(name, DATA_ESCAPES, ""), parsed))
 
 
 def line_name(name: Column) -> Column:

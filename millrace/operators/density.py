@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions.numeric import is_finite
 from millrace.operators import ordering
@@ -57,22 +58,39 @@ def bandwidths(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 def kernel_density(df: DataFrame, col: str, grid: Sequence[float], keys: Sequence[str] = (), height: float = 1.0) -> DataFrame:
     """(keys, grid, density) of a Gaussian kernel estimate over all rows.
 
-    Equal values are counted first; then each grid point is one sum in a single grouped aggregate, so partial sums
-    are combined before the shuffle and no row is repeated per grid point.
+    Equal values are counted first.  Each task then adds up kernels per grid point for its Arrow batches and sends on
+    one row per batch and group, so nothing is repeated per grid point before the shuffle.
     """
+    keys, points = list(keys), np.asarray(grid, dtype=float)
     rows = _finite(df, col, keys)
     h = bandwidths(rows, keys)
     weighted = rows.groupBy(*keys, "v").agg(F.count("*").cast("double").alias("w"))
-    work = join_on_keys(weighted, h, keys).where(F.col("sd") > 0)
-    sums = []
-    for i, g in enumerate(grid):
-        z = (F.lit(float(g)) - F.col("v")) / F.col("h")
-        sums.append(F.sum(F.col("w") * F.exp(F.lit(-0.5) * z * z)).alias(f"g{i}"))
-    wide = work.groupBy(*keys).agg(F.first("n").alias("_n"), F.first("h").alias("_h"), *sums)
-    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(g)).alias("grid"), F.col(f"g{i}").alias("s")) for i, g in enumerate(grid)])
-    scale = F.lit(height / math.sqrt(2 * math.pi)) / (F.col("_n") * F.col("_h"))
-    long = wide.select(*keys, "_n", "_h", F.explode(cells).alias("c"))
-    return long.select(*keys, F.col("c.grid").alias("grid"), (F.col("c.s") * scale).alias("density"))
+    work = join_on_keys(weighted, h, keys).where(F.col("sd") > 0).select(*keys, "v", "w", "h")
+    if keys:
+        work = work.sortWithinPartitions(*keys)
+
+    def kernels(part: pd.DataFrame) -> np.ndarray:
+        total = np.zeros(len(points))
+        v, w, width = (part[c].to_numpy() for c in ("v", "w", "h"))
+        for start in range(0, len(v), 4096):
+            cut = slice(start, start + 4096)
+            z = (points[None, :] - v[cut, None]) / width[cut, None]
+            total += w[cut] @ np.exp(-0.5 * z * z)
+        return total
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            groups = batch.groupby(keys, dropna=False, sort=False) if keys else [((), batch)]
+            out = [(*key, kernels(part).tolist()) for key, part in groups if len(part)]
+            if out:
+                yield pd.DataFrame(out, columns=[*keys, "s"])
+
+    schema = T.StructType([*work.select(*keys).schema.fields, T.StructField("s", T.ArrayType(T.DoubleType()))])
+    cells = work.mapInPandas(partial, schema).select(*keys, F.posexplode("s").alias("i", "s"))
+    sums = join_on_keys(cells.groupBy(*keys, "i").agg(F.sum("s").alias("s")), h, keys)
+    at = F.get(F.array(*[F.lit(float(g)) for g in points]), F.col("i"))
+    scale = F.lit(height / math.sqrt(2 * math.pi)) / (F.col("n") * F.col("h"))
+    return sums.select(*keys, at.alias("grid"), (F.col("s") * scale).alias("density"))
 
 
 def linear_grid(lo: float, hi: float, points: int = 128) -> list[float]:

@@ -57,6 +57,7 @@ class Buckets:
     keys: list[str]
     sort: list[str]
     count: int
+    rows: int
     edge_keys: list[tuple] = field(default_factory=list)
 
     @property
@@ -116,7 +117,7 @@ def buckets(df: DataFrame, order: Order, keys: Sequence[str] = (), rows: int | N
         rows = df.select(*keys, *[n for n, _ in items]).count()
     wanted = min(MAX_BUCKETS, math.ceil(rows / limit)) if rows > limit else 1
     if wanted == 1:
-        return Buckets(framed.withColumn("_b", F.lit(0)), keys, sort, 1)
+        return Buckets(framed.withColumn("_b", F.lit(0)), keys, sort, 1, rows)
 
     parts = [c for i, k in enumerate(keys) for c in (F.col(k).isNull().alias(f"_n{i}"), F.col(k).alias(f"_v{i}"))]
     placing = framed.select(*parts, *sort)
@@ -128,7 +129,7 @@ def buckets(df: DataFrame, order: Order, keys: Sequence[str] = (), rows: int | N
         if at < len(sample) and (not picked or sample[at] != picked[-1]):
             picked.append(sample[at])
     if not picked:
-        return Buckets(framed.withColumn("_b", F.lit(0)), keys, sort, 1)
+        return Buckets(framed.withColumn("_b", F.lit(0)), keys, sort, 1, rows)
     types = [f.dataType for f in placing.schema.fields]
     literals = [
         F.struct(*[F.lit(v).cast(t).alias(n) for v, t, n in zip(row, types, placing.columns)]) for row in picked
@@ -136,7 +137,7 @@ def buckets(df: DataFrame, order: Order, keys: Sequence[str] = (), rows: int | N
     key_struct = F.struct(*parts, *[F.col(s) for s in sort])
     placed = framed.withColumn("_b", search_bucket(literals, key_struct))
     edge_keys = list(dict.fromkeys(tuple(row[2 * i + 1] for i in range(len(keys))) for row in picked))
-    return Buckets(placed, keys, sort, len(picked) + 1, edge_keys)
+    return Buckets(placed, keys, sort, len(picked) + 1, rows, edge_keys)
 
 
 def running_sum(
@@ -149,9 +150,9 @@ def running_sum(
     framed = b.df.withColumn(out, inside)
     if b.count > 1:
         before = F.sum("_part").over(b.across().rowsBetween(Window.unboundedPreceding, -1))
-        small = b.edges().groupBy("_b", *b.keys).agg(F.sum(value).alias("_part")).withColumn("_before", before)
+        small = b.edges().groupBy("_b", *b.keys).agg(F.sum(value).alias("_part")).withColumn("_pre_sum", before)
         framed = b.join_edges(framed, small.drop("_part"))
-        framed = framed.withColumn(out, F.col(out) + F.coalesce("_before", F.lit(0))).drop("_before")
+        framed = framed.withColumn(out, F.col(out) + F.coalesce("_pre_sum", F.lit(0))).drop("_pre_sum")
     return b.clean(framed)
 
 
@@ -230,7 +231,11 @@ def shift(
         framed = b.df.withColumn("_cell", cell).withColumn("_moved", moved.over(b.local))
         value = F.when(F.col("_moved").isNull(), default).otherwise(F.col("_moved.v"))
         return b.clean(framed.withColumn(out, value).drop("_cell", "_moved"))
-    numbered = row_numbers(df, order, keys, "_rn")
+    if abs(offset) == 1:
+        framed = _neighbour(b, col, offset)
+        value = F.when(F.col("_moved").isNull(), default).otherwise(F.col("_moved.v"))
+        return b.clean(framed.withColumn(out, value).drop("_cell", "_moved"))
+    numbered = row_numbers(df, order, keys, "_rn", b.rows)
     other = numbered.select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
         (F.col("_rn") + offset).alias("_at"),
@@ -243,6 +248,20 @@ def shift(
     return joined.withColumn(out, value).drop("_cell", "_rn")
 
 
+def _neighbour(b: Buckets, col: str, offset: int) -> DataFrame:
+    """``_moved``: cell of the row before (1) or after (-1); only bucket ends look into another bucket."""
+    framed = b.df.withColumn("_cell", F.struct(F.col(col).alias("v")))
+    inside = (F.lag("_cell") if offset > 0 else F.lead("_cell")).over(b.local)
+    at = F.struct(*b.sort)
+    pick = F.max_by if offset > 0 else F.min_by
+    edge = F.struct(F.col(col).alias("v"))
+    small = b.edges().groupBy("_b", *b.keys).agg(pick(edge, at).alias("_end"))
+    beyond = F.lag("_end") if offset > 0 else F.lead("_end")
+    small = small.withColumn("_beyond", beyond.over(b.across())).drop("_end")
+    joined = b.join_edges(framed.withColumn("_moved", inside), small)
+    return joined.withColumn("_moved", F.coalesce("_moved", "_beyond")).drop("_beyond")
+
+
 def first_rows(df: DataFrame, keys: Sequence[str], order: Order, n: int = 1) -> DataFrame:
     """The first ``n`` rows per key in ``order``.
 

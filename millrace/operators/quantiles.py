@@ -60,14 +60,16 @@ def quantiles(
     keys: Sequence[str] = (),
     method: str = "linear",
     names: Sequence[str] | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Exact quantiles of each column per key: rows (keys, variable, <names>).
 
-    ``linear`` interpolates between neighbours; ``midpoint`` takes their mean.
+    ``linear`` interpolates between neighbours; ``midpoint`` takes their mean.  ``rows`` is an upper bound of the
+    row count when the caller has counted already.
     """
     names = list(names or [f"p{round(p * 100):d}" for p in probs])
     long = long_values(df, cols, keys)
-    rows = long.count()
+    rows = (df.count() if rows is None else rows) * len(cols)
     groups = [*keys, "variable"]
     if rows <= split_rows(df) and method == "linear":
         found = long.groupBy(*groups).agg(F.percentile("value", F.array(*[F.lit(float(p)) for p in probs])).alias("_q"))

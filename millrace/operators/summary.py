@@ -95,8 +95,9 @@ def full_summary(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), limits
     base = base.withColumn("_f", F.when(is_finite(F.col("_y")), F.col("_y")))
     rows = valid_rows(base, "_x", limits)
     names = ["p5", "p25", "median", "p75", "p95"]
-    shape = quantiles(rows, ["_f"], [0.05, 0.25, 0.5, 0.75, 0.95], keys, names=names).drop("variable")
-    mid = quantiles(base, ["_f"], [0.25, 0.75], keys, "midpoint", ["_m1", "_m3"]).drop("variable")
+    size = base.count()
+    shape = quantiles(rows, ["_f"], [0.05, 0.25, 0.5, 0.75, 0.95], keys, names=names, rows=size).drop("variable")
+    mid = quantiles(base, ["_f"], [0.25, 0.75], keys, "midpoint", ["_m1", "_m3"], size).drop("variable")
     over = join_on_keys(base, mid, keys)
     reach = 4.5 * (F.col("_m3") - F.col("_m1"))
     over = over.groupBy(*keys).agg(
