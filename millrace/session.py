@@ -18,6 +18,7 @@ def build_session(app: str = "millrace", cores: int | str = "*", shuffle_partiti
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("MILLRACE_DRIVER_MEMORY", "12g"))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
