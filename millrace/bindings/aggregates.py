@@ -123,8 +123,9 @@ def _summary(t: Tables):
         }
     )
     out = summary.full_summary(df, "x", "y", ["l_returnflag"], LIMITS)
+    kinds = dict(out.dtypes)
     keep = [c for c in out.columns if c in SUMMARY_SQL or c == "l_returnflag"]
-    return out.select(*[rnd(c, 4).alias(c) if dict(out.dtypes)[c] == "double" else F.col(c) for c in keep])
+    return out.selectExpr(*[f"round({c}, 4) AS {c}" if kinds[c] == "double" else c for c in keep])
 
 
 SUMMARY_SQL = {

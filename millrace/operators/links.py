@@ -51,6 +51,11 @@ def key_values(left: DataFrame, right: DataFrame, keys: Sequence[LinkKey]) -> li
     return pairs
 
 
+def _zero(cols: Sequence[Column]) -> Column:
+    """Always 0, but computed per row: a literal would be folded out of the join key and not spread anything."""
+    return F.pmod(F.xxhash64(*cols), F.lit(1)).cast("int")
+
+
 def equi_link(left: DataFrame, right: DataFrame, keys: Sequence[LinkKey], filtered: bool = False) -> DataFrame:
     """Link by equality of all keys: a left join, or an inner join when the linked process carries a filter.
 
@@ -69,7 +74,7 @@ def equi_link(left: DataFrame, right: DataFrame, keys: Sequence[LinkKey], filter
     else:
         spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(SALTS)).cast("int") + 1
         l = l.withColumn("_ls", F.when(known_l, F.lit(0)).otherwise(spread))
-        r = r.withColumn("_rs", F.lit(0))
+        r = r.withColumn("_rs", _zero([F.col(f"_r{i}") for i in range(len(pairs))]))
         out = l.join(r, [*cond, F.col("_ls") == F.col("_rs")], "left").drop("_ls", "_rs")
     return out.drop(*[f"_l{i}" for i in range(len(pairs))], *[f"_r{i}" for i in range(len(pairs))])
 
@@ -148,7 +153,7 @@ def time_link(
     else:
         spread = F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int") + 1
         salted = chosen.withColumn("_ls", F.when(F.col("_at").isNotNull(), F.lit(0)).otherwise(spread))
-        out = salted.join(target.withColumn("_rs", F.lit(0)), [*cond, F.col("_ls") == F.col("_rs")], "left")
+        out = salted.join(target.withColumn("_rs", _zero([F.col("_rt")])), [*cond, F.col("_ls") == F.col("_rs")], "left")
     return out.select("_row.*", *right.columns)
 
 

@@ -6,10 +6,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.numeric import INF, is_finite
+from millrace.functions.numeric import is_finite
 from millrace.operators.quantiles import modes, quantile_literals, quantiles
 
 
@@ -53,17 +53,21 @@ def basic_stats(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) ->
     return join_on_keys(plain, shape, groups)
 
 
-def _share(part: Column, whole: Column) -> Column:
-    return F.try_divide(part * 100.0, whole)
+def _number(v: float | None) -> str:
+    return "CAST(NULL AS DOUBLE)" if v is None else f"CAST('{float(v)!r}' AS DOUBLE)"
 
 
-def _capability(limits: Limits, mean: Column, sigma: Column) -> tuple[Column, Column]:
+def _count_beyond(sign: str, v: float | None) -> str:
+    return "CAST(0 AS BIGINT)" if v is None else f"count_if(_f {sign} {_number(v)})"
+
+
+def _capability(limits: Limits, mean: str, sigma: str) -> tuple[str, str]:
+    """SQL of Cp and Cpk; NULL without both limits or without spread."""
     if limits.low is None or limits.high is None:
-        return F.lit(None).cast("double"), F.lit(None).cast("double")
-    cp = F.try_divide(F.lit(limits.high - limits.low), 6 * sigma)
-    cpk = F.least(F.try_divide(limits.high - mean, 3 * sigma), F.try_divide(mean - limits.low, 3 * sigma))
-    known = sigma.isNotNull() & (sigma != 0)
-    return F.when(known, cp), F.when(known, cpk)
+        return _number(None), _number(None)
+    lo, hi, three = _number(limits.low), _number(limits.high), f"nullif(3 * {sigma}, 0)"
+    cp = f"try_divide({hi} - {lo}, nullif(6 * {sigma}, 0))"
+    return cp, f"least(try_divide({hi} - {mean}, {three}), try_divide({mean} - {lo}, {three}))"
 
 
 def valid_rows(df: DataFrame, x: str, limits: Limits) -> DataFrame:
@@ -99,78 +103,73 @@ def full_summary(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), limits
     shape = quantiles(rows, ["_f"], [0.05, 0.25, 0.5, 0.75, 0.95], keys, names=names, rows=size).drop("variable")
     mid = quantiles(base, ["_f"], [0.25, 0.75], keys, "midpoint", ["_m1", "_m3"], size).drop("variable")
     over = join_on_keys(base, mid, keys)
-    reach = 4.5 * (F.col("_m3") - F.col("_m1"))
     over = over.groupBy(*keys).agg(
-        F.count_if((reach != 0) & (F.col("_f") > F.col("_m3") + reach)).alias("num_over_upper"),
-        F.count_if((reach != 0) & (F.col("_f") < F.col("_m1") - reach)).alias("num_over_lower"),
-    )
-    iqr = F.col("p75") - F.col("p25")
-    lower, upper = F.col("p25") - 2.5 * iqr, F.col("p75") + 2.5 * iqr
-    work = join_on_keys(rows, shape, keys).withColumn("_t", F.when(F.col("_f").between(lower, upper), F.col("_f")))
-
-    def at_least(v):
-        return F.count_if(F.col("_f") >= v) if v is not None else F.lit(0).cast("long")
-
-    def at_most(v):
-        return F.count_if(F.col("_f") <= v) if v is not None else F.lit(0).cast("long")
-
-    agg = work.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("ntotal"),
-        F.count_if(F.col("_x").isNull()).alias("count_unlinked"),
-        at_least(limits.high).alias("pn_plus"),
-        at_most(limits.low).alias("pn_minus"),
-        at_least(limits.process_high).alias("pn_proc_plus"),
-        at_most(limits.process_low).alias("pn_proc_minus"),
-        F.count_if(F.col("_y").isNull() | F.isnan("_y")).alias("_nulls"),
-        F.count_if(F.col("_y") == F.lit(INF)).alias("pn_inf"),
-        F.count_if(F.col("_y") == F.lit(-INF)).alias("pn_neg_inf"),
-        F.avg("_f").alias("average"),
-        F.stddev_samp("_f").alias("sigma"),
-        F.min("_f").alias("minimum"),
-        F.max("_f").alias("maximum"),
-        F.count("_t").alias("t_n_stats"),
-        F.avg("_t").alias("t_average"),
-        F.stddev_samp("_t").alias("t_sigma"),
-        F.min("_t").alias("t_minimum"),
-        F.max("_t").alias("t_maximum"),
-        *[F.first(n).alias(n) for n in names],
+        F.expr("count_if(_m3 <> _m1 AND _f > _m3 + 4.5D * (_m3 - _m1)) AS num_over_upper"),
+        F.expr("count_if(_m3 <> _m1 AND _f < _m1 - 4.5D * (_m3 - _m1)) AS num_over_lower"),
     )
+    trimmed = "_f BETWEEN p25 - 2.5D * (p75 - p25) AND p75 + 2.5D * (p75 - p25)"
+    work = join_on_keys(rows, shape, keys).withColumn("_t", F.expr(f"CASE WHEN {trimmed} THEN _f END"))
+    measures = {
+        "ntotal": "count(1)",
+        "count_unlinked": "count_if(_x IS NULL)",
+        "pn_plus": _count_beyond(">=", limits.high),
+        "pn_minus": _count_beyond("<=", limits.low),
+        "pn_proc_plus": _count_beyond(">=", limits.process_high),
+        "pn_proc_minus": _count_beyond("<=", limits.process_low),
+        "_nulls": "count_if(_y IS NULL OR isnan(_y))",
+        "pn_inf": "count_if(_y = double('Infinity'))",
+        "pn_neg_inf": "count_if(_y = double('-Infinity'))",
+        "average": "avg(_f)",
+        "sigma": "stddev_samp(_f)",
+        "minimum": "min(_f)",
+        "maximum": "max(_f)",
+        "t_n_stats": "count(_t)",
+        "t_average": "avg(_t)",
+        "t_sigma": "stddev_samp(_t)",
+        "t_minimum": "min(_t)",
+        "t_maximum": "max(_t)",
+        **{n: f"first({n})" for n in names},
+    }
+    agg = work.groupBy(*keys).agg(*[F.expr(f"{sql} AS {name}") for name, sql in measures.items()])
     agg = join_on_keys(agg, over, keys)
     mode = modes(rows.where(F.col("_f").isNotNull()), "_f", keys, "mode")
     agg = join_on_keys(agg, mode, keys)
-    n = F.col("ntotal")
-    pn, pn_proc = F.col("pn_plus") + F.col("pn_minus"), F.col("pn_proc_plus") + F.col("pn_proc_minus")
-    pn_na = F.col("_nulls") - F.col("count_unlinked")
-    abnormal = F.col("pn_na") + F.col("pn_inf") + F.col("pn_neg_inf")
-    out = agg.withColumns({"pn": pn, "pn_proc": pn_proc, "pn_na": pn_na})
-    out = out.withColumn("pn_total", F.greatest("pn", "pn_proc") + abnormal)
-    out = out.withColumns({f"p{c[2:]}": _share(F.col(c), n) for c in out.columns if c.startswith("pn")})
-    cp, cpk = _capability(limits, F.col("average"), F.col("sigma"))
-    t_cp, t_cpk = _capability(limits, F.col("t_average"), F.col("t_sigma"))
-    out = out.withColumns(
-        {
-            "n_stats": F.greatest(n - abnormal, F.lit(0).cast("long")),
-            "cp": cp,
-            "cpk": cpk,
-            "t_cp": t_cp,
-            "t_cpk": t_cpk,
-            "iqr": iqr,
-            "niqr": 0.7413 * iqr,
-            "whisker_lower": F.col("p25") - 1.5 * iqr,
-            "whisker_upper": F.col("p75") + 1.5 * iqr,
-            "lower_range": lower,
-            "upper_range": upper,
-            "linked_pct": _share(n - F.col("count_unlinked"), n),
-        }
+    counted = agg.selectExpr(
+        "*",
+        "pn_plus + pn_minus AS pn",
+        "pn_proc_plus + pn_proc_minus AS pn_proc",
+        "_nulls - count_unlinked AS pn_na",
+        "_nulls - count_unlinked + pn_inf + pn_neg_inf AS _abnormal",
+        "p75 - p25 AS iqr",
+    )
+    cp, cpk = _capability(limits, "average", "sigma")
+    t_cp, t_cpk = _capability(limits, "t_average", "t_sigma")
+    shares = ["plus", "minus", "proc_plus", "proc_minus", "inf", "neg_inf", "na", "proc"]
+    sides = [
+        f"{p}average {sign} {k} * {p}sigma AS {p}avg_{word}_{'' if k == 1 else k}sigma"
+        for p in ("", "t_")
+        for k in (1, 3)
+        for sign, word in (("+", "p"), ("-", "m"))
+    ]
+    return counted.selectExpr(
+        "* EXCEPT (_nulls, _abnormal)",
+        "greatest(pn, pn_proc) + _abnormal AS pn_total",
+        "try_divide(100.0D * (greatest(pn, pn_proc) + _abnormal), ntotal) AS p_total",
+        "try_divide(100.0D * pn, ntotal) AS p",
+        *[f"try_divide(100.0D * pn_{s}, ntotal) AS p_{s}" for s in shares],
+        "greatest(ntotal - _abnormal, 0) AS n_stats",
+        f"{cp} AS cp",
+        f"{cpk} AS cpk",
+        f"{t_cp} AS t_cp",
+        f"{t_cpk} AS t_cpk",
+        "0.7413D * iqr AS niqr",
+        "p25 - 1.5D * iqr AS whisker_lower",
+        "p75 + 1.5D * iqr AS whisker_upper",
+        "p25 - 2.5D * iqr AS lower_range",
+        "p75 + 2.5D * iqr AS upper_range",
+        "try_divide(100.0D * (ntotal - count_unlinked), ntotal) AS linked_pct",
+        *sides,
     )
-    sides = {}
-    for p in ("", "t_"):
-        mean, sigma = F.col(f"{p}average"), F.col(f"{p}sigma")
-        for k in (1, 3):
-            label = "sigma" if k == 1 else "3sigma"
-            sides[f"{p}avg_p_{label}"] = mean + k * sigma
-            sides[f"{p}avg_m_{label}"] = mean - k * sigma
-    return out.withColumns(sides).drop("_nulls")
 
 
 def overflow_bounds(df: DataFrame, y: str) -> tuple[float, float] | None:
