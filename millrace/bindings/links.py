@@ -306,7 +306,9 @@ def flagship(spark, folder: str):
     left = links.time_window(t.orders, "o_orderdate", START, END)
     lo, hi = links.end_window(START, END)
     right = links.time_window(t.lineitem, "l_shipdate", lo, hi)
-    df = links.equi_link(left, right, EDGE.keys)
+    df = links.equi_link(left, right, EDGE.keys).select(
+        "o_orderkey", "o_orderdate", "l_returnflag", "l_extendedprice", "l_discount"
+    )
     spec = request(
         equations=[EquationSpec(12, "l_extendedprice", "keep", "net_price", a=1, c=0)],
         outlier="O4M",

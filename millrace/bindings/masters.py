@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from millrace.bindings.base import Registry, Tables, rnd, rounded
 from millrace.functions import names
-from millrace.operators import autolink, masters, reshape
+from millrace.operators import autolink, links, masters
+from millrace.spec import LinkKey
 
 R = Registry()
 
@@ -120,19 +121,16 @@ R.add(
 
 def _point(t: Tables):
     """The clicked order and its linked line items as (item, value) rows."""
-    first = t.orders.where(F.col("o_orderkey") == 7).select("o_orderkey", "o_orderstatus", "o_totalprice")
-    lines = t.lineitem.where(F.col("l_orderkey") == 7).select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity")
-    joined = first.join(lines, "o_orderkey", "left")
-    return reshape.to_long(joined, ["o_orderkey", "l_linenumber"], ["o_orderstatus", "o_totalprice", "l_quantity"], False, [])
+    joined = links.equi_link(t.orders, t.lineitem, [LinkKey("o_orderkey", "l_orderkey")])
+    return links.point_details(joined, "o_orderkey", 7, ["o_orderstatus", "o_totalprice", "l_linenumber"])
 
 
 R.add(
     "D29_point_details",
     _point,
-    """with j as (select o_orderkey, l_linenumber, o_orderstatus, o_totalprice, l_quantity from orders left join lineitem on o_orderkey = l_orderkey where o_orderkey = 7)
-select o_orderkey, l_linenumber, 'o_orderstatus' as data_name, o_orderstatus as data_value from j
-union all select o_orderkey, l_linenumber, 'o_totalprice', o_totalprice::varchar from j
-union all select o_orderkey, l_linenumber, 'l_quantity', l_quantity::varchar from j""",
+    """with j as (select o_orderkey as id, o_orderstatus, o_totalprice, l_linenumber from orders left join lineitem on o_orderkey = l_orderkey where o_orderkey = 7)
+select distinct id, 'o_orderstatus' as item, o_orderstatus as "value" from j union all select distinct id, 'o_totalprice', o_totalprice::varchar from j
+union all select distinct id, 'l_linenumber', l_linenumber::varchar from j""",
 )
 
 # --- link proposals ---

@@ -200,3 +200,10 @@ def term_of(value: Column, terms: Sequence[tuple[datetime, datetime]], use_from:
         lo_c, hi_c = F.lit(lo).cast("timestamp"), F.lit(hi).cast("timestamp")
         out = F.when((value >= lo_c) & (value <= hi_c), lo_c if use_from else hi_c).otherwise(out)
     return out
+
+
+def point_details(linked: DataFrame, id_col: str, value, columns: Sequence[str]) -> DataFrame:
+    """(id, item, value) rows of one clicked record and what is linked with it."""
+    row = linked.where(F.col(id_col) == F.lit(value))
+    texts = row.select(F.col(id_col).alias("id"), *[F.col(c).cast("string").alias(c) for c in columns])
+    return texts.unpivot(["id"], list(columns), "item", "value").distinct()

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime, timedelta
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,15 +72,19 @@ def thin(
     return out
 
 
+def even_ranks(first: int, last: int, count: int) -> list[int]:
+    """``count`` ranks spread evenly from first to last, rounded down."""
+    return [first + (last - first) * i // max(count - 1, 1) for i in range(count)]
+
+
 def resample_positions(n: int, wanted: int) -> tuple[list[int], list[int]]:
-    """(ranks taken as they are, ranks whose mean is the median) for ``resample``."""
-    wanted += 1 - wanted % 2
-    half = (wanted - 1) // 2
-    middle = (n + 1) / 2 - 1
-    left, right = int(np.ceil(middle - 1)), int(np.floor(middle + 1))
-    low = np.linspace(0, left - 1, num=half, dtype=int)
-    high = np.linspace(right, n - 1, num=half, dtype=int)
-    return [int(i) for i in (*low, *high)], [int(middle)] if n % 2 else [left, right]
+    """(ranks taken as they are, the one or two ranks whose mean is the median) for ``resample``.
+
+    Half of the ranks lie below the median and half above it.
+    """
+    half = wanted // 2
+    middle = [n // 2] if n % 2 else [n // 2 - 1, n // 2]
+    return even_ranks(0, n // 2 - 2, half) + even_ranks((n + 1) // 2, n - 1, half), middle
 
 
 def resample(df: DataFrame, col: str, wanted: int) -> DataFrame:

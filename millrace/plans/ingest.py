@@ -14,8 +14,8 @@ from millrace.sources import files, profile
 
 def ingest_files(spark: SparkSession, path: str, time: str, glob: str = "*.csv", zone: str = "UTC", stored: DataFrame | None = None) -> ImportResult:
     """Register a folder in one step: the files' shape from their heads, types from all rows, then the import."""
-    shape = files.describe_files(spark, path, glob).select("encoding", "delimiter", "skip").first()
-    raw = files.read_delimited(spark, path, delimiter=shape["delimiter"], encoding=shape["encoding"], skip=shape["skip"])
+    shape = files.describe_files(spark, path, glob).select("encoding", "delimiter", "preamble").first()
+    raw = files.read_delimited(spark, path, delimiter=shape["delimiter"], encoding=shape["encoding"], preamble=shape["preamble"])
     data = [c for c in raw.columns if c != time]
     kinds = profile.infer_types(raw, data)
     plain = {c: "TEXT" if k in ("CATEGORY", "DATE", "TIME") else k for c, k in kinds.items()}

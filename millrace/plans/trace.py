@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators import cleaning, derive, filters, links
+from millrace.session import settle
 from millrace.spec import AnalysisSpec, DuplicateShow, LinkEdge, ProcessSpec
 
 
@@ -158,11 +159,17 @@ def _join(joined, edge, processes, keyed, spec):
 
 
 def prepare_analysis(df: DataFrame, spec: AnalysisSpec, order: Sequence[str]) -> DataFrame:
-    """The fixed order: sentinels, equations, discretise, on-demand filter, abnormal counts, outliers."""
+    """The fixed order: sentinels, equations, discretise, on-demand filter, abnormal counts, outliers.
+
+    Steps that look at all values before they change any read the rows several times; the joins behind the rows are
+    then run once and their result is kept in the shared checkpoint folder.
+    """
     numeric = [c for c, t in df.dtypes if t in ("double", "float", "int", "bigint", "smallint", "string")]
     if spec.sentinels:
         df = cleaning.replace_sentinels(df, [c for c in spec.outlier_columns if c in numeric])
     df = derive.apply_equations(df, spec.equations, order)
+    if spec.discretise or spec.drop_abnormal_counts or spec.outlier:
+        df = settle(df)
     for name in spec.discretise:
         df = derive.discretise(df, name)
     df = filters.on_demand(df, spec.on_demand)

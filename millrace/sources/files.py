@@ -10,6 +10,7 @@ from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,60 +56,102 @@ def split_unit(name: str) -> tuple[str, str]:
     return parts[0], parts[1] if len(parts) > 1 else ""
 
 
-def _text(content: bytes) -> bytes:
-    if content[:2] == b"PK":
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            return z.read(z.namelist()[0])
-    return content
+# Fixed value: first column of a measurement export with seven header lines.
+KNOWN_LAYOUT = ["検索期間", "ライン", "工程", "設備", "特性名", "", ""]
+
+
+def known_layout(lines: Sequence[str], delimiter: str) -> dict[str, list[str]] | None:
+    """Line, process and machine per column, item names and units of the known seven-line header; None for others."""
+    rows = [[v.strip() for v in r] for r in csv.reader(lines[:7], delimiter=delimiter)]
+    if len(rows) < 7 or [r[0] if r else "" for r in rows] != KNOWN_LAYOUT:
+        return None
+    width = max(map(len, rows))
+    rows = [[v.replace("#N/A", "-") for v in r] + [""] * (width - len(r)) for r in rows]
+    machines, last = [], ""
+    for cell in ["", *rows[3][1:]]:
+        last = cell or last
+        machines.append(last)
+    return {"line": [rows[1][1]] * width, "process": [rows[2][1]] * width, "machine": machines, "item": ["", *rows[4][1:]],
+            "unit": rows[5], "detail": rows[6]}
+
+
+def _open(path: str):
+    """Seekable handle on any file system Arrow knows; only what is read is fetched."""
+    uri = re.sub(r"^file:/(?!/)", "file:///", path)
+    system, inner = fs.FileSystem.from_uri(uri)
+    return system.open_input_file(inner)
+
+
+def _head(path: str) -> bytes:
+    with _open(path) as f:
+        if f.read(2) != b"PK":
+            f.seek(0)
+            return f.read(HEAD_BYTES)
+        f.seek(0)
+        with zipfile.ZipFile(f) as z, z.open(z.namelist()[0]) as member:
+            return member.read(HEAD_BYTES)
 
 
 def describe_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(path, encoding, delimiter, skip, header): one row per file, from its head."""
-    binary = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    """(path, encoding, delimiter, skip, header, preamble): one row per file, from its first 64 KiB.
+
+    ``preamble`` holds the lines up to and including the header.
+    """
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for name, content in zip(batch["path"], batch["content"]):
-                head = _text(content)[:HEAD_BYTES]
+            for name in batch["path"]:
+                head = _head(name)
                 encoding = guess_encoding(head)
                 lines = head.decode(encoding, errors="ignore").splitlines()[:100]
                 delimiter = guess_delimiter(lines)
                 skip = guess_header(lines, delimiter)
                 names = next(csv.reader(lines[skip : skip + 1], delimiter=delimiter), [])
-                rows.append((name, encoding, delimiter, skip, [n.strip() for n in names]))
-            yield pd.DataFrame(rows, columns=["path", "encoding", "delimiter", "skip", "header"])
-
-    schema = "path string, encoding string, delimiter string, skip int, header array<string>"
-    return binary.select("path", "content").mapInPandas(look, schema)
-
-
-def read_delimited(spark: SparkSession, path: str | Sequence[str], header: Sequence[str] | None = None, delimiter: str = ",", encoding: str = "UTF-8", skip: int = 0) -> DataFrame:
-    """All columns as text.  With ``skip`` the lines before the header are left out, else Spark's splittable reader
-    is used directly."""
-    if skip == 0 and header is None:
-        df = spark.read.csv(path, sep=delimiter, header=True, encoding=encoding, inferSchema=False, enforceSchema=False)
-        return df.toDF(*number_names([re.sub(r"^_c(\d+)$", r"column_\1", c.strip()) for c in df.columns]))
-    if header is not None and skip == 0:
+                rows.append((name, encoding, delimiter, skip, [n.strip() for n in names], lines[: skip + 1]))
+            yield pd.DataFrame(rows, columns=["path", "encoding", "delimiter", "skip", "header", "preamble"])
+
+    schema = "path string, encoding string, delimiter string, skip int, header array<string>, preamble array<string>"
+    return list_files(spark, path, glob).select("path").mapInPandas(look, schema)
+
+
+def read_delimited(spark: SparkSession, path: str | Sequence[str], header: Sequence[str] | None = None, delimiter: str = ",", encoding: str = "UTF-8", preamble: Sequence[str] = ()) -> DataFrame:
+    """All columns as text.
+
+    Files that start with their header use Spark's splittable reader.  For files with lines before it, those
+    ``preamble`` lines (see ``describe_files``) are taken out of the text and every other line is parsed.
+    """
+    if len(preamble) > 1:
+        names = number_names(list(header or next(csv.reader([preamble[-1]], delimiter=delimiter))))
+        schema = T.StructType([T.StructField(n.strip(), T.StringType()) for n in names])
+        lines = spark.read.option("encoding", encoding).text(path)
+        lines = lines.where((F.trim("value") != "") & ~F.col("value").isin(list(preamble)))
+        return lines.select(F.from_csv("value", _ddl(schema), {"sep": delimiter}).alias("r")).select("r.*")
+    if header is not None:
         schema = T.StructType([T.StructField(n, T.StringType()) for n in number_names(list(header))])
         return spark.read.csv(path, sep=delimiter, schema=schema, header=False, encoding=encoding)
-    names = header or describe_files(spark, path if isinstance(path, str) else path[0]).first()["header"]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in number_names(list(names))])
-    first = skip + (0 if header is not None else 1)
-    drop = "DROPMALFORMED" if first else "PERMISSIVE"
-    raw = spark.read.csv(path, sep=delimiter, schema=schema, header=False, encoding=encoding, mode=drop, enforceSchema=True)
-    label = F.col(schema[0].name)
-    return raw.where(label.isNull() | (label != F.lit(schema[0].name)))
+    df = spark.read.csv(path, sep=delimiter, header=True, encoding=encoding, inferSchema=False, enforceSchema=False)
+    return df.toDF(*number_names([re.sub(r"^_c(\d+)$", r"column_\1", c.strip()) for c in df.columns]))
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` string" for f in schema)
 
 
 def read_whole(spark: SparkSession, path: str, transpose: bool = False, skip: int = 0, glob: str = "*") -> DataFrame:
-    """(path, row, field, value) of zipped or transposed files, which only whole-file reading can handle."""
+    """(path, row, field, value) of zipped or transposed files.
+
+    Such a file cannot be split, so each is read by one task; many files still spread over tasks.
+    """
     binary = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
-                data = _text(content)
+                data = content
+                if content[:2] == b"PK":
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        data = z.read(z.namelist()[0])
                 lines = data.decode(guess_encoding(data), errors="replace").splitlines()
                 rows = list(csv.reader(lines[skip:], delimiter=guess_delimiter(lines[:100])))
                 if transpose:

@@ -106,8 +106,16 @@ def test_file_head(tmp_path, spark):
     path.write_text("made by machine\n\na,b\n1,2\n3,4\n", encoding="utf-8")
     row = files.describe_files(spark, str(path)).first()
     assert (row["delimiter"], row["skip"], row["header"]) == (",", 2, ["a", "b"])
-    df = files.read_delimited(spark, str(path), delimiter=",", skip=2)
-    assert sorted(map(tuple, df.collect())) == [("1", "2"), ("3", "4")]
+    path.write_text("made by machine\n\na,b\n1,2\n3\n", encoding="utf-8")
+    df = files.read_delimited(spark, str(path), delimiter=",", preamble=row["preamble"])
+    assert sorted((r["a"], r["b"]) for r in df.collect()) == [("1", "2"), ("3", None)]
+
+
+def test_known_layout():
+    text = ["検索期間,2024", "ライン,L1", "工程,P1", "設備,m1,,m2", "特性名,a,b,c", ",N,mm,s", ",x,y,z"]
+    got = files.known_layout(text, ",")
+    assert got["machine"] == ["", "m1", "m1", "m2"] and got["unit"] == ["", "N", "mm", "s"] and got["line"][0] == "L1"
+    assert files.known_layout(["a,b", "1,2"], ",") is None
 
 
 def test_zip_file(tmp_path, spark):
