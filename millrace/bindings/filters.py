@@ -286,7 +286,10 @@ select case when rn <= 8 then p_brand else 'Other' end as brand, count(*) as n f
 )
 R.add(
     "F209_significant_digits",
-    lambda t: t.customer.select("c_custkey", derive.significant(F.col("c_acctbal")).alias("shown")),
+    lambda t: t.customer.select("c_custkey", rnd(derive.significant(F.col("c_acctbal")), 6).alias("shown")),
+    """select c_custkey, round(case when c_acctbal = 0 then c_acctbal else round_even(c_acctbal*pow(10, 3-floor(log10(abs(c_acctbal)))), 0)
+ / pow(10, 3-floor(log10(abs(c_acctbal)))) end, 6) as shown from (select c_custkey, c_acctbal from customer where c_acctbal <> 0)
+union all select c_custkey, c_acctbal from customer where c_acctbal = 0""",
 )
 R.add(
     "F210_filter_choices",
