@@ -60,10 +60,19 @@ def strip_quotes(text: Column) -> Column:
     return F.trim(F.btrim(text, F.lit("'")))
 
 
+# Fixed value: what a number looks like.
+NUMBER_TEXT = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)$"
+
+
+def read_number(text: Column) -> Column:
+    """Double or NULL.  The shape is checked first: a failing cast costs far more than a pattern."""
+    plain = F.trim(text)
+    return F.when(plain.rlike(NUMBER_TEXT), plain.try_cast("double"))
+
+
 def number_text(text: Column, na_texts: list[str] | None = None) -> tuple[Column, Column]:
     """(number, is_error) of raw text: quotes and spaces stripped, NA and infinity words understood."""
-    value = F.coalesce(F.trim(text).try_cast("double"), strip_quotes(text).try_cast("double"))
-    value = F.when(F.isnan(value), F.lit(None)).otherwise(value)
+    value = F.coalesce(read_number(text), read_number(strip_quotes(text)))
     na = text.isin(na_texts if na_texts is not None else NA_TEXTS)
     number = (
         F.when(value.isNotNull(), value)

@@ -28,12 +28,11 @@ def typed(name: str, kind: str, na_texts: Sequence[str] = ()):
     if kind == "DATETIME":
         return raw.try_cast("timestamp")
     if kind == "BOOLEAN":
-        bit = F.when(raw == "true", F.lit(1.0)).when(raw == "false", F.lit(0.0)).otherwise(F.trim(raw).try_cast("double"))
+        bit = F.when(raw == "true", F.lit(1.0)).when(raw == "false", F.lit(0.0)).otherwise(repair.read_number(raw))
         return F.when(bit.isin(0.0, 1.0), bit == 1.0)
     if kind == "BIG_INT":
         return F.when(raw.rlike(r"^\d+$"), raw.try_cast("bigint"))
-    number = F.trim(raw).try_cast("double")
-    number = F.when(~F.isnan(number), number)
+    number = repair.read_number(raw)
     if kind == "REAL":
         return number
     lo, hi = RANGES[kind]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.repair import DATE_TEXT, TIME_TEXT
+from millrace.functions.repair import DATE_TEXT, TIME_TEXT, read_number
 
 CATEGORY_COUNT = 256
 CATEGORY_RATIO = 0.01
@@ -18,40 +18,66 @@ MAX_SAFE_INTEGER = 2**53 - 1
 DATETIME_TEXT = r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}[\sT]\d{1,2}:\d{1,2}(:\d{1,2})?(\.\d+)?((\s?([+-]?\d{1,2}:\d{2})?)|Z)?$"
 
 
+FEW = 4 * CATEGORY_COUNT
+
+
 def column_facts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column, counts of readings): what the decision needs, in one pass over the data."""
-    parts = []
-    for c in cols:
-        text = F.trim(F.col(c).cast("string"))
-        number = text.try_cast("double")
-        known = F.col(c).isNotNull()
-        whole = number.isNotNull() & (F.floor(number) == number)
-        moment = F.coalesce(F.regexp_replace(text, "/", "-"), text).try_cast("timestamp")
-        moment = F.when(text.rlike(r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}"), moment)
-        facts = {
-            "known": F.count(c),
-            "numbers": F.count_if(number.isNotNull() & ~F.isnan(number)),
-            "whole": F.count_if(whole),
-            "bits": F.count_if(whole & number.isin(0.0, 1.0)),
-            "int16": F.count_if(whole & number.between(-(2**15), 2**15 - 1)),
-            "int32": F.count_if(whole & number.between(-(2**31), 2**31 - 1)),
-            "int64": F.count_if(text.try_cast("bigint").isNotNull()),
-            "double_zero": F.count_if(F.replace(text, F.lit("'"), F.lit("")).startswith("00")),
-            "moments": F.count_if(moment.isNotNull()),
-            "midnights": F.count_if(moment.isNotNull() & (F.date_trunc("day", moment) == moment)),
-            "dates": F.count_if(text.rlike(DATE_TEXT)),
-            "times": F.count_if(text.rlike(TIME_TEXT)),
-            "booleans": F.count_if(text.isin("true", "false")),
-            "longest": F.max(F.length(text)),
-            "plain_ints": F.count_if(text.rlike(r"^-?(0|[1-9]\d*)$")),
-            "separated": F.count_if(text.rlike(r"^[+-]?\d+,\d+$")),
-            "grouped": F.count_if(text.rlike(r"^[+-]?[\d , \.]+$") & number.isNull()),
-            "date_times": F.count_if(text.rlike(DATETIME_TEXT)),
-            "distinct": F.count_distinct(F.when(known, text)),
-        }
-        parts.append(F.struct(F.lit(c).alias("column"), *[F.coalesce(v.cast("long"), F.lit(0)).alias(k) for k, v in facts.items()]))
-    wide = df.agg(*[p.alias(f"c{i}") for i, p in enumerate(parts)])
-    return wide.select(F.explode(F.array(*wide.columns)).alias("f")).select("f.*")
+    """(column, counts of readings): what the decision needs.
+
+    One pass for the readings and one for a sketch of the distinct values.  The count of columns with few values
+    is then made exact, as only there it decides.
+    """
+    cols = list(cols)
+    text = F.col("value")
+    moment = F.regexp_replace(text, "/", "-").try_cast("timestamp")
+    read = _cells(df, cols).select(
+        "column",
+        "value",
+        read_number(text).alias("number"),
+        F.when(text.rlike(r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}"), moment).alias("moment"),
+    )
+    number, at = F.col("number"), F.col("moment")
+    whole = F.floor(number) == number
+    facts = {
+        "known": F.count("value"),
+        "numbers": F.count(number),
+        "whole": F.count_if(whole),
+        "bits": F.count_if(number.isin(0.0, 1.0)),
+        "int16": F.count_if(whole & number.between(-(2**15), 2**15 - 1)),
+        "int32": F.count_if(whole & number.between(-(2**31), 2**31 - 1)),
+        "int64": F.count_if(whole & text.try_cast("bigint").isNotNull()),
+        "double_zero": F.count_if(F.replace(text, F.lit("'"), F.lit("")).startswith("00")),
+        "moments": F.count(at),
+        "midnights": F.count_if(F.date_trunc("day", at) == at),
+        "dates": F.count_if(text.rlike(DATE_TEXT)),
+        "times": F.count_if(text.rlike(TIME_TEXT)),
+        "booleans": F.count_if(text.isin("true", "false")),
+        "longest": F.max(F.length(text)).cast("long"),
+        "plain_ints": F.count_if(text.rlike(r"^-?(0|[1-9]\d*)$")),
+        "separated": F.count_if(text.rlike(r"^[+-]?\d+,\d+$")),
+        "grouped": F.count_if(number.isNull() & text.rlike(r"^[+-]?[\d , \.]+$")),
+        "date_times": F.count_if(text.rlike(DATETIME_TEXT)),
+    }
+    found = read.groupBy("column").agg(*[v.alias(k) for k, v in facts.items()])
+    rows = {r["column"]: tuple(r) for r in found.collect()}  # one row per column
+    sketch = _cells(df, cols).groupBy("column").agg(F.approx_count_distinct("value").alias("n"))
+    distinct = {r["column"]: r["n"] for r in sketch.collect()}
+    few = [c for c, n in distinct.items() if n <= FEW]
+    if few:
+        distinct.update({r["column"]: r["n"] for r in _exact_distinct(df, few).collect()})
+    done = [(*rows[c], distinct[c]) if c in rows else (c, *[0] * (len(facts) + 1)) for c in cols]
+    names = [*facts, "distinct"]
+    return df.sparkSession.createDataFrame(done, "column string, " + ", ".join(f"`{k}` long" for k in names))
+
+
+def _cells(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    pairs = [F.struct(F.lit(c).alias("column"), F.trim(F.col(c).cast("string")).alias("value")) for c in cols]
+    long = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.column", "p.value")
+    return long.where(F.col("value").isNotNull())
+
+
+def _exact_distinct(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return _cells(df, cols).distinct().groupBy("column").agg(F.count("*").alias("n"))
 
 
 def is_category(known: int, distinct: int) -> bool:
