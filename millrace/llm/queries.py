@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.bindings.base import Tables
-from millrace.llm import mixing, neardup
+from millrace.llm import mixing, neardup, pieces, quality
 from millrace.llm.words import WORD
 
 WORDS = F.regexp_count("text", F.lit(WORD)).cast("long")
@@ -28,6 +28,11 @@ def register(name: str, sql: str | None = None):
     return keep
 
 
+@register("op1_quality")
+def quality_scores(t: Tables) -> DataFrame:
+    return quality.document_scores(t.documents, t.labels)
+
+
 @register("op2_near_dedup")
 def near_dedup(t: Tables) -> DataFrame:
     return neardup.near_duplicates(t.documents, percent=85)
@@ -37,3 +42,9 @@ def near_dedup(t: Tables) -> DataFrame:
 def mix_sources(t: Tables) -> DataFrame:
     mixed = mixing.mix(t.documents, MIX_WEIGHTS, WORDS)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
+
+
+@register("op10_pieces")
+def encode_pieces(t: Tables) -> DataFrame:
+    encoded = pieces.decode(pieces.encode(t.documents.select("doc_id", "text")))
+    return encoded.select("doc_id", "n_tokens", "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))

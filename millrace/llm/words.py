@@ -6,12 +6,15 @@ batch smaller, never shorter.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text bytes handled at once in a task; a single longer text is handled alone.
 CHUNK_BYTES = 4 << 20
@@ -90,3 +93,29 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> list[np.ndarray]:
         else:
             out.append(np.empty(0, np.uint64))
     return out
+
+
+def append_columns(df: DataFrame, inputs: dict[str, Column], new: dict[str, str], make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], by: str | None = None) -> DataFrame:
+    """``df`` with columns computed by Arrow tasks; rows pass through whole, in place, without a shuffle.
+
+    ``inputs`` names the expressions that the task sees, ``new`` the types of the columns it returns, ``make()`` is
+    called once in each task and gives the function for a batch.  Batches hold a bounded number of bytes of the
+    string input ``by``.  Columns of ``df`` named like a new one are replaced; any other names are safe.
+    """
+    kept = [f for f in df.schema.fields if f.name not in new]
+    carried, names, many = [f"c{i}" for i in range(len(kept))], list(inputs), len(new)
+    seen = [f"i_{name}" for name in names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for part in chunks(batches, f"i_{by}") if by else batches:
+            if part.num_rows:
+                given = pa.RecordBatch.from_arrays([part.column(c) for c in seen], names)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in carried], *work(given)], [*carried, *[f"n{i}" for i in range(many)]])
+
+    plain = df.select(*[F.col(f"`{f.name}`").alias(c) for f, c in zip(kept, carried)], *[e.alias(c) for e, c in zip(inputs.values(), seen)])
+    schema = T.StructType([T.StructField(c, f.dataType) for f, c in zip(kept, carried)])
+    for i, kind in enumerate(new.values()):
+        schema = schema.add(f"n{i}", T.DataType.fromDDL(kind))
+    out = plain.mapInArrow(run, schema)
+    return out.select(*[F.col(c).alias(f.name) for f, c in zip(kept, carried)], *[F.col(f"n{i}").alias(name) for i, name in enumerate(new)])
