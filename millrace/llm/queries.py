@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.bindings.base import Tables
-from millrace.llm import mixing, neardup, pieces, quality
+from millrace.llm import mixing, neardup, ordermin, pieces, quality, sharding
 from millrace.llm.words import WORD
 
 WORDS = F.regexp_count("text", F.lit(WORD)).cast("long")
@@ -44,6 +44,21 @@ def mix_sources(t: Tables) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+@register("op5_sharding")
+def shards(t: Tables) -> DataFrame:
+    sharded = sharding.shard(t.documents, 40)
+    return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register("op7_fingerprints")
+def fingerprints(t: Tables) -> DataFrame:
+    marked = ordermin.edited_fingerprints(t.documents)
+    return marked.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        ordermin.fingerprint(F.col("signature")).alias("fingerprint"), ordermin.fingerprint(F.col("edited_signature")).alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
 @register("op10_pieces")
 def encode_pieces(t: Tables) -> DataFrame:
     encoded = pieces.decode(pieces.encode(t.documents.select("doc_id", "text")))
