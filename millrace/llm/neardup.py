@@ -7,8 +7,9 @@
 2. Texts that share a band key are candidates.  A bucket is not expanded into pairs: all its members are compared with
    one leader, the member whose other buckets are fullest, which in a group of edited copies is the text they were
    edited from.  Once the links so found are closed into components, only buckets that still hold several components
-   are looked at again, and there members outside the bucket's largest component meet the members of other
-   components.  Pairs inside one component are never made, so nothing that could join two components is left out.
+   are looked at again, and only for pairs of different components: either the counts of shingles shared with the
+   leader leave a link possible, or the pair has a shingle in common that the leader lacks.  Nothing that could join
+   two components is left out, and no group is expanded into all its pairs.
 3. Candidates whose sketches speak clearly against the threshold are dropped; the others are confirmed on full sets.
 
 Exact copies share one class and are compared once.
@@ -132,16 +133,64 @@ class _Search:
     def possible(self, na: str, nb: str, sa: str, sb: str) -> Column:
         return (100 * F.least(na, nb) >= self.percent * F.greatest(na, nb)) & (_differing(sa, sb) <= self.most)
 
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """(id, grams) of the given ids."""
+        ids = settle(ids.distinct())
+        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        return written(gram_sets(self.texts.join(ids, "id", "left_semi"), self.width))
+
+    def enough(self, shared: Column, n: Column, m: Column) -> Column:
+        """Whether ``shared`` common shingles of sets of n and m reach the threshold."""
+        return (100 + self.percent) * shared >= self.percent * (n + m)
+
+    def around_leaders(self, around: DataFrame) -> DataFrame:
+        """Pairs (a, b) of different components around one leader that may reach the threshold.
+
+        ``around(leader, id, component)``.  With ``own`` the shingles of a text that its leader lacks and ``in`` the
+        number of the others, two texts share at most ``min(in, in')`` shingles of the leader besides those of both
+        ``own`` sets.  So a pair either has few enough shingles for ``min(in, in')`` to be enough, which depends on
+        counts alone, or has an ``own`` shingle in common, which few texts do.  Of the sorted ``own`` shingles only
+        as many can be the first common one as leave the number still needed after it.
+        """
+        sets = self.sets(around.select("id").union(around.select("leader")))
+        full = around.filter("id != leader").join(sets, "id").join(sets.select(F.col("id").alias("leader"), F.col("grams").alias("lead")), "leader")
+        own = F.array_sort(F.array_except("grams", "lead"))
+        full = full.select("leader", "id", "component", F.size("grams").cast("long").alias("n"), own.alias("own"))
+        full = written(full.withColumn("in", F.col("n") - F.size("own")))
+        tops = full.groupBy("leader", "component").count().groupBy("leader").agg(F.max(F.struct("count", "component")).alias("top"))
+        kinds = full.groupBy("leader").agg(F.min("n").alias("least"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1")
+        tops = kinds.join(tops, "leader").select("leader", "least", F.col("top.component").alias("top"))
+        full = full.join(tops, "leader")
+        narrow = settle(full.select("leader", "id", "component", "top", "n", "in"))
+        other = narrow.drop("top").toDF("leader_", "id_", "component_", "n_", "in_")
+        differ = (F.col("leader") == F.col("leader_")) & (F.col("component") != F.col("component_"))
+
+        sizes = narrow.select(F.col("leader").alias("leader_"), F.col("n").alias("n_")).distinct()
+        rest = narrow.filter("component != top")
+        close = self.enough(F.col("in"), F.col("n"), F.col("n_")) & (100 * F.least("n", "n_") >= self.percent * F.greatest("n", "n_"))
+        by_size = rest.join(sizes, (F.col("leader") == F.col("leader_")) & close).drop("leader_")
+        by_count = by_size.join(other.withColumnRenamed("n_", "m_"), differ & (F.col("n_") == F.col("m_")) & self.enough(F.col("in_"), F.col("n"), F.col("n_")))
+
+        least = F.greatest("least", F.ceil(self.percent * F.col("n") / 100))
+        wanted = F.greatest(F.lit(1), F.ceil(self.percent * (F.col("n") + least) / (100 + self.percent)) - F.col("in"))
+        heads = full.withColumn("head", F.size("own") - wanted + 1).filter("head > 0")
+        heads = heads.select("leader", "id", "component", "top", "n", F.explode(F.slice("own", F.lit(1), F.col("head").cast("int"))).alias("gram"))
+        shared = heads.groupBy("leader", "gram").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1")
+        heads = settle(heads.join(shared.select("leader", "gram"), ["leader", "gram"]))
+        mates = heads.select(*[F.col(c).alias(f"{c}_") for c in ("leader", "id", "component", "n", "gram")])
+        ratio = 100 * F.least("n", "n_") >= self.percent * F.greatest("n", "n_")
+        by_gram = heads.filter("component != top").join(mates, differ & (F.col("gram") == F.col("gram_")) & ratio)
+        pairs = [x.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")) for x in (by_count, by_gram)]
+        return settle(pairs[0].union(pairs[1]).distinct())
+
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose full sets reach the threshold."""
-        ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        sets = written(gram_sets(self.texts.join(ids, "id", "left_semi"), self.width))
+        sets = self.sets(pairs.select("a").union(pairs.select("b")).withColumnRenamed("a", "id"))
         for x in "ab":
             pairs = pairs.join(sets.select(F.col("id").alias(x), F.col("grams").alias(f"g{x}")), x)
         both = F.size(F.array_intersect("ga", "gb")).cast("long")
         sized = pairs.select("a", "b", both.alias("both"), (F.size("ga") + F.size("gb")).cast("long").alias("sum"))
-        return sized.filter(100 * F.col("both") >= self.percent * (F.col("sum") - F.col("both"))).select("a", "b").distinct()
+        return sized.filter(self.enough(F.col("both"), F.col("sum"), F.lit(0))).select("a", "b").distinct()
 
 
 def near_duplicates(df: DataFrame, percent: int = 80, width: int = 5, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -172,17 +221,12 @@ def near_duplicates(df: DataFrame, percent: int = 80, width: int = 5, id: str =
     links = settle(search.confirm(tested))
     found = settle(components(links))
 
-    grouped = members.select("id", "key").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sizes = grouped.groupBy("key", "component").count()
-    open_keys = sizes.groupBy("key").agg(F.max(F.struct("count", "component")).alias("top"), F.count("*").alias("kinds")).filter("kinds > 1")
-    open_members = grouped.join(open_keys.select("key", F.col("top.component").alias("top")), "key")
-    open_members = settle(open_members.join(nodes.select("id", "n", "sketch"), "id"))
-    other = open_members.toDF(*[f"{c}_" for c in open_members.columns])
-    meets = (F.col("key") == F.col("key_")) & (F.col("component") != F.col("component_"))
-    once = (F.col("component_") == F.col("top")) | (F.col("id") < F.col("id_"))
-    rest = open_members.filter("component != top").join(other, meets & once & search.possible("n", "n_", "sketch", "sketch_"))
-    more = rest.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    late = settle(search.confirm(settle(more)))
+    grouped = members.select("id", "key", "count").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_keys = grouped.filter("count > 2").groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most")
+    open_keys = open_keys.select("key").join(leaders.select("key", (-F.col("lead.less")).alias("leader")), "key")
+    around = settle(grouped.join(open_keys, "key").select("leader", "id", "component").distinct())
+    more = search.around_leaders(around).join(tested, ["a", "b"], "left_anti")
+    late = settle(search.confirm(settle(search.close(more))))
     final = components(links.union(late)) if late.take(1) else found
 
     of_class = classes.select("class", F.col("id").alias("node")).join(final, "node", "left")

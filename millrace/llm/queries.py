@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.bindings.base import Tables
-from millrace.llm import mixing, neardup, ordermin, pieces, quality, sharding
+from millrace.llm import forest, mixing, neardup, ordermin, pieces, quality, sharding
 from millrace.llm.words import WORD
 
 WORDS = F.regexp_count("text", F.lit(WORD)).cast("long")
@@ -50,6 +50,11 @@ def shards(t: Tables) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@register("op6_nearest")
+def neighbours(t: Tables) -> DataFrame:
+    return forest.nearest(t.embeddings, F.col("vec_id") % 20 == 0, 20)
+
+
 @register("op7_fingerprints")
 def fingerprints(t: Tables) -> DataFrame:
     marked = ordermin.edited_fingerprints(t.documents)
