@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.bindings.base import Tables
-from millrace.llm import forest, mixing, neardup, ordermin, pieces, quality, sharding
+from millrace.llm import forest, mixing, neardup, ordermin, packing, pieces, quality, sharding
 from millrace.llm.words import WORD
 
 WORDS = F.regexp_count("text", F.lit(WORD)).cast("long")
@@ -44,6 +44,11 @@ def mix_sources(t: Tables) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+@register("op4_packing")
+def packed_rows(t: Tables) -> DataFrame:
+    return packing.pack(t.documents)
+
+
 @register("op5_sharding")
 def shards(t: Tables) -> DataFrame:
     sharded = sharding.shard(t.documents, 40)
