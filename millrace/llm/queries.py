@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.bindings.base import Tables
-from millrace.llm import forest, mixing, neardup, ordermin, packing, pieces, quality, sharding
-from millrace.llm.words import WORD
+from millrace.llm import forest, mixing, neardup, ordermin, packing, pieces, quality, sharding, warc
+from millrace.llm.words import word_count
 
-WORDS = F.regexp_count("text", F.lit(WORD)).cast("long")
 MIX_WEIGHTS = (1, 2, 3)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,7 +39,7 @@ def near_dedup(t: Tables) -> DataFrame:
 
 @register("op3_mixing")
 def mix_sources(t: Tables) -> DataFrame:
-    mixed = mixing.mix(t.documents, MIX_WEIGHTS, WORDS)
+    mixed = mixing.mix(t.documents, MIX_WEIGHTS, word_count("text"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
@@ -69,6 +68,35 @@ def fingerprints(t: Tables) -> DataFrame:
     )
 
 
+FIXITY_SQL = """
+with r as (
+  select page_id as id, url as uri, coalesce(html, '') as body, coalesce(url, '') as u, coalesce(cast(page_id as varchar), '') as k,
+    chr(13) || chr(10) as nl from pages),
+n as (select *, md5(k || '|' || u) as h from r),
+a as (
+  select id, uri, k, 'WARC/1.1' || nl || 'WARC-Type: resource' || nl || 'WARC-Record-ID: <urn:uuid:' || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-'
+    || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) || '>' || nl || 'WARC-Date: 2024-01-01T00:00:00Z' || nl
+    || 'WARC-Target-URI: ' || u || nl || 'Content-Type: text/html' || nl || 'Content-Length: ' || strlen(body) || nl || nl || body as rec from n),
+f as (select greatest(32, cast(ceil(sum(strlen(rec) + 4) / 67108864.0) as bigint)) as files from a),
+d as (
+  select *, substr(md5('damage' || k), 1, 2) as draw, length(rec) // 2 as half,
+    cast(cast(('0x' || substr(md5(k), 1, 8)) as bigint) % (select files from f) as integer) as file, sha256(rec) as digest from a),
+b as (
+  select *, case draw when '00' then substr(rec, 1, half - 1) || case when substr(rec, half, 1) = '#' then '*' else '#' end || substr(rec, half + 1)
+    when '01' then substr(rec, 1, half) else rec end as other,
+    cast(coalesce(sum(strlen(rec) + 4) over (partition by file order by id nulls first, digest, uri nulls first rows between unbounded preceding and 1 preceding), 0) as bigint) as start
+  from d)
+select file, id, uri, case draw when '02' then 'missing' else 'corrupt' end as status, start, strlen(rec) + 4 as length, digest,
+  case when draw <> '02' then sha256(other) end as replica_digest
+from b where draw in ('00', '01', '02')
+"""
+
+
+@register("op8_fixity", FIXITY_SQL)
+def fixity(t: Tables) -> DataFrame:
+    return warc.fixity(t.pages)
+
+
 @register("op10_pieces")
 def encode_pieces(t: Tables) -> DataFrame:
     encoded = pieces.decode(pieces.encode(t.documents.select("doc_id", "text")))

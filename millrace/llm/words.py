@@ -56,6 +56,11 @@ def word_hashes(dictionary: pa.Array, seed: int = 0) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in dictionary.cast(pa.large_binary()).to_pylist()), np.uint64, len(dictionary))
 
 
+def word_count(text: str) -> Column:
+    """Number of words of a text column; null for null."""
+    return F.regexp_count(F.col(text), F.lit(WORD)).cast("long")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words whose every output bit depends on every input bit."""
     x = x ^ (x >> np.uint64(32))
