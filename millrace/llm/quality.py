@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.words import append_columns, split_words, word_hashes
+from millrace.llm.words import append_columns, split_words, whole, word_hashes
 from millrace.session import written
 
 #: Bytes by kind; each kind's share of a text is a feature.  The last kind is everything that is not ASCII.
@@ -37,12 +37,8 @@ RIDGE = 1e-3
 
 def text_features(texts: pa.Array) -> np.ndarray:
     """One row per text: shares of byte kinds, shape of words and lines, repetition, hashed words.  Null is empty."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    n = len(texts)
-    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-    _, offsets, data = texts.buffers()
-    first = np.frombuffer(offsets, np.int64)[texts.offset]
-    raw = np.frombuffer(data, np.uint8)[first : first + sizes.sum()] if data is not None else np.empty(0, np.uint8)
+    texts, raw, sizes = whole(texts)
+    n, raw = len(texts), np.frombuffer(raw, np.uint8)
     kind = np.full(256, len(KINDS), np.int64)
     for k, members in enumerate(KINDS):
         kind[list(members)] = k

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.bindings.base import Tables
-from millrace.llm import forest, mixing, neardup, ordermin, packing, pieces, quality, sharding, warc
+from millrace.llm import forest, mixing, neardup, ordermin, packing, pieces, pseudolm, quality, sharding, warc
 from millrace.llm.words import word_count
 
 MIX_WEIGHTS = (1, 2, 3)
@@ -97,6 +97,11 @@ def fixity(t: Tables) -> DataFrame:
     return warc.fixity(t.pages)
 
 
+@register("op9_pseudo_likelihood")
+def pseudo_likelihood(t: Tables) -> DataFrame:
+    return pseudolm.score(t.documents)
+
+
 @register("op10_pieces")
 def encode_pieces(t: Tables) -> DataFrame:
     encoded = pieces.decode(pieces.encode(t.documents.select("doc_id", "text")))

@@ -36,10 +36,24 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             start = stop
 
 
+def whole(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, bytes, np.ndarray]:
+    """(texts, their bytes in one piece, size of each) as an array of its own, null texts empty.
+
+    Slices are copied, and letters A-Z lowered as bytes, because Arrow's own lowering misreads sliced arrays.
+    """
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    data = texts.buffers()[2]
+    first = int(np.frombuffer(texts.buffers()[1], np.int64)[texts.offset]) if len(texts) else 0
+    raw = data.slice(first, int(offsets[-1])).to_pybytes() if data is not None else b""
+    raw = raw.lower() if lower else raw
+    return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(raw)), raw, sizes
+
+
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """(code of each word, dictionary of words, first word of each text plus the total).  Null texts have no words."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    lists = pc.ascii_split_whitespace(whole(texts, lower)[0])
     flat, bounds = lists.flatten(), lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
     bounds = bounds - bounds[0]
     real = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
