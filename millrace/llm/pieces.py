@@ -27,15 +27,18 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 VARIANTS = 4
 #: Units a task remembers per variant before it starts afresh; a matter of speed only.
 REMEMBERED = 100_000
-#: Characters up to which a unit's agenda is a list, beyond which it is a heap; both give the same pieces.
-SHORT = 48
+#: Units of up to so many characters are segmented a block at a time, longer ones alone; pieces are the same.
+SHORT, BLOCK = 40, 4096
 SPACE = "▁"
 _MASK = (1 << 64) - 1
+LEFT, STOP, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
+#: A symbol behind the last, and the rank of what is no piece.
+END, NEVER = (1 << 20) - 1, np.iinfo(np.int64).max
 
 
 def skips(key: int, left: int, stop: int, limit: int) -> bool:
     """Whether the merge that would make characters left..stop of a unit is skipped."""
-    return ((key + left * 0x9E3779B97F4A7C15 + stop * 0xC2B2AE3D27D4EB4F) * 0xD6E8FEB86659FD93 & _MASK) < limit
+    return ((key + left * int(LEFT) + stop * int(STOP)) * int(SPREAD) & _MASK) < limit
 
 
 class Pieces:
@@ -55,10 +58,18 @@ class Pieces:
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.ids[piece], scores[piece] = i, model.get_score(i)
                 self.bytes[i] = piece.replace(SPACE, " ").encode()
-        self.rank = {piece: -scores[piece] for piece in self.ids if len(piece) > 1}
+        order = {score: i for i, score in enumerate(sorted({scores[p] for p in self.ids if len(p) > 1}, reverse=True))}
+        self.rank = {piece: order[scores[piece]] for piece in self.ids if len(piece) > 1}
         inner = sorted({c for piece in self.rank for c in piece} - {SPACE})
         # a unit: spaces with the run of mergeable characters after them, or one character that never merges
         self.units = re.compile(f" *[{re.escape(''.join(inner))}]+| +|.", re.DOTALL)
+        #: mergeable characters without a piece of their own
+        self.bare = {c for c in [*inner, SPACE] if c not in self.ids}
+        self.symbol_of = np.full(0x110000, END, np.int32)
+        for c in {*inner, SPACE} - self.bare:
+            self.symbol_of[ord(c)] = self.ids[c]
+        found = [(self.ids[p[:i]] << 20 | self.ids[p[i:]], r, self.ids[p]) for p, r in self.rank.items() for i in range(1, len(p)) if p[:i] in self.ids and p[i:] in self.ids]
+        self.pairs, self.pair_rank, self.pair_id = (np.array(x) for x in zip(*sorted(found)))
 
     def characters(self, unit: str) -> list[int]:
         """Ids of a piece of text that is one symbol: its own piece, or the bytes of its characters."""
@@ -70,34 +81,64 @@ class Pieces:
         if len(unit) == 1 and unit != " ":
             # a literal space sign is written as bytes, for its piece decodes to a space
             return [self.byte_ids[b] for b in unit.encode()] if unit == SPACE else self.characters(unit)
-        work = self._short if len(unit) <= SHORT else self._long
-        return work(unit.replace(" ", SPACE), key, int(dropout * (1 << 64)))
-
-    def _short(self, text: str, key: int, limit: int) -> list[int]:
-        """The agenda as a list beside the symbols: few entries are searched faster than ordered."""
-        get, never = self.rank.get, float("inf")
-        parts, start = list(text), list(range(len(text) + 1))
-        agenda = [get(a + b, never) for a, b in zip(parts, parts[1:])]
-        while agenda:
-            best = min(agenda)
-            if best == never:
-                break
-            i = agenda.index(best)
-            if limit and skips(key, start[i], start[i + 2], limit):
-                agenda[i] = never
-                continue
-            parts[i] += parts.pop(i + 1)
-            del agenda[i], start[i + 1]
-            if i:
-                agenda[i - 1] = get(parts[i - 1] + parts[i], never)
-            if i < len(agenda):
-                agenda[i] = get(parts[i] + parts[i + 1], never)
-        ids = self.ids
-        out = [ids.get(p) for p in parts]
-        return out if None not in out else [i for p in parts for i in self.characters(p)]
+        return self._long(unit.replace(" ", SPACE), key, int(dropout * (1 << 64)))
+
+    def segment_many(self, units: list[str], keys: np.ndarray, dropout: float) -> list[bytes]:
+        """As ``segment`` for many units, as 32-bit integers: the same agenda, worked off for a block of units at once."""
+        out: list[bytes] = [b""] * len(units)
+        alone = [i for i, u in enumerate(units) if len(u) > SHORT or len(u) == 1 or not self.bare.isdisjoint(u)]
+        for i in alone:
+            out[i] = array("i", self.segment(units[i], int(keys[i]), dropout)).tobytes()
+        alone_set = set(alone)
+        rest = sorted((i for i in range(len(units)) if i not in alone_set), key=lambda i: len(units[i]))
+        for at in range(0, len(rest), BLOCK):
+            block = rest[at : at + BLOCK]
+            ids, counts = self._block([units[i].replace(" ", SPACE) for i in block], keys[block], dropout)
+            raw, ends = ids.astype(np.int32).tobytes(), (4 * np.cumsum(counts)).tolist()
+            for i, a, b in zip(block, [0, *ends], ends):
+                out[i] = raw[a:b]
+        return out
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, id) of the union of two symbols; rank NEVER where it is no piece."""
+        wanted = (left.astype(np.int64) << 20) | right
+        at = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == wanted, self.pair_rank[at], NEVER), self.pair_id[at]
+
+    def _block(self, texts: list[str], keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids per text).  Row r holds the symbols of text r at their first characters."""
+        sizes = np.array([len(t) for t in texts])
+        rows, width = len(texts), int(sizes.max())
+        symbol = np.full((rows, width + 1), END, np.int64)
+        symbol[:, :width][np.arange(width) < sizes[:, None]] = self.symbol_of[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)]
+        after = np.tile(np.arange(1, width + 2), (rows, 1))
+        before = np.tile(np.arange(-1, width), (rows, 1))
+        rank, union = self._ranks(symbol[:, :-1], symbol[:, 1:])
+        alive = np.arange(width) < sizes[:, None]
+        limit = np.uint64(min(int(dropout * (1 << 64)), _MASK))
+        while True:
+            best = rank.argmin(axis=1)
+            r = np.flatnonzero(rank[np.arange(rows), best] != NEVER)
+            if not len(r):
+                return symbol[:, :width][alive], alive.sum(axis=1)
+            left = best[r]
+            middle = after[r, left]
+            stop = after[r, middle]
+            if limit:
+                draw = (keys[r] + left.astype(np.uint64) * LEFT + stop.astype(np.uint64) * STOP) * SPREAD
+                skipped = draw < limit
+                rank[r[skipped], left[skipped]] = NEVER
+                r, left, middle, stop = (x[~skipped] for x in (r, left, middle, stop))
+            symbol[r, left] = union[r, left]
+            after[r, left], before[r, stop] = stop, left
+            rank[r, middle], alive[r, middle] = NEVER, False
+            rank[r, left], union[r, left] = self._ranks(symbol[r, left], symbol[r, stop])
+            prior = before[r, left]
+            r, left, prior = (x[prior >= 0] for x in (r, left, prior))
+            rank[r, prior], union[r, prior] = self._ranks(symbol[r, prior], symbol[r, left])
 
     def _long(self, text: str, key: int, limit: int) -> list[int]:
-        """The agenda as a heap, for long runs without a space."""
+        """The agenda of one unit of any length, as a heap."""
         rank, n = self.rank, len(text)
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # symbols by their first character
         agenda = [(rank[p], i, i + 2) for i in range(n - 1) if (p := text[i : i + 2]) in rank]
@@ -136,34 +177,35 @@ def load(path: str) -> Pieces:
 
 
 class Encoder:
-    """Encodes texts one after another and remembers the units met.  Results do not depend on what is remembered."""
+    """Encodes texts a batch at a time and remembers the units met.  Results do not depend on what is remembered."""
 
     def __init__(self, pieces: Pieces, dropout: float, seed: int, variants: int):
         self.pieces, self.dropout, self.seed, self.variants = pieces, dropout, seed, variants if dropout else 1
         self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
 
-    def _new(self, unit: str, variant: int) -> bytes:
-        key = xxhash.xxh3_64_intdigest(unit.encode(), self.seed * 1_000_003 + variant)
-        ids = array("i", self.pieces.segment(unit, key, self.dropout)).tobytes()
-        known = self.known[variant]
-        if len(known) >= REMEMBERED:
-            known.clear()
-        if len(unit) <= 64:
-            known[unit] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
+    def _learn(self, variant: int, units: list[str]) -> None:
+        keys = np.array([xxhash.xxh3_64_intdigest(u.encode(), self.seed * 1_000_003 + variant) for u in units], np.uint64)
+        self.known[variant].update(zip(units, self.pieces.segment_many(units, keys, self.dropout)))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
         """Piece ids as 32-bit integers.  Which variant a unit gets depends on seed, text length and place."""
-        if not text:
-            return b""
-        units = self.pieces.units.findall(" " + text)
-        if self.variants == 1:
-            known = self.known[0]
-            return b"".join([known.get(u) or self._new(u, 0) for u in units])
-        start = np.uint64((self.seed << 32) + len(text))
-        places = (mix(np.arange(len(units), dtype=np.uint64) + start) % np.uint64(self.variants)).tolist()
+        for known in self.known:
+            if len(known) > REMEMBERED:
+                known.clear()
+        cut = [self.pieces.units.findall(" " + t) if t else [] for t in texts]
+        places = []
+        for text, units in zip(texts, cut):
+            start = np.uint64((self.seed << 32) + len(text or ""))
+            places.append((mix(np.arange(len(units), dtype=np.uint64) + start) % np.uint64(self.variants)).tolist())
         known = self.known
-        return b"".join([known[v].get(u) or self._new(u, v) for u, v in zip(units, places)])
+        new: list[set[str]] = [set() for _ in known]
+        for units, at in zip(cut, places):
+            for u, v in zip(units, at):
+                if u not in known[v]:
+                    new[v].add(u)
+        for variant, units in enumerate(new):
+            self._learn(variant, sorted(units))
+        return [b"".join([known[v][u] for u, v in zip(units, at)]) for units, at in zip(cut, places)]
 
 
 def encode(df: DataFrame, dropout: float = 0.1, seed: int = 1, variants: int = VARIANTS, model: str = MODEL, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -179,7 +221,7 @@ def encode(df: DataFrame, dropout: float = 0.1, seed: int = 1, variants: int = V
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             texts = batch.column("text").to_pylist()
-            coded = [b"" if t is None else encoder.encode(t) for t in texts]
+            coded = encoder.encode(texts)
             counts = np.array([len(c) // 4 for c in coded], np.int64)
             absent = np.array([t is None for t in texts] + [False])
             bounds = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), mask=absent)
