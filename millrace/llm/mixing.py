@@ -144,3 +144,12 @@ def mix(df: DataFrame, weights: Sequence[float], size: Column, source: str = "so
     return out.select(
         F.col("id").alias(id), *[F.col(f"k{i}").alias(k) for i, k in enumerate(key)], F.col("source").alias(source), "size", "source_size", "target", (F.col("sure") + extra).alias("copies")
     )
+
+
+def repeat(df: DataFrame, weights: Sequence[float], size: Column, source: str = "source", id: str = "doc_id", text: str = "text", seed: int = 7) -> DataFrame:
+    """``df`` with every row repeated as often as the mix takes it; rows are told apart by id, source and text."""
+    key = F.xxhash64(F.col(text).cast("string"))
+    copies = mix(df.withColumn("_key", key), weights, size, source, id, seed, ["_key"])
+    copies = copies.filter("copies > 0").select(F.col(id).alias("_id"), F.col(source).alias("_source"), "_key", F.col("copies").alias("_copies")).distinct()
+    same = F.col(id).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source")) & (key == F.col("_key"))
+    return df.join(copies, same).withColumn("_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*df.columns)

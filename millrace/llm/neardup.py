@@ -193,8 +193,36 @@ class _Search:
         return sized.filter(self.enough(F.col("both"), F.col("sum"), F.lit(0))).select("a", "b").distinct()
 
 
+def text_class(text: Column) -> Column:
+    """Key of a text: equal for exact copies only."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
+
+
+def drop_near_duplicates(df: DataFrame, percent: int = 80, width: int = 5, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``df`` with one row of each group of near copies: that of the smallest id, all columns as they are.
+
+    Of several texts under that id, and of repeated rows, one stays.  Rows with a null id, and texts without words
+    (which are like nothing), all stay, the latter once per id.  Texts move only if more rows go than fit a broadcast,
+    or where rows repeat one another.
+    """
+    marked = written(near_duplicates(df, percent, width, id, text).select(F.col(id).alias("id"), "class", "component_id"))
+    known = marked.filter("id is not null")
+    stay = known.filter("id = component_id").groupBy("component_id").agg(F.min("class").alias("class"))
+    gone = known.select("id", "class").distinct().join(stay.withColumnRenamed("component_id", "id"), ["id", "class"], "left_anti")
+    gone = written(gone.toDF("_gone_id", "_gone_class"))
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    key = text_class(F.col(text))
+    rest = df.join(gone, (F.col(id).cast("long") == F.col("_gone_id")) & (key == F.col("_gone_class")), "left_anti")
+    again = settle(known.groupBy("id", "class").count().filter("count > 1").select(F.col("id").alias("_again")).distinct())
+    if not again.take(1):
+        return rest
+    again = F.broadcast(again) if again.count() <= BROADCAST_IDS else again
+    repeated = F.col(id).cast("long") == F.col("_again")
+    return rest.join(again, repeated, "left_anti").union(rest.join(again, repeated, "left_semi").dropDuplicates([id]))
+
+
 def near_duplicates(df: DataFrame, percent: int = 80, width: int = 5, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept) for every row of ``df``.
+    """(id, n_shingles, component_id, kept, class) for every row of ``df``; ``class`` is the key of the row's text.
 
     Texts are linked when ``100 * |A & B| >= percent * |A | B|`` for their sets of distinct ``width``-word shingles
     (ASCII lower case, words between ASCII white space).  ``component_id`` is the smallest id reachable over links.
@@ -205,7 +233,7 @@ def near_duplicates(df: DataFrame, percent: int = 80, width: int = 5, id: str =
     bands = bands_for(percent)
     texts = df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     known = texts.filter("id is not null")
-    marked = written(signatures(known.withColumn("class", F.unhex(F.md5(F.coalesce("text", F.lit(""))))), bands, width))
+    marked = written(signatures(known.withColumn("class", text_class(F.col("text"))), bands, width))
     classes = marked.filter("n > 0").groupBy("class").agg(F.min("id").alias("id"), F.min_by(F.struct("n", "bands", "sketch"), "id").alias("s"))
     classes = written(classes.select("class", "id", "s.*"))
     nodes = classes.select("id", "n", "bands", "sketch")
@@ -231,8 +259,9 @@ def near_duplicates(df: DataFrame, percent: int = 80, width: int = 5, id: str =
 
     of_class = classes.select("class", F.col("id").alias("node")).join(final, "node", "left")
     of_class = of_class.select("class", F.coalesce("component", "node").alias("component"))
-    out = marked.select("id", "n", "class").join(of_class, "class", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
-    unknown = texts.filter("id is null").select("id", F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("component"))
+    out = marked.select("id", "n", "class").join(of_class, "class", "left").select("id", "n", F.coalesce("component", "id").alias("component"), "class")
+    nothing = F.lit(None).cast("long")
+    unknown = texts.filter("id is null").select("id", nothing.alias("n"), nothing.alias("component"), text_class(F.col("text")).alias("class"))
     return out.union(unknown).select(
-        F.col("id").alias(id), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept")
+        F.col("id").alias(id), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"), "class"
     )

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from millrace.bindings.base import Tables
 from millrace.llm import forest, mixing, neardup, ordermin, packing, pieces, pseudolm, quality, sharding, warc
 from millrace.llm.words import word_count
@@ -15,6 +16,9 @@ MIX_WEIGHTS = (1, 2, 3)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
 
 
 def register(name: str, sql: str | None = None):
@@ -34,7 +38,7 @@ def quality_scores(t: Tables) -> DataFrame:
 
 @register("op2_near_dedup")
 def near_dedup(t: Tables) -> DataFrame:
-    return neardup.near_duplicates(t.documents, percent=85)
+    return neardup.near_duplicates(t.documents, percent=85).drop("class")
 
 
 @register("op3_mixing")
