@@ -5,7 +5,8 @@ taken ``floor(r)`` times, and the rest of the target is a sample without replace
 probabilities: longer documents (by size class, powers of two) are likelier, as the square root of their length, up to
 certainty.  A document with probability ``p`` and a keyed random number ``u`` has rank ``(u / (1 - u)) / (p / (1 - p))``;
 the documents of lowest rank are the sample.  Its size is fixed in words: the cut is put after the last document that
-still fits into the rest of the target, and the one document whose length is nearest to the remaining gap is added.
+still fits into the rest of the target; documents beyond it that are no longer than the gap are cut once more in the same
+order, and again; at last the one document whose length is nearest to the remaining gap is added.
 
 The cut of a source is found by counting words per interval of ranks, then inside the interval that holds the cut, and
 so on, so neither a source nor its ranks are sorted or gathered anywhere.
@@ -24,6 +25,8 @@ from millrace.session import settle, written
 MOST_COPIES = 3
 #: Intervals per pass over the ranks, and passes before the few documents around the cut are put in order.
 INTERVALS, PASSES = 1024, 3
+#: Cuts, each among documents no longer than the gap that the one before left.
+CUTS = 3
 
 
 def targets(sizes: DataFrame, weights: Sequence[float], most: float = MOST_COPIES) -> DataFrame:
@@ -135,12 +138,23 @@ def mix(df: DataFrame, weights: Sequence[float], size: Column, source: str = "so
     keys = [F.lit(seed), F.coalesce(F.col("source"), F.lit("")), F.col("id"), *[F.col(f"k{i}") for i in range(len(key))]]
     ranked = written(p.withColumn("rank", rank(F.coalesce(F.when(F.col("rest") > 0, F.col("p")), F.lit(0.0)), *keys)))
     partly = ranked.filter("size > 0 and rest > 0").select("source", "size", "rank")
-    cut = settle(_cuts(partly, shares))
-    off = F.abs(F.col("size") - F.col("gap"))
-    nearest = by_source(partly, cut).filter(F.col("rank") > F.col("cut")).filter(off < F.col("gap"))
-    fill = nearest.groupBy("source").agg(F.min(F.struct(off.alias("off"), "rank")).alias("f"))
-    out = by_source(ranked, settle(by_source(cut, fill.select("source", F.col("f.rank").alias("fill")))))
-    extra = F.coalesce((F.col("size") > 0) & ((F.col("rank") <= F.col("cut")) | F.coalesce(F.col("rank") == F.col("fill"), F.lit(False))), F.lit(False)).cast("long")
+    state = settle(shares.filter("rest > 0").select("source", F.lit(-1.0).alias("cut0"), F.lit(float("inf")).alias("gap0"), F.col("rest").alias("left0")))
+    for k in range(CUTS):
+        left = by_source(partly, state).filter((F.col("rank") > F.col(f"cut{k}")) & (F.col("size") <= F.col(f"gap{k}")))
+        found = _cuts(left.select("source", "size", "rank"), state.select("source", F.col(f"left{k}").alias("rest")))
+        state = by_source(state, found)
+        state = settle(state.withColumns({f"cut{k + 1}": F.coalesce("cut", f"cut{k}"), f"gap{k + 1}": F.coalesce("gap", f"left{k}"), f"left{k + 1}": F.coalesce("gap", f"left{k}")}).drop("cut", "gap"))
+    taken = F.lit(False)
+    for k in range(CUTS):
+        taken |= (F.col("rank") > F.col(f"cut{k}")) & (F.col("rank") <= F.col(f"cut{k + 1}")) & (F.col("size") <= F.col(f"gap{k}"))
+    last = F.col(f"gap{CUTS}")
+    off = F.abs(F.col("size") - last)
+    nearest = by_source(partly, state).filter(~taken & (off < last))
+    fill = nearest.groupBy("source").agg(F.min(F.struct(off.alias("off"), "rank", "size")).alias("f"))
+    state = settle(by_source(state, fill.select("source", F.col("f.rank").alias("fill"), F.col("f.size").alias("fill_size"))))
+    out = by_source(ranked, state)
+    filled = (F.col("rank") == F.col("fill")) & (F.col("size") == F.col("fill_size"))
+    extra = F.coalesce((F.col("size") > 0) & (F.col("rest") > 0) & (taken | F.coalesce(filled, F.lit(False))), F.lit(False)).cast("long")
     return out.select(
         F.col("id").alias(id), *[F.col(f"k{i}").alias(k) for i, k in enumerate(key)], F.col("source").alias(source), "size", "source_size", "target", (F.col("sure") + extra).alias("copies")
     )
