@@ -370,10 +370,39 @@ R.add(
     f"""select least(floor((l_extendedprice-x.lo)*(20/(x.hi-x.lo))),19)::int as bx, least(floor((l_quantity-y.lo)*(20/(y.hi-y.lo))),19)::int as by, count(*) as n
 from lineitem, ({FENCE.format(c='l_extendedprice')}) x, ({FENCE.format(c='l_quantity')}) y group by 1, 2""",
 )
-R.add("G28_contour", lambda t: density.contour(t.events.withColumn("hour", F.hour("ts").cast("double")), "value", "hour", 20))
+def _hours(t: Tables):
+    return t.events.withColumn("hour", F.hour("ts").cast("double"))
+
+
+def _midpoints(col: str) -> str:
+    place = lambda q: f"(l[floor((len(l)-1)*{q})::int+1] + l[ceil((len(l)-1)*{q})::int+1])/2"
+    return f"select l[1] as mn, l[len(l)] as mx, {place(0.25)} as q1, {place(0.75)} as q3 from (select list_sort(list({col})) as l from v)"
+
+
+_DENSITY = f"""with v as (select event_id, value as x, hour(ts)::double as y from events where value is not null),
+rx as (select least(mn, q1-2.5*(q3-q1)) as lo, greatest(mx, q3+2.5*(q3-q1)) as hi from ({_midpoints("x")})),
+ry as (select least(mn, q1-2.5*(q3-q1)) as lo, greatest(mx, q3+2.5*(q3-q1)) as hi from ({_midpoints("y")})),
+s as (select count(*)::double as n, pow(count(*), -1/3.0::double) as f, var_samp(x) as vx, var_samp(y) as vy, covar_samp(x, y) as c from v),
+k as (select n, vx*f as a, vy*f as b, c*f as c, vx*f*vy*f - c*f*c*f as det from s),
+p as (select x, y, count(*)::double as w from v group by 1, 2),
+g as (select i, j, rx.lo + i*((rx.hi-rx.lo)/20) as gx, ry.lo + j*((ry.hi-ry.lo)/20) as gy from rx, ry, range(21) a(i), range(21) b(j)),
+d as (select i, j, gx, gy, sum(w*exp(-0.5*(k.b*(gx-x)*(gx-x) - 2*k.c*(gx-x)*(gy-y) + k.a*(gy-y)*(gy-y))/k.det)) as d from g, p, k group by 1, 2, 3, 4)"""
+
+R.add(
+    "G28_contour",
+    lambda t: rounded(density.contour(_hours(t), "value", "hour", 20), "gx", "gy", "z"),
+    f"{_DENSITY} select round(gx, 6) as gx, round(gy, 6) as gy, round(ln(1000*d/(select max(d) from d)+1), 6) as z from d",
+)
 R.add(
     "G28_sparse_points",
-    lambda t: density.sparse_points(t.events.withColumn("hour", F.hour("ts").cast("double")), "value", "hour", 20).select("event_id", "low_density"),
+    lambda t: density.sparse_points(_hours(t), "value", "hour", 20).select("event_id", "low_density"),
+    f"""{_DENSITY},
+c as (select event_id, case when x is not null then least(floor((x-rx.lo)*(20/(rx.hi-rx.lo))), 19)::int end as i, least(floor((y-ry.lo)*(20/(ry.hi-ry.lo))), 19)::int as j
+  from (select event_id, value as x, hour(ts)::double as y from events), rx, ry),
+n as (select i, j, count(*) as n from c where i is not null group by 1, 2),
+m as (select a.i, a.j, (a.d+b.d+e.d+f.d)/4 as d from d a join d b on b.i=a.i+1 and b.j=a.j join d e on e.i=a.i and e.j=a.j+1 join d f on f.i=a.i+1 and f.j=a.j+1),
+o as (select i, j, coalesce(sum(n) over (order by d, i*20+j rows between unbounded preceding and 1 preceding), 0) as before from m join n using (i, j))
+select event_id, coalesce(o.before <= (select floor(sum(n)*0.05) from n), false) as low_density from c left join o using (i, j)""",
 )
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]

@@ -120,8 +120,11 @@ def replace_sentinels(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumns({c: repair.without_sentinels(c, df.schema[c].dataType) for c in cols})
 
 
-def abnormal_counts(df: DataFrame, col: str, top: int = 2, threshold: float = 50, min_distinct: int = 10) -> DataFrame:
-    """Values that occur far more often than both neighbouring values (over all rows, not a sample)."""
+def abnormal_counts(df: DataFrame, col: str, top: int | None = None, threshold: float = 50, min_distinct: int = 1) -> DataFrame:
+    """Values that occur far more often than both neighbouring values, over all rows.
+
+    ``min_distinct`` asks for so many values at least, ``top`` keeps the most extreme ones.
+    """
     counts = df.where(is_finite(F.col(col).cast("double"))).groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n"))
     if counts.limit(min_distinct).count() < min_distinct:
         return counts.limit(0).withColumn("ratio", F.lit(0.0))
@@ -129,11 +132,13 @@ def abnormal_counts(df: DataFrame, col: str, top: int = 2, threshold: float = 50
     both = ordering.shift(left, "n", -1, ["value"], default=0, out="_after")
     ratio = (F.col("n") + 1) / ((F.col("_before") + F.col("_after")) * F.lit(0.5) + 1)
     found = both.select("value", "n", ratio.alias("ratio")).where(F.col("ratio") > threshold)
-    return found.orderBy(F.desc("ratio"), F.asc("value")).limit(top)
+    ranked = found.orderBy(F.desc("ratio"), F.asc("value"))
+    return ranked.limit(top) if top else ranked
 
 
-def drop_abnormal_counts(df: DataFrame, col: str, top: int = 2, threshold: float = 50) -> DataFrame:
-    values = [r["value"] for r in abnormal_counts(df, col, top, threshold).collect()]
+def drop_abnormal_counts(df: DataFrame, col: str, top: int = 2, threshold: float = 50, min_distinct: int = 10) -> DataFrame:
+    """The ``top`` abnormal values of a column as NULL; columns of few values are left alone."""
+    values = [r["value"] for r in abnormal_counts(df, col, top, threshold, min_distinct).collect()]
     return df.withColumn(col, F.when(~F.col(col).isin(values), F.col(col))) if values else df
 
 

@@ -151,8 +151,8 @@ def emd(df: DataFrame, col: str, group: str, bins: int = 100, diff: bool = False
     return ref.select(group, (total * scale).alias("emd"))
 
 
-def emd_with_ng(df: DataFrame, cols: Sequence[str], group: str, rates: DataFrame, min_count: int = 8) -> DataFrame:
-    """(group, variable, emd, ng_rate); a distance from fewer than ``min_count`` values is NULL."""
+def emd_with_ng(df: DataFrame, cols: Sequence[str], group: str, rates: DataFrame, min_count: int = 1) -> DataFrame:
+    """(group, variable, emd, ng_rate); with ``min_count``, a distance from fewer values is NULL."""
     parts = []
     for c in cols:
         sizes = _finite(df, c, [group]).groupBy(group).agg(F.count("*").alias("_n"))
@@ -183,14 +183,11 @@ def histogram_2d(df: DataFrame, x: str, y: str, bins: int) -> tuple[DataFrame, d
     return cells.groupBy("bx", "by").agg(F.count("*").alias("n")), ranges
 
 
-LATTICE = 256
-
-
-def density_2d(df: DataFrame, x: str, y: str, bins: int = 50, exact_rows: int = 200_000) -> tuple[np.ndarray, dict]:
+def density_2d(df: DataFrame, x: str, y: str, bins: int = 50) -> tuple[np.ndarray, dict]:
     """Kernel density on the (bins+1)² grid points, as a small driver array, with the ranges used.
 
-    All rows count.  Beyond ``exact_rows`` rows, points are first merged into the cells of a 256 × 256 lattice at
-    their mean position, so the work per grid point no longer grows with the data.
+    The exact sum of one kernel per row at every size: equal points are counted first, then each task adds the
+    kernels of its points to a grid of its own, and the grids are added up.
     """
     rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     rows = rows.where(is_finite(F.col("x")) & is_finite(F.col("y")))
@@ -203,13 +200,7 @@ def density_2d(df: DataFrame, x: str, y: str, bins: int = 50, exact_rows: int =
         # A degenerate cloud gets a little width across, as jitter would give it.
         widths = [((hi - lo) / 50 or 0.01) ** 2 / 3 for lo, hi in (ranges["x"], ranges["y"])]
         vx, vy = (vx or 0.0) + widths[0], (vy or 0.0) + widths[1]
-    if n > exact_rows:
-        cell = [bin_of(F.col(c), *ranges[c], LATTICE).alias(f"c{c}") for c in ("x", "y")]
-        points = rows.select("x", "y", *cell).groupBy("cx", "cy").agg(
-            F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").cast("double").alias("w")
-        )
-    else:
-        points = rows.groupBy("x", "y").agg(F.count("*").cast("double").alias("w"))
+    points = rows.groupBy("x", "y").agg(F.count("*").cast("double").alias("w"))
     cov = np.array([[vx, cxy], [cxy, vy]]) * n ** (-1.0 / 3.0)
     inverse, norm = np.linalg.inv(cov), 1.0 / (2 * math.pi * math.sqrt(np.linalg.det(cov)) * n)
     gx, gy = (np.linspace(*ranges[c], bins + 1) for c in ("x", "y"))
@@ -240,14 +231,18 @@ def density_2d(df: DataFrame, x: str, y: str, bins: int = 50, exact_rows: int =
     return grid, ranges
 
 
-def sparse_points(df: DataFrame, x: str, y: str, bins: int = 50, share: float = 0.05, most: int = 1000) -> DataFrame:
-    """Rows with ``low_density``: cells are taken from the thinnest on until more than 5 % (at most 1000) rows are in."""
+def sparse_points(df: DataFrame, x: str, y: str, bins: int = 50, share: float = 0.05, most: int | None = None) -> DataFrame:
+    """Rows with ``low_density``: cells are taken from the thinnest on until more than ``share`` of the rows are in.
+
+    ``most`` bounds the number of rows for a display.
+    """
     grid, ranges = density_2d(df, x, y, bins)
     cells = (grid[:-1, :-1] + grid[1:, :-1] + grid[:-1, 1:] + grid[1:, 1:]) / 4.0
     bx, by = bin_of(F.col(x), *ranges["x"], bins), bin_of(F.col(y), *ranges["y"], bins)
     flagged = df.withColumn("_cell", bx * F.lit(bins) + by)
     counts = {r["_cell"]: r["n"] for r in flagged.where(F.col("_cell").isNotNull()).groupBy("_cell").agg(F.count("*").alias("n")).collect()}
-    limit = min(most, int(sum(counts.values()) * share))
+    limit = int(sum(counts.values()) * share)
+    limit = limit if most is None else min(most, limit)
     thin, seen = [], 0
     for at in np.argsort(cells.ravel(), kind="stable"):
         thin.append(int(at))

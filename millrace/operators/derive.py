@@ -142,7 +142,7 @@ def significant(x, digits: int = 4):
     return F.when(x == 0, x).when(F.abs(x) == F.lit(eq.INF), x).otherwise(F.rint(x * scale) / scale)
 
 
-def value_counts(df: DataFrame, col: str, top: int | None = 30) -> DataFrame:
+def value_counts(df: DataFrame, col: str, top: int | None = None) -> DataFrame:
     """Distinct values with their counts, most frequent first; ``top`` is the report length."""
     counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n"))
     ranked = counts.orderBy(F.desc("n"), F.asc("value"))

@@ -425,8 +425,8 @@ def classification_stats(df: DataFrame, actual: str, predicted: str, probability
     return df.sparkSession.createDataFrame([tuple(stats.values())], schema)
 
 
-def sankey_links(df: DataFrame, fit: GroupFit, target: str, most: int = 20) -> DataFrame:
-    """(source, target, value, sign) from columns to groups to the target, for the ``most`` largest coefficients."""
+def sankey_links(df: DataFrame, fit: GroupFit, target: str, most: int | None = None) -> DataFrame:
+    """(source, target, value, sign) from columns to groups to the target; ``most`` keeps the largest coefficients."""
     top = sorted(range(len(fit.cols)), key=lambda i: -abs(fit.coef[i]))[:most]
     used = [i for i in sorted(top) if fit.coef[i]]
     rows = [(fit.cols[i], fit.groups[i], abs(float(fit.coef[i])), int(np.sign(fit.coef[i]))) for i in used]
@@ -436,6 +436,31 @@ def sankey_links(df: DataFrame, fit: GroupFit, target: str, most: int = 20) -> D
 
 
 def seeded_sample(df: DataFrame, rows: int, seed: int = 1) -> DataFrame:
-    """A seeded sample of about ``rows`` rows: an option of its own, the models above use all rows."""
-    total = df.count()
-    return df if total <= rows else df.sample(fraction=rows / total, seed=seed)
+    """A seeded sample of exactly ``rows`` rows (all, if fewer): an option of its own, the models above use all rows.
+
+    Rows are taken in the order of a keyed hash of all their values, a bounded top list per task.
+    """
+    return _by_hash(df, seed).limit(rows)
+
+
+def _by_hash(df: DataFrame, seed: int) -> DataFrame:
+    return df.orderBy(F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns]), *df.columns)
+
+
+def stratified_sample(df: DataFrame, by: str, rows: int, seed: int = 1) -> DataFrame:
+    """A seeded sample of ``rows`` rows in which every value of ``by`` keeps its share.
+
+    Shares are rounded down and the rows left over go to the largest remainders (ties by value); a value's rows are
+    the first in the order of a keyed hash.
+    """
+    counts = {r[by]: r["n"] for r in df.groupBy(by).agg(F.count("*").alias("n")).collect()}  # one row per class
+    total = sum(counts.values())
+    if total <= rows:
+        return df
+    exact = {v: rows * n / total for v, n in counts.items()}
+    take = {v: int(e) for v, e in exact.items()}
+    left = sorted(exact, key=lambda v: (take[v] - exact[v], v is None, str(v)))
+    for v in left[: rows - sum(take.values())]:
+        take[v] += 1
+    parts = [_by_hash(df.where(F.col(by).eqNullSafe(F.lit(v))), seed).limit(n) for v, n in take.items() if n]
+    return reduce(DataFrame.unionByName, parts)

@@ -104,20 +104,21 @@ def add_extra_rows(long: DataFrame, ids: Sequence[str], label: str, extra_id: st
     return long.unionByName(extra.where(F.col("data_value").isNotNull()), allowMissingColumns=True)
 
 
-def matrix_cells(df: DataFrame, x: str, y: str, agg, out: str, limit: int = 100) -> DataFrame:
-    """Cross-tab in long form with every (x, y) label pair of the first ``limit`` labels each.
+def matrix_cells(df: DataFrame, x: str, y: str, agg, out: str, limit: int | None = None) -> DataFrame:
+    """Cross-tab in long form with every pair of an x and a y label, empty cells included.
 
-    The matrix is a display of at most ``limit`` × ``limit`` cells, so its grid comes from label arrays.
+    The full grid is the result that is asked for: the distinct y labels, as one array, meet each distinct x label.
+    ``limit`` keeps the first labels of each axis for a display.
     """
     known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
 
     def labels(c):
-        return [r[0] for r in known.select(c).distinct().orderBy(c).limit(limit).collect()]
+        found = known.select(c).distinct()
+        return found.orderBy(c).limit(limit) if limit else found
 
-    xs, ys = labels(x), labels(y)
-    cells = known.where(F.col(x).isin(xs) & F.col(y).isin(ys)).groupBy(x, y).agg(agg.alias(out))
-    spark = df.sparkSession
-    grid = spark.createDataFrame([(a, b) for a in xs for b in ys], df.select(x, y).schema)
+    along = labels(y).agg(F.collect_list(y).alias("_all"))
+    grid = labels(x).join(F.broadcast(along)).select(x, F.explode("_all").alias(y))
+    cells = known.groupBy(x, y).agg(agg.alias(out))
     return grid.join(cells, [x, y], "left")
 
 

@@ -18,14 +18,10 @@ MAX_SAFE_INTEGER = 2**53 - 1
 DATETIME_TEXT = r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}[\sT]\d{1,2}:\d{1,2}(:\d{1,2})?(\.\d+)?((\s?([+-]?\d{1,2}:\d{2})?)|Z)?$"
 
 
-FEW = 4 * CATEGORY_COUNT
-
-
 def column_facts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column, counts of readings): what the decision needs.
 
-    One pass for the readings and one for a sketch of the distinct values.  The count of columns with few values
-    is then made exact, as only there it decides.
+    One pass for the readings, and one that counts distinct values exactly.
     """
     cols = list(cols)
     text = F.col("value")
@@ -60,11 +56,7 @@ def column_facts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     }
     found = read.groupBy("column").agg(*[v.alias(k) for k, v in facts.items()])
     rows = {r["column"]: tuple(r) for r in found.collect()}  # one row per column
-    sketch = _cells(df, cols).groupBy("column").agg(F.approx_count_distinct("value").alias("n"))
-    distinct = {r["column"]: r["n"] for r in sketch.collect()}
-    few = [c for c, n in distinct.items() if n <= FEW]
-    if few:
-        distinct.update({r["column"]: r["n"] for r in _exact_distinct(df, few).collect()})
+    distinct = {r["column"]: r["n"] for r in _exact_distinct(df, cols).collect()}
     done = [(*rows[c], distinct[c]) if c in rows else (c, *[0] * (len(facts) + 1)) for c in cols]
     names = [*facts, "distinct"]
     return df.sparkSession.createDataFrame(done, "column string, " + ", ".join(f"`{k}` long" for k in names))
