@@ -123,6 +123,53 @@ select err_id, buy_id from r where k = 1"""
 
 R.add("D4_nearest_time_link", _timed(600, 480), _timed_sql(600, 480))
 R.add("D4_time_link_backward", _timed(-60, 900), _timed_sql(-60, 900))
+
+
+def _against(delta, cut):
+    """From each purchase back to the nearest error before it."""
+
+    def build(t):
+        ev = t.events
+        left = ev.where(F.col("event_type") == "purchase").select(F.col("event_id").alias("buy_id"), F.col("user_id").alias("buy_user"), F.col("ts").alias("buy_ts"))
+        right = ev.where(F.col("event_type") == "error").select(F.col("event_id").alias("err_id"), F.col("user_id").alias("err_user"), F.col("ts").alias("err_ts"))
+        key = LinkKey("err_ts", "buy_ts", delta_minutes=delta, cut_off_minutes=cut).reversed()
+        how = {"keys": [LinkKey("buy_user", "err_user")], "earlier": key.earlier}
+        return links.time_link(left, right, key.self_column, key.target_column, key.delta_minutes, key.cut_off_minutes, **how).select("buy_id", "err_id")
+
+    return build
+
+
+def _against_sql(delta, cut, where=""):
+    return f"""
+with e as (select event_id as err_id, user_id as eu, ts as et from events where event_type = 'error'),
+b as (select event_id as buy_id, user_id as bu, ts as bt from events where event_type = 'purchase' {where}),
+j as (select buy_id, err_id, et, abs(epoch_us(bt) - epoch_us(et) - {delta}::bigint*60000000) as d from b left join e on eu = bu and bt > et
+  and epoch_us(bt) < epoch_us(et) + ({delta} + {cut})::bigint*60000000
+  and epoch_us(bt) > epoch_us(et) + ({delta} - {cut})::bigint*60000000),
+r as (select *, rank() over (partition by buy_id order by d) as k from j)
+select buy_id, err_id from r where k = 1"""
+
+
+R.add("D4_time_link_against_direction", _against(600, 480), _against_sql(600, 480))
+R.add("D4_time_link_back_against_direction", _against(-60, 900), _against_sql(-60, 900))
+
+
+def _downstream(t):
+    """The same link through an analysis that starts at the later process."""
+    ev = t.events.select(F.col("event_id").alias("id"), F.col("user_id").alias("user"), "ts", "event_type")
+    graph = LinkGraph([LinkEdge("error", "purchase", (LinkKey("user", "user"), LinkKey("ts", "ts", delta_minutes=600, cut_off_minutes=480)))])
+    processes = {p: ProcessSpec(p, "id", "ts", ("user",)) for p in ("error", "purchase")}
+    spec = AnalysisSpec("purchase", datetime(2024, 1, 8), datetime(2024, 1, 22), {"error": ["id"]})
+    tables = {p: ev.where(F.col("event_type") == p) for p in processes}
+    return trace(spec, graph, processes, tables).select(F.col("purchase__id").alias("buy_id"), F.col("error__id").alias("err_id"))
+
+
+R.add(
+    "D11_time_link_from_downstream",
+    _downstream,
+    f"""select buy_id, err_id from (select j.*, row_number() over (partition by buy_id order by ts desc, err_id) as n
+from ({_against_sql(600, 480, "and ts >= timestamp '2024-01-08' and ts < timestamp '2024-01-22'")}) j left join events on event_id = err_id) where n = 1""",
+)
 R.add("D5_time_link_filtered", _timed(600, 480, True), _timed_sql(600, 480, "inner"))
 
 

@@ -101,9 +101,13 @@ def time_link(
     cut_off_minutes: float = 0.0,
     keys: Sequence[LinkKey] = (),
     filtered: bool = False,
+    earlier: bool = False,
 ) -> DataFrame:
     """Link to the record nearest to ``left_time + delta`` within ``± cut_off`` (exclusive) and strictly later.
 
+    With ``earlier`` the record must be strictly earlier instead: a link followed against its direction, from the
+    later record and with the sign of ``delta`` turned.
+
     All records at the nearest distance are kept.  No pair outside the result is built: the distinct times of the
     right side and the wanted times of the left side are merged in one order, each wanted time looks at its
     neighbours, and only the chosen time is joined.  A zero ``cut_off`` gives an empty interval, hence no match.
@@ -118,19 +122,21 @@ def time_link(
     row = F.struct(*[F.col(c) for c in left.columns])
     marks = left.select(*[a.alias(n) for n, (a, _) in zip(names, pairs)], l_us.alias("_from"), row.alias("_row"))
     # Later-only: with a negative offset every time up to the start is out, so the search begins at the start.
-    marks = marks.withColumn("_t", F.col("_from") + F.lit(max(delta, 0)))
+    # Earlier-only: the other way round, and a mark comes before the times equal to it.
+    marks = marks.withColumn("_t", F.col("_from") + F.lit(min(delta, 0) if earlier else max(delta, 0)))
     merged = known.withColumns({"_known": F.col("_t"), "_side": F.lit(0)}).unionByName(
-        marks.withColumns({"_known": F.lit(None).cast("long"), "_side": F.lit(1)}), allowMissingColumns=True
+        marks.withColumns({"_known": F.lit(None).cast("long"), "_side": F.lit(-1 if earlier else 1)}), allowMissingColumns=True
     )
     around = ordering.known_around(merged, "_known", ["_t", "_side"], names, before="_prev", after="_next")
     centre = F.col("_from") + F.lit(delta)
 
     def distance(t: str) -> Column:
         away = F.abs(F.col(t) - centre)
-        return F.when((F.col(t) > F.col("_from")) & (away < F.lit(cut)), away)
+        allowed = F.col(t) < F.col("_from") if earlier else F.col(t) > F.col("_from")
+        return F.when(allowed & (away < F.lit(cut)), away)
 
     chosen = (
-        around.where(F.col("_side") == 1)
+        around.where(F.col("_side") != 0)
         .withColumns({"_dp": distance("_prev"), "_dn": distance("_next")})
         .withColumn("_best", F.least("_dp", "_dn"))
         .withColumn(

@@ -154,7 +154,7 @@ def _join(joined, edge, processes, keyed, spec):
         raise ValueError("one time link per edge")
     t = timed[0]
     return links.time_link(
-        joined, right, f"{a}__{t.self_column}", f"{b}__{t.target_column}", t.delta_minutes, t.cut_off_minutes, named, filtered
+        joined, right, f"{a}__{t.self_column}", f"{b}__{t.target_column}", t.delta_minutes, t.cut_off_minutes, named, filtered, t.earlier
     )
 
 

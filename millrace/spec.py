@@ -22,7 +22,8 @@ class LinkKey:
     """One pair of linked columns.
 
     ``*_substr`` are 1-based inclusive positions.  ``delta_minutes`` on one side makes the pair a time link: the
-    other side must lie strictly within ``delta ± cut_off`` minutes after it.
+    other side must lie strictly within ``delta ± cut_off`` minutes of it and be later, or, where ``earlier`` is set
+    because the link is followed against its direction, earlier.
     """
 
     self_column: str
@@ -31,6 +32,12 @@ class LinkKey:
     target_substr: tuple[int, int] | None = None
     delta_minutes: float | None = None
     cut_off_minutes: float = 0.0
+    earlier: bool = False
+
+    def reversed(self) -> "LinkKey":
+        delta = None if self.delta_minutes is None else -self.delta_minutes
+        earlier = self.earlier if delta is None else not self.earlier
+        return LinkKey(self.target_column, self.self_column, self.target_substr, self.self_substr, delta, self.cut_off_minutes, earlier)
 
 
 @dataclass(frozen=True)
@@ -42,12 +49,7 @@ class LinkEdge:
     keys: tuple[LinkKey, ...]
 
     def reversed(self) -> "LinkEdge":
-        flipped = []
-        for k in self.keys:
-            if k.delta_minutes is not None:
-                raise ValueError("a time link has a direction")
-            flipped.append(LinkKey(k.target_column, k.self_column, k.target_substr, k.self_substr))
-        return LinkEdge(self.target_process, self.self_process, tuple(flipped))
+        return LinkEdge(self.target_process, self.self_process, tuple(k.reversed() for k in self.keys))
 
 
 @dataclass(frozen=True)
