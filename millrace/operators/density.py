@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from millrace.functions.numeric import is_finite
 from millrace.operators import ordering
 from millrace.operators.quantiles import quantile_literals, quantiles
-from millrace.operators.summary import join_on_keys
+from millrace.operators.summary import join_on_keys, to_rows
 
 
 def _finite(df: DataFrame, col: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -65,7 +65,7 @@ def kernel_density(df: DataFrame, col: str, grid: Sequence[float], keys: Sequenc
     rows = _finite(df, col, keys)
     h = bandwidths(rows, keys)
     weighted = rows.groupBy(*keys, "v").agg(F.count("*").cast("double").alias("w"))
-    work = join_on_keys(weighted, h, keys).where(F.col("sd") > 0).select(*keys, "v", "w", "h")
+    work = to_rows(weighted, h, keys).where(F.col("sd") > 0).select(*keys, "v", "w", "h")
     if keys:
         work = work.sortWithinPartitions(*keys)
 

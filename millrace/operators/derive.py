@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from millrace.functions import equations as eq
 from millrace.functions.numeric import epoch_us
 from millrace.operators import ordering
+from millrace.operators.lookup import look_up
 from millrace.operators.ordering import Order
 from millrace.operators.quantiles import quantiles
+from millrace.operators.summary import to_rows
 
 __all__ = [
     "apply_equations",
@@ -88,7 +90,8 @@ def category_rank(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """
     out = out or f"{col}_rank"
     ranks = ordering.row_numbers(df.where(F.col(col).isNotNull()).select(col).distinct(), [col], out=out)
-    return df.join(ranks, col, "left")
+    columns = [c for c in df.columns if c != out]
+    return look_up(df.select(*columns), ranks.withColumnRenamed(col, "_ranked"), [(F.col(col), "_ranked")]).select(*columns, out)
 
 
 def category_codes(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
@@ -119,13 +122,7 @@ def cycle_time(df: DataFrame, time: str, tie: str, keys: Sequence[str] = (), out
     gap = (F.col("_next") - F.col("_us")) / F.lit(1e6)
     framed = framed.withColumn(out, F.when(gap != 0, gap)).drop("_us", "_next")
     limits = quantiles(framed, [out], [0.5], keys, names=["_median"]).drop("variable")
-    if keys:
-        renamed = limits.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_median")
-        cond = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-        framed = framed.join(renamed, cond, "left").drop(*[f"_k_{k}" for k in keys])
-    else:
-        row = limits.first()
-        framed = framed.withColumn("_median", F.lit(row["_median"] if row else None).cast("double"))
+    framed = to_rows(framed, limits, keys)
     return framed.withColumn(out, F.when(F.col(out) < 5 * F.col("_median"), F.col(out))).drop("_median")
 
 

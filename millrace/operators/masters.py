@@ -8,16 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators import ordering
+from millrace.operators.lookup import look_up
 
 
 def star_join(df: DataFrame, dims: Sequence[tuple[DataFrame, str, str]]) -> DataFrame:
     """Left join of (dimension, fact key, dimension key).
 
-    No broadcast is forced: the size of a dimension is only known at run time, where small ones are broadcast.
+    A dimension is counted first: a small one is broadcast, a large one salted, so a hot or NULL key meets no one task.
     """
     for dim, key, dim_key in dims:
         renamed = dim.withColumnRenamed(dim_key, "_dk") if dim_key != key else dim.select("*", F.col(dim_key).alias("_dk")).drop(dim_key)
-        df = df.join(renamed, F.col(key) == F.col("_dk"), "left").drop("_dk")
+        df = look_up(df, renamed, [(F.col(key), "_dk")])
     return df
 
 
@@ -106,14 +107,14 @@ def grow_dictionary(df: DataFrame, col: str, dictionary: DataFrame | None) -> Da
 
 
 def encode_category(df: DataFrame, col: str, dictionary: DataFrame, out: str) -> DataFrame:
-    joined = df.join(dictionary.select(F.col("value").alias("_v"), F.col("factor").alias(out)), F.col(col).cast("string") == F.col("_v"), "left")
-    return joined.drop("_v")
+    entries = dictionary.select(F.col("value").alias("_v"), F.col("factor").alias(out))
+    return look_up(df, entries, [(F.col(col).cast("string"), "_v")])
 
 
 def decode_category(df: DataFrame, factor: str, dictionary: DataFrame, out: str, kind: str = "string") -> DataFrame:
     """Value of a factor (left join), cast back to a plain type when asked."""
-    joined = df.join(dictionary.select(F.col("factor").alias("_f"), F.col("value").alias(out)), F.col(factor) == F.col("_f"), "left")
-    return joined.drop("_f").withColumn(out, F.col(out).try_cast(kind))
+    entries = dictionary.select(F.col("factor").alias("_f"), F.col("value").alias(out))
+    return look_up(df, entries, [(F.col(factor), "_f")]).withColumn(out, F.col(out).try_cast(kind))
 
 
 def regroup_dictionary(entries: DataFrame, groups: Mapping[int, int]) -> DataFrame:

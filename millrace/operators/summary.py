@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.numeric import is_finite
+from millrace.operators.lookup import look_up
 from millrace.operators.quantiles import modes, quantile_literals, quantiles
 
 
@@ -26,7 +27,7 @@ class Limits:
 
 
 def join_on_keys(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Add per-group columns.  Groups may be many, so the join strategy is left to the runtime's measured sizes."""
+    """Add per-group columns to a table of groups; ``to_rows`` does so for fact rows."""
     if not keys:
         row = stats.first()
         return df.withColumns({c: F.lit(row[c] if row else None).cast(t) for c, t in stats.dtypes})
@@ -35,6 +36,14 @@ def join_on_keys(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str
     return df.join(renamed, cond, how).drop(*[f"_j_{k}" for k in keys])
 
 
+def to_rows(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add per-group columns to fact rows, which are not moved by their group."""
+    if not keys:
+        return join_on_keys(df, stats, keys)
+    renamed = stats.withColumnsRenamed({k: f"_j_{k}" for k in keys})
+    return look_up(df, renamed, [(F.col(k), f"_j_{k}") for k in keys], null_safe=True)
+
+
 def basic_stats(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """(keys, variable, n, mean, sigma, minimum, maximum, p25, median, p75) over finite values."""
     pairs = [F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in cols]
@@ -102,13 +111,13 @@ def full_summary(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), limits
     size = base.count()
     shape = quantiles(rows, ["_f"], [0.05, 0.25, 0.5, 0.75, 0.95], keys, names=names, rows=size).drop("variable")
     mid = quantiles(base, ["_f"], [0.25, 0.75], keys, "midpoint", ["_m1", "_m3"], size).drop("variable")
-    over = join_on_keys(base, mid, keys)
+    over = to_rows(base, mid, keys)
     over = over.groupBy(*keys).agg(
         F.expr("count_if(_m3 <> _m1 AND _f > _m3 + 4.5D * (_m3 - _m1)) AS num_over_upper"),
         F.expr("count_if(_m3 <> _m1 AND _f < _m1 - 4.5D * (_m3 - _m1)) AS num_over_lower"),
     )
     trimmed = "_f BETWEEN p25 - 2.5D * (p75 - p25) AND p75 + 2.5D * (p75 - p25)"
-    work = join_on_keys(rows, shape, keys).withColumn("_t", F.expr(f"CASE WHEN {trimmed} THEN _f END"))
+    work = to_rows(rows, shape, keys).withColumn("_t", F.expr(f"CASE WHEN {trimmed} THEN _f END"))
     measures = {
         "ntotal": "count(1)",
         "count_unlinked": "count_if(_x IS NULL)",
