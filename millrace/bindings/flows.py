@@ -224,6 +224,30 @@ R.add(
 )
 
 
+def _imported_twice(t: Tables):
+    """One batch imported, a second one, and the first again: what all four outputs hold."""
+    path = scratch(t, "again")
+    early = F.col("id").cast("long") % 2 == 0
+    for number, part in ((0, early), (1, ~early), (0, early)):
+        flows.import_micro_batch(_raw(t).where(part), number, IMPORT, path)
+    counts = [t.spark.read.parquet(f"{path}/{name}").agg(F.lit(name).alias("output"), F.count("*").alias("n")) for name in ("rows", "errors", "duplicates")]
+    hours = t.spark.read.parquet(f"{path}/counts")
+    counts.append(hours.agg(F.lit("counts").alias("output"), F.sum(hours.columns[-2] if hours.columns[-1] == "batch" else hours.columns[-1]).alias("n")))
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+R.add(
+    "L2_import_twice",
+    _imported_twice,
+    """with k as (select count(*) filter (event_id % 10 not in (3, 4)) as good, count(*) filter (event_id % 10 = 3) as bad, count(*) filter (event_id % 10 = 4) as empty,
+count(*) filter (event_id % 10 = 0) as again from events)
+select 'rows' as output, good as n from k union all select 'errors', bad + empty from k union all select 'duplicates', again from k union all select 'counts', good from k""",
+)
+
+
 def _no_repeats(t: Tables):
     path = scratch(t, "twice")
     df = t.events.select("event_id", "ts", "value")

@@ -5,7 +5,7 @@ The same functions serve batch jobs and the micro-batches of a stream.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import repair
 from millrace.operators import aggregate, cleaning, ordering
+from millrace.session import written
 
 # Merge flags by kind of source.
 FLAGS = {"general": 0, "v2_measurement": 1, "v2_history": 2, "efa_measurement": 4, "efa_history": 8}
@@ -58,10 +59,13 @@ def null_safe(left: Sequence[str], prefix: str) -> list[Column]:
     return [F.col(c).eqNullSafe(F.col(f"{prefix}{c}")) for c in left]
 
 
-def repeated_rows(df: DataFrame, keys: Sequence[str], order: ordering.Order) -> tuple[DataFrame, DataFrame]:
-    """(kept, dropped): the last row in ``order`` is kept per key; with all columns as key any row will do."""
+def repeated_rows(df: DataFrame, keys: Sequence[str], order: ordering.Order, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """(kept, dropped): the last row in ``order`` is kept per key; with all columns as key any row will do.
+
+    ``keep`` may write the numbered rows once for both.
+    """
     items = [(n, "asc" if desc else "desc") for n, desc in ordering.order_items(order)]
-    numbered = ordering.row_numbers(df, items, keys, "_rn")
+    numbered = keep(ordering.row_numbers(df, items, keys, "_rn"))
     return numbered.where(F.col("_rn") == 1).drop("_rn"), numbered.where(F.col("_rn") > 1).drop("_rn")
 
 
@@ -124,27 +128,33 @@ def merge_by_position(left: DataFrame, right: DataFrame, keys: Sequence[str], le
     return l.join(renamed, cond, "left").drop("_rn", "_r_rn", *[f"_r_{k}" for k in keys])
 
 
-def import_batch(raw: DataFrame, spec: ImportSpec, stored: DataFrame | None = None) -> ImportResult:
-    """Typed rows with event time, without repeats and without rows already stored; all others with a reason."""
+def import_batch(raw: DataFrame, spec: ImportSpec, stored: DataFrame | Callable[[datetime, datetime], DataFrame | None] | None = None) -> ImportResult:
+    """Typed rows with event time, without repeats and without rows already stored; all others with a reason.
+
+    ``stored`` may be a function of the batch's first and last event time, so that only that range is read.  Parsed
+    rows and new rows are written once to the shared folder, and the outputs read from there.
+    """
     if spec.date_time:
         timed = cleaning.event_time(raw, *spec.date_time, spec.time, spec.zone)
     elif spec.time_format:
         timed = cleaning.to_utc(cleaning.convert_datetime_formats(raw, {spec.time: spec.time_format}), spec.time, spec.zone)
     else:
         timed = cleaning.to_utc(raw.withColumn(spec.time, repair.strip_quotes(F.col(spec.time).cast("string")).try_cast("timestamp")), spec.time, spec.zone)
-    typed, rejected = cleaning.cast_and_reject(timed, spec.types, spec.na_texts)
+    typed, rejected = cleaning.cast_and_reject(written(timed), spec.types, spec.na_texts)
     good, untimed = cleaning.split_missing(typed, spec.time)
     errors = rejected.withColumn("error_reason", F.lit("no readable value")).unionByName(
         untimed.withColumn("error_reason", F.lit("no event time"))
     )
     keys = list(spec.keys) or good.columns
     rest = [c for c in good.columns if c not in keys]
-    kept, dropped = repeated_rows(good, keys, [spec.time, *[c for c in rest if c != spec.time]])
+    kept, dropped = repeated_rows(good, keys, [spec.time, *[c for c in rest if c != spec.time]], written)
+    fresh = kept
+    if callable(stored):
+        lo, hi = kept.agg(F.min(spec.time), F.max(spec.time)).first()
+        stored = stored(lo, hi) if lo is not None else None
     if stored is not None:
         shared = [c for c in kept.columns if c in stored.columns]
-        fresh = not_stored(kept, stored, spec.time, shared)
-    else:
-        fresh = kept
+        fresh = written(not_stored(kept, stored, spec.time, shared))
     return ImportResult(fresh, errors, dropped, aggregate.hourly_counts(fresh, spec.time))
 
 

@@ -7,6 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.plans.importer import ImportResult, not_stored, union_columns
 
@@ -15,29 +16,41 @@ def with_month(df: DataFrame, time: str) -> DataFrame:
     return df.withColumn("ym", F.date_format(time, "yyyyMM"))
 
 
-def append_rows(df: DataFrame, path: str, time: str) -> None:
-    """Append to month folders.  Rows are first brought together by month and a salt, so that a month is written as
-    a few files and a month with most of the rows is still written by many tasks."""
-    salted = with_month(df, time).withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(16)))
-    salted.repartition("ym", "_salt").drop("_salt").write.mode("append").partitionBy("ym").parquet(path)
+def append_rows(df: DataFrame, path: str, time: str, mode: str = "append") -> None:
+    """Write to month folders.  Rows are brought together by month; the runtime splits months that are large and joins
+    small ones, so the number of files follows the data."""
+    with_month(df, time).hint("rebalance", F.col("ym")).write.mode(mode).partitionBy("ym").parquet(path)
 
 
-def read_rows(spark: SparkSession, path: str, time: str, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
-    """Rows of a time range; month folders outside it are not listed for reading."""
-    df = spark.read.option("mergeSchema", "true").parquet(path)
+def read_rows(
+    spark: SparkSession, path: str, time: str, start: datetime | None = None, end: datetime | None = None,
+    schema: T.StructType | None = None, without_batch: int | str | None = None,
+) -> DataFrame:
+    """Rows of a time range; month folders outside it are not listed for reading.
+
+    ``schema`` names the stored columns, where they have grown since the first files; else one file's footer tells
+    them.  ``without_batch`` leaves out what one import batch has written.
+    """
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    df = reader.parquet(path)
+    if without_batch is not None and "batch" in df.columns:
+        df = df.where(F.col("batch").cast("string") != str(without_batch))
     if start is not None:
         df = df.where((F.col("ym").cast("string") >= f"{start:%Y%m}") & (F.col(time) >= F.lit(start).cast("timestamp")))
     if end is not None:
         df = df.where((F.col("ym").cast("string") <= f"{end:%Y%m}") & (F.col(time) < F.lit(end).cast("timestamp")))
-    return df.drop("ym")
+    return df.drop("ym", "batch")
+
 
+def write_import(result: ImportResult, path: str, time: str, batch: int | str) -> None:
+    """Good rows, rejected rows, repeated rows and hourly counts, each in a folder of the batch.
 
-def write_import(result: ImportResult, path: str, time: str) -> None:
-    """Good rows to the table; rejected and repeated rows to their own folders."""
-    append_rows(result.good, f"{path}/rows", time)
-    result.errors.write.mode("append").parquet(f"{path}/errors")
-    result.duplicates.write.mode("append").parquet(f"{path}/duplicates")
-    result.counts.write.mode("append").parquet(f"{path}/counts")
+    A batch that is written again replaces what it wrote before, all four outputs alike, so a run that broke off
+    between them is made good by the repetition.
+    """
+    append_rows(result.good, f"{path}/rows/batch={batch}", time, "overwrite")
+    for name in ("errors", "duplicates", "counts"):
+        getattr(result, name).write.mode("overwrite").parquet(f"{path}/{name}/batch={batch}")
 
 
 def export_text(df: DataFrame, path: str, renames: Mapping[str, str], times: Sequence[str] = (), zone: str = "UTC", delimiter: str = ",") -> None:
@@ -49,8 +62,8 @@ def export_text(df: DataFrame, path: str, renames: Mapping[str, str], times: Seq
 
 def backup_days(df: DataFrame, path: str, time: str) -> None:
     """One folder per day."""
-    dated = df.withColumn("day", F.date_format(time, "yyyy-MM-dd")).withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(8)))
-    dated.repartition("day", "_salt").drop("_salt").write.mode("overwrite").partitionBy("day").parquet(path)
+    dated = df.withColumn("day", F.date_format(time, "yyyy-MM-dd"))
+    dated.hint("rebalance", F.col("day")).write.mode("overwrite").partitionBy("day").parquet(path)
 
 
 def restore_days(stored: DataFrame, path: str, time: str, days: Sequence[str]) -> DataFrame:

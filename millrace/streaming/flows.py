@@ -7,7 +7,9 @@ them in, as import de-duplicates against stored rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import datetime, timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,21 +30,30 @@ def new_file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: s
     return reader.load(path)
 
 
-def import_stream(stream: DataFrame, spec: ImportSpec, path: str, checkpoint: str) -> StreamingQuery:
-    """Every micro-batch goes through ``import_batch``.
+def import_micro_batch(batch: DataFrame, batch_id: int, spec: ImportSpec, path: str) -> None:
+    """Import one batch against the rows of all other batches and write its outputs under its id.
 
-    A batch that is run again after a failure finds its rows stored and adds nothing.
+    Run again after a failure, it sees the same stored rows and replaces its own outputs: rows, errors, duplicates
+    and counts are there exactly once.
     """
+    spark = batch.sparkSession
 
-    def save(batch: DataFrame, _batch_id: int) -> None:
-        spark = batch.sparkSession
-        stored = None
+    def stored(lo: datetime, hi: datetime) -> DataFrame | None:
         try:
-            stored = read_rows(spark, f"{path}/rows", spec.time)
-        except Exception as error:  # the table does not exist before the first batch
-            if "PATH_NOT_FOUND" not in str(error):
+            return read_rows(spark, f"{path}/rows", spec.time, lo, hi + timedelta(microseconds=1), without_batch=batch_id)
+        except AnalysisException as error:  # the table does not exist before the first batch
+            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
                 raise
-        write_import(import_batch(batch, spec, stored), path, spec.time)
+            return None
+
+    write_import(import_batch(batch, spec, stored), path, spec.time, batch_id)
+
+
+def import_stream(stream: DataFrame, spec: ImportSpec, path: str, checkpoint: str) -> StreamingQuery:
+    """Every micro-batch goes through ``import_micro_batch``."""
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        import_micro_batch(batch, batch_id, spec, path)
 
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
