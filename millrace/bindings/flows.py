@@ -5,9 +5,15 @@ Files are derived from the tables, written to the cluster's shared folder and re
 
 from __future__ import annotations
 
+import io
+import re
 import uuid
+import zipfile
 from datetime import datetime
 
+import pandas as pd
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -175,6 +181,58 @@ R.add(
 )
 
 
+def _mixed_folder(t: Tables) -> str:
+    """Files of different shapes: plain; other delimiter, title line and column order; Shift-JIS; two members in a zip."""
+    path = scratch(t, "mixed")
+    rows = t.lineitem.select(
+        F.col("l_orderkey").cast("string").alias("l_orderkey"), F.col("l_linenumber").cast("string").alias("l_linenumber"),
+        F.col("l_quantity").cast("string").alias("l_quantity"), F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss").alias("l_shipdate"),
+    )
+    part = F.pmod(F.col("l_orderkey").cast("long"), F.lit(4))
+    rows.where(part == 0).write.option("header", True).csv(f"{path}/plain")
+    other = rows.where(part == 1).select(F.lit(2).alias("n"), F.concat_ws(";", "l_shipdate", "l_quantity", "l_orderkey", "l_linenumber").alias("line"))
+    head = t.spark.createDataFrame([(0, "shipments of the plant"), (1, "l_shipdate;l_quantity;l_orderkey;l_linenumber")], "n int, line string")
+    other.unionByName(head).coalesce(1).sortWithinPartitions("n").select("line").write.text(f"{path}/titled")
+    late = rows.where(part == 2).coalesce(1).withColumn("note", F.when(F.monotonically_increasing_id() > 1200, "計測値").otherwise("ok"))
+    late.write.option("header", True).option("encoding", "Shift_JIS").csv(f"{path}/japanese")
+
+    def archive(batches):
+        for number, batch in enumerate(batches):
+            data = io.BytesIO()
+            with zipfile.ZipFile(data, "w") as z:
+                for member in (0, 1):
+                    z.writestr(f"{member}.csv", batch[batch.index % 2 == member].to_csv(index=False))
+            system, inner = fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", target))
+            system.create_dir(inner, recursive=True)
+            with system.open_output_stream(f"{inner}/{TaskContext.get().partitionId()}-{number}.csv") as out:
+                out.write(data.getvalue())
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    target = f"{path}/zipped" if "://" in path or path.startswith("file:") else f"file://{path}/zipped"
+    rows.where(part == 3).mapInPandas(archive, "n long").agg(F.sum("n")).collect()
+    return f"{path}/*"
+
+
+def _ingested_mixed(part: str):
+    def build(t: Tables):
+        found = ingest_files(t.spark, _mixed_folder(t), "l_shipdate", "*.{csv,txt}")
+        if part == "errors":
+            return found.errors.agg(F.count("*").alias("n"))
+        noted = F.count_if(F.col("note") == "計測値") > 0
+        by = F.year("l_shipdate").alias("y")
+        return found.good.groupBy(by).agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("double")).alias("q"), noted.alias("noted"))
+
+    return build
+
+
+R.add(
+    "A23_ingest_mixed_folder",
+    _ingested_mixed("good"),
+    """select year(l_shipdate)::int as y, count(*) as n, sum(l_quantity) as q, true as noted from (select distinct l_orderkey, l_linenumber, l_quantity, l_shipdate from lineitem) group by 1""",
+)
+R.add("A23_ingest_mixed_errors", _ingested_mixed("errors"), "select count(*) as n from lineitem where l_orderkey is null")
+
+
 def _scanned(t: Tables):
     df = t.part.select(F.concat(F.col("p_name"), F.lit("["), F.lower("p_type"), F.lit("]")).alias("data_name"))
     return scan_columns(df, "data_name").select("name", "unit")

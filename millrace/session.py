@@ -30,7 +30,8 @@ def build_session(app: str = "millrace", cores: int | str = "*", shuffle_partiti
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Set what results depend on: UTC, and wall-clock Parquet times read as instants in UTC."""
+    """Set what results depend on: UTC, wall-clock Parquet times read as instants in UTC, and files in Shift-JIS."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.parquet.inferTimestampNTZ.enabled", "false")
     return spark

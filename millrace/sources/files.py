@@ -82,37 +82,51 @@ def _open(path: str):
     return system.open_input_file(inner)
 
 
-def _head(path: str) -> bytes:
+def _heads(path: str) -> Iterator[tuple[str, bytes, bytes | None]]:
+    """(member, first bytes, all bytes of a zip member) of a plain file or of every member of a zip file."""
     with _open(path) as f:
         if f.read(2) != b"PK":
             f.seek(0)
-            return f.read(HEAD_BYTES)
+            yield "", f.read(HEAD_BYTES), None
+            return
         f.seek(0)
-        with zipfile.ZipFile(f) as z, z.open(z.namelist()[0]) as member:
-            return member.read(HEAD_BYTES)
+        with zipfile.ZipFile(f) as z:
+            for name in z.namelist():
+                if not name.endswith("/"):
+                    data = z.read(name)
+                    yield name, data[:HEAD_BYTES], data
 
 
-def describe_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(path, encoding, delimiter, skip, header, preamble): one row per file, from its first 64 KiB.
+def valid_utf8(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(path, utf8): whether all lines of a file are UTF-8.  Files are split and read whole."""
+    lines = spark.read.option("pathGlobFilter", glob).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    return lines.groupBy("path").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
 
-    ``preamble`` holds the lines up to and including the header.
+
+def describe_files(spark: SparkSession, path: str, glob: str = "*", skip: int | None = None) -> DataFrame:
+    """(path, member, encoding, delimiter, skip, header, preamble): one row per file, or per member of a zip file.
+
+    The encoding follows from the complete file, delimiter and header from its first lines.  ``preamble`` holds the
+    lines up to and including the header, which follows ``skip`` lines where that is given.
     """
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for name in batch["path"]:
-                head = _head(name)
-                encoding = guess_encoding(head)
-                lines = head.decode(encoding, errors="ignore").splitlines()[:100]
-                delimiter = guess_delimiter(lines)
-                skip = guess_header(lines, delimiter)
-                names = next(csv.reader(lines[skip : skip + 1], delimiter=delimiter), [])
-                rows.append((name, encoding, delimiter, skip, [n.strip() for n in names], lines[: skip + 1]))
-            yield pd.DataFrame(rows, columns=["path", "encoding", "delimiter", "skip", "header", "preamble"])
-
-    schema = "path string, encoding string, delimiter string, skip int, header array<string>, preamble array<string>"
-    return list_files(spark, path, glob).select("path").mapInPandas(look, schema)
+            for name, utf8 in zip(batch["path"], batch["utf8"]):
+                for member, head, data in _heads(name):
+                    encoding = guess_encoding(data) if data is not None else "utf-8" if utf8 in (True, None) else "shift_jis"
+                    lines = head.decode(encoding, errors="ignore").splitlines()[:100]
+                    delimiter = guess_delimiter(lines)
+                    before = guess_header(lines, delimiter) if skip is None else skip
+                    names = next(csv.reader(lines[before : before + 1], delimiter=delimiter), [])
+                    rows.append((name, member, encoding, delimiter, before, [n.strip() for n in names], lines[: before + 1]))
+            yield pd.DataFrame(rows, columns=["path", "member", "encoding", "delimiter", "skip", "header", "preamble"])
+
+    schema = "path string, member string, encoding string, delimiter string, skip int, header array<string>, preamble array<string>"
+    listed = list_files(spark, path, glob).select("path")
+    checked = valid_utf8(spark, path, glob)
+    return listed.join(checked, "path", "left").mapInPandas(look, schema)
 
 
 def read_delimited(spark: SparkSession, path: str | Sequence[str], header: Sequence[str] | None = None, delimiter: str = ",", encoding: str = "UTF-8", preamble: Sequence[str] = ()) -> DataFrame:
@@ -138,27 +152,39 @@ def _ddl(schema: T.StructType) -> str:
     return ", ".join(f"`{f.name.replace('`', '``')}` string" for f in schema)
 
 
-def read_whole(spark: SparkSession, path: str, transpose: bool = False, skip: int = 0, glob: str = "*") -> DataFrame:
-    """(path, row, field, value) of zipped or transposed files.
+def _members(content: bytes) -> Iterator[tuple[str, bytes]]:
+    """(name, bytes) of every member of a zip file, or of the file itself."""
+    if content[:2] != b"PK":
+        yield "", content
+        return
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        for name in z.namelist():
+            if not name.endswith("/"):
+                yield name, z.read(name)
+
+
+def read_whole(spark: SparkSession, path: str | Sequence[str], transpose: bool = False, skip: int | None = 0, glob: str = "*") -> DataFrame:
+    """(path, row, field, value) of transposed files and of all members of zip files (``path#member``).
 
-    Such a file cannot be split, so each is read by one task; many files still spread over tasks.
+    Such a file cannot be split, so each is read by one task; many files still spread over tasks.  With ``skip`` None
+    the lines before the header are found for each member.
     """
     binary = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
-                data = content
-                if content[:2] == b"PK":
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        data = z.read(z.namelist()[0])
-                lines = data.decode(guess_encoding(data), errors="replace").splitlines()
-                rows = list(csv.reader(lines[skip:], delimiter=guess_delimiter(lines[:100])))
-                if transpose:
-                    rows = [list(r) for r in zip(*rows)]
-                header = [h.strip() for h in rows[0]] if rows else []
-                cells = [(name, i, h, v) for i, r in enumerate(rows[1:]) for h, v in zip(header, r)]
-                yield pd.DataFrame(cells, columns=["path", "row", "field", "value"])
+                for member, data in _members(content):
+                    lines = data.decode(guess_encoding(data), errors="replace").splitlines()
+                    delimiter = guess_delimiter(lines[:100])
+                    before = guess_header(lines[:100], delimiter) if skip is None else skip
+                    rows = list(csv.reader(lines[before:], delimiter=delimiter))
+                    if transpose:
+                        rows = [list(r) for r in zip(*rows)]
+                    header = number_names([h.strip() for h in rows[0]]) if rows else []
+                    where = f"{name}#{member}" if member else name
+                    cells = [(where, i, h, v) for i, r in enumerate(rows[1:]) for h, v in zip(header, r)]
+                    yield pd.DataFrame(cells, columns=["path", "row", "field", "value"])
 
     return binary.select("path", "content").mapInPandas(parse, "path string, row long, field string, value string")
 
