@@ -265,7 +265,14 @@ R.add(
 )
 R.add(
     "G18_ridgeline_own_bounds",
-    lambda t: density.ridgeline(t.events, "value", ["event_type"]),
+    lambda t: rounded(density.ridgeline(t.events, "value", ["event_type"]), "grid", "density", "share", digits=7),
+    """with s as (select event_type, count(value) n, avg(value) m, stddev_pop(value) sd, quantile_cont(value,0.75)-quantile_cont(value,0.25) iqr from events group by 1),
+h as (select event_type, n, 1.06*(case when iqr = 0 then sd else least(sd, iqr/1.34) end)*pow(n,-0.2) as h from s),
+b as (select min(m-2.5*sd) as lo, max(m+2.5*sd) as hi from s),
+g as (select lo + i*((hi-lo)/127) as grid from b, range(128) r(i)),
+w as (select event_type, value, count(*) as w from events where value is not null group by 1, 2),
+d as (select event_type, grid, 3*sum(w*exp(-0.5*pow((grid-value)/h,2)))/(any_value(n)*any_value(h)*sqrt(2*pi())) as d from w join h using (event_type), g group by 1, 2)
+select event_type, round(grid,7) as grid, round(d,7) as density, round(d/max(d) over (partition by event_type),7) as share from d""",
 )
 
 

@@ -177,7 +177,20 @@ R.add(
 s as (select process, avg(o) as score, min(date) as d from p group by 1)
 select process, (row_number() over (order by score, d, process))::int as place from s""",
 )
-R.add("D24_order_count_keep_all", _ordered("count_keep_all"))
+
+
+def _keep_all_sql(rounds: int = 5) -> str:
+    """One round per process at most: those not placed yet are scored on their most frequent serials."""
+    ctes = [AUTO, "o0 as (select null::varchar as process, 0 as turn, 0 as spot where false)"]
+    for i in range(1, rounds + 1):
+        ctes.append(f"l{i} as (select * from c where process not in (select process from o{i - 1}))")
+        ctes.append(f"p{i} as (select *, row_number() over (partition by serial order by date, process desc) as o from l{i} where k = (select max(k) from l{i}))")
+        ctes.append(f"s{i} as (select process, {i} as turn, row_number() over (order by avg(o), min(date), process) as spot from p{i} group by 1)")
+        ctes.append(f"o{i} as (select * from o{i - 1} union all select * from s{i})")
+    return f"with {', '.join(ctes)} select process, (row_number() over (order by turn, spot))::int as place from o{rounds}"
+
+
+R.add("D24_order_count_keep_all", _ordered("count_keep_all"), _keep_all_sql())
 for _m, _power in (("count_reversed", 1), ("function_count_reversed", 3)):
     R.add(
         f"D24_order_{_m}",
@@ -202,13 +215,30 @@ R.add(
 def _chains(t: Tables):
     """Processes named by event type and serial range, so that some share no serial."""
     df = t.events.withColumn("proc", F.concat("event_type", F.when(F.col("user_id") < 75, "_low").otherwise("_high")))
-    rows = autolink.newest_per_serial(df.where(F.col("event_type").isin("click", "view")), "proc", "user_id", "ts")
+    rows = autolink.newest_per_serial(df, "proc", "user_id", "ts")
     ordered = autolink.order_processes(rows, "count_reversed")
     out = [(n, i, p) for n, chain in enumerate(autolink.chains(rows, ordered)) for i, p in enumerate(chain)]
     return t.spark.createDataFrame(out, "chain int, place int, process string")
 
 
-R.add("D25_chains", _chains)
+R.add(
+    "D25_chains",
+    _chains,
+    """with recursive r as (select event_type || case when user_id < 75 then '_low' else '_high' end as process, user_id as serial, max(ts) as date from events group by 1, 2),
+c as (select r.*, count(*) over (partition by serial) as k from r),
+p as (select *, row_number() over (partition by serial order by date desc, process desc) as o from c),
+s as (select process, row_number() over (order by sum(o*k) desc, min(date), process) as at from p group by 1),
+l as (select distinct a.process as a, b.process as b from r a join r b using (serial) where a.process <> b.process),
+t(n, chains) as (
+  select 0::bigint, []::struct(chain int, place int, process varchar)[]
+  union all
+  select n + 1, list_append(chains, (
+    select {'chain': coalesce(f.chain, (select coalesce(max(y.chain) + 1, 0) from (select unnest(chains) as y))::int), 'place': coalesce((select count(*) from (select unnest(chains) as y) where y.chain = f.chain), 0)::int, 'process': s.process}
+    from s left join lateral (select x.chain from (select unnest(chains) as x) join l on l.a = s.process and l.b = x.process order by x.place, x.chain limit 1) f on true
+    where s.at = n + 1))
+  from t where n < (select count(*) from s))
+select x.chain, x.place, x.process from (select unnest(chains) as x from t where n = (select count(*) from s))""",
+)
 
 # --- name rules ---
 

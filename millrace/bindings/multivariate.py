@@ -162,6 +162,22 @@ R.add(
     "select l_returnflag as actual, l_linestatus as predicted, count(*) as n from lineitem group by 1, 2",
 )
 R.add("K13_seeded_sample", lambda t: mv.seeded_sample(t.orders, 300).select("o_orderkey"))
+
+
+def _sample_facts(t: Tables):
+    """Size, distinct rows, and rows that a second draw of the same seed shares, of orders and of their classes."""
+    keys = [mv.seeded_sample(t.orders, 300).select("o_orderkey") for _ in range(2)]
+    return keys[0].join(keys[1], "o_orderkey").agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("keys"))
+
+
+R.add("K13_sample_facts", _sample_facts, "select least(count(*), 300) as n, least(count(*), 300) as keys from orders")
+R.add(
+    "K13_stratified_sample",
+    lambda t: mv.stratified_sample(t.orders, "o_orderpriority", 300).groupBy("o_orderpriority").agg(F.count("*").alias("n")),
+    """with c as (select o_orderpriority, count(*) as k, 300.0::double*count(*)/sum(count(*)) over () as e from orders group by 1),
+f as (select *, floor(e)::bigint as take, row_number() over (order by floor(e) - e, o_orderpriority) as r from c)
+select o_orderpriority, take + case when r <= 300 - (select sum(take) from f) then 1 else 0 end as n from f""",
+)
 R.add(
     "K14_encoded_labels",
     lambda t: derive.label_by_statistic(t.orders, "o_orderpriority", "o_totalprice").select("o_orderpriority", "code"),
