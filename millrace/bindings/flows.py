@@ -89,6 +89,25 @@ R.add(
 )
 
 
+def _zipped(t: Tables):
+    """Zip files with display names, local times and the term; read back from all members."""
+    path = scratch(t, "zip")
+    lo, hi = datetime(2024, 1, 8), datetime(2024, 1, 22)
+    rows = t.events.where((F.col("ts") >= F.lit(lo)) & (F.col("ts") < F.lit(hi))).select("event_id", "ts", "value")
+    shown = store.display_rows(rows, {"event_id": "No", "ts": "Time", "value": "Value"}, ["ts"], "Asia/Tokyo", (lo, hi))
+    store.export_zip(shown.repartition(3), path, rows=1000)
+    back = files.cells_to_frame(files.read_whole(t.spark, path, skip=0), shown.columns)
+    return back.select(F.col("No").cast("long").alias("no"), F.col("Time").alias("at"), F.col("Value").try_cast("double").alias("v"), "term_from", "term_to")
+
+
+R.add(
+    "A17_export_zip_with_term",
+    _zipped,
+    """select event_id as no, strftime(ts + interval '9 hours', '%Y-%m-%d %H:%M:%S.%g') as at, value as v, '2024-01-08 09:00:00.000' as term_from, '2024-01-22 09:00:00.000' as term_to
+from events where ts >= timestamp '2024-01-08' and ts < timestamp '2024-01-22'""",
+)
+
+
 def _stored(t: Tables) -> tuple[str, DataFrame]:
     path = scratch(t, "rows")
     df = lineitem_with_id(t).select("l_id", "l_shipdate", "l_quantity")
@@ -306,6 +325,23 @@ select 'rows' as output, good as n from k union all select 'errors', bad + empty
 )
 
 
+def _counted_down(t: Tables):
+    """Every event is added, and every third one deleted again."""
+    path = scratch(t, "changes")
+    added = t.events.select("ts", "event_type", F.lit(1).alias("change"))
+    gone = t.events.where(F.col("event_id") % 3 == 0).select("ts", "event_type", F.lit(-1).alias("change"))
+    added.unionByName(gone).write.parquet(path)
+    stream = flows.new_file_stream(t.spark, path, added.schema)
+    return _updates(t, flows.hourly_counter(stream, "ts", ["event_type"], change="change"), ["hour", "event_type"])
+
+
+R.add(
+    "L4_hourly_counter_down",
+    _counted_down,
+    "select date_trunc('hour', ts)::timestamp as hour, event_type, count(*) filter (event_id % 3 <> 0) as n from events group by 1, 2",
+)
+
+
 def _no_repeats(t: Tables):
     path = scratch(t, "twice")
     df = t.events.select("event_id", "ts", "value")

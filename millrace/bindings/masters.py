@@ -65,6 +65,39 @@ R.add(
 )
 
 
+def _ungroup(t: Tables):
+    used = t.part.select(F.col("p_size").cast("long").alias("data_id"), F.col("p_brand").alias("value"))
+    return masters.ungroup_dictionary(used, _regroup(t), {1: 100, 2: 100, 3: 100})
+
+
+R.add(
+    "D31_ungroup_dictionary",
+    _ungroup,
+    """with u as (select distinct p_size::bigint as data_id, case when p_size in (1,2,3) then 100 else p_size end::bigint as g, p_brand as value from part),
+d as (select g, value, row_number() over (partition by g order by value) as f from (select distinct g, value from u))
+select data_id, value, row_number() over (partition by data_id order by value) as factor, f as group_factor from u join d using (g, value)""",
+)
+
+
+def _plain_again(t: Tables):
+    """Names are too many for a dictionary, brands are not."""
+    out = []
+    for column, limit in (("p_name", 20), ("p_brand", 256)):
+        table = masters.grow_dictionary(t.part, column, None)
+        coded = masters.encode_category(t.part, column, table, "factor").select("p_partkey", F.col("factor").alias("v"))
+        rows, _ = masters.category_or_plain(coded, "v", table, limit)
+        out.append(rows.select("p_partkey", F.lit(column).alias("col"), F.col("v").cast("string").alias("v")))
+    return out[0].unionByName(out[1])
+
+
+R.add(
+    "D32_plain_beyond_limit",
+    _plain_again,
+    """select p_partkey, 'p_name' as col, p_name as v from part union all
+select p_partkey, 'p_brand', (dense_rank() over (order by p_brand))::varchar from part""",
+)
+
+
 def _resolved(t: Tables, what: int):
     """Customers resolved through the nations of even number, then the regions."""
     dims = [

@@ -125,6 +125,28 @@ def regroup_dictionary(entries: DataFrame, groups: Mapping[int, int]) -> DataFra
     return ordering.row_numbers(merged.select("group_id", "value").distinct(), ["value"], ["group_id"], "factor")
 
 
+def ungroup_dictionary(used: DataFrame, grouped: DataFrame, groups: Mapping[int, int]) -> DataFrame:
+    """(data_id, value, factor, group_factor) after data ids have left their groups.
+
+    ``used(data_id, value)`` are the values each data id has, ``grouped(group_id, value, factor)`` the dictionary of
+    the groups.  Every data id numbers its own values from 1 again; ``group_factor`` is what its rows hold so far.
+    """
+    table = used.sparkSession.createDataFrame(list(groups.items()), "data_id long, group_id long")
+    member = used.distinct().join(F.broadcast(table), "data_id", "left").withColumn("group_id", F.coalesce("group_id", "data_id"))
+    held = grouped.select("group_id", "value", F.col("factor").alias("group_factor"))
+    numbered = ordering.row_numbers(member.join(held, ["group_id", "value"], "left"), ["value"], ["data_id"], "factor")
+    return numbered.select("data_id", "value", "factor", "group_factor")
+
+
+def category_or_plain(df: DataFrame, col: str, dictionary: DataFrame, limit: int = 256) -> tuple[DataFrame, DataFrame | None]:
+    """(rows, dictionary) of a factor column: decoded to plain values, without a dictionary, once this has more than
+    ``limit`` entries; else as it is."""
+    if dictionary.limit(limit + 1).count() <= limit:
+        return df, dictionary
+    decoded = decode_category(df.withColumnRenamed(col, "_factor"), "_factor", dictionary, col).drop("_factor")
+    return decoded.select(*df.columns), None
+
+
 def number_repeated_names(df: DataFrame, process: str, name: str, data_id: str, out: str = "unique_name") -> DataFrame:
     """Repeated data names of a process get ``_NN``: the lowest data id keeps its name, the rest are numbered on
     from the largest suffix already in use."""

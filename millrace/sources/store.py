@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import io
+import re
+import zipfile
+from collections.abc import Iterator, Mapping, Sequence
 from datetime import datetime
 
+import pandas as pd
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,13 +59,59 @@ def write_import(result: ImportResult, path: str, time: str, batch: int | str) -
         getattr(result, name).write.mode("overwrite").parquet(f"{path}/{name}/batch={batch}")
 
 
-def export_text(df: DataFrame, path: str, renames: Mapping[str, str], times: Sequence[str] = (), zone: str = "UTC", delimiter: str = ",") -> None:
-    """CSV or TSV with display names and local times."""
-    local = {t: F.date_format(F.from_utc_timestamp(t, zone), "yyyy-MM-dd HH:mm:ss.SSS") for t in times}
-    out = df.withColumns(local).select(*[F.col(a).alias(b) for a, b in renames.items()])
+def export_text(df: DataFrame, path: str, renames: Mapping[str, str], times: Sequence[str] = (), zone: str = "UTC", delimiter: str = ",", term: tuple[datetime, datetime] | None = None) -> None:
+    """CSV or TSV with display names and local times; ``term`` adds the columns ``term_from`` and ``term_to``."""
+    out = display_rows(df, renames, times, zone, term)
     out.write.mode("overwrite").option("header", True).option("sep", delimiter).csv(path)
 
 
+def display_rows(df: DataFrame, renames: Mapping[str, str], times: Sequence[str] = (), zone: str = "UTC", term: tuple[datetime, datetime] | None = None) -> DataFrame:
+    """Columns under display names, times as local text, and the term the rows were asked for."""
+
+    def local(at):
+        return F.date_format(F.from_utc_timestamp(at, zone), "yyyy-MM-dd HH:mm:ss.SSS")
+
+    shown = df.withColumns({t: local(F.col(t)) for t in times}).select(*[F.col(a).alias(b) for a, b in renames.items()])
+    if term:
+        shown = shown.withColumns({n: local(F.lit(at).cast("timestamp")) for n, at in zip(("term_from", "term_to"), term)})
+    return shown
+
+
+def export_zip(df: DataFrame, path: str, delimiter: str = ",", rows: int = 500_000) -> int:
+    """One zip file per ``rows`` rows and task, each with one text file; returns the number of rows written.
+
+    A task holds the text of one file.  Files are named by task, so a task that runs again replaces its own.
+    """
+    kind = "tsv" if delimiter == "\t" else "csv"
+    target = re.sub(r"^file:/(?!/)", "file:///", path)
+    target = target if "://" in target else f"file://{target}"
+
+    def archive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, inner = fs.FileSystem.from_uri(target)
+        system.create_dir(inner, recursive=True)
+        parts: list[pd.DataFrame] = []
+
+        def save(number: int) -> int:
+            name = f"part-{TaskContext.get().partitionId():05d}-{number:03d}"
+            text, data = pd.concat(parts).to_csv(index=False, sep=delimiter), io.BytesIO()
+            with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr(f"{name}.{kind}", text)
+            with system.open_output_stream(f"{inner}/{name}.zip") as out:
+                out.write(data.getvalue())
+            return sum(len(p) for p in parts)
+
+        number = 0
+        for batch in batches:
+            parts.append(batch)
+            if sum(len(p) for p in parts) >= rows:
+                yield pd.DataFrame({"n": [save(number)]})
+                parts, number = [], number + 1
+        if any(len(p) for p in parts):
+            yield pd.DataFrame({"n": [save(number)]})
+
+    return df.mapInPandas(archive, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def backup_days(df: DataFrame, path: str, time: str) -> None:
     """One folder per day."""
     dated = df.withColumn("day", F.date_format(time, "yyyy-MM-dd"))

@@ -63,9 +63,10 @@ def without_repeats(stream: DataFrame, time: str, keys: Sequence[str], delay: st
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def hourly_counter(stream: DataFrame, time: str, keys: Sequence[str] = (), delay: str = "1 hour") -> DataFrame:
+def hourly_counter(stream: DataFrame, time: str, keys: Sequence[str] = (), delay: str = "1 hour", change: str | None = None) -> DataFrame:
+    """Records per hour and key.  With ``change`` (1 for an added record, -1 for a deleted one) counters also go down."""
     windowed = stream.withWatermark(time, delay).groupBy(F.window(time, "1 hour"), *keys)
-    return windowed.agg(F.count("*").alias("n")).select(F.col("window.start").alias("hour"), *keys, "n")
+    return windowed.agg((F.sum(change) if change else F.count("*")).alias("n")).select(F.col("window.start").alias("hour"), *keys, "n")
 
 
 def cyclic_windows(stream: DataFrame, time: str, value: str, length: str, every: str, delay: str = "1 hour") -> DataFrame:
