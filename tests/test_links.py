@@ -83,8 +83,10 @@ def test_time_links_are_never_merged():
     timed = LinkEdge("b", "c", (LinkKey("t", "t", delta_minutes=5, cut_off_minutes=1),))
     g = LinkGraph([LinkEdge("a", "b", (LinkKey("t", "t"),)), timed])
     assert g.shorten(["a", "b", "c"]) == ["a", "b", "c"]
-    with pytest.raises(ValueError):
-        timed.reversed()
+    back = timed.reversed()
+    assert (back.self_process, back.target_process) == ("c", "b")
+    assert (back.keys[0].delta_minutes, back.keys[0].cut_off_minutes, back.keys[0].earlier) == (-5, 1, True)
+    assert back.reversed() == timed
 
 
 def test_one_row_per_key(spark, sf):
