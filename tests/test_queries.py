@@ -31,6 +31,9 @@ def duck():
 @pytest.mark.parametrize("name", NAMES)
 def test_query(spark, duck, name):
     _, text, good = compare(spark, duck, name, SF)
+    if text.startswith("ok 0"):  # nothing to find in the smallest tables
+        larger = SF.replace("sf0.001", "sf0.01")
+        _, text, good = compare(spark, connect(larger), name, larger)
     assert good, text
 
 
