@@ -7,7 +7,6 @@ of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from millrace.bindings.base import Tables
 from millrace.llm import mixing, neardup, pieces, quality
@@ -36,8 +35,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids with merge dropout, and whether they decode to the text."""
-    encoded = pieces.decode(pieces.encode(docs.select(*COLUMNS)))
-    return encoded.withColumn("lossless", F.col("decoded").eqNullSafe(F.col("text"))).drop("decoded")
+    return pieces.encode(docs.select(*COLUMNS), verify="lossless")
 
 
 STAGES = [("quality", good_quality), ("near_dedup", near_dedup), ("mix", mix), ("encode", encode)]

@@ -23,10 +23,12 @@ from millrace.llm.words import append_columns, mix
 
 #: Vocabulary file on every executor.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Segmentations of a unit that occurrences are dealt over.
+#: Segmentations that a unit can have under one seed.
 VARIANTS = 4
-#: Units a task remembers per variant before it starts afresh; a matter of speed only.
-REMEMBERED = 100_000
+#: Consecutive units of a text that take the same one of these segmentations.
+RUN = 64
+#: Units a task remembers per variant before it starts afresh, and text bytes it encodes at once; only speed and memory.
+REMEMBERED, TEXT_BYTES = 80_000, 1 << 20
 #: Units of up to so many characters are segmented a block at a time, longer ones alone; pieces are the same.
 SHORT, BLOCK = 40, 4096
 SPACE = "▁"
@@ -86,17 +88,20 @@ class Pieces:
     def segment_many(self, units: list[str], keys: np.ndarray, dropout: float) -> list[bytes]:
         """As ``segment`` for many units, as 32-bit integers: the same agenda, worked off for a block of units at once."""
         out: list[bytes] = [b""] * len(units)
-        alone = [i for i, u in enumerate(units) if len(u) > SHORT or len(u) == 1 or not self.bare.isdisjoint(u)]
-        for i in alone:
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        alone = (sizes > SHORT) | (sizes == 1)
+        if self.bare:
+            alone |= np.fromiter((not self.bare.isdisjoint(u) for u in units), bool, len(units))
+        for i in np.flatnonzero(alone).tolist():
             out[i] = array("i", self.segment(units[i], int(keys[i]), dropout)).tobytes()
-        alone_set = set(alone)
-        rest = sorted((i for i in range(len(units)) if i not in alone_set), key=lambda i: len(units[i]))
+        rest = np.flatnonzero(~alone)
+        rest = rest[np.argsort(sizes[rest], kind="stable")]
         for at in range(0, len(rest), BLOCK):
             block = rest[at : at + BLOCK]
-            ids, counts = self._block([units[i].replace(" ", SPACE) for i in block], keys[block], dropout)
+            ids, counts = self._block([units[i].replace(" ", SPACE) for i in block.tolist()], keys[block], dropout)
             raw, ends = ids.astype(np.int32).tobytes(), (4 * np.cumsum(counts)).tolist()
-            for i, a, b in zip(block, [0, *ends], ends):
-                out[i] = raw[a:b]
+            for i, x, y in zip(block.tolist(), [0, *ends], ends):
+                out[i] = raw[x:y]
         return out
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,40 +189,45 @@ class Encoder:
         self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
 
     def _learn(self, variant: int, units: list[str]) -> None:
-        keys = np.array([xxhash.xxh3_64_intdigest(u.encode(), self.seed * 1_000_003 + variant) for u in units], np.uint64)
+        salt = self.seed * 1_000_003 + variant
+        keys = np.fromiter((xxhash.xxh3_64_intdigest(u, salt) for u in units), np.uint64, len(units))
         self.known[variant].update(zip(units, self.pieces.segment_many(units, keys, self.dropout)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Piece ids as 32-bit integers.  Which variant a unit gets depends on seed, text length and place."""
+        """Piece ids as 32-bit integers.  Runs of ``RUN`` units take a variant by seed, text length and place."""
         for known in self.known:
             if len(known) > REMEMBERED:
                 known.clear()
-        cut = [self.pieces.units.findall(" " + t) if t else [] for t in texts]
-        places = []
-        for text, units in zip(texts, cut):
-            start = np.uint64((self.seed << 32) + len(text or ""))
-            places.append((mix(np.arange(len(units), dtype=np.uint64) + start) % np.uint64(self.variants)).tolist())
         known = self.known
+        cut: list[list[tuple[int, list[str]]]] = []
         new: list[set[str]] = [set() for _ in known]
-        for units, at in zip(cut, places):
-            for u, v in zip(units, at):
-                if u not in known[v]:
-                    new[v].add(u)
+        for text in texts:
+            units = self.pieces.units.findall(" " + text) if text else []
+            starts = range(0, len(units), RUN)
+            first = np.uint64((self.seed << 32) + len(text or ""))
+            places = (mix(np.arange(len(starts), dtype=np.uint64) + first) % np.uint64(self.variants)).tolist()
+            runs = [(v, units[at : at + RUN]) for v, at in zip(places, starts)]
+            for v, run in runs:
+                new[v].update(run)
+            cut.append(runs)
         for variant, units in enumerate(new):
-            self._learn(variant, sorted(units))
-        return [b"".join([known[v][u] for u, v in zip(units, at)]) for units, at in zip(cut, places)]
+            self._learn(variant, list(units.difference(known[variant])))
+        return [b"".join([i for v, run in runs for i in map(known[v].__getitem__, run)]) for runs in cut]
 
 
-def encode(df: DataFrame, dropout: float = 0.1, seed: int = 1, variants: int = VARIANTS, model: str = MODEL, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(df: DataFrame, dropout: float = 0.1, seed: int = 1, variants: int = VARIANTS, model: str = MODEL, text: str = "text", ids: str = "ids", verify: str | None = None) -> DataFrame:
     """``df`` with a column ``ids`` (array of int) of piece ids and ``n_tokens`` (long) of their number.
 
     Equal texts get equal ids under one seed; another seed gives other segmentations, ``dropout = 0`` the plain one.
-    A null text has null ids and 0 tokens, an empty text no ids.  Columns named like the new ones are replaced; all
-    others stay as they are.  Texts are handled whole; an empty table gives an empty result.
+    A null text has null ids and 0 tokens, an empty text no ids.  ``verify`` names a further column that tells whether
+    the ids decode to the text.  Columns named like the new ones are replaced; all others stay as they are.  Texts are
+    handled whole; an empty table gives an empty result.
     """
+    new = {ids: "array<int>", "n_tokens": "long"} | ({verify: "boolean"} if verify else {})
 
     def make():
-        encoder = Encoder(load(model), dropout, seed, variants)
+        pieces = load(model)
+        encoder = Encoder(pieces, dropout, seed, variants)
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             texts = batch.column("text").to_pylist()
@@ -225,11 +235,14 @@ def encode(df: DataFrame, dropout: float = 0.1, seed: int = 1, variants: int = V
             counts = np.array([len(c) // 4 for c in coded], np.int64)
             absent = np.array([t is None for t in texts] + [False])
             bounds = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), mask=absent)
-            return [pa.ListArray.from_arrays(bounds, pa.array(np.frombuffer(b"".join(coded), np.int32))), pa.array(counts)]
+            out = [pa.ListArray.from_arrays(bounds, pa.array(np.frombuffer(b"".join(coded), np.int32))), pa.array(counts)]
+            if verify:
+                out.append(pa.array([pieces.decode(np.frombuffer(c, np.int32).tolist()) == (t or "").encode() for c, t in zip(coded, texts)]))
+            return out
 
         return work
 
-    return append_columns(df, {"text": F.col(text).cast("string")}, {ids: "array<int>", "n_tokens": "long"}, make, by="text")
+    return append_columns(df, {"text": F.col(text).cast("string")}, new, make, by="text", limit=TEXT_BYTES)
 
 
 def decode(df: DataFrame, model: str = MODEL, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

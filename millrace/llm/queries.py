@@ -108,5 +108,4 @@ def pseudo_likelihood(t: Tables) -> DataFrame:
 
 @register("op10_pieces")
 def encode_pieces(t: Tables) -> DataFrame:
-    encoded = pieces.decode(pieces.encode(t.documents.select("doc_id", "text")))
-    return encoded.select("doc_id", "n_tokens", "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    return pieces.encode(t.documents.select("doc_id", "text"), verify="lossless").drop("text")

@@ -114,7 +114,7 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> list[np.ndarray]:
     return out
 
 
-def append_columns(df: DataFrame, inputs: dict[str, Column], new: dict[str, str], make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], by: str | None = None) -> DataFrame:
+def append_columns(df: DataFrame, inputs: dict[str, Column], new: dict[str, str], make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], by: str | None = None, limit: int = CHUNK_BYTES) -> DataFrame:
     """``df`` with columns computed by Arrow tasks; rows pass through whole, in place, without a shuffle.
 
     ``inputs`` names the expressions that the task sees, ``new`` the types of the columns it returns, ``make()`` is
@@ -127,7 +127,7 @@ def append_columns(df: DataFrame, inputs: dict[str, Column], new: dict[str, str]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for part in chunks(batches, f"i_{by}") if by else batches:
+        for part in chunks(batches, f"i_{by}", limit) if by else batches:
             if part.num_rows:
                 given = pa.RecordBatch.from_arrays([part.column(c) for c in seen], names)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in carried], *work(given)], [*carried, *[f"n{i}" for i in range(many)]])

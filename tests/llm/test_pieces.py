@@ -69,7 +69,7 @@ def test_lossless_and_varied(model, texts):
     assert sum(a != b for a, b in zip(*results)) > 0.9 * (len(texts) - len(ODD))
     # one word, several segmentations under one seed
     repeated = pieces.Encoder(model, 0.3, 1, 4)
-    repeated.encode(["extraordinarily " * 50])
+    repeated.encode(["extraordinarily " * 2000])
     assert len({k[" extraordinarily"] for k in repeated.known}) > 1
 
 
@@ -89,4 +89,5 @@ def test_tables(spark):
     assert len(found) == len(rows)
     for r in found:
         assert r.decoded == r.text and (r.ids is None) == (r.text is None) and r.n_tokens == len(r.ids or []) and (r.c0, r.n0, r.id) == (5, 6, "x")
+    assert all(r.lossless for r in pieces.encode(df, verify="lossless").collect())
     assert pieces.encode(frame(spark, [])).collect() == []
