@@ -58,7 +58,7 @@ def splitters(keyed: DataFrame, shards: int, tolerance: float = TOLERANCE) -> li
     wanted = [total * i // shards for i in range(1, shards)]
     slack = tolerance * total / shards
     below = {low - 1: 0, high: total}  # bytes of keys <= k, exact
-    probes = _between(low, high, PROBES * shards)
+    probes, unmet = _between(low, high, PROBES * shards), wanted
     while probes:
         cuts = [f"{p:0{DIGITS}X}" for p in probes]
         part = position(cuts, F.col("key")).alias("part")
@@ -70,13 +70,17 @@ def splitters(keyed: DataFrame, shards: int, tolerance: float = TOLERANCE) -> li
         keys = sorted(below)
         counts = [below[k] for k in keys]
         fresh: set[int] = set()
-        for want in wanted:
+        searched, unmet = unmet, []
+        for want in searched:
             i = bisect_left(counts, want)  # counts[i - 1] < want <= counts[i]
             if min(abs(counts[j] - want) for j in (i - 1, i)) <= slack:
                 continue
             met = found[bisect_left(probes, keys[i])]
-            fresh.update(_between(max(int(met["low"], 16), keys[i - 1] + 1), min(int(met["high"], 16), keys[i]), PROBES))
-        probes = sorted(fresh - set(below))
+            inside = _between(max(int(met["low"], 16), keys[i - 1] + 1), min(int(met["high"], 16), keys[i]), PROBES)
+            if inside:  # its ends are probed again, so that the next counts are those of this interval alone
+                fresh.update((keys[i - 1], *inside, keys[i]))
+                unmet.append(want)
+        probes = sorted(fresh)
     keys = sorted(below)
     counts = [below[k] for k in keys]
     out = []
