@@ -4,15 +4,21 @@ A small network predicts every word of a text from the words on both sides of it
 adds a vector that depends on the neighbour and its distance, and a softmax over the vocabulary reads their ``tanh``.
 The logarithm of the probability given to the word that stands there, summed over the text, is the text's score.
 
-The vocabulary holds the most frequent words of the whole corpus, from counts over all documents; every other word
-falls into one of a few hashed classes, so no word is left out.  Training runs in numpy inside Spark tasks: in each round
-every task fits the current network to its share of the documents, and the networks are averaged by words seen.  All
-documents train once, a different part of them in each round.  What a task holds is one batch and one network.
+Every word has a probability of its own, in up to three factors.  The most frequent words are classes by themselves.
+Every other word that makes up at least one in ``SHARE`` running words of the corpus (and occurs ``LEAST`` times) is in
+one of ``GROUPS`` classes, and a second softmax over the words of that class tells which it is.  All rarer words are one
+class, and such a word is spelt byte by byte by a trigram model, from counts of all rarer words of the corpus.  As a
+neighbour, each vocabulary word has a vector of its own besides that of its class; rarer words share ``TAILS`` of them.
+
+Training runs in numpy inside Spark tasks: in each round every task fits the current network to its share of the
+documents, and the networks are averaged by words seen.  All documents train once, a different part of them in each
+round.  What a task holds is one batch and one network, whose size follows the vocabulary (at most ``SHARE`` words).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,138 +28,305 @@ from pyspark.sql import functions as F
 from millrace.llm.words import append_columns, chunks, split_words, word_hashes
 from millrace.session import written
 
-#: Classes of words: frequent ones of their own, and hashed ones for the rest.  A code is one byte.
-FREQUENT, HASHED = 112, 16
+#: Classes of words: frequent ones of their own, groups of vocabulary words, and one for the rest.  A class is one byte.
+FREQUENT, GROUPS = 112, 64
+REST = FREQUENT + GROUPS
+CLASSES = REST + 1
+OUTSIDE = CLASSES  # the neighbour beyond either end of a text
+#: Words of at least one in SHARE running words, and LEAST occurrences, are in the vocabulary.
+SHARE, LEAST = 1 << 18, 5
+#: Vectors that neighbours outside the vocabulary share.
+TAILS = 1024
 SIDE, HIDDEN = 2, 16
 ROUNDS, BATCH, RATE = 4, 4096, 0.15
-CLASSES = FREQUENT + HASHED
-OUTSIDE = CLASSES  # the neighbour beyond either end of a text
+#: Weights that are added up as one row.
+BLOCK = 4096
+#: Occurrences that the shorter context of a byte counts for; a word seen once must not pass for its own evidence.
+PRIOR = 20.0
+
+
+class Spelling:
+    """Probability of a word byte by byte, each given the two before it; a blank stands before and after a word."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, n = keys[order].astype(np.int64), counts[order].astype(np.float64)
+        pairs = np.bincount(self.keys & 0xFFFF, weights=n, minlength=1 << 16).reshape(256, 256)
+        self.short = (pairs + PRIOR / 256) / (pairs.sum(axis=1, keepdims=True) + PRIOR)
+        self.given = np.bincount(self.keys >> 8, weights=n, minlength=1 << 16)
+        self.n = n
+
+    @staticmethod
+    def trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(trigram, number of its word) of all bytes of some words and the blanks that end them."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 3
+        line = np.frombuffer(b"".join([b"  " + w + b" " for w in words]), np.uint8).astype(np.int64)
+        of = np.repeat(np.arange(len(words)), sizes)
+        at = np.flatnonzero(np.arange(len(line)) < (np.cumsum(sizes) - 2)[of]) if len(words) else np.empty(0, np.int64)
+        return line[at] << 16 | line[at + 1] << 8 | line[at + 2], of[at]
+
+    def log_probabilities(self, words: list[bytes]) -> np.ndarray:
+        found, of = self.trigrams(words)
+        n = np.zeros(len(found))
+        if len(self.keys):
+            place = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
+            n = np.where(self.keys[place] == found, self.n[place], 0)
+        short = self.short[found >> 8 & 0xFF, found & 0xFF]
+        return np.bincount(of, weights=np.log((n + PRIOR * short) / (self.given[found >> 8] + PRIOR)), minlength=len(words))
 
 
-def frequent_words(df: DataFrame, text: str = "text", most: int = FREQUENT) -> list[str]:
-    """The most frequent words (ASCII lower case) over all texts, ties by code point."""
+@dataclass
+class Vocabulary:
+    """Words by falling count, the counts of those that are no class of their own, and the spelling of all others."""
+
+    words: list[str]
+    counts: np.ndarray
+    spelling: Spelling
+
+
+def frequent_words(df: DataFrame, text: str = "text") -> Vocabulary:
+    """The vocabulary of all texts (ASCII lower case), ties by code point."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
             codes, words, _ = split_words(part.column("text"), lower=True)
             yield pa.RecordBatch.from_arrays([words.cast(pa.string()), pa.array(np.bincount(codes, minlength=len(words)))], ["word", "n"])
 
-    counts = df.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, "word"):
+            found, of = Spelling.trigrams(part.column("word").cast(pa.binary()).to_pylist())
+            keys, at = np.unique(found, return_inverse=True)
+            n = np.bincount(at, weights=part.column("n").to_numpy()[of], minlength=len(keys)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["k", "n"])
 
-
-def encode(df: DataFrame, words: list[str], id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, codes): the words of each text as one byte each."""
+    counts = df.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = written(counts)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    least = max(LEAST, -(-total // SHARE))
+    first = [(r["word"], r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
+    own = {w for w, _ in first}
+    others = sorted(((-r["n"], r["word"]) for r in counts.filter(F.col("n") >= least).collect() if r["word"] not in own))
+    rare = counts.filter(F.col("n") < least).mapInArrow(spell, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    spelling = Spelling(rare["k"].to_numpy(np.int64), rare["n"].to_numpy(np.int64))
+    return Vocabulary([w for w, _ in first] + [w for _, w in others], np.array([-n for n, _ in others], np.int64), spelling)
+
+
+def encode(df: DataFrame, vocabulary: Vocabulary, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, codes, fine, spelt): the words of each text as classes of one byte each and as 32-bit integers, and the
+    logarithm of the probability of spelling those outside the vocabulary.
+
+    ``fine`` is 0 for a word that is a class, 1 + its place for another word of the vocabulary, and beyond that a hash.
+    """
 
     def make():
-        known = {w: i for i, w in enumerate(words)}
+        known = {w: i for i, w in enumerate(vocabulary.words)}
+        size, spelling = len(vocabulary.counts), vocabulary.spelling
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             codes, dictionary, bounds = split_words(batch.column("text"), lower=True)
-            hashed = (word_hashes(dictionary, 9) % np.uint64(HASHED)).astype(np.int64) + FREQUENT
             own = np.array([known.get(w, -1) for w in dictionary.to_pylist()], np.int64)
-            flat = np.where(own >= 0, own, hashed)[codes].astype(np.uint8) if len(codes) else np.empty(0, np.uint8)
-            return [pa.array([flat[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())]
+            rare = np.flatnonzero(own < 0)
+            hard = dictionary.take(pa.array(rare))
+            spelt = np.zeros(len(own))
+            spelt[rare] = spelling.log_probabilities(hard.cast(pa.large_binary()).to_pylist())
+            fine = np.maximum(own - FREQUENT + 1, 0)
+            classes = np.where(fine > 0, FREQUENT + (fine - 1) % GROUPS, own)
+            fine[rare] = 1 + size + (word_hashes(hard, 9) % np.uint64(TAILS)).astype(np.int64)
+            classes[rare] = REST
+            flat, deep = classes.astype(np.uint8)[codes], fine.astype(np.int32)[codes]
+            of = np.repeat(np.arange(len(batch)), np.diff(bounds))
+            sums = np.bincount(of, weights=spelt[codes], minlength=len(batch)).astype(np.float64)
+            cuts = list(zip(bounds[:-1], bounds[1:]))
+            return [pa.array([flat[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array([deep[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array(sums)]
 
         return work
 
     rows = df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("body"))
-    return append_columns(rows, {"text": F.col("body")}, {"codes": "binary"}, make, by="text").select("id", "codes")
+    new = {"codes": "binary", "fine": "binary", "spelt": "double"}
+    return append_columns(rows, {"text": F.col("body")}, new, make, by="text").select("id", *new)
 
 
 class Network:
-    """Weights as single-precision arrays: a table per neighbour, a bias, an output matrix and its bias."""
+    """Weights as single-precision arrays: a table per neighbour, a bias, an output matrix and its bias; and for words
+    within a class what each adds as a neighbour, an output vector each, and its bias, at first the logarithm of the count."""
 
-    def __init__(self, seed: int = 0):
+    def __init__(self, seed: int = 0, counts: np.ndarray | None = None):
         rng = np.random.default_rng(seed)
+        counts = np.empty(0) if counts is None else counts
         self.near = rng.normal(0, 0.1, (2 * SIDE, CLASSES + 1, HIDDEN)).astype(np.float32)
         self.bias = np.zeros(HIDDEN, np.float32)
         self.out = rng.normal(0, 0.1, (HIDDEN, CLASSES)).astype(np.float32)
         self.base = np.zeros(CLASSES, np.float32)
+        self.fine = np.zeros((1 + len(counts) + TAILS, HIDDEN), np.float32)
+        self.word = np.zeros((len(counts), HIDDEN), np.float32)
+        self.often = np.log(counts).astype(np.float32)
 
     @property
     def parts(self) -> list[np.ndarray]:
-        return [self.near, self.bias, self.out, self.base]
+        return [self.near, self.bias, self.out, self.base, self.fine, self.word, self.often]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parts])
 
     @staticmethod
-    def of(flat: np.ndarray) -> Network:
-        net = Network()
+    def of(flat: np.ndarray, size: int = 0) -> Network:
+        net = Network(0, np.ones(size))
         for p in net.parts:
             p[...], flat = flat[: p.size].reshape(p.shape), flat[p.size :]
         return net
 
-    def hidden(self, neighbours: np.ndarray) -> np.ndarray:
+    def hidden(self, neighbours: np.ndarray, fine: np.ndarray | None = None) -> np.ndarray:
         total = self.bias + self.near[0][neighbours[0]]
         for table, words in zip(self.near[1:], neighbours[1:]):
             total += table[words]
+        for words in fine if fine is not None else ():
+            total += self.fine[words]
         return np.tanh(total, out=total)
 
-    def log_probabilities(self, neighbours: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Logarithm of the probability of each word given its neighbours (2 * SIDE rows of codes)."""
-        logits = self.hidden(neighbours) @ self.out + self.base
-        top = logits.max(axis=1, keepdims=True)
-        own = logits[np.arange(len(words)), words] - top[:, 0]
-        return own - np.log(np.exp(logits - top, out=logits).sum(axis=1))
-
-    def learn(self, neighbours: np.ndarray, words: np.ndarray, squares: list[np.ndarray], rate: float = RATE) -> None:
+    def within(self, own: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """(words of a class, places in ``own`` that hold one of them, which one), class by class."""
+        at = np.flatnonzero((own > 0) & (own <= len(self.word)))
+        place = own[at] - 1
+        order = np.argsort(place % GROUPS, kind="stable")
+        at, place = at[order], place[order]
+        ends = np.searchsorted(place % GROUPS, np.arange(GROUPS + 1))
+        for group in np.flatnonzero(np.diff(ends)).tolist():
+            part = slice(ends[group], ends[group + 1])
+            yield slice(group, None, GROUPS), at[part], place[part] // GROUPS
+
+    def log_probabilities(self, neighbours: np.ndarray, words: np.ndarray, fine: np.ndarray | None = None, own: np.ndarray | None = None) -> np.ndarray:
+        """Logarithm of the probability of each word given its neighbours (2 * SIDE rows of codes).
+
+        Without ``fine`` and ``own``, the fine codes of neighbours and words, this is that of the class alone.
+        """
+        h = self.hidden(neighbours, fine)
+
+        def pick(logits: np.ndarray, which: np.ndarray) -> np.ndarray:
+            top = logits.max(axis=1, keepdims=True)
+            chosen = logits[np.arange(len(which)), which] - top[:, 0]
+            return chosen - np.log(np.exp(logits - top, out=logits).sum(axis=1))
+
+        found = pick(h @ self.out + self.base, words)
+        if own is not None:
+            for group, at, which in self.within(own):
+                found[at] += pick(h[at] @ self.word[group].T + self.often[group], which)
+        return found
+
+    def learn(self, neighbours: np.ndarray, words: np.ndarray, squares: list[np.ndarray], rate: float = RATE, fine: np.ndarray | None = None, own: np.ndarray | None = None) -> None:
         """One step of gradient descent with a rate per weight that falls with the squares of its gradients."""
-        h = self.hidden(neighbours)
+        h = self.hidden(neighbours, fine)
+
+        def errors(logits: np.ndarray, which: np.ndarray) -> np.ndarray:
+            logits -= logits.max(axis=1, keepdims=True)
+            np.exp(logits, out=logits)
+            logits /= logits.sum(axis=1, keepdims=True)
+            logits[np.arange(len(which)), which] -= 1
+            logits /= len(words)
+            return logits
+
+        def step(weight: np.ndarray, gradient: np.ndarray, square: np.ndarray, at=...) -> None:
+            square[at] += gradient * gradient
+            weight[at] -= rate * gradient / (np.sqrt(square[at]) + 1e-6)
+
         p = h @ self.out
         p += self.base
-        p -= p.max(axis=1, keepdims=True)
-        np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(words)), words] -= 1
-        p /= len(words)
-        inner = (p @ self.out.T) * (1 - h * h)
+        p = errors(p, words)
+        back = p @ self.out.T
+        deep = []
+        if own is not None:
+            for group, at, which in self.within(own):
+                q = errors(h[at] @ self.word[group].T + self.often[group], which)
+                back[at] += q @ self.word[group]
+                deep.append((group, q.T @ h[at], q.sum(axis=0)))
+        inner = back * (1 - h * h)
         places = np.arange(HIDDEN)
         near = np.empty_like(self.near)
         for table, codes in zip(near, neighbours):
             at = (codes[:, None] * HIDDEN + places).ravel()
             table[...] = np.bincount(at, weights=inner.ravel(), minlength=table.size).reshape(table.shape)
         for weight, gradient, square in zip(self.parts, [near, inner.sum(axis=0), h.T @ p, p.sum(axis=0)], squares):
-            square += gradient * gradient
-            weight -= rate * gradient / (np.sqrt(square) + 1e-6)
+            step(weight, gradient, square)
+        for group, vectors, biases in deep:
+            step(self.word, vectors, squares[5], group)
+            step(self.often, biases, squares[6], group)
+        if fine is not None:
+            side, row = np.nonzero(fine)
+            used, at = np.unique(fine[side, row], return_inverse=True)
+            total = np.bincount((at[:, None] * HIDDEN + places).ravel(), weights=inner[row].ravel(), minlength=len(used) * HIDDEN)
+            step(self.fine, total.reshape(-1, HIDDEN).astype(np.float32), squares[4], used)
+
+
+def _places(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    return of, np.arange(len(of)) + SIDE * (of + 1), [*range(-SIDE, 0), *range(1, SIDE + 1)]
 
 
 def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(neighbours, words, text number) of all words of some texts; texts do not see each other."""
-    sizes = np.array([len(t) for t in texts], np.int64)
+    of, at, offsets = _places(np.array([len(t) for t in texts], np.int64))
     gap = np.full(SIDE, OUTSIDE, np.uint8).tobytes()
     line = np.frombuffer(gap + gap.join(texts) + gap, np.uint8).astype(np.int64)
-    of = np.repeat(np.arange(len(texts)), sizes)
-    at = np.arange(len(of)) + SIDE * (of + 1)
-    offsets = [*range(-SIDE, 0), *range(1, SIDE + 1)]
     return np.stack([line[at + o] for o in offsets]), line[at], of
 
 
-def train(coded: DataFrame, rounds: int = ROUNDS, seed: int = 1) -> Network:
-    """The network after ``rounds`` rounds over ``coded(id, codes)``; each document trains in one of them."""
-    net = Network(seed)
+def fine_windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(neighbours, words) in fine codes, in the order of ``windows``."""
+    _, at, offsets = _places(np.array([len(t) // 4 for t in texts], np.int64))
+    gap = bytes(4 * SIDE)
+    line = np.frombuffer(gap + gap.join(texts) + gap, np.int32).astype(np.int64)
+    return np.stack([line[at + o] for o in offsets]), line[at]
+
+
+def _cuts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(neighbours, words, fine neighbours, fine words, text number, texts) of 256 rows at a time."""
+    for at in range(0, batch.num_rows, 256):
+        texts = batch.column("codes").slice(at, 256).to_pylist()
+        near, words, of = windows(texts)
+        yield near, words, *fine_windows(batch.column("fine").slice(at, 256).to_pylist()), of, len(texts)
+
+
+def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of weighted blocks by block."""
+    sums: dict[int, list] = {}
+    for batch in batches:
+        for k, seen, v in zip(*[batch.column(c).to_pylist() for c in ("k", "seen", "v")]):
+            total = sums.setdefault(k, [0, 0.0])
+            total[0], total[1] = total[0] + seen, total[1] + np.frombuffer(v, np.float32).astype(np.float64) * seen
+    if sums:
+        rows = [(k, n, v.tobytes()) for k, (n, v) in sums.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], ["k", "seen", "v"])
+
+
+def train(coded: DataFrame, rounds: int = ROUNDS, seed: int = 1, counts: np.ndarray | None = None) -> Network:
+    """The network after ``rounds`` rounds over ``coded(id, codes, fine)``; each document trains in one of them.
+
+    ``counts`` are those of the vocabulary's words that are no class of their own.
+    """
+    net = Network(seed, counts)
+    size = len(net.word)
     part = F.pmod(F.xxhash64("id", "codes"), F.lit(rounds))
     for turn in range(rounds):
         start = net.flat()
 
         def fit(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            own, seen = Network.of(start), 0
+            own, seen = Network.of(start, size), 0
             squares = [np.full(p.shape, 1e-4, np.float32) for p in own.parts]
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    near, words, _ = windows(batch.column("codes").slice(at, 256).to_pylist())
+                for near, words, fine, deep, _, _ in _cuts(batch):
                     for a in range(0, len(words), BATCH):
-                        own.learn(near[:, a : a + BATCH], words[a : a + BATCH], squares)
+                        b = slice(a, a + BATCH)
+                        own.learn(near[:, b], words[b], squares, RATE, fine[:, b], deep[b])
                     seen += len(words)
             if seen:
-                flat = own.flat().astype(np.float64) * seen
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1)), pa.array(np.append(flat, seen))], ["k", "v"])
-
-        share = coded.filter((part == turn) & (F.length("codes") > 0)).select("codes")
-        sums = share.mapInArrow(fit, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas().sort_values("k")["v"].to_numpy()
-        if len(sums):
-            net = Network.of(np.round(sums[:-1] / sums[-1], 7).astype(np.float32))
+                flat = own.flat()
+                blocks = [flat[a : a + BLOCK].tobytes() for a in range(0, len(flat), BLOCK)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks))), pa.array(np.full(len(blocks), seen)), pa.array(blocks, pa.binary())], ["k", "seen", "v"])
+
+        share = coded.filter((part == turn) & (F.length("codes") > 0)).select("codes", "fine")
+        kind = "k long, seen long, v binary"
+        sums = sorted((r["k"], r["seen"], r["v"]) for r in share.mapInArrow(fit, kind).repartition("k").mapInArrow(_average, kind).collect())
+        if sums:
+            net = Network.of(np.round(np.concatenate([np.frombuffer(v) / seen for _, seen, v in sums]), 7).astype(np.float32), size)
     return net
 
 
@@ -164,23 +337,23 @@ def score(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     neighbours; it is 0, and the mean null, for null and empty texts and texts without words.  Rows with a null id and
     repeated rows are trained on and scored like others; an empty table gives an empty result.
     """
-    coded = written(encode(df, frequent_words(df, text), id, text))
-    flat = train(coded).flat()
+    vocabulary = frequent_words(df, text)
+    coded, size = written(encode(df, vocabulary, id, text)), len(vocabulary.counts)
+    flat = train(coded, counts=vocabulary.counts).flat()
 
     def make():
-        net = Network.of(flat)
+        net = Network.of(flat, size)
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             total = []
-            for at in range(0, len(batch), 256):
-                texts = batch.column("codes").slice(at, 256).to_pylist()
-                near, words, of = windows(texts)
-                logs = [net.log_probabilities(near[:, a : a + BATCH], words[a : a + BATCH]) for a in range(0, len(words), BATCH)]
-                total.append(np.bincount(of, weights=np.concatenate(logs) if logs else None, minlength=len(texts)).astype(np.float64))
-            return [pa.array(np.concatenate(total))]
+            for near, words, fine, deep, of, n in _cuts(batch):
+                cuts = [slice(a, a + BATCH) for a in range(0, len(words), BATCH)]
+                logs = [net.log_probabilities(near[:, b], words[b], fine[:, b], deep[b]) for b in cuts]
+                total.append(np.bincount(of, weights=np.concatenate(logs) if logs else None, minlength=n).astype(np.float64))
+            return [pa.array(np.concatenate(total) + batch.column("spelt").to_numpy())]
 
         return work
 
-    scored = append_columns(coded, {"codes": F.col("codes")}, {"log_likelihood": "double"}, make)
+    scored = append_columns(coded, {c: F.col(c) for c in ("codes", "fine", "spelt")}, {"log_likelihood": "double"}, make)
     n = F.length("codes").cast("long")
     return scored.select(F.col("id").alias(id), n.alias("n_words"), "log_likelihood", F.when(n > 0, F.col("log_likelihood") / n).alias("mean_log_likelihood"))

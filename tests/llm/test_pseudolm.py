@@ -72,3 +72,25 @@ def test_gradient():
 def test_empty(spark):
     assert pseudolm.score(frame(spark, [])).collect() == []
     assert [r.n_words for r in pseudolm.score(frame(spark, [(1, None, "s")])).collect()] == [0]
+
+
+def test_every_word_has_a_probability_of_its_own(spark):
+    """Random letters score less than a rare word, the words of a class share its probability, neighbours differ."""
+    rng = random.Random(5)
+    parts = "ka lo mi ten sur fe ba rin do gal".split()
+    words = list(dict.fromkeys("".join(rng.choices(parts, k=rng.randrange(2, 4))) for _ in range(700)))
+    usual, rare = words[:300], words[300:]
+    texts = [" ".join([*rng.choices(usual, k=150), *rare[i::40]]) for i in range(40)]
+    pair = [" ".join([*usual[:2], w, *usual[2:4]]) for w in (rare[0], "xqzjvk")]
+    df = frame(spark, [(i, t, "s") for i, t in enumerate([*texts, *pair])])
+    vocabulary = pseudolm.frequent_words(df)
+    assert len(vocabulary.counts) > 100 and {"xqzjvk", rare[0]}.isdisjoint(vocabulary.words)
+    out = {r.doc_id: r.log_likelihood for r in pseudolm.score(df).collect()}
+    assert out[len(texts)] > out[len(texts) + 1] + 5
+    net = pseudolm.train(pseudolm.encode(df, vocabulary), counts=vocabulary.counts)
+    own = np.arange(1, len(net.word) + 1)
+    near, fine = np.zeros((4, len(own)), np.int64), np.zeros((4, len(own)), np.int64)
+    group = (own - 1) % pseudolm.GROUPS
+    gain = net.log_probabilities(near, pseudolm.FREQUENT + group, fine, own) - net.log_probabilities(near, pseudolm.FREQUENT + group)
+    assert np.allclose(np.bincount(group, weights=np.exp(gain)), 1, atol=1e-4)
+    assert np.abs(net.fine[own]).sum(axis=1).all() and len(np.unique(net.fine[own], axis=0)) == len(own)
