@@ -6,7 +6,8 @@ of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from millrace.bindings.base import Tables
 from millrace.llm import mixing, neardup, pieces, quality
@@ -34,8 +35,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids with merge dropout, and whether they decode to the text."""
-    return pieces.encode(docs.select(*COLUMNS), verify="lossless")
+    """Piece ids with merge dropout, drawn anew for each copy of a document, and whether they decode to the text."""
+    again = Window.partitionBy("doc_id", "source", F.xxhash64("text")).orderBy("lang", "n_chars")
+    numbered = docs.select(*COLUMNS, F.row_number().over(again).alias("copy"))
+    return pieces.encode(numbered, verify="lossless", key=["doc_id", "source", "copy"]).drop("copy")
 
 
 STAGES = [("quality", good_quality), ("near_dedup", near_dedup), ("mix", mix), ("encode", encode)]

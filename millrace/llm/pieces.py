@@ -11,7 +11,9 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
+from collections.abc import Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +25,9 @@ from millrace.llm.words import append_columns, mix
 
 #: Vocabulary file on every executor.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Segmentations that a unit can have under one seed.
-VARIANTS = 4
-#: Consecutive units of a text that take the same one of these segmentations.
-RUN = 64
-#: Units a task remembers per variant before it starts afresh, and text bytes it encodes at once; only speed and memory.
-REMEMBERED, TEXT_BYTES = 80_000, 1 << 20
+#: Units a task remembers before it starts afresh, text bytes it encodes and units it draws for at once; only speed and
+#: memory.
+REMEMBERED, TEXT_BYTES, DRAWN = 80_000, 1 << 20, 1 << 16
 #: Units of up to so many characters are segmented a block at a time, longer ones alone; pieces are the same.
 SHORT, BLOCK = 40, 4096
 SPACE = "▁"
@@ -85,9 +84,14 @@ class Pieces:
             return [self.byte_ids[b] for b in unit.encode()] if unit == SPACE else self.characters(unit)
         return self._long(unit.replace(" ", SPACE), key, int(dropout * (1 << 64)))
 
-    def segment_many(self, units: list[str], keys: np.ndarray, dropout: float) -> list[bytes]:
-        """As ``segment`` for many units, as 32-bit integers: the same agenda, worked off for a block of units at once."""
+    def segment_many(self, units: list[str], keys: np.ndarray, dropout: float, steps: list | None = None) -> list[bytes]:
+        """As ``segment`` for many units, as 32-bit integers: the same agenda, worked off for a block of units at once.
+
+        ``steps`` receives what each merge of each unit adds to its key in ``skips``, None for units segmented alone.
+        """
         out: list[bytes] = [b""] * len(units)
+        if steps is not None:
+            steps[:] = [np.empty(0, np.uint64) if len(u) == 1 else None for u in units]
         sizes = np.fromiter(map(len, units), np.int64, len(units))
         alone = (sizes > SHORT) | (sizes == 1)
         if self.bare:
@@ -98,7 +102,15 @@ class Pieces:
         rest = rest[np.argsort(sizes[rest], kind="stable")]
         for at in range(0, len(rest), BLOCK):
             block = rest[at : at + BLOCK]
-            ids, counts = self._block([units[i].replace(" ", SPACE) for i in block.tolist()], keys[block], dropout)
+            merges: list | None = None if steps is None else []
+            ids, counts = self._block([units[i].replace(" ", SPACE) for i in block.tolist()], keys[block], dropout, merges)
+            if steps is not None:
+                r, left, stop = (np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*merges) if merges else ((), (), ())))
+                order = np.argsort(r, kind="stable")
+                added = (left.astype(np.uint64) * LEFT + stop.astype(np.uint64) * STOP)[order]
+                cuts = np.searchsorted(r[order], np.arange(len(block) + 1)).tolist()
+                for i, x, y in zip(block.tolist(), cuts, cuts[1:]):
+                    steps[i] = added[x:y].copy()
             raw, ends = ids.astype(np.int32).tobytes(), (4 * np.cumsum(counts)).tolist()
             for i, x, y in zip(block.tolist(), [0, *ends], ends):
                 out[i] = raw[x:y]
@@ -110,8 +122,8 @@ class Pieces:
         at = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
         return np.where(self.pairs[at] == wanted, self.pair_rank[at], NEVER), self.pair_id[at]
 
-    def _block(self, texts: list[str], keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, ids per text).  Row r holds the symbols of text r at their first characters."""
+    def _block(self, texts: list[str], keys: np.ndarray, dropout: float, merges: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids per text); ``merges`` receives (text, left, stop) of those done.  Row r holds the symbols of text r at their first characters."""
         sizes = np.array([len(t) for t in texts])
         rows, width = len(texts), int(sizes.max())
         symbol = np.full((rows, width + 1), END, np.int64)
@@ -134,6 +146,8 @@ class Pieces:
                 skipped = draw < limit
                 rank[r[skipped], left[skipped]] = NEVER
                 r, left, middle, stop = (x[~skipped] for x in (r, left, middle, stop))
+            if merges is not None:
+                merges.append((r, left, stop))
             symbol[r, left] = union[r, left]
             after[r, left], before[r, stop] = stop, left
             rank[r, middle], alive[r, middle] = NEVER, False
@@ -182,43 +196,68 @@ def load(path: str) -> Pieces:
 
 
 class Encoder:
-    """Encodes texts a batch at a time and remembers the units met.  Results do not depend on what is remembered."""
-
-    def __init__(self, pieces: Pieces, dropout: float, seed: int, variants: int):
-        self.pieces, self.dropout, self.seed, self.variants = pieces, dropout, seed, variants if dropout else 1
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+    """Encodes texts a batch at a time.  Every merge of every occurrence of a unit has a draw of its own.
 
-    def _learn(self, variant: int, units: list[str]) -> None:
-        salt = self.seed * 1_000_003 + variant
-        keys = np.fromiter((xxhash.xxh3_64_intdigest(u, salt) for u in units), np.uint64, len(units))
-        self.known[variant].update(zip(units, self.pieces.segment_many(units, keys, self.dropout)))
+    The plain segmentation of a unit is remembered with its merges; an occurrence for which none of them is skipped has
+    it, all others are segmented.  ``kept - 1`` further segmentations of a unit met are kept for inspection.  Results
+    do not depend on what is remembered.
+    """
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Piece ids as 32-bit integers.  Runs of ``RUN`` units take a variant by seed, text length and place."""
-        for known in self.known:
-            if len(known) > REMEMBERED:
+    def __init__(self, pieces: Pieces, dropout: float, seed: int, kept: int = 1):
+        self.pieces, self.dropout, self.seed = pieces, dropout, seed
+        self.known: list[dict[str, bytes]] = [{} for _ in range(kept)]
+        self.steps: dict[str, np.ndarray | None] = {}
+
+    def _learn(self, units: list[str]) -> None:
+        steps: list = []
+        self.known[0].update(zip(units, self.pieces.segment_many(units, np.zeros(len(units), np.uint64), 0, steps)))
+        self.steps.update(zip(units, steps))
+
+    def _drawn(self, units: list[str], keys: np.ndarray) -> np.ndarray:
+        """Places of the units of which the plain segmentation has a merge that is skipped, or is not known to have none."""
+        steps = [self.steps[u] for u in units]
+        alone = np.array([x is None for x in steps])
+        steps = [np.empty(0, np.uint64) if x is None else x for x in steps]
+        many = np.fromiter(map(len, steps), np.int64, len(steps))
+        draws = (np.repeat(keys, many) + np.concatenate(steps)) * SPREAD
+        skipped = np.repeat(np.arange(len(units)), many)[draws < np.uint64(min(int(self.dropout * (1 << 64)), _MASK))]
+        alone[skipped] = True
+        return np.flatnonzero(alone)
+
+    def encode(self, texts: list[str | None], keys: list | None = None) -> list[bytes]:
+        """Piece ids as 32-bit integers.  Draws follow from seed, text, the text's entry of ``keys``, and character."""
+        if len(self.known[0]) > REMEMBERED:
+            for known in [*self.known, self.steps]:
                 known.clear()
-        known = self.known
-        cut: list[list[tuple[int, list[str]]]] = []
-        new: list[set[str]] = [set() for _ in known]
-        for text in texts:
-            units = self.pieces.units.findall(" " + text) if text else []
-            starts = range(0, len(units), RUN)
-            first = np.uint64((self.seed << 32) + len(text or ""))
-            places = (mix(np.arange(len(starts), dtype=np.uint64) + first) % np.uint64(self.variants)).tolist()
-            runs = [(v, units[at : at + RUN]) for v, at in zip(places, starts)]
-            for v, run in runs:
-                new[v].update(run)
-            cut.append(runs)
-        for variant, units in enumerate(new):
-            self._learn(variant, list(units.difference(known[variant])))
-        return [b"".join([i for v, run in runs for i in map(known[v].__getitem__, run)]) for runs in cut]
-
-
-def encode(df: DataFrame, dropout: float = 0.1, seed: int = 1, variants: int = VARIANTS, model: str = MODEL, text: str = "text", ids: str = "ids", verify: str | None = None) -> DataFrame:
+        plain = self.known[0]
+        cut = [self.pieces.units.findall(" " + text) if text else [] for text in texts]
+        units = list(chain.from_iterable(cut))
+        if new := [u for u in dict.fromkeys(units) if u not in plain]:
+            self._learn(new)
+        found = list(map(plain.__getitem__, units))
+        sizes = np.array([len(c) for c in cut], np.int64)
+        if self.dropout and units:
+            own = np.fromiter((xxhash.xxh3_64_intdigest(f"{key}:{text}".encode(), self.seed) for text, key in zip(texts, keys or [""] * len(texts))), np.uint64, len(texts))
+            ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
+            starts = np.concatenate([[0], ends])[np.cumsum(sizes) - sizes]
+            places = mix(mix((ends - np.repeat(starts, sizes)).astype(np.uint64)) ^ np.repeat(own, sizes))
+            for at in range(0, len(units), DRAWN):
+                part, part_keys = units[at : at + DRAWN], places[at : at + DRAWN]
+                drawn = self._drawn(part, part_keys)
+                again = [part[i] for i in drawn.tolist()]
+                for n, (i, u, ids) in enumerate(zip(drawn.tolist(), again, self.pieces.segment_many(again, part_keys[drawn], self.dropout))):
+                    found[at + i] = ids
+                    if len(self.known) > 1:
+                        self.known[1 + n % (len(self.known) - 1)][u] = ids
+        bounds = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+        return [b"".join(found[x:y]) for x, y in zip(bounds, bounds[1:])]
+
+
+def encode(df: DataFrame, dropout: float = 0.1, seed: int = 1, model: str = MODEL, text: str = "text", ids: str = "ids", verify: str | None = None, key: Sequence[str] = ()) -> DataFrame:
     """``df`` with a column ``ids`` (array of int) of piece ids and ``n_tokens`` (long) of their number.
 
-    Equal texts get equal ids under one seed; another seed gives other segmentations, ``dropout = 0`` the plain one.
+    Rows of equal text get equal ids under one seed if they are equal in the columns ``key`` too; another key or seed
+    gives other segmentations, ``dropout = 0`` the plain one.
     A null text has null ids and 0 tokens, an empty text no ids.  ``verify`` names a further column that tells whether
     the ids decode to the text.  Columns named like the new ones are replaced; all others stay as they are.  Texts are
     handled whole; an empty table gives an empty result.
@@ -227,11 +266,11 @@ def encode(df: DataFrame, dropout: float = 0.1, seed: int = 1, variants: int = V
 
     def make():
         pieces = load(model)
-        encoder = Encoder(pieces, dropout, seed, variants)
+        encoder = Encoder(pieces, dropout, seed)
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             texts = batch.column("text").to_pylist()
-            coded = encoder.encode(texts)
+            coded = encoder.encode(texts, batch.column("key").to_pylist())
             counts = np.array([len(c) // 4 for c in coded], np.int64)
             absent = np.array([t is None for t in texts] + [False])
             bounds = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), mask=absent)
@@ -242,7 +281,8 @@ def encode(df: DataFrame, dropout: float = 0.1, seed: int = 1, variants: int = V
 
         return work
 
-    return append_columns(df, {"text": F.col(text).cast("string")}, new, make, by="text", limit=TEXT_BYTES)
+    keys = F.to_json(F.struct(*[F.col(k) for k in key])) if key else F.lit("")
+    return append_columns(df, {"text": F.col(text).cast("string"), "key": keys}, new, make, by="text", limit=TEXT_BYTES)
 
 
 def decode(df: DataFrame, model: str = MODEL, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

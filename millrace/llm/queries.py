@@ -108,4 +108,4 @@ def pseudo_likelihood(t: Tables) -> DataFrame:
 
 @register("op10_pieces")
 def encode_pieces(t: Tables) -> DataFrame:
-    return pieces.encode(t.documents.select("doc_id", "text"), verify="lossless").drop("text")
+    return pieces.encode(t.documents.select("doc_id", "text"), verify="lossless", key=["doc_id"]).drop("text")

@@ -91,3 +91,26 @@ def test_tables(spark):
         assert r.decoded == r.text and (r.ids is None) == (r.text is None) and r.n_tokens == len(r.ids or []) and (r.c0, r.n0, r.id) == (5, 6, "x")
     assert all(r.lossless for r in pieces.encode(df, verify="lossless").collect())
     assert pieces.encode(frame(spark, [])).collect() == []
+
+
+def test_every_occurrence_is_drawn(model):
+    """Occurrences of a word within one run differ, as do copies of a text; each follows from its own key alone."""
+    word = "extraordinarily "
+    one, two = pieces.Encoder(model, 0.3, 1).encode([word * 60] * 2, ["a", "b"])
+    assert one != two and pieces.Encoder(model, 0.3, 1).encode([word * 60], ["b"]) == [two]
+    words = model.decode(np.frombuffer(one, np.int32).tolist()).decode().split()
+    starts, cuts = [], []
+    for i in np.frombuffer(one, np.int32).tolist():
+        piece = model.bytes[i].decode()
+        if piece.startswith(" "):
+            starts.append([])
+        starts[-1].append(piece)
+    cuts = {tuple(x) for x in starts if "".join(x) == " extraordinarily"}
+    assert len(words) == 60 and len(cuts) > 8
+
+
+def test_copies_are_drawn_apart(spark):
+    import corpus_pipeline
+
+    df = frame(spark, [(1, "several extraordinarily long documents " * 20, "s")] * 3)
+    assert len({tuple(r.ids) for r in corpus_pipeline.encode(spark, df, "").collect()}) == 3
