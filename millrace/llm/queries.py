@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from millrace.bindings.base import Tables
-from millrace.llm import forest, mixing, neardup, ordermin, packing, pieces, pseudolm, quality, sharding, warc
+from millrace.llm import forest, mixing, neardup, ordermin, packing, partenum, pieces, pseudolm, quality, sharding, warc
 from millrace.llm.words import word_count
 
 MIX_WEIGHTS = (1, 2, 3)
@@ -109,3 +109,8 @@ def pseudo_likelihood(t: Tables) -> DataFrame:
 @register("op10_pieces")
 def encode_pieces(t: Tables) -> DataFrame:
     return pieces.encode(t.documents.select("doc_id", "text"), verify="lossless", key=["doc_id"]).drop("text")
+
+
+@register("op13_spelling_variants")
+def spelling_variants(t: Tables) -> DataFrame:
+    return partenum.spelling_variants(t.documents)
