@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from millrace.bindings.base import Tables
-from millrace.llm import forest, mixing, neardup, ordermin, packing, partenum, pieces, pseudolm, quality, sharding, warc
+from millrace.llm import alignment, forest, mixing, neardup, ngramjoin, ordermin, packing, partenum, pieces, pseudolm, quality, sharding, warc
 from millrace.llm.words import word_count
 
 MIX_WEIGHTS = (1, 2, 3)
@@ -114,3 +114,13 @@ def encode_pieces(t: Tables) -> DataFrame:
 @register("op13_spelling_variants")
 def spelling_variants(t: Tables) -> DataFrame:
     return partenum.spelling_variants(t.documents)
+
+
+@register("op12_ngram_join")
+def ngram_join(t: Tables) -> DataFrame:
+    return ngramjoin.similar_texts(t.documents)
+
+
+@register("op11_token_alignment")
+def token_alignment(t: Tables) -> DataFrame:
+    return alignment.with_corpus_counts(alignment.align(t.documents))
