@@ -9,7 +9,7 @@ import io
 import re
 import uuid
 import zipfile
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyarrow import fs
@@ -325,6 +325,44 @@ select 'rows' as output, good as n from k union all select 'errors', bad + empty
 )
 
 
+def _imported_grown(t: Tables):
+    """Batches with more and more columns; the last repeats rows of the others and brings rows that differ in a new column only."""
+    path = scratch(t, "grown")
+    raw = _raw(t).where(F.col("id").cast("long") % 10 < 3).drop("kind").withColumn("unit", F.lit("mm"))
+    first, other = F.col("id").cast("long") % 2 == 0, F.col("unit") == "in"
+    later = raw.unionByName(raw.withColumn("unit", F.lit("in"))).withColumn("line", F.lit("A"))
+    spec = ImportSpec("at", {"value": "REAL"})
+    for number, batch in enumerate((raw.where(first).drop("unit"), raw.where(~first), later.where(other | ~first).drop("line"), later.where(other), raw.where(first).drop("unit"))):
+        flows.import_micro_batch(batch, number, spec, path)
+    return store.read_rows(t.spark, f"{path}/rows", "at").select("id", "value", "unit", "line")
+
+
+R.add(
+    "L2_A18_import_grown_columns",
+    _imported_grown,
+    """with e as (select event_id::varchar as id, value, event_id % 2 = 0 as first from events where event_id % 10 < 3)
+select id, value, null::varchar as unit, null::varchar as line from e where first union all select id, value, 'mm', null from e where not first
+union all select id, value, 'in', null from e union all select id, value, 'in', 'A' from e""",
+)
+
+
+def _rows_grown(t: Tables):
+    """A table whose second part has a column that the first lacks, and whose third lacks one."""
+    path = scratch(t, "grown")
+    df = lineitem_with_id(t).select("l_id", "l_shipdate", "l_quantity", "l_tax")
+    for rest, gone in ((0, ["l_tax"]), (1, []), (2, ["l_quantity"])):
+        store.append_rows(df.where(F.col("l_id").cast("long") % 3 == rest).drop(*gone), path, "l_shipdate")
+    return store.read_rows(t.spark, path, "l_shipdate", datetime(1997, 3, 15), datetime(1997, 6, 2)).select("l_id", "l_quantity", "l_tax")
+
+
+R.add(
+    "A18_A19_grown_columns",
+    _rows_grown,
+    f"""select l_id, case when l_id % 3 <> 2 then l_quantity end as l_quantity, case when l_id % 3 <> 0 then l_tax end as l_tax
+from (select {SQL_ID} as l_id, * from lineitem) where l_shipdate >= timestamp '1997-03-15' and l_shipdate < timestamp '1997-06-02'""",
+)
+
+
 def _counted_down(t: Tables):
     """Every event is added, and every third one deleted again."""
     path = scratch(t, "changes")
@@ -363,22 +401,31 @@ select f as term_from, f + interval '12 hours' as term_to, count(value) as n, ro
 )
 
 
-def _linked_stream(t: Tables):
+def _linked_streams(t: Tables):
+    """Errors and purchases arrive in five batches, every purchase one batch after the errors of its time or later."""
     path = scratch(t, "link")
-    left = _events_stream(t).where(F.col("event_type") == "error").select(
-        F.col("event_id").alias("err_id"), F.col("user_id").alias("err_user"), F.col("ts").alias("err_ts")
-    )
-    right = t.events.where(F.col("event_type") == "purchase").select(
-        F.col("event_id").alias("buy_id"), F.col("user_id").alias("buy_user"), F.col("ts").alias("buy_ts")
-    )
+    starts = t.events.where("event_type = 'error'").select(F.col("event_id").alias("err_id"), F.col("user_id").alias("err_user"), F.col("ts").alias("err_ts"))
+    targets = t.events.where("event_type = 'purchase'").select(F.col("event_id").alias("buy_id"), F.col("user_id").alias("buy_user"), F.col("ts").alias("buy_ts"))
+    low, high = t.events.agg(F.min("ts"), F.max("ts")).first()
+    step = (high - low) / 4
+    period = F.floor((F.unix_micros("ts") - F.unix_micros(F.lit(low))) / (step / timedelta(microseconds=1)))
+    late = (period + 1 + (F.col("buy_id") % 5 == 0).cast("int")).alias("arrival")
+    starts.withColumnRenamed("err_ts", "ts").select("*", period.alias("arrival")).withColumnRenamed("ts", "err_ts").write.partitionBy("arrival").parquet(f"{path}/starts")
+    targets.withColumnRenamed("buy_ts", "ts").select("*", late).withColumnRenamed("ts", "buy_ts").write.partitionBy("arrival").parquet(f"{path}/targets")
     how = {"left_time": "err_ts", "right_time": "buy_ts", "delta_minutes": 600, "cut_off_minutes": 480, "keys": [LinkKey("err_user", "buy_user")]}
-    flows.link_stream(left, lambda spark: right, f"{path}/out", f"{path}/checkpoint", **how).awaitTermination()
-    return t.spark.read.parquet(f"{path}/out").select("err_id", "buy_id")
+    for arrival in range(7):
+        for name, df in (("starts", starts), ("targets", targets)):
+            came = t.spark.read.parquet(f"{path}/{name}").where(F.col("arrival") == arrival).drop("arrival")
+            came.write.mode("append").parquet(f"{path}/in/{name}")
+        streams = [flows.new_file_stream(t.spark, f"{path}/in/{name}", df.schema) for name, df in (("starts", starts), ("targets", targets))]
+        flows.link_streams(*streams, f"{path}/out", f"{path}/checkpoint", delay=step, **how).awaitTermination()
+    flows.close_links(t.spark, f"{path}/out", **how)
+    return t.spark.read.parquet(f"{path}/out/links").select("err_id", "buy_id")
 
 
 R.add(
     "L6_time_link_stream",
-    _linked_stream,
+    _linked_streams,
     """with e as (select event_id as err_id, user_id as eu, ts as et from events where event_type = 'error'),
 b as (select event_id as buy_id, user_id as bu, ts as bt from events where event_type = 'purchase'),
 j as (select err_id, buy_id, abs(epoch_us(bt) - epoch_us(et) - 36000000000) as d from e left join b on eu = bu and bt > et

@@ -153,8 +153,11 @@ def import_batch(raw: DataFrame, spec: ImportSpec, stored: DataFrame | Callable[
         lo, hi = kept.agg(F.min(spec.time), F.max(spec.time)).first()
         stored = stored(lo, hi) if lo is not None else None
     if stored is not None:
-        shared = [c for c in kept.columns if c in stored.columns]
-        fresh = written(not_stored(kept, stored, spec.time, shared))
+        # a column that one side lacks is NULL there
+        for c in (c for c in stored.columns if c not in kept.columns):
+            stored = stored.where(F.col(c).isNull())
+        stored = stored.withColumns({f.name: F.lit(None).cast(f.dataType) for f in kept.schema if f.name not in stored.columns})
+        fresh = written(not_stored(kept, stored, spec.time, kept.columns))
     return ImportResult(fresh, errors, dropped, aggregate.hourly_counts(fresh, spec.time))
 
 

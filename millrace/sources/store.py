@@ -11,6 +11,7 @@ from datetime import datetime
 import pandas as pd
 from pyarrow import fs
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,21 +23,44 @@ def with_month(df: DataFrame, time: str) -> DataFrame:
     return df.withColumn("ym", F.date_format(time, "yyyyMM"))
 
 
-def append_rows(df: DataFrame, path: str, time: str, mode: str = "append") -> None:
+def append_rows(df: DataFrame, path: str, time: str, mode: str = "append", table: str | None = None) -> None:
     """Write to month folders.  Rows are brought together by month; the runtime splits months that are large and joins
-    small ones, so the number of files follows the data."""
+    small ones, so the number of files follows the data.  ``table`` is the folder to be read, if it holds ``path``."""
+    note_columns(df, table or path)
     with_month(df, time).hint("rebalance", F.col("ym")).write.mode(mode).partitionBy("ym").parquet(path)
 
 
+def note_columns(df: DataFrame, table: str) -> None:
+    """Keep the columns of a table beside it, in a folder that readers of its rows pass over.
+
+    An empty file is added only when there are columns that the table did not have, so there are as many files as the
+    table has grown, and a reader needs no footers of data files.
+    """
+    known = noted_columns(df.sparkSession, table)
+    if known is None or not set(df.columns) <= set(known.names):
+        df.limit(0).coalesce(1).write.mode("append").parquet(f"{table}/_columns")
+
+
+def noted_columns(spark: SparkSession, table: str) -> T.StructType | None:
+    """All columns a table has ever been given."""
+    try:
+        return spark.read.option("mergeSchema", True).parquet(f"{table}/_columns").schema
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return None
+
+
 def read_rows(
     spark: SparkSession, path: str, time: str, start: datetime | None = None, end: datetime | None = None,
     schema: T.StructType | None = None, without_batch: int | str | None = None,
 ) -> DataFrame:
     """Rows of a time range; month folders outside it are not listed for reading.
 
-    ``schema`` names the stored columns, where they have grown since the first files; else one file's footer tells
-    them.  ``without_batch`` leaves out what one import batch has written.
+    The columns are all that the table has been given (``note_columns``), NULL in files from before them; ``schema``
+    names others.  ``without_batch`` leaves out what one import batch has written.
     """
+    schema = noted_columns(spark, path) if schema is None else schema
     reader = spark.read if schema is None else spark.read.schema(schema)
     df = reader.parquet(path)
     if without_batch is not None and "batch" in df.columns:
@@ -54,7 +78,7 @@ def write_import(result: ImportResult, path: str, time: str, batch: int | str) -
     A batch that is written again replaces what it wrote before, all four outputs alike, so a run that broke off
     between them is made good by the repetition.
     """
-    append_rows(result.good, f"{path}/rows/batch={batch}", time, "overwrite")
+    append_rows(result.good, f"{path}/rows/batch={batch}", time, "overwrite", f"{path}/rows")
     for name in ("errors", "duplicates", "counts"):
         getattr(result, name).write.mode("overwrite").parquet(f"{path}/{name}/batch={batch}")
 
