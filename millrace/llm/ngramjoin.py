@@ -38,6 +38,8 @@ EXTRA = 10
 BROADCAST_KEYS = 500_000
 #: Pairs of one leader that meet its set in one task; a leader's set is repeated for every further such number.
 PAIRS_TOGETHER = 1024
+#: Counts of grams that are told apart in the order.
+MOST = 1 << 16
 #: Stands for all grams that only a leader has; larger than any other number, so it comes last among equal counts.
 LONE = (1 << 63) - 1
 #: Grams between two pivots of the suffix filter, and the most pivots.
@@ -93,6 +95,45 @@ def _small(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
+def counted(rows: DataFrame) -> DataFrame:
+    """Rows of ``rows(gram, node)`` whose gram occurs more than once, with the ``count``; higher counts than MOST are MOST.
+
+    One exchange: rows sorted by gram stream through tasks that hold at most MOST rows of a gram.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, full_gram = None, None
+
+        def emit(rows: pa.RecordBatch) -> pa.RecordBatch:
+            gram = rows.column("gram").to_numpy(zero_copy_only=False)
+            start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+            many = np.diff(np.concatenate([start, [len(gram)]]))
+            if full_gram is not None:
+                many = np.where(gram[start] == full_gram, MOST, many)
+            many = np.repeat(np.minimum(many, MOST), np.diff(np.concatenate([start, [len(gram)]])))
+            at = pa.array(np.flatnonzero(many > 1))
+            return pa.RecordBatch.from_arrays([rows.column("gram").take(at), rows.column("node").take(at), pa.array(many[many > 1])], ["gram", "node", "count"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if held is None else pa.concat_batches([held, batch])
+            gram = rows.column("gram").to_numpy(zero_copy_only=False)
+            tail, last = int(np.searchsorted(gram, gram[-1], side="left")), gram[-1]
+            if tail:
+                yield emit(rows.slice(0, tail))
+            held = rows.slice(tail)
+            full_gram = full_gram if full_gram == last else None
+            if held.num_rows >= MOST or full_gram is not None:
+                full_gram = last
+                yield emit(held)
+                held = None
+        if held is not None and held.num_rows:
+            yield emit(held)
+
+    return rows.select("gram", "node").repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "gram long, node long, count long")
+
+
 def pivot_counts(grams: np.ndarray, n: int) -> np.ndarray:
     """Grams between each two of the pivots that a set of n grams uses; pivots halve with the low bits of a gram."""
     pivots = 1 << max(0, min(MOST_PIVOTS.bit_length() - 1, (max(n, 1) // PIVOT_GRAMS).bit_length() - 1))
@@ -231,15 +272,16 @@ class _Join:
 def _sets(texts: DataFrame, classes: DataFrame, marked: DataFrame, percent: int, width: int) -> DataFrame:
     """(node, n, alone, grams) of the texts that can have a partner."""
     spread = marked.join(_small(classes.select("row", "node", "n")), "row").select("node", F.explode("prefix").alias("gram"))
-    shared = spread.groupBy("gram").count().filter("count > 1").select("gram")
-    found = spread.join(shared, "gram").groupBy("node").agg(F.count("*").alias("found"))
+    found = counted(spread).groupBy("node").agg(F.count("*").alias("found"))
     least = F.greatest(F.lit(1), F.floor(least_overlap(F.col("n"), percent) / EXTRA))
-    alive = _small(classes.join(found, "node").filter(F.col("found") >= least).select("class", F.col("id").alias("first"), "node", "n"))
-    rows = texts.join(alive, (texts["class"] == alive["class"]) & texts["id"].eqNullSafe(alive["first"])).select("node", "n", "text")
-    grams = written(_grams(rows, width)).dropDuplicates(["node"])
-    each = grams.select("node", "n", F.explode("grams").alias("gram"))
-    counts = each.groupBy("gram").count().filter("count > 1")
-    lists = each.join(counts, "gram").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("count", "gram"))).alias("list"))
+    alive = settle(classes.join(found, "node").filter(F.col("found") >= least).select("class", F.col("id").alias("first"), "node", "n"))
+    keys = _small(alive.select("class", "first", "node", "n"))
+    rows = texts.join(keys, (texts["class"] == keys["class"]) & texts["id"].eqNullSafe(keys["first"])).select("node", "n", "text")
+    grams = written(_grams(rows, width))
+    if grams.count() > alive.count():  # a text repeated under one id came more than once
+        grams = grams.dropDuplicates(["node"])
+    shared = counted(grams.select("node", F.explode("grams").alias("gram")))
+    lists = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("count", "gram"))).alias("list")).join(alive.select("node", "n"), "node")
     lists = lists.filter(F.size("list") >= least_overlap(F.col("n"), percent))
     return written(lists.select("node", "n", (F.col("n") - F.size("list")).alias("alone"), F.col("list.gram").alias("grams")))
 
