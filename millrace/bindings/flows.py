@@ -21,7 +21,7 @@ from millrace.bindings.base import Registry, Tables, rounded
 from millrace.bindings.links import SQL_ID, lineitem_with_id
 from millrace.plans.importer import ImportSpec, import_batch
 from millrace.plans.ingest import ingest_files, scan_columns
-from millrace.session import shared_dir
+from millrace.session import shared_dir, written
 from millrace.sources import files, store
 from millrace.spec import LinkKey
 from millrace.streaming import flows
@@ -45,6 +45,45 @@ R.add("A1_read_csv", lambda t: files.read_delimited(t.spark, _csv(t)), f"select
 R.add("A1_read_tsv", lambda t: files.read_delimited(t.spark, _csv(t, "\t"), delimiter="\t"), f"select {LINE_TEXT} from lineitem")
 
 
+SPLIT = {"spark.sql.files.maxPartitionBytes": "256k", "spark.sql.files.openCostInBytes": "64k"}
+NOTE = "'Order ' || l_orderkey || case l_orderkey % 4 when 0 then ', part \"' || l_partkey || '\"' when 1 then chr(10) || 'second line;' || chr(10) || ',' when 2 then '' else ' plain' end"
+
+
+def _noted(t: Tables, titles: list[str]) -> str:
+    """Line items with a quoted note that holds delimiters, quotes and line ends; every file with its own title lines and header."""
+    path = scratch(t, "noted")
+    note = F.concat(F.lit('"'), F.replace(F.expr(NOTE), F.lit('"'), F.lit('""')), F.lit('"'))
+    lines = t.lineitem.repartition(4).select(F.concat_ws(",", "l_orderkey", "l_linenumber", note, F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss")).alias("value"))
+    head = [*titles, "l_orderkey,l_linenumber,note,l_shipdate"]
+
+    def with_head(batches):
+        yield pd.DataFrame({"value": head})
+        yield from batches
+
+    lines.mapInPandas(with_head, "value string").write.text(path)
+    return path
+
+
+def _read_noted(titles: list[str]):
+    def build(t: Tables):
+        path = _noted(t, titles)
+        before = {name: t.spark.conf.get(name) for name in SPLIT}
+        for name, value in SPLIT.items():  # so that one file has several splits
+            t.spark.conf.set(name, value)
+        try:
+            return written(files.read_delimited(t.spark, path, preamble=[*titles, "l_orderkey,l_linenumber,note,l_shipdate"] if titles else ()))
+        finally:
+            for name, value in before.items():
+                t.spark.conf.set(name, value)
+
+    return build
+
+
+NOTED = f"select l_orderkey::varchar as l_orderkey, l_linenumber::varchar as l_linenumber, {NOTE} as note, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') as l_shipdate from lineitem"
+R.add("A1_read_quoted_line_ends", _read_noted([]), NOTED)
+R.add("A1_read_quoted_line_ends_titled", _read_noted(["shipments, of the plant", "by order"]), NOTED)
+
+
 def _described(t: Tables):
     out = files.describe_files(t.spark, _csv(t, ";"), "*.csv")
     return out.select("encoding", "delimiter", "skip", F.concat_ws(",", "header").alias("header")).distinct()
@@ -200,6 +239,18 @@ R.add(
 )
 
 
+def _ingested_notes(t: Tables):
+    df = ingest_files(t.spark, _noted(t, ["shipments of the plant"]), "l_shipdate", "*.txt").good
+    return df.groupBy(F.year("l_shipdate").alias("y"), F.length("note").alias("note_size")).agg(F.count("*").alias("n"))
+
+
+R.add(
+    "A23_ingest_quoted_line_ends",
+    _ingested_notes,
+    f"select year(l_shipdate)::int as y, length(rtrim(note, chr(34)))::int as note_size, count(*) as n from (select distinct l_orderkey, l_linenumber, {NOTE} as note, l_shipdate from lineitem) group by 1, 2",
+)
+
+
 def _mixed_folder(t: Tables) -> str:
     """Files of different shapes: plain; other delimiter, title line and column order; Shift-JIS; two members in a zip."""
     path = scratch(t, "mixed")

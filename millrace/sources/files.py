@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.operators.reshape import number_names
+from millrace.sources import records
 
 HEAD_BYTES = 65_536
 DELIMITERS = [",", "\t", ";"]
@@ -132,15 +133,18 @@ def describe_files(spark: SparkSession, path: str, glob: str = "*", skip: int |
 def read_delimited(spark: SparkSession, path: str | Sequence[str], header: Sequence[str] | None = None, delimiter: str = ",", encoding: str = "UTF-8", preamble: Sequence[str] = ()) -> DataFrame:
     """All columns as text.
 
-    Files that start with their header use Spark's splittable reader.  For files with lines before it, those
-    ``preamble`` lines (see ``describe_files``) are taken out of the text and every other line is parsed.
+    Files that start with their header use Spark's reader.  For files with lines before it, as many lines as
+    ``preamble`` has (see ``describe_files``) are left out at the start of each.  Where quoted values hold line ends,
+    records are put together first (``records.read_records``).  Files are split in every case.
     """
-    if len(preamble) > 1:
-        names = number_names(list(header or next(csv.reader([preamble[-1]], delimiter=delimiter))))
-        schema = T.StructType([T.StructField(n.strip(), T.StringType()) for n in names])
-        lines = spark.read.option("encoding", encoding).text(path)
-        lines = lines.where((F.trim("value") != "") & ~F.col("value").isin(list(preamble)))
-        return lines.select(F.from_csv("value", _ddl(schema), {"sep": delimiter}).alias("r")).select("r.*")
+    if len(preamble) > 1 or records.has_open_lines(spark, path, delimiter, encoding):
+        if header is None and len(preamble) <= 1:
+            header = [re.sub(r"^_c(\d+)$", r"column_\1", c) for c in spark.read.csv(path, sep=delimiter, header=True, encoding=encoding, enforceSchema=False).columns]
+            preamble = ("",)
+        names = number_names([n.strip() for n in header or next(csv.reader([preamble[-1]], delimiter=delimiter))])
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        rows = records.read_records(spark, path, delimiter, encoding, len(preamble))
+        return rows.select(F.from_csv("value", _ddl(schema), {"sep": delimiter, "escape": '"', "maxCharsPerColumn": "-1"}).alias("r")).select("r.*")
     if header is not None:
         schema = T.StructType([T.StructField(n, T.StringType()) for n in number_names(list(header))])
         return spark.read.csv(path, sep=delimiter, schema=schema, header=False, encoding=encoding)
