@@ -247,7 +247,7 @@ def _ingested_notes(t: Tables):
 R.add(
     "A23_ingest_quoted_line_ends",
     _ingested_notes,
-    f"select year(l_shipdate)::int as y, length(rtrim(note, chr(34)))::int as note_size, count(*) as n from (select distinct l_orderkey, l_linenumber, {NOTE} as note, l_shipdate from lineitem) group by 1, 2",
+    f"select year(l_shipdate)::int as y, length(note)::int as note_size, count(*) as n from (select distinct l_orderkey, l_linenumber, {NOTE} as note, l_shipdate from lineitem) group by 1, 2",
 )
 
 

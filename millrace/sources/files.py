@@ -51,6 +51,25 @@ def guess_header(lines: Sequence[str], delimiter: str) -> int:
     return 0
 
 
+_QUOTED = re.compile(r'(?<![^,;\t\n])"(?:[^"]|"")*"')
+
+
+def guess_shape(text: str, skip: int | None = None) -> tuple[str, int, list[str], list[str]]:
+    """(delimiter, lines before the header, header, lines up to the header) of the first lines of a file.
+
+    Quoted values are taken out for counting, so delimiters and line ends inside them do not matter.
+    """
+    text = re.sub("\r\n?", "\n", text)
+    bare = _QUOTED.sub(lambda m: "\0" * m[0].count("\n"), text).split("\n")[:100]
+    delimiter = guess_delimiter(bare)
+    before = skip
+    if before is None:
+        before = guess_header(bare, delimiter)
+        before += sum(line.count("\0") for line in bare[:before])
+    lines = text.split("\n")
+    return delimiter, before, next(csv.reader(lines[before : before + 1], delimiter=delimiter), []), lines[: before + 1]
+
+
 def split_unit(name: str) -> tuple[str, str]:
     """``name [unit]`` as (name, unit)."""
     parts = re.split(r" \[|\] |\[|\]", name)
@@ -117,11 +136,8 @@ def describe_files(spark: SparkSession, path: str, glob: str = "*", skip: int |
             for name, utf8 in zip(batch["path"], batch["utf8"]):
                 for member, head, data in _heads(name):
                     encoding = guess_encoding(data) if data is not None else "utf-8" if utf8 in (True, None) else "shift_jis"
-                    lines = head.decode(encoding, errors="ignore").splitlines()[:100]
-                    delimiter = guess_delimiter(lines)
-                    before = guess_header(lines, delimiter) if skip is None else skip
-                    names = next(csv.reader(lines[before : before + 1], delimiter=delimiter), [])
-                    rows.append((name, member, encoding, delimiter, before, [n.strip() for n in names], lines[: before + 1]))
+                    delimiter, before, names, preamble = guess_shape(head.decode(encoding, errors="ignore"), skip)
+                    rows.append((name, member, encoding, delimiter, before, [n.strip() for n in names], preamble))
             yield pd.DataFrame(rows, columns=["path", "member", "encoding", "delimiter", "skip", "header", "preamble"])
 
     schema = "path string, member string, encoding string, delimiter string, skip int, header array<string>, preamble array<string>"
@@ -179,10 +195,9 @@ def read_whole(spark: SparkSession, path: str | Sequence[str], transpose: bool =
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
                 for member, data in _members(content):
-                    lines = data.decode(guess_encoding(data), errors="replace").splitlines()
-                    delimiter = guess_delimiter(lines[:100])
-                    before = guess_header(lines[:100], delimiter) if skip is None else skip
-                    rows = list(csv.reader(lines[before:], delimiter=delimiter))
+                    text = data.decode(guess_encoding(data), errors="replace")
+                    delimiter, before, _, _ = guess_shape(text[:HEAD_BYTES], skip)
+                    rows = list(csv.reader(io.StringIO("\n".join(re.split("\r\n?|\n", text)[before:])), delimiter=delimiter))
                     if transpose:
                         rows = [list(r) for r in zip(*rows)]
                     header = number_names([h.strip() for h in rows[0]]) if rows else []
