@@ -12,10 +12,10 @@ from pyspark.sql import types as T
 
 from millrace.functions.numeric import epoch_us
 from millrace.operators import ordering
+from millrace.operators.hotkeys import spread_join
 from millrace.spec import DuplicateShow, LinkKey
 
 MINUTE = 60_000_000
-SALTS = 64
 
 
 def time_window(df: DataFrame, time: str, start: datetime | str, end: datetime | str) -> DataFrame:
@@ -51,32 +51,17 @@ def key_values(left: DataFrame, right: DataFrame, keys: Sequence[LinkKey]) -> li
     return pairs
 
 
-def _zero(cols: Sequence[Column]) -> Column:
-    """Always 0, but computed per row: a literal would be folded out of the join key and not spread anything."""
-    return F.pmod(F.xxhash64(*cols), F.lit(1)).cast("int")
-
-
 def equi_link(left: DataFrame, right: DataFrame, keys: Sequence[LinkKey], filtered: bool = False) -> DataFrame:
     """Link by equality of all keys: a left join, or an inner join when the linked process carries a filter.
 
-    Column names of both sides must differ.  Left rows without a key cannot match; they are spread over extra
-    salt values so that they do not all meet in one task.
+    Column names of both sides must differ.  Hot keys of either side, and left rows without a key, are dealt over
+    several tasks (``hotkeys.spread_join``).
     """
     pairs = key_values(left, right, keys)
     l = left.select("*", *[a.alias(f"_l{i}") for i, (a, _) in enumerate(pairs)])
     r = right.select("*", *[b.alias(f"_r{i}") for i, (_, b) in enumerate(pairs)])
-    known_l = reduce(lambda a, b: a & b, [F.col(f"_l{i}").isNotNull() for i in range(len(pairs))])
-    known_r = reduce(lambda a, b: a & b, [F.col(f"_r{i}").isNotNull() for i in range(len(pairs))])
-    r = r.where(known_r)
-    cond = [F.col(f"_l{i}") == F.col(f"_r{i}") for i in range(len(pairs))]
-    if filtered:
-        out = l.where(known_l).join(r, cond, "inner")
-    else:
-        spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(SALTS)).cast("int") + 1
-        l = l.withColumn("_ls", F.when(known_l, F.lit(0)).otherwise(spread))
-        r = r.withColumn("_rs", _zero([F.col(f"_r{i}") for i in range(len(pairs))]))
-        out = l.join(r, [*cond, F.col("_ls") == F.col("_rs")], "left").drop("_ls", "_rs")
-    return out.drop(*[f"_l{i}" for i in range(len(pairs))], *[f"_r{i}" for i in range(len(pairs))])
+    names = [f"{side}{i}" for side in ("_l", "_r") for i in range(len(pairs))]
+    return spread_join(l, r, names[: len(pairs)], names[len(pairs) :], filtered).drop(*names)
 
 
 def number_duplicates(df: DataFrame, keys: Sequence[str], time: str, tie: Sequence[str], out: str) -> DataFrame:
@@ -153,13 +138,7 @@ def time_link(
         .select("_row", *names, F.explode_outer("_at").alias("_at"))
     )
     target = right.select("*", *[b.alias(f"_r{n}") for n, (_, b) in zip(names, pairs)], r_us.alias("_rt"))
-    cond = [F.col(n) == F.col(f"_r{n}") for n in names] + [F.col("_at") == F.col("_rt")]
-    if filtered:
-        out = chosen.where(F.col("_at").isNotNull()).join(target, cond, "inner")
-    else:
-        spread = F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int") + 1
-        salted = chosen.withColumn("_ls", F.when(F.col("_at").isNotNull(), F.lit(0)).otherwise(spread))
-        out = salted.join(target.withColumn("_rs", _zero([F.col("_rt")])), [*cond, F.col("_ls") == F.col("_rs")], "left")
+    out = spread_join(chosen, target, [*names, "_at"], [*[f"_r{n}" for n in names], "_rt"], filtered)
     return out.select("_row.*", *right.columns)
 
 

@@ -6,7 +6,7 @@ number of rows it is broadcast; beyond, it is repeated per salt and the fact row
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,12 +17,12 @@ BROADCAST_ROWS = 100_000
 SALTS = 32
 
 
-def look_up(df: DataFrame, table: DataFrame, on: Sequence[tuple], how: str = "left", null_safe: bool = False) -> DataFrame:
+def look_up(df: DataFrame, table: DataFrame, on: Sequence[tuple], how: str = "left", null_safe: bool = False, keep: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
     """``df`` joined with ``table`` on pairs (expression over df, column of table); those columns are dropped.
 
-    Other columns of the table must not be named like those of ``df``.
+    Other columns of the table must not be named like those of ``df``.  ``keep`` stores the table, if it is not yet.
     """
-    table = written(table)
+    table = keep(table)
     pairs = [(left, F.col(right)) for left, right in on]
     cond = [a.eqNullSafe(b) if null_safe else a == b for a, b in pairs]
     names = [right for _, right in on]

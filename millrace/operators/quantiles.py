@@ -1,18 +1,28 @@
-"""Exact quantiles and modes without holding a group in one task.
+"""Exact quantiles and modes without sorting and without holding a group in one task.
 
-``percentile`` keeps every distinct value of a group in one aggregation buffer.  For large frames the ranks are
-located first from per-bucket counts (map-side combined), and only the buckets that hold a wanted rank are
-shuffled and sorted.
+Wanted ranks are found by digits.  A digit is a number that grows with the value, so counts per digit tell which digit
+holds a rank; only values with that digit are looked at again, with finer digits inside its smallest and largest value,
+until a digit holds one value or few values are left.  Counts, smallest and largest values are added up before the
+exchange, for all columns, groups and ranks at once, so neither rows nor hot groups are moved.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.ordering import buckets, split_rows
+from millrace.operators.lookup import look_up
+from millrace.session import settle
+
+#: Digits of a factor of e in the first pass, and of a cell in every further one.
+FIRST_DIGITS, NEXT_DIGITS = 1024, 65_536
+#: Digit of NaN, which comes after all numbers.
+LAST = (1 << 63) - 1
+#: Values left in all cells that are looked at one by one.
+FEW = 1_000_000
 
 
 def long_values(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -22,35 +32,55 @@ def long_values(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) ->
     return long.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def ranked_values(long: DataFrame, groups: Sequence[str], positions, rows: int) -> DataFrame:
+def first_digit(value: Column) -> Column:
+    """A whole number that grows with the value: about a thousand for every factor of e."""
+    digit = (F.signum(value) * F.floor(FIRST_DIGITS * F.log1p(F.abs(value)))).cast("long")
+    return F.when(F.isnan(value), F.lit(LAST)).otherwise(F.least(digit, F.lit(LAST - 1)))
+
+
+def _located(cells: DataFrame, within: Sequence[str], by: str, positions) -> DataFrame:
+    """Cells of ``within`` in the order ``by`` that hold wanted ranks: one row per cell and rank (``n``, ``pos``, ``at``).
+
+    ``positions`` is null for cells of a cell: their ranks are in the column ``wanted`` then.
+    """
+    running = Window.partitionBy(*within).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("_before", F.coalesce(F.sum("_c").over(running), F.lit(0)))
+    if positions is not None:
+        cells = cells.withColumn("n", F.sum("_c").over(Window.partitionBy(*within)))
+        wanted = F.transform(F.array_distinct(positions(F.col("n"))), lambda p: F.struct(p.cast("long").alias("pos"), p.cast("long").alias("at")))
+        cells = cells.withColumn("wanted", wanted)
+    inside = F.filter("wanted", lambda w: (w["at"] >= F.col("_before")) & (w["at"] < F.col("_before") + F.col("_c")))
+    moved = F.transform(inside, lambda w: F.struct(w["pos"].alias("pos"), (w["at"] - F.col("_before")).alias("at")))
+    return cells.withColumn("wanted", moved).where(F.size("wanted") > 0).drop("_before")
+
+
+def ranked_values(long: DataFrame, groups: Sequence[str], positions, rows: int | None = None) -> DataFrame:
     """Values at wanted 0-based ranks: one row (groups, n, pos, value).
 
     ``positions`` maps a column ``n`` (group size) to an array column of wanted ranks.
     """
     groups = list(groups)
-    b = buckets(long, ["value"], groups, rows)
-    per_bucket = b.df.groupBy(*groups, "_b").agg(F.count("*").alias("_c"))
-    running = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*groups)
-    located = (
-        per_bucket.withColumn("_before", F.coalesce(F.sum("_c").over(running), F.lit(0)))
-        .withColumn("n", F.sum("_c").over(whole))
-        .withColumn("pos", F.explode(F.array_distinct(positions(F.col("n")))))
-        .where((F.col("pos") >= F.col("_before")) & (F.col("pos") < F.col("_before") + F.col("_c")))
-        .select(*groups, "_b", "n", "pos", (F.col("pos") - F.col("_before")).alias("_at"))
-    )
-    targets = located.groupBy(*[F.col(g).alias(f"_g_{g}") for g in groups], F.col("_b").alias("_tb")).agg(
-        F.first("n").alias("n"), F.collect_list(F.struct("_at", "pos")).alias("_wanted")
-    )
-    on = [F.col("_b") == F.col("_tb")] + [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups]
-    counted = b.df.groupBy(*groups, "_b", "value").agg(F.count("*").alias("_c")).join(targets, on)
-    upto = Window.partitionBy(*groups, "_b").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        counted.withColumn("_upto", F.sum("_c").over(upto))
-        .withColumn("_w", F.explode("_wanted"))
-        .where((F.col("_w._at") < F.col("_upto")) & (F.col("_w._at") >= F.col("_upto") - F.col("_c")))
-        .select(*groups, "n", F.col("_w.pos").alias("pos"), "value")
-    )
+    long = long.select(*groups, "value").withColumn("_d", first_digit(F.col("value")))
+    summary = [F.count("*").alias("_c"), F.min("value").alias("_lo"), F.max("value").alias("_hi")]
+    cells = settle(_located(long.groupBy(*groups, "_d").agg(*summary), groups, "_d", positions))
+    found, names, few = [], [*groups, "n"], False
+    while True:
+        picked = cells.where("_lo = _hi").select(*names, F.explode("wanted").alias("_w"), F.col("_lo").alias("value"))
+        found.append(picked.select(*names, F.col("_w.pos").alias("pos"), "value"))
+        open_cells = cells.where("_lo < _hi")
+        left = None if few else open_cells.agg(F.sum("_c")).first()[0]
+        if left is None:
+            return reduce(DataFrame.union, found)
+        few = left <= FEW
+        # a row belongs to the cell of its group and first digit whose ends it lies between
+        renamed = open_cells.select(*[F.col(g).alias(f"_g_{g}") for g in groups], F.col("_d").alias("_cd"), "_lo", "_hi", "n", "wanted")
+        member = look_up(long, renamed, [*[(F.col(g), f"_g_{g}") for g in groups], (F.col("_d"), "_cd")], how="inner", null_safe=True, keep=lambda table: table)
+        member = member.where(F.col("value").between(F.col("_lo"), F.col("_hi")))
+        share = (F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+        finer = F.col("value") if few else F.floor(share * NEXT_DIGITS)
+        cell = [*groups, "_d", "_lo", "_hi"]
+        parts = member.groupBy(*cell, finer.alias("_f")).agg(F.first("n").alias("n"), F.first("wanted").alias("wanted"), F.count("*").alias("_c"), F.min("value").alias("_l"), F.max("value").alias("_h"))
+        cells = settle(_located(parts, cell, "_f", None).drop("_f", "_lo", "_hi").withColumnsRenamed({"_l": "_lo", "_h": "_hi"}))
 
 
 def quantiles(
@@ -58,22 +88,17 @@ def quantiles(
     cols: Sequence[str],
     probs: Sequence[float],
     keys: Sequence[str] = (),
-    method: str = "linear",
+    method: str | Sequence[str] = "linear",
     names: Sequence[str] | None = None,
-    rows: int | None = None,
 ) -> DataFrame:
     """Exact quantiles of each column per key: rows (keys, variable, <names>).
 
-    ``linear`` interpolates between neighbours; ``midpoint`` takes their mean.  ``rows`` is an upper bound of the
-    row count when the caller has counted already.
+    ``linear`` interpolates between neighbours; ``midpoint`` takes their mean.  ``method`` may differ by quantile.
     """
+    methods = [method] * len(probs) if isinstance(method, str) else list(method)
     names = list(names or [f"p{round(p * 100):d}" for p in probs])
     long = long_values(df, cols, keys)
-    rows = (df.count() if rows is None else rows) * len(cols)
     groups = [*keys, "variable"]
-    if rows <= split_rows(df) and method == "linear":
-        found = long.groupBy(*groups).agg(F.percentile("value", F.array(*[F.lit(float(p)) for p in probs])).alias("_q"))
-        return found.select(*groups, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
 
     def spot(n, p):
         return F.lit(float(p)) * (n - 1)
@@ -81,7 +106,7 @@ def quantiles(
     def positions(n):
         return F.array(*[f(spot(n, p)).cast("long") for p in probs for f in (F.floor, F.ceil)])
 
-    found = ranked_values(long, groups, positions, rows)
+    found = ranked_values(long, groups, positions)
     aggs = [F.first("n").alias("_n")]
     n = F.col("n")
     for i, p in enumerate(probs):
@@ -89,10 +114,10 @@ def quantiles(
         aggs.append(F.max(F.when(F.col("pos") == F.ceil(spot(n, p)), F.col("value"))).alias(f"_hi{i}"))
     wide = found.groupBy(*groups).agg(*aggs)
     out = []
-    for i, (p, name) in enumerate(zip(probs, names)):
+    for i, (p, name, how) in enumerate(zip(probs, names, methods)):
         lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
         at = spot(F.col("_n"), p)
-        share = at - F.floor(at) if method == "linear" else F.lit(0.5)
+        share = at - F.floor(at) if how == "linear" else F.lit(0.5)
         value = F.when(lo == hi, lo).otherwise(lo + (hi - lo) * share)
         out.append(value.alias(name))
     return wide.select(*groups, *out)

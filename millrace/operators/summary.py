@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.numeric import is_finite
@@ -79,53 +79,64 @@ def _capability(limits: Limits, mean: str, sigma: str) -> tuple[str, str]:
     return cp, f"least(try_divide({hi} - {mean}, {three}), try_divide({mean} - {lo}, {three}))"
 
 
-def valid_rows(df: DataFrame, x: str, limits: Limits) -> DataFrame:
-    """Rows inside the validity period; all rows when it covers every event time (or none is given)."""
+def validity(df: DataFrame, x: str, limits: Limits) -> Column:
+    """Whether a row is inside the validity period; all rows are when it covers every event time (or none is given)."""
     if limits.act_from is None and limits.act_to is None:
-        return df
+        return F.lit(True)
     lo, hi = df.agg(F.min(x), F.max(x)).first()
     if lo is None:
-        return df
+        return F.lit(True)
     start, end = limits.act_from or datetime.min, limits.act_to or datetime.max
     if start <= lo and hi <= end:
-        return df
+        return F.lit(True)
     test = F.col(x).isNotNull()
     if limits.act_from is not None:
         test = test & (F.col(x) >= F.lit(limits.act_from).cast("timestamp"))
     if limits.act_to is not None:
         test = test & (F.col(x) < F.lit(limits.act_to).cast("timestamp"))
-    return df.where(test)
+    return test
+
+
+def _side_by_side(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two tables of one row, or none, as one of one row."""
+    row, other = a.first(), b.first()
+    nothing = {c: F.lit(None).cast(t) for c, t in [*a.dtypes, *b.dtypes]}
+    known = (row.asDict() if row else {}) | (other.asDict() if other else {})
+    return a.sparkSession.range(1).select(*[F.lit(known.get(c)).cast(dict([*a.dtypes, *b.dtypes])[c]).alias(c) for c in nothing])
 
 
 def full_summary(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), limits: Limits = Limits()) -> DataFrame:
     """Counts, basic and non-parametric statistics of ``y`` per key; ``x`` is the event time (NULL = unlinked).
 
-    Two passes: exact percentiles first, then one aggregation that also computes the statistics trimmed to
-    Q1 - 2.5 IQR .. Q3 + 2.5 IQR.
+    The exact percentiles of both kinds are found together; one aggregation then computes the rest, with the statistics
+    trimmed to Q1 - 2.5 IQR .. Q3 + 2.5 IQR.
     """
     keys = list(keys)
     base = df.select(*keys, F.col(x).alias("_x"), F.col(y).cast("double").alias("_y"))
     base = base.withColumn("_f", F.when(is_finite(F.col("_y")), F.col("_y")))
-    rows = valid_rows(base, "_x", limits)
     names = ["p5", "p25", "median", "p75", "p95"]
-    size = base.count()
-    shape = quantiles(rows, ["_f"], [0.05, 0.25, 0.5, 0.75, 0.95], keys, names=names, rows=size).drop("variable")
-    mid = quantiles(base, ["_f"], [0.25, 0.75], keys, "midpoint", ["_m1", "_m3"], size).drop("variable")
-    over = to_rows(base, mid, keys)
-    over = over.groupBy(*keys).agg(
-        F.expr("count_if(_m3 <> _m1 AND _f > _m3 + 4.5D * (_m3 - _m1)) AS num_over_upper"),
-        F.expr("count_if(_m3 <> _m1 AND _f < _m1 - 4.5D * (_m3 - _m1)) AS num_over_lower"),
-    )
+    probs, methods = [0.05, 0.25, 0.5, 0.75, 0.95, 0.25, 0.75], ["linear"] * 5 + ["midpoint"] * 2
+    valid = validity(base, "_x", limits)
+    # quantiles of the valid rows, and midpoints of all
+    base = base.withColumns({"_valid": valid, "_g": F.when(valid, F.col("_f"))})
+    base = base.withColumns({"_a": F.col("_f"), "_y": F.when(valid, F.col("_y"))}).drop("_f").withColumnRenamed("_g", "_f")
+    columns = ["_f", "_a"] if limits.act_from is not None or limits.act_to is not None else ["_f"]
+    found = quantiles(base, columns, probs, keys, methods, [*names, "_m1", "_m3"])
+    middle = found.where(F.col("variable") == columns[-1]).select(*keys, "_m1", "_m3")
+    shape = found.where("variable = '_f'").drop("variable", "_m1", "_m3")
+    work = to_rows(base, join_on_keys(middle, shape, keys) if keys else _side_by_side(middle, shape), keys)
     trimmed = "_f BETWEEN p25 - 2.5D * (p75 - p25) AND p75 + 2.5D * (p75 - p25)"
-    work = to_rows(rows, shape, keys).withColumn("_t", F.expr(f"CASE WHEN {trimmed} THEN _f END"))
+    work = work.withColumn("_t", F.expr(f"CASE WHEN {trimmed} THEN _f END"))
     measures = {
-        "ntotal": "count(1)",
-        "count_unlinked": "count_if(_x IS NULL)",
+        "num_over_upper": "count_if(_m3 <> _m1 AND _a > _m3 + 4.5D * (_m3 - _m1))",
+        "num_over_lower": "count_if(_m3 <> _m1 AND _a < _m1 - 4.5D * (_m3 - _m1))",
+        "ntotal": "count_if(_valid)",
+        "count_unlinked": "count_if(_valid AND _x IS NULL)",
         "pn_plus": _count_beyond(">=", limits.high),
         "pn_minus": _count_beyond("<=", limits.low),
         "pn_proc_plus": _count_beyond(">=", limits.process_high),
         "pn_proc_minus": _count_beyond("<=", limits.process_low),
-        "_nulls": "count_if(_y IS NULL OR isnan(_y))",
+        "_nulls": "count_if(_valid AND (_y IS NULL OR isnan(_y)))",
         "pn_inf": "count_if(_y = double('Infinity'))",
         "pn_neg_inf": "count_if(_y = double('-Infinity'))",
         "average": "avg(_f)",
@@ -140,8 +151,9 @@ def full_summary(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), limits
         **{n: f"first({n})" for n in names},
     }
     agg = work.groupBy(*keys).agg(*[F.expr(f"{sql} AS {name}") for name, sql in measures.items()])
-    agg = join_on_keys(agg, over, keys)
-    mode = modes(rows.where(F.col("_f").isNotNull()), "_f", keys, "mode")
+    if keys:  # a group without valid rows is no group
+        agg = agg.where("ntotal > 0")
+    mode = modes(base, "_f", keys, "mode")
     agg = join_on_keys(agg, mode, keys)
     counted = agg.selectExpr(
         "*",
