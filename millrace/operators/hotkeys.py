@@ -48,15 +48,18 @@ def _number(df: DataFrame, count: str) -> Column:
     return F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.col(count)).cast("int")
 
 
-def spread_join(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_keys: Sequence[str], inner: bool, salts: int = 64) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_keys: Sequence[str], inner: bool, salts: int = 64, find: str = "lr") -> DataFrame:
     """``left`` joined with ``right`` on equal keys, inner or left; key columns stay, names of both sides must differ.
 
     Left rows without a key match nothing; they are spread over ``salts`` tasks, or dropped by an inner join.
+    ``find`` names the sides whose hot keys are looked for, which reads the keys of that side once more: not needed for
+    a side that has a key once, or for a left side that is itself a long plan (adaptive execution splits hot left keys).
     """
     known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in left_keys])
     right = right.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in right_keys]))
     left = left.where(known) if inner else left
-    hot_left, hot_right = hot_keys(left, left_keys), hot_keys(right, right_keys)
+    hot_left = hot_keys(left, left_keys) if "l" in find else None
+    hot_right = hot_keys(right, right_keys) if "r" in find else None
     l = _pieces(_pieces(left, left_keys, hot_left, left_keys, "_lp"), left_keys, hot_right, right_keys, "_rp")
     r = _pieces(_pieces(right, right_keys, hot_left, left_keys, "_lp"), right_keys, hot_right, right_keys, "_rp")
     spread = -1 - F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)).cast("int")

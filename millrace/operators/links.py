@@ -51,17 +51,17 @@ def key_values(left: DataFrame, right: DataFrame, keys: Sequence[LinkKey]) -> li
     return pairs
 
 
-def equi_link(left: DataFrame, right: DataFrame, keys: Sequence[LinkKey], filtered: bool = False) -> DataFrame:
+def equi_link(left: DataFrame, right: DataFrame, keys: Sequence[LinkKey], filtered: bool = False, find: str = "lr") -> DataFrame:
     """Link by equality of all keys: a left join, or an inner join when the linked process carries a filter.
 
     Column names of both sides must differ.  Hot keys of either side, and left rows without a key, are dealt over
-    several tasks (``hotkeys.spread_join``).
+    several tasks (``hotkeys.spread_join``, which tells ``find``).
     """
     pairs = key_values(left, right, keys)
     l = left.select("*", *[a.alias(f"_l{i}") for i, (a, _) in enumerate(pairs)])
     r = right.select("*", *[b.alias(f"_r{i}") for i, (_, b) in enumerate(pairs)])
     names = [f"{side}{i}" for side in ("_l", "_r") for i in range(len(pairs))]
-    return spread_join(l, r, names[: len(pairs)], names[len(pairs) :], filtered).drop(*names)
+    return spread_join(l, r, names[: len(pairs)], names[len(pairs) :], filtered, find=find).drop(*names)
 
 
 def number_duplicates(df: DataFrame, keys: Sequence[str], time: str, tie: Sequence[str], out: str) -> DataFrame:
@@ -138,7 +138,7 @@ def time_link(
         .select("_row", *names, F.explode_outer("_at").alias("_at"))
     )
     target = right.select("*", *[b.alias(f"_r{n}") for n, (_, b) in zip(names, pairs)], r_us.alias("_rt"))
-    out = spread_join(chosen, target, [*names, "_at"], [*[f"_r{n}" for n in names], "_rt"], filtered)
+    out = spread_join(chosen, target, [*names, "_at"], [*[f"_r{n}" for n in names], "_rt"], filtered, find="r")
     return out.select("_row.*", *right.columns)
 
 

@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.operators.lookup import look_up
 from millrace.session import settle
@@ -21,6 +22,8 @@ from millrace.session import settle
 FIRST_DIGITS, NEXT_DIGITS = 1024, 65_536
 #: Digit of NaN, which comes after all numbers.
 LAST = (1 << 63) - 1
+#: Cells with wanted ranks that go by way of the driver; more are written to the shared folder.
+LOCAL = 10_000
 #: Values left in all cells that are looked at one by one.
 FEW = 1_000_000
 
@@ -62,25 +65,64 @@ def ranked_values(long: DataFrame, groups: Sequence[str], positions, rows: int |
     groups = list(groups)
     long = long.select(*groups, "value").withColumn("_d", first_digit(F.col("value")))
     summary = [F.count("*").alias("_c"), F.min("value").alias("_lo"), F.max("value").alias("_hi")]
-    cells = settle(_located(long.groupBy(*groups, "_d").agg(*summary), groups, "_d", positions))
-    found, names, few = [], [*groups, "n"], False
+    cells = _Cells(_located(long.groupBy(*groups, "_d").agg(*summary), groups, "_d", positions))
+    found = []
     while True:
-        picked = cells.where("_lo = _hi").select(*names, F.explode("wanted").alias("_w"), F.col("_lo").alias("value"))
-        found.append(picked.select(*names, F.col("_w.pos").alias("pos"), "value"))
-        open_cells = cells.where("_lo < _hi")
-        left = None if few else open_cells.agg(F.sum("_c")).first()[0]
-        if left is None:
-            return reduce(DataFrame.union, found)
+        found.append(cells.done(groups))
+        left = cells.left
+        if not left:
+            return reduce(DataFrame.union, [f for f in found if f is not None] or [cells.nothing(groups)])
         few = left <= FEW
         # a row belongs to the cell of its group and first digit whose ends it lies between
-        renamed = open_cells.select(*[F.col(g).alias(f"_g_{g}") for g in groups], F.col("_d").alias("_cd"), "_lo", "_hi", "n", "wanted")
-        member = look_up(long, renamed, [*[(F.col(g), f"_g_{g}") for g in groups], (F.col("_d"), "_cd")], how="inner", null_safe=True, keep=lambda table: table)
+        renamed = cells.open().select(*[F.col(g).alias(f"_g_{g}") for g in groups], F.col("_d").alias("_cd"), "_lo", "_hi", "n", "wanted")
+        on = [*[(F.col(g), f"_g_{g}") for g in groups], (F.col("_d"), "_cd")]
+        if cells.rows is None:
+            member = look_up(long, renamed, on, how="inner", null_safe=True, keep=lambda table: table)
+        else:
+            member = long.join(F.broadcast(renamed), [a.eqNullSafe(F.col(b)) for a, b in on], "inner").drop(*[b for _, b in on])
         member = member.where(F.col("value").between(F.col("_lo"), F.col("_hi")))
         share = (F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
         finer = F.col("value") if few else F.floor(share * NEXT_DIGITS)
         cell = [*groups, "_d", "_lo", "_hi"]
         parts = member.groupBy(*cell, finer.alias("_f")).agg(F.first("n").alias("n"), F.first("wanted").alias("wanted"), F.count("*").alias("_c"), F.min("value").alias("_l"), F.max("value").alias("_h"))
-        cells = settle(_located(parts, cell, "_f", None).drop("_f", "_lo", "_hi").withColumnsRenamed({"_l": "_lo", "_h": "_hi"}))
+        cells = _Cells(_located(parts, cell, "_f", None).drop("_f", "_lo", "_hi").withColumnsRenamed({"_l": "_lo", "_h": "_hi"}))
+
+
+class _Cells:
+    """Cells with wanted ranks, computed once: by way of the driver up to ``LOCAL`` of them, else through the shared folder."""
+
+    def __init__(self, cells: DataFrame):
+        self.spark, self.schema = cells.sparkSession, cells.schema
+        rows = cells.limit(LOCAL + 1).collect()
+        self.rows = rows if len(rows) <= LOCAL else None
+        if self.rows is not None:
+            self.left = sum(r["_c"] for r in rows if r["_lo"] < r["_hi"])
+        else:
+            self.table = settle(cells)
+            self.left = self.table.where("_lo < _hi").agg(F.sum("_c")).first()[0] or 0
+
+    def _local(self, rows: list, schema: T.StructType) -> DataFrame:
+        return self.spark.createDataFrame(rows, schema, verifySchema=False)
+
+    def open(self) -> DataFrame:
+        """Cells of several values."""
+        return self.table.where("_lo < _hi") if self.rows is None else self._local([r for r in self.rows if r["_lo"] < r["_hi"]], self.schema)
+
+    def _result(self, groups: Sequence[str]) -> T.StructType:
+        kept = [self.schema[c] for c in (*groups, "n")]
+        return T.StructType([*kept, T.StructField("pos", T.LongType()), T.StructField("value", T.DoubleType())])
+
+    def nothing(self, groups: Sequence[str]) -> DataFrame:
+        return self._local([], self._result(groups))
+
+    def done(self, groups: Sequence[str]) -> DataFrame | None:
+        """(groups, n, pos, value) of the ranks in cells of one value."""
+        names = [*groups, "n"]
+        if self.rows is None:
+            picked = self.table.where("_lo >= _hi").select(*names, F.explode("wanted").alias("_w"), F.col("_lo").alias("value"))
+            return picked.select(*names, F.col("_w.pos").alias("pos"), "value")
+        rows = [(*[r[c] for c in names], w["pos"], r["_lo"]) for r in self.rows if not r["_lo"] < r["_hi"] for w in r["wanted"]]
+        return self._local(rows, self._result(groups)) if rows else None
 
 
 def quantiles(

@@ -148,8 +148,8 @@ def _join(joined, edge, processes, keyed, spec):
             joined = links.number_duplicates(joined, left_keys, f"{a}__{la.time}", [f"{a}__{la.id}"], "_na")
             right = links.number_duplicates(right, right_keys, f"{b}__{rb.time}", [f"{b}__{rb.id}"], "_nb")
             named = [*named, type(edge.keys[0])("_na", "_nb")]
-            return links.equi_link(joined, right, named, filtered).drop("_na", "_nb")
-        return links.equi_link(joined, right, named, filtered)
+            return links.equi_link(joined, right, named, filtered, find="").drop("_na", "_nb")
+        return links.equi_link(joined, right, named, filtered, find="")  # the linked side has a key once
     if len(timed) > 1:
         raise ValueError("one time link per edge")
     t = timed[0]
