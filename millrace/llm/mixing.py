@@ -14,7 +14,7 @@ so on, so neither a source nor its ranks are sorted or gathered anywhere.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +25,8 @@ from millrace.session import settle, written
 MOST_COPIES = 3
 #: Intervals per pass over the ranks, and passes before the few documents around the cut are put in order.
 INTERVALS, PASSES = 1024, 3
+#: Tables of one row per source, or per source and size class, are broadcast up to so many sources.
+BROADCAST_SOURCES = 20_000
 #: Cuts, each among documents no longer than the gap that the one before left.
 CUTS = 3
 
@@ -77,7 +79,7 @@ def rank(p: Column, *keys: Column) -> Column:
     return F.when(p >= 1, F.lit(0.0)).when(p <= 0, F.lit(1.0)).otherwise(odds / (1 + odds))
 
 
-def _cuts(ranked: DataFrame, rests: DataFrame) -> DataFrame:
+def _cuts(ranked: DataFrame, rests: DataFrame, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(source, cut, gap): ranks up to the cut fit into the rest and leave a gap; no row for a source without a rest.
 
     Every pass cuts the interval (low, high] known to hold the cut into equal parts and keeps the part in which the
@@ -86,7 +88,7 @@ def _cuts(ranked: DataFrame, rests: DataFrame) -> DataFrame:
     bounds = rests.filter("rest > 0").select("source", "rest", F.lit(-1e-9).alias("low"), F.lit(1.0).alias("high"), F.lit(0).cast("long").alias("below"))
     bounds = settle(bounds)
     for _ in range(PASSES):
-        inside = ranked.join(bounds.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).filter("rank > low and rank <= high")
+        inside = ranked.join(small(bounds.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).filter("rank > low and rank <= high")
         part = F.least(F.floor((F.col("rank") - F.col("low")) / (F.col("high") - F.col("low")) * INTERVALS), F.lit(INTERVALS - 1))
         grouped = inside.groupBy("source", part.alias("part")).agg(
             F.sum("size").alias("words"), F.min("rank").alias("least"), F.max("rank").alias("most"), *[F.first(c).alias(c) for c in ("rest", "low", "high", "below")]
@@ -97,7 +99,7 @@ def _cuts(ranked: DataFrame, rests: DataFrame) -> DataFrame:
         hit = grouped.withColumn("good", (F.col("reach") >= F.col("rest")) | (F.col("part") == last))
         first = hit.groupBy("source").agg(F.min_by(F.struct("rest", F.coalesce("prior", "low").alias("low"), F.col("most").alias("high"), (F.col("reach") - F.col("words")).alias("below")), F.when(F.col("good"), F.col("part"))).alias("b"))
         bounds = settle(first.select("source", "b.*"))
-    near = ranked.join(bounds.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).filter("rank > low and rank <= high")
+    near = ranked.join(small(bounds.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).filter("rank > low and rank <= high")
     ties = near.groupBy("source", "rank").agg(F.sum("size").alias("words"), *[F.first(c).alias(c) for c in ("rest", "low", "below")])
     running = Window.partitionBy("source").orderBy("rank")
     after = ties.select("source", "rank", "rest", (F.col("below") + F.sum("words").over(running)).alias("taken"))
@@ -122,12 +124,18 @@ def mix(df: DataFrame, weights: Sequence[float], size: Column, source: str = "so
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     shares = shares.withColumn("sure", F.floor(ratio + 1e-12)).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("sure") * F.col("source_size")))
 
+    few = shares.count() <= BROADCAST_SOURCES
+
+    def small(table: DataFrame) -> DataFrame:
+        """A table of some rows per source, to be broadcast unless there are very many sources."""
+        return F.broadcast(table) if few else table
+
     def by_source(left: DataFrame, right: DataFrame, *on: str) -> DataFrame:
         right = right.withColumnsRenamed({c: f"_{c}" for c in ("source", *on)})
         cond = F.col("source").eqNullSafe(F.col("_source"))
         for c in on:
             cond &= F.col(c) == F.col(f"_{c}")
-        return left.join(right, cond, "left").drop("_source", *[f"_{c}" for c in on])
+        return left.join(small(right), cond, "left").drop("_source", *[f"_{c}" for c in on])
 
     length = F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double"))).cast("int")).otherwise(F.lit(-1))
     rows = rows.withColumn("class", length)
@@ -141,7 +149,7 @@ def mix(df: DataFrame, weights: Sequence[float], size: Column, source: str = "so
     state = settle(shares.filter("rest > 0").select("source", F.lit(-1.0).alias("cut0"), F.lit(float("inf")).alias("gap0"), F.col("rest").alias("left0")))
     for k in range(CUTS):
         left = by_source(partly, state).filter((F.col("rank") > F.col(f"cut{k}")) & (F.col("size") <= F.col(f"gap{k}")))
-        found = _cuts(left.select("source", "size", "rank"), state.select("source", F.col(f"left{k}").alias("rest")))
+        found = _cuts(left.select("source", "size", "rank"), state.select("source", F.col(f"left{k}").alias("rest")), small)
         state = by_source(state, found)
         state = settle(state.withColumns({f"cut{k + 1}": F.coalesce("cut", f"cut{k}"), f"gap{k + 1}": F.coalesce("gap", f"left{k}"), f"left{k + 1}": F.coalesce("gap", f"left{k}")}).drop("cut", "gap"))
     taken = F.lit(False)

@@ -134,10 +134,13 @@ class _Search:
         return (100 * F.least(na, nb) >= self.percent * F.greatest(na, nb)) & (_differing(sa, sb) <= self.most)
 
     def sets(self, ids: DataFrame) -> DataFrame:
-        """(id, grams) of the given ids."""
-        ids = settle(ids.distinct())
-        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        return written(gram_sets(self.texts.join(ids, "id", "left_semi"), self.width))
+        """(id, grams) of the given texts, each from one of its rows."""
+        wanted = settle(self.nodes.select("id", "class", "first").join(ids.distinct(), "id").toDF("_id", "_class", "_first"))
+        many = wanted.count()
+        wanted = F.broadcast(wanted) if many <= BROADCAST_IDS else wanted
+        rows = self.texts.join(wanted, (F.col("class") == F.col("_class")) & F.col("id").eqNullSafe(F.col("_first")))
+        found = written(gram_sets(rows.select(F.col("_id").alias("id"), "text"), self.width))
+        return found if found.count() == many else found.dropDuplicates(["id"])  # a row may be repeated
 
     def enough(self, shared: Column, n: Column, m: Column) -> Column:
         """Whether ``shared`` common shingles of sets of n and m reach the threshold."""
@@ -201,43 +204,46 @@ def text_class(text: Column) -> Column:
 def drop_near_duplicates(df: DataFrame, percent: int = 80, width: int = 5, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with one row of each group of near copies: that of the smallest id, all columns as they are.
 
-    Of several texts under that id, and of repeated rows, one stays.  Rows with a null id, and texts without words
-    (which are like nothing), all stay, the latter once per id.  Texts move only if more rows go than fit a broadcast,
-    or where rows repeat one another.
+    Unlike texts under one id are groups of their own, and each stays.  Of repeated rows (equal id and text) one stays.
+    Rows without an id come after all others of their group.  Texts without words are like nothing and stay once per id
+    and text.  Texts move only if more rows go than fit a broadcast, or where rows repeat one another.
     """
-    marked = written(near_duplicates(df, percent, width, id, text).select(F.col(id).alias("id"), "class", "component_id"))
-    known = marked.filter("id is not null")
-    stay = known.filter("id = component_id").groupBy("component_id").agg(F.min("class").alias("class"))
-    gone = known.select("id", "class").distinct().join(stay.withColumnRenamed("component_id", "id"), ["id", "class"], "left_anti")
-    gone = written(gone.toDF("_gone_id", "_gone_class"))
+    marked = written(near_duplicates(df, percent, width, id, text).select(F.col(id).alias("id"), "class", "group"))
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "class")).alias("first")
+    stay = marked.filter("group is not null").groupBy("group").agg(first).select("group", F.col("first.id").alias("first_id"), F.col("first.class").alias("first_class"))
+    # group ids are unique per text, so a hot group is a group of copies only
+    gone = marked.join(stay, "group").filter(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("class") == F.col("first_class"))))
+    gone = written(gone.select(F.col("id").alias("_gone_id"), F.col("class").alias("_gone_class")).distinct())
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     key = text_class(F.col(text))
-    rest = df.join(gone, (F.col(id).cast("long") == F.col("_gone_id")) & (key == F.col("_gone_class")), "left_anti")
-    again = settle(known.groupBy("id", "class").count().filter("count > 1").select(F.col("id").alias("_again")).distinct())
+    rest = df.join(gone, F.col(id).cast("long").eqNullSafe(F.col("_gone_id")) & (key == F.col("_gone_class")), "left_anti")
+    again = settle(marked.groupBy("id", "class").count().filter("count > 1").select(F.col("id").alias("_again"), F.col("class").alias("_again_class")))
     if not again.take(1):
         return rest
     again = F.broadcast(again) if again.count() <= BROADCAST_IDS else again
-    repeated = F.col(id).cast("long") == F.col("_again")
-    return rest.join(again, repeated, "left_anti").union(rest.join(again, repeated, "left_semi").dropDuplicates([id]))
+    repeated = F.col(id).cast("long").eqNullSafe(F.col("_again")) & (key == F.col("_again_class"))
+    once = rest.withColumn("_class", key).join(again, repeated, "left_semi").dropDuplicates([id, "_class"]).drop("_class")
+    return rest.join(again, repeated, "left_anti").union(once)
 
 
 def near_duplicates(df: DataFrame, percent: int = 80, width: int = 5, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept, class) for every row of ``df``; ``class`` is the key of the row's text.
+    """(id, n_shingles, component_id, kept, class, group) for every row of ``df``.
 
     Texts are linked when ``100 * |A & B| >= percent * |A | B|`` for their sets of distinct ``width``-word shingles
     (ASCII lower case, words between ASCII white space).  ``component_id`` is the smallest id reachable over links.
     Texts that are null or without words have an empty set and are linked with nothing, not even each other.  Rows
-    with a null id take no part: component null, kept.  Rows that repeat an id are taken by their own texts.  Other
-    columns of any name are ignored; an empty table gives an empty result.
+    with a null id are linked by their texts; the component is null if no text of it has an id.  Rows that repeat an id
+    are taken by their own texts.  ``kept`` tells whether a row has the id of its component.  ``class`` is the key of
+    the row's text, ``group`` that of its component, null for an empty set.  Other columns of any name are ignored; an
+    empty table gives an empty result.
     """
     bands = bands_for(percent)
-    texts = df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    known = texts.filter("id is not null")
-    marked = written(signatures(known.withColumn("class", text_class(F.col("text"))), bands, width))
-    classes = marked.filter("n > 0").groupBy("class").agg(F.min("id").alias("id"), F.min_by(F.struct("n", "bands", "sketch"), "id").alias("s"))
-    classes = written(classes.select("class", "id", "s.*"))
+    texts = df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).withColumn("class", text_class(F.col("text")))
+    marked = written(signatures(texts, bands, width))
+    classes = marked.filter("n > 0").groupBy("class").agg(F.min("id").alias("first"), F.max(F.struct("n", "bands", "sketch")).alias("s"))
+    classes = written(classes.select("class", "first", "s.*").withColumn("id", F.monotonically_increasing_id()))
     nodes = classes.select("id", "n", "bands", "sketch")
-    search = _Search(known, nodes, percent, bands, width)
+    search = _Search(texts, classes.select("id", "class", "first", "n", "sketch"), percent, bands, width)
 
     spread = nodes.select("id", F.explode("bands").alias("key")).distinct()
     full = spread.groupBy("key").count().filter("count > 1")
@@ -257,11 +263,9 @@ def near_duplicates(df: DataFrame, percent: int = 80, width: int = 5, id: str =
     late = settle(search.confirm(settle(search.close(more))))
     final = components(links.union(late)) if late.take(1) else found
 
-    of_class = classes.select("class", F.col("id").alias("node")).join(final, "node", "left")
-    of_class = of_class.select("class", F.coalesce("component", "node").alias("component"))
-    out = marked.select("id", "n", "class").join(of_class, "class", "left").select("id", "n", F.coalesce("component", "id").alias("component"), "class")
-    nothing = F.lit(None).cast("long")
-    unknown = texts.filter("id is null").select("id", nothing.alias("n"), nothing.alias("component"), text_class(F.col("text")).alias("class"))
-    return out.union(unknown).select(
-        F.col("id").alias(id), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"), "class"
-    )
+    of_class = classes.select("class", "first", F.col("id").alias("node")).join(final, "node", "left").select("class", "first", F.coalesce("component", "node").alias("group"))
+    least = of_class.groupBy("group").agg(F.min("first").alias("component"))
+    of_class = of_class.join(least, "group").select("class", "group", "component")
+    out = marked.select("id", "n", "class").join(of_class, "class", "left")
+    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"), "class", F.when(F.col("n") > 0, F.col("group")).alias("group"))

@@ -38,12 +38,13 @@ def quality_scores(t: Tables) -> DataFrame:
 
 @register("op2_near_dedup")
 def near_dedup(t: Tables) -> DataFrame:
-    return neardup.near_duplicates(t.documents, percent=85).drop("class")
+    return neardup.near_duplicates(t.documents, percent=85).drop("class", "group")
 
 
 @register("op3_mixing")
 def mix_sources(t: Tables) -> DataFrame:
-    mixed = mixing.mix(t.documents, MIX_WEIGHTS, word_count("text"))
+    docs = t.documents.withColumn("text_key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))  # rows without an id are drawn by their texts
+    mixed = mixing.mix(docs, MIX_WEIGHTS, word_count("text"), key=["text_key"])
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 

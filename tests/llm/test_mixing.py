@@ -71,3 +71,16 @@ def test_empty_and_single(spark):
     assert [(r.size, r.target, r.copies) for r in one] == [(3, 3.0, 1)]
     none = mixing.mix(frame(spark, [(1, None, "a"), (2, "", "b")]), (1,), word_count("text")).collect()
     assert [(r.target, r.copies) for r in none] == [(0.0, 0)] * 2
+
+
+def test_rows_without_an_id_are_drawn_one_by_one(spark):
+    """Equal sizes and no ids: the target is met by some of them, not by all or none."""
+    from millrace.llm.queries import mix_sources
+
+    class Tables:
+        documents = frame(spark, [(None, " ".join(f"w{i}x{j}" for j in range(9)), "a") for i in range(400)] + [(i, "w " * 9, "b") for i in range(400)])
+
+    out = mix_sources(Tables()).collect()
+    taken = {s: sum(r.taken for r in out if r.source == s) for s in "ab"}
+    target = {r.source: r.target for r in out}
+    assert all(abs(taken[s] - target[s]) <= 9 for s in "ab")

@@ -50,16 +50,27 @@ def test_components(spark, corpus, percent):
 
 def test_drop_keeps_one_row_of_each_group(spark, corpus):
     rows = [(d, t, "s") for d, t in corpus]
-    extra = [(None, "no id at all", "s"), (None, "no id at all", "s"), (900001, None, "s"), rows[0], (rows[1][0], "a text of its own under an id", None)]
+    unlike = (rows[1][0], "a text of its own under an id", None)
+    extra = [(None, "no id at all", "s"), (None, "no id at all", "s"), (None, rows[2][1], "s"), (900001, None, "s"), rows[0], unlike, unlike]
     out = neardup.drop_near_duplicates(frame(spark, rows + extra)).collect()
     want = components(corpus, 80)
-    kept = Counter(r.doc_id for r in out)
-    assert kept[None] == 2 and kept[900001] == 1
-    assert set(kept) - {None, 900001} == set(want.values()) | {rows[1][0]}
-    assert max(n for d, n in kept.items() if d is not None) == 1
+    kept = Counter((r.doc_id, r.text) for r in out)
+    assert kept[None, "no id at all"] == 1 and kept[900001, None] == 1 and kept[unlike[:2]] == 1  # unlike texts stay, each once
+    texts = dict(corpus)
+    assert set(kept) - {(None, "no id at all"), (900001, None), unlike[:2]} == {(d, texts[d]) for d in want.values()}
+    assert max(kept.values()) == 1
     assert set(out[0].asDict()) == {"doc_id", "text", "lang", "source", "n_chars", "id", "row", "key"}
 
 
+def test_unlike_texts_under_one_id_do_not_join_groups(spark):
+    words = [f"w{i}" for i in range(60)]
+    other = [f"v{i}" for i in range(60)]
+    rows = [(5, " ".join(words), "s"), (5, " ".join(other), "s"), (7, " ".join(words) + " x", "s"), (8, " ".join(other) + " x", "s"), (9, " ".join(other) + " y", "s")]
+    found = neardup.near_duplicates(frame(spark, rows)).collect()
+    assert [r.component_id for r in found] == [5] * 5 and len({r.group for r in found}) == 2
+    assert sorted(r.text for r in neardup.drop_near_duplicates(frame(spark, rows)).collect()) == sorted([rows[0][1], rows[1][1]])
+
+
 def test_odd_inputs(spark):
     long = " ".join(f"l{i}" for i in range(30_000))
     rows = [(1, None, "s"), (2, "", None), (3, " \t\n", "s"), (4, long, "s"), (5, long + " end", "s"), (6, "É é", "s"), (7, "é é", "s"), (None, long, "s"), (8, "a b", "s"), (4, long, "s")]
@@ -67,7 +78,7 @@ def test_odd_inputs(spark):
     assert out[1, 0] == (1, True) and out[2, 0] == (2, True) and out[3, 0] == (3, True)
     assert out[4, 29_996] == (4, True) and out[5, 29_997] == (4, False)
     assert out[6, 1] == (6, True) and out[7, 1] == (7, True)  # only A-Z are lowered
-    assert out[None, None] == (None, True)
+    assert out[None, 29_996] == (4, False)
     assert neardup.near_duplicates(frame(spark, []), 85).collect() == []
 
 
