@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from millrace.bindings.base import Registry, Tables, rounded
@@ -85,25 +86,135 @@ union all select 'train', round(max(r),8) from r union all select 'percentile',
 )
 
 
+DIMS = 64
+COORDS = [f"e{i}" for i in range(DIMS)]
+
+
 def _embedded(t: Tables):
-    """Eight embedding coordinates as columns, with sums that tie some of them together."""
+    """All embedding coordinates as columns, with sums that tie some of them together."""
     e = F.col("embedding")
-    df = t.embeddings.select("vec_id", *[e[i].cast("double").alias(f"e{i}") for i in range(8)])
+    df = t.embeddings.select("vec_id", *[e[i].cast("double").alias(c) for i, c in enumerate(COORDS)])
     return df.withColumns({"mix": F.col("e0") + F.col("e1") + 0.1 * F.col("e2"), "twin": F.col("e3") - 0.2 * F.col("e4")})
 
 
-EMBED = [f"e{i}" for i in range(8)] + ["mix", "twin"]
-R.add("K6_K7_sparse_graph", lambda t: mv.graph_edges(t.embeddings, mv.graphical_model(_embedded(t), EMBED, [0.05, 0.1, 0.2, 0.3])))
+EMBED = [*COORDS, "mix", "twin"]
+ALPHAS = [0.05, 0.1, 0.2, 0.3]
+R.add("K6_K7_sparse_graph", lambda t: mv.graph_edges(t.embeddings, mv.graphical_model(_embedded(t), EMBED, ALPHAS)))
 R.add("K6_sparse_graph_target", lambda t: mv.graph_edges(t.embeddings, mv.graphical_model(_embedded(t), EMBED, [0.01, 0.05, 0.1, 0.2], "mix")))
 R.add("K8_tuned_graph", lambda t: mv.graph_edges(t.embeddings, mv.tuned_graph(_embedded(t), EMBED, ["mix"])))
 
-COLS, GROUPS = ["e0", "e1", "e2", "e3", "e4", "e5"], ["a", "a", "b", "b", "c", "c"]
+#: Coordinates in long form with the two sums, and the correlation of every pair, for DuckDB.
+LONG_SQL = f"""v as (select vec_id, unnest(range(0, {DIMS})) as i, unnest(embedding)::double as x from embeddings),
+e as (select vec_id, 'e' || i as c, x from v union all
+  select vec_id, 'mix', embedding[1]::double + embedding[2]::double + 0.1 * embedding[3]::double from embeddings union all
+  select vec_id, 'twin', embedding[4]::double - 0.2 * embedding[5]::double from embeddings)"""
+PAIRS_SQL = f"{LONG_SQL}, r as (select a.c as a, b.c as b, corr(a.x, b.x) as r from e a join e b on a.vec_id = b.vec_id and a.c < b.c group by 1, 2)"
+
+
+def _optimal_graph(shrunk: bool):
+    """Every pair with its (shrunk) correlation, and whether the solution meets the optimality condition there.
+
+    The gradient of the likelihood, inverse minus correlation, is the penalty times the sign of an edge, and at most the
+    penalty where there is none.
+    """
+
+    def build(t: Tables):
+        m = mv.moments(_embedded(t), EMBED)
+        cov = mv.shrunk_correlation(m) if shrunk else m.corr
+        alpha, rows = 0.02, []
+        precision = mv.sparse_precision(cov, alpha)
+        slope = np.linalg.inv(precision) - cov
+        for i, a in enumerate(EMBED):
+            for j, b in enumerate(EMBED):
+                if a < b:
+                    edge = precision[i, j]
+                    good = abs(slope[i, j] - alpha * np.sign(edge)) < 1e-5 if edge else abs(slope[i, j]) <= alpha + 1e-5
+                    rows.append((a, b, round(float(cov[i, j]), 8), bool(good)))
+        return t.spark.createDataFrame(rows, "a string, b string, corr double, optimal boolean")
+
+    return build
+
+
+R.add("K6_optimal_graph", _optimal_graph(False), f"with {PAIRS_SQL} select a, b, round(r, 8) as corr, true as optimal from r")
+R.add("K6_optimal_shrunk_graph", _optimal_graph(True), f"with {PAIRS_SQL} select a, b, round(0.2 * r, 8) as corr, true as optimal from r")
+R.add(
+    "K1_G29_all_pairs",
+    lambda t: rounded(mv.pair_correlations(_embedded(t), sorted(EMBED)), "corr", digits=8),
+    f"with {PAIRS_SQL} select a, b, round(r, 8) as corr, (select count(*) from embeddings) as n from r",
+)
+# in code point order, as the pairs of SQL
+COLS = COORDS
+GROUPS = [f"g{i // 4}" for i in range(DIMS)]
 
 
 def _fit(t: Tables):
     return mv.group_regression(_embedded(t), "mix", COLS, GROUPS, [0, 0.05, 0.2, 0.5])
 
 
+def _optimal_groups(t: Tables):
+    """Correlation of each column with the target, and whether its group meets the optimality condition of the group lasso."""
+    m = mv.moments(_embedded(t), [*COLS, "mix"])
+    gram, xy, l1, penalty = m.corr[:-1, :-1], m.corr[:-1, -1], 0.003, 0.05
+    ids = np.array([int(g[1:]) for g in GROUPS])
+    b = mv.group_lasso(gram, xy, ids, penalty, l1)
+    rows = []
+    for i, (c, g) in enumerate(zip(COLS, GROUPS)):
+        at = ids == ids[i]
+        pull = (xy - gram @ b)[at]
+        cut, size = penalty / np.sqrt(at.sum()), np.linalg.norm(b[at])
+        if size == 0:  # what is left of the gradient after the single penalties is no longer than the group's
+            good = np.linalg.norm(np.sign(pull) * np.maximum(np.abs(pull) - l1, 0)) <= cut + 1e-6
+        else:
+            rest = pull - cut * b[at] / size
+            good = bool(np.all(np.where(b[at] != 0, np.abs(rest - l1 * np.sign(b[at])) < 1e-6, np.abs(rest) <= l1 + 1e-6)))
+        rows.append((c, g, round(float(xy[i]), 8), bool(good)))
+    return t.spark.createDataFrame(rows, "variable string, grp string, corr double, optimal boolean")
+
+
+R.add(
+    "K9_optimal_groups",
+    _optimal_groups,
+    f"""with {LONG_SQL} select a.c as variable, 'g' || (substr(a.c, 2)::int // 4) as grp, round(corr(a.x, b.x), 8) as corr, true as optimal
+from e a join e b on a.vec_id = b.vec_id and b.c = 'mix' where a.c not in ('mix', 'twin') group by 1, 2""",
+)
+
+
+def _optimal_classes(t: Tables):
+    """Mean of each standardised column over the upper class, and whether the logistic group lasso is optimal there."""
+    df = _embedded(t).withColumn("hit", F.when(F.col("mix") > 0, 1.0).otherwise(-1.0))
+    m = mv.moments(df, [*COLS, "hit"])
+    ids, l1, penalty = np.array([int(g[1:]) for g in GROUPS]), 0.003, 0.05
+    (b,), _ = mv.logistic_group_lasso(df, COLS, "hit", m, ids, [penalty], l1)
+    bias = 0.0
+    for _ in range(50):  # the intercept is free
+        s = mv.logistic_sums(df, COLS, "hit", m, b, bias)
+        if abs(s["g"][0, -1]) < 1e-10:
+            break
+        bias -= s["g"][0, -1] / s["h"][-1, -1]
+    pull, rows = -s["g"][0, :-1], []
+    for i, c in enumerate(COLS):
+        at = ids == ids[i]
+        cut, size = penalty / np.sqrt(2 * at.sum()), np.linalg.norm(b[at])
+        if size == 0:
+            good = np.linalg.norm(np.sign(pull[at]) * np.maximum(np.abs(pull[at]) - l1, 0)) <= cut + 1e-5
+        else:
+            rest = pull[at] - cut * b[at] / size
+            good = bool(np.all(np.where(b[at] != 0, np.abs(rest - l1 * np.sign(b[at])) < 1e-5, np.abs(rest) <= l1 + 1e-5)))
+        share = m.mean[-1] / 2 + 0.5
+        upper = m.corr[i, -1] * m.sd[-1] / (2 * share) if share else 0.0
+        rows.append((c, round(float(upper), 7), bool(good)))
+    return t.spark.createDataFrame(rows, "variable string, upper_mean double, optimal boolean")
+
+
+R.add(
+    "K9_optimal_classes",
+    _optimal_classes,
+    f"""with {LONG_SQL}, z as (select c, vec_id, (x - avg(x) over (partition by c)) / stddev_pop(x) over (partition by c) as z from e)
+select z.c as variable, round(avg(z.z) filter (m.x > 0), 7) as upper_mean, true as optimal
+from z join e m on z.vec_id = m.vec_id and m.c = 'mix' where z.c not in ('mix', 'twin') group by 1""",
+)
+
+
 def _group_order(t: Tables):
     fit = _fit(t)
     rows = [(g, i) for i, g in enumerate(fit.group_order)]

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.numeric import is_finite
 from millrace.operators import ordering
+from millrace.operators.gram import complete_sums, pair_sums, summed, with_columns
 from millrace.operators.quantiles import quantile_literals
 
 
@@ -29,6 +30,10 @@ class Moments:
     sd: np.ndarray
     corr: np.ndarray
 
+    def standardised(self, x: np.ndarray) -> np.ndarray:
+        """Rows of values with zero mean and unit variance."""
+        return (x - self.mean) / np.where(self.sd > 0, self.sd, 1.0)
+
     def standard(self, i: int) -> Column:
         """Column i with zero mean and unit variance (a constant column stays at zero)."""
         return (F.col(self.cols[i]).cast("double") - F.lit(float(self.mean[i]))) / F.lit(float(self.sd[i] or 1.0))
@@ -39,35 +44,29 @@ def complete_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def moments(df: DataFrame, cols: Sequence[str]) -> Moments:
-    """Moments over complete rows, in one aggregation."""
+    """Moments over complete rows."""
     cols = list(cols)
-    x = {c: F.col(c).cast("double") for c in cols}
-    aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.avg(x[c]).alias(f"m{i}") for i, c in enumerate(cols)]
-    aggs += [F.stddev_pop(x[c]).alias(f"s{i}") for i, c in enumerate(cols)]
-    aggs += [F.covar_pop(x[a], x[b]).alias(f"c{i}_{i + 1 + j}") for i, a in enumerate(cols) for j, b in enumerate(cols[i + 1 :])]
-    row = complete_rows(df, cols).agg(*aggs).first()
-    p = len(cols)
-    mean = np.array([row[f"m{i}"] or 0.0 for i in range(p)])
-    sd = np.array([row[f"s{i}"] or 0.0 for i in range(p)])
-    corr = np.eye(p)
-    for i in range(p):
-        for j in range(i + 1, p):
-            scale = sd[i] * sd[j]
-            corr[i, j] = corr[j, i] = (row[f"c{i}_{j}"] or 0.0) / scale if scale else 0.0
-    return Moments(cols, row["n"], mean, sd, corr)
+    n, mean, products = complete_sums(df, cols)
+    sd = np.sqrt(np.maximum(np.diag(products), 0) / max(n, 1))
+    scale = np.outer(sd, sd) * max(n, 1)
+    corr = np.where(scale > 0, products / np.where(scale > 0, scale, 1), 0.0)
+    np.fill_diagonal(corr, 1.0)
+    return Moments(cols, n, mean, sd, corr)
 
 
 def pair_correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(a, b, corr, n) over the rows complete for each pair."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    cells = []
-    for a, b in pairs:
-        known = is_finite(F.col(a).cast("double")) & is_finite(F.col(b).cast("double"))
-        x, y = (F.when(known, F.col(c).cast("double")) for c in (a, b))
-        cells.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(x, y).alias("corr"), F.count_if(known).alias("n")))
-    wide = df.agg(*[c.alias(f"p{i}") for i, c in enumerate(cells)])
-    return wide.select(F.explode(F.array(*wide.columns)).alias("p")).select("p.*")
+    s = pair_sums(df, cols)
+    n = np.maximum(s["n"], 1)
+    spread = np.maximum(s["xx"] - s["x"] ** 2 / n, 0)
+    both = s["xy"] - s["x"] * s["x"].T / n
+    scale = np.sqrt(spread * spread.T)
+    rows = []
+    for i, a in enumerate(cols):
+        for j in range(i + 1, len(cols)):
+            corr = float(both[i, j] / scale[i, j]) if scale[i, j] > 1e-12 * max(s["xx"][i, j], s["xx"][j, i]) else None
+            rows.append((a, cols[j], corr, int(s["n"][i, j])))
+    return df.sparkSession.createDataFrame(rows, "a string, b string, corr double, n long")
 
 
 def partial_from_precision(precision: np.ndarray) -> np.ndarray:
@@ -105,13 +104,10 @@ class Components:
         """Number of components that explain ``percent``."""
         return int(np.argmax(self.cumulative >= percent - 1e-9)) + 1
 
-    def score(self, j: int) -> Column:
-        m = self.moments
-        return reduce(lambda a, b: a + b, [m.standard(i) * F.lit(float(self.rotation[i, j])) for i in range(len(m.cols))])
-
     def scores(self, df: DataFrame, count: int | None = None) -> DataFrame:
-        count = count or len(self.moments.cols)
-        return df.withColumns({f"pc{j + 1}": self.score(j) for j in range(count)})
+        m, count = self.moments, count or len(self.moments.cols)
+        turn = self.rotation[:, :count]
+        return with_columns(df, m.cols, [f"pc{j + 1}" for j in range(count)], lambda x: m.standardised(x) @ turn)
 
 
 def fit_components(df: DataFrame, cols: Sequence[str]) -> Components:
@@ -137,26 +133,29 @@ def t2_and_q(df: DataFrame, model: Components, count: int, sigma_from: DataFrame
     The deviations of the scores are those of the given set itself, unless ``sigma_from`` names another set.
     """
     m, p = model.moments, len(model.moments.cols)
-    base = model.scores(complete_rows(sigma_from if sigma_from is not None else df, m.cols))
-    row = base.agg(*[F.stddev_pop(f"pc{j + 1}").alias(f"s{j}") for j in range(p)]).first()
-    sigma = [row[f"s{j}"] or 1.0 for j in range(p)]
-    scored = model.scores(complete_rows(df, m.cols))
-    t2 = reduce(lambda a, b: a + b, [F.pow(F.col(f"pc{j + 1}") / F.lit(sigma[j]), 2) for j in range(count)])
-    project = model.rotation[:, :count] @ model.rotation[:, :count].T
-    rest = []
-    for i in range(p):
-        fitted = reduce(lambda a, b: a + b, [m.standard(k) * F.lit(float(project[k, i])) for k in range(p)])
-        rest.append(F.pow(m.standard(i) - fitted, 2))
-    q = reduce(lambda a, b: a + b, rest)
-    out = scored.withColumns({"t2": t2, "q": q})
-    if contributions:
-        parts = {}
-        for i, c in enumerate(m.cols):
-            terms = [F.col(f"pc{j + 1}") / F.lit(sigma[j]) * F.lit(float(model.rotation[i, j])) for j in range(p)]
-            parts[f"{c}__t2"] = reduce(lambda a, b: a + b, terms)
-            parts[f"{c}__q"] = F.try_divide(rest[i], q)
-        out = out.withColumns(parts)
-    return out
+    df = df.drop(*[f"pc{j + 1}" for j in range(p)], "t2", "q")
+    n, _, products = complete_sums(sigma_from if sigma_from is not None else df, m.cols)
+    unit = np.where(m.sd > 0, m.sd, 1.0)
+    spread = products / np.outer(unit, unit) / max(n, 1)
+    sigma = np.sqrt(np.maximum(np.einsum("ij,ik,kj->j", model.rotation, spread, model.rotation), 0))
+    sigma[sigma == 0] = 1.0
+    names = [f"pc{j + 1}" for j in range(p)] + ["t2", "q"]
+    names += [f"{c}__{k}" for c in m.cols for k in ("t2", "q")] if contributions else []
+
+    def work(x: np.ndarray) -> np.ndarray:
+        z = m.standardised(x)
+        scores = z @ model.rotation
+        rest = (z - scores[:, :count] @ model.rotation[:, :count].T) ** 2
+        out = [scores, ((scores[:, :count] / sigma[:count]) ** 2).sum(axis=1, keepdims=True), rest.sum(axis=1, keepdims=True)]
+        if contributions:
+            parts = (scores / sigma) @ model.rotation.T
+            with np.errstate(invalid="ignore", divide="ignore"):
+                share = rest / out[2]
+            out.append(np.stack([parts, share], axis=2).reshape(len(x), 2 * p))
+        return np.column_stack(out)
+
+    scored = with_columns(complete_rows(df, m.cols), m.cols, names, work)
+    return scored.replace(float("nan"), None, [f"{c}__q" for c in m.cols]) if contributions else scored
 
 
 def biplot(df: DataFrame, model: Components) -> tuple[dict[str, float], DataFrame]:
@@ -177,34 +176,47 @@ def biplot(df: DataFrame, model: Components) -> tuple[dict[str, float], DataFram
 # --- sparse graphical model -------------------------------------------------------------------------------------
 
 
-def sparse_precision(cov: np.ndarray, alpha: float, rounds: int = 300, tol: float = 1e-9) -> np.ndarray:
-    """Precision matrix minimising -logdet P + tr(cov P) + alpha · sum |off-diagonal of P|, column by column."""
+def sparse_precision(cov: np.ndarray, alpha: float, rounds: int = 20_000, tol: float = 1e-8) -> np.ndarray:
+    """Precision matrix minimising -logdet P + tr(cov P) + alpha · sum |off-diagonal of P|.
+
+    Variables that no chain of covariances beyond ``alpha`` connects are independent in the solution, so each connected
+    set is solved by itself, by alternating directions: an eigenvalue step for the likelihood, soft thresholds for the
+    penalty.
+    """
     p = len(cov)
-    work, beta = cov.copy(), np.zeros((p, p))
-    np.fill_diagonal(work, np.diag(cov) + 1e-12)
+    cov = cov + 1e-12 * np.eye(p)
+    out, left = np.diag(1.0 / np.diag(cov)), set(range(p))
+    near = np.abs(cov) > alpha
+    while left:
+        block, edge = set(), {min(left)}
+        while edge:
+            block |= edge
+            edge = set(np.flatnonzero(near[sorted(edge)].any(axis=0)).tolist()) - block
+        left -= block
+        if len(block) > 1:
+            at = sorted(block)
+            out[np.ix_(at, at)] = _alternating(cov[np.ix_(at, at)], alpha, rounds, tol)
+    return out
+
+
+def _alternating(cov: np.ndarray, alpha: float, rounds: int, tol: float) -> np.ndarray:
+    p, weight = len(cov), 1.0
+    sparse, dual = np.diag(1.0 / np.diag(cov)), np.zeros((p, p))
     for _ in range(rounds):
-        before = work.copy()
-        for j in range(p):
-            rest = np.arange(p) != j
-            a, b, x = work[np.ix_(rest, rest)], cov[rest, j], beta[rest, j]
-            for _ in range(500):
-                old = x.copy()
-                for k in range(p - 1):
-                    r = b[k] - a[k] @ x + a[k, k] * x[k]
-                    x[k] = np.sign(r) * max(abs(r) - alpha, 0.0) / a[k, k]
-                if np.max(np.abs(x - old), initial=0.0) < tol:
-                    break
-            beta[rest, j] = x
-            work[rest, j] = work[j, rest] = a @ x
-        if np.max(np.abs(work - before)) < tol:
+        values, vectors = np.linalg.eigh(weight * (sparse - dual) - cov)
+        smooth = (vectors * ((values + np.sqrt(values**2 + 4 * weight)) / (2 * weight))) @ vectors.T
+        before, raw = sparse, smooth + dual
+        sparse = np.sign(raw) * np.maximum(np.abs(raw) - alpha / weight, 0.0)
+        np.fill_diagonal(sparse, np.diag(raw))
+        dual = raw - sparse
+        primal, change = np.linalg.norm(smooth - sparse), weight * np.linalg.norm(sparse - before)
+        if max(primal, change) < tol * p:
             break
-    out = np.zeros((p, p))
-    for j in range(p):
-        rest = np.arange(p) != j
-        out[j, j] = 1.0 / (work[j, j] - work[rest, j] @ beta[rest, j])
-        out[rest, j] = -beta[rest, j] * out[j, j]
-    both = (out != 0) & (out.T != 0)
-    return np.where(both, (out + out.T) / 2, 0.0)
+        if primal > 10 * change:
+            weight, dual = 2 * weight, dual / 2
+        elif change > 10 * primal:
+            weight, dual = weight / 2, dual * 2
+    return (sparse + sparse.T) / 2
 
 
 def shrunk_correlation(m: Moments) -> np.ndarray:
@@ -313,6 +325,64 @@ def group_lasso(gram: np.ndarray, xy: np.ndarray, groups: np.ndarray, penalty: f
     return b
 
 
+def logistic_sums(df: DataFrame, cols: Sequence[str], target: str, m: Moments, coef: np.ndarray, bias: float) -> dict[str, np.ndarray]:
+    """Loss, gradient and curvature (intercept last) of the mean logistic loss, and wrong answers, over complete rows; target ±1."""
+
+    def terms(x: np.ndarray) -> dict[str, np.ndarray]:
+        x = x[np.isfinite(x).all(axis=1)]
+        z, y = np.column_stack([(x[:, :-1] - m.mean[:-1]) / np.where(m.sd[:-1] > 0, m.sd[:-1], 1.0), np.ones(len(x))]), x[:, -1]
+        score = z @ np.append(coef, bias)
+        chance = 1 / (1 + np.exp(-np.clip(score, -700, 700)))
+        loss = np.logaddexp(0, -y * score).sum()
+        return {"n": np.array([[float(len(x))]]), "loss": np.array([[loss]]), "wrong": np.array([[float(((score > 0) != (y > 0)).sum())]]),
+                "g": ((chance - (y > 0)) @ z)[None, :], "h": (z * (chance * (1 - chance))[:, None]).T @ z}
+
+    found = summed(df, [*cols, target], terms)
+    n = max(found["n"][0, 0], 1.0)
+    return {k: v / n for k, v in found.items()}
+
+
+def logistic_group_lasso(
+    df: DataFrame, cols: Sequence[str], target: str, m: Moments, groups: np.ndarray, penalties: Sequence[float], l1: float = 0.003, rounds: int = 30, tol: float = 1e-7
+) -> tuple[np.ndarray, list[float]]:
+    """(coefficients, share of wrong answers) per penalty: mean logistic loss + l1 |b| + penalty · sum |b_g| / sqrt(2 size).
+
+    Two opposite class vectors share the penalty of a group, hence the factor of sqrt(2).  Each step sums gradient and
+    curvature over the rows once and solves the penalised quadratic on the driver; steps that raise the objective are
+    halved.  Penalties are passed from the strongest to the weakest, each from the solution before it.
+    """
+    p = len(cols)
+    out: dict[float, np.ndarray] = {}
+    wrong: dict[float, float] = {}
+    now = np.zeros(p + 1)
+
+    def cost(b: np.ndarray, penalty: float) -> float:
+        return l1 * np.abs(b[:p]).sum() + penalty * sum(np.linalg.norm(b[:p][groups == g]) / np.sqrt(2 * (groups == g).sum()) for g in np.unique(groups))
+
+    for penalty in sorted(set(penalties), reverse=True):
+        state = logistic_sums(df, cols, target, m, now[:p], now[p])
+        for _ in range(rounds):
+            value = state["loss"][0, 0] + cost(now, penalty)
+            curve, slope = state["h"] + 1e-9 * np.eye(p + 1), state["g"][0]
+            # the intercept has no penalty and is solved out
+            gram = curve[:p, :p] - np.outer(curve[:p, p], curve[p, :p]) / curve[p, p]
+            linear = (curve @ now - slope)[:p] - curve[:p, p] * (curve @ now - slope)[p] / curve[p, p]
+            b = group_lasso(gram, linear, groups, penalty / np.sqrt(2), l1)
+            goal = np.append(b, ((curve @ now - slope)[p] - curve[p, :p] @ b) / curve[p, p])
+            share, moved = 1.0, goal - now
+            while True:
+                new = now + share * moved
+                following = logistic_sums(df, cols, target, m, new[:p], new[p])
+                if following["loss"][0, 0] + cost(new, penalty) <= value + 1e-12 or share < 1e-3:
+                    break
+                share /= 2
+            now, state = new, following
+            if np.abs(share * moved).max() < tol:
+                break
+        out[penalty], wrong[penalty] = now[:p].copy(), float(state["wrong"][0, 0])
+    return np.array([out[x] for x in penalties]), [wrong[x] for x in penalties]
+
+
 def vanishing_order(history: np.ndarray, groups: np.ndarray) -> list[int]:
     """Groups from important to unimportant: those that survive the strongest penalty first, the first to vanish last."""
     kinds = np.unique(groups)
@@ -338,8 +408,8 @@ def group_regression(
 ) -> GroupFit:
     """Importance of column groups (group lasso, best BIC) and ridge coefficients of the columns kept.
 
-    Only the moments of the data are needed.  A two-class target is read as ±1 and fitted by least squares, also
-    for choosing the columns.
+    Only the moments of the data are needed for a number.  For a two-class target the groups are chosen by a logistic
+    group lasso; the columns kept are then fitted to ±1 by ridge regression, as a ridge classifier does.
     """
     cols = list(cols)
     if binary:
@@ -351,10 +421,15 @@ def group_regression(
     ids = np.array([names.index(g) for g in groups])
     keep, order, bics = np.arange(len(cols)), list(range(len(names))), []
     if len(names) > 1:
-        history = np.array([group_lasso(gram, xy, ids, p) for p in penalties])
-        for b in history:
-            mse = 1.0 - 2 * b @ xy + b @ gram @ b
-            bics.append(float(m.n * mse + np.log(m.n) * np.count_nonzero(b)))
+        if binary:
+            history, wrong = logistic_group_lasso(df, cols, target, m, ids, penalties)
+            # each column has a coefficient for either class
+            bics = [float(m.n * w + np.log(m.n) * 2 * np.count_nonzero(b)) for b, w in zip(history, wrong)]
+        else:
+            history = np.array([group_lasso(gram, xy, ids, p) for p in penalties])
+            for b in history:
+                mse = 1.0 - 2 * b @ xy + b @ gram @ b
+                bics.append(float(m.n * mse + np.log(m.n) * np.count_nonzero(b)))
         order = vanishing_order(history, ids)
         chosen = np.flatnonzero(history[int(np.argmin(bics))])
         keep = chosen if len(chosen) else keep
@@ -370,9 +445,9 @@ def group_regression(
 def fitted_values(df: DataFrame, fit: GroupFit, out: str = "fitted", binary: bool = False) -> DataFrame:
     """Fitted target (its own unit), or with ``binary`` the decision value and probability of the upper class."""
     m = fit.moments
-    parts = [m.standard(i) * F.lit(float(fit.coef[i])) for i in range(len(fit.cols)) if fit.coef[i]]
-    linear = reduce(lambda a, b: a + b, parts, F.lit(0.0))
-    rows = complete_rows(df, fit.cols)
+    unit = np.where(m.sd[:-1] > 0, m.sd[:-1], 1.0)
+    rows = with_columns(complete_rows(df, fit.cols), fit.cols, ["_linear"], lambda x: ((x - m.mean[:-1]) / unit @ fit.coef)[:, None])
+    rows, linear = rows.withColumnRenamed("_linear", out), F.col(out)
     if binary:
         decision = linear + F.lit(float(m.mean[-1]))
         return rows.withColumns({out: decision, "probability": 1 / (1 + F.exp(-decision))})
