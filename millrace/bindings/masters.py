@@ -245,6 +245,21 @@ R.add(
 )
 
 
+def _shared_by_many(t: Tables):
+    """Some hundred processes: line items by part, orders as serials."""
+    rows = t.lineitem.select((F.col("l_partkey") % 400).alias("process"), F.col("l_orderkey").alias("serial")).distinct()
+    found = autolink.shared_serials(rows, list(range(400)))
+    return found.where("shared > 0")
+
+
+R.add(
+    "D25_shared_serials_of_many",
+    _shared_by_many,
+    """with r as (select distinct l_partkey % 400 as process, l_orderkey as serial from lineitem)
+select a.process as a, b.process as b, count(*) as shared from r a join r b on a.serial = b.serial and a.process < b.process group by 1, 2""",
+)
+
+
 def _chains(t: Tables):
     """Processes named by event type and serial range, so that some share no serial."""
     df = t.events.withColumn("proc", F.concat("event_type", F.when(F.col("user_id") < 75, "_low").otherwise("_high")))
@@ -308,6 +323,31 @@ R.add(
 )
 
 
+def _product_lines(t: Tables):
+    """Lines with a product in front, lines of the other patterns, and the longest brand or type that a line's note contains."""
+    k, n = F.col("p_partkey") % 6, F.col("p_size").cast("string")
+    line = F.concat_ws(" ", F.element_at(F.split("p_type", " "), 1))
+    raw = (
+        F.when(k == 0, F.concat(F.lit("X GD-P4 "), line, n, F.lit("号ライン"))).when(k == 1, F.concat(F.lit("P4H "), line, F.lit("ライン")))
+        .when(k == 2, F.concat(F.lit("P4H "), line)).when(k == 3, F.concat(line, n, F.lit("号"))).when(k == 4, F.concat(F.lit("INJ"), n, F.lit("号 "), line, F.lit("ライン"))).otherwise(line)
+    )
+    df = t.part.select("p_partkey", names.product_line(raw).alias("r"), F.concat(F.lit("made of "), "p_type", F.lit(" for "), "p_brand").alias("note"))
+    known = t.part.select(F.explode(F.array("p_brand", F.element_at(F.split("p_type", " "), 1))).alias("known"))
+    out = masters.longest_contained(df, "note", known, "known", "named")
+    return out.select("p_partkey", "r.product", "r.line", "r.line_no", "r.outsourced", "named")
+
+
+R.add(
+    "J2_C9_product_line",
+    _product_lines,
+    """with p as (select *, split_part(p_type, ' ', 1) as l, p_partkey % 6 as k from part),
+k as (select distinct p_brand as known from part union select distinct split_part(p_type, ' ', 1) from part),
+n as (select p.p_partkey, (select known from k where contains('made of ' || p.p_type || ' for ' || p.p_brand, known) order by length(known) desc, known limit 1) as named from p)
+select p_partkey, case when k = 0 then 'GD-P4' when k in (1, 2) then 'P4H' end as product, l as line, case when k in (0, 3, 4) then p_size::varchar end as line_no, false as outsourced, named
+from p join n using (p_partkey)""",
+)
+
+
 def _equipment(t: Tables):
     k = F.col("s_suppkey") % 3
     n = (F.col("s_suppkey") + 1).cast("string")

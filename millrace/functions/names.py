@@ -124,6 +124,27 @@ def data_name(name: Column, units: Sequence[str] = ()) -> Column:
     return F.when(name.isNotNull(), bound(F.regexp_replace(name, DATA_ESCAPES, ""), parsed))
 
 
+# Line names that begin with a product, in the order in which they are tried; groups: product, line, number.
+PRODUCT_LINES = [r".*(GD-P4|P4H)\s(.*\D)(\d*)号ライン$", r".*(GD-P4|P4H)\s(.*)()ライン$", r".*(GD-P4|P4H)\s(.*)()$"]
+
+
+def product_line(name: Column) -> Column:
+    """struct(product, line, line_no, outsourced): the product patterns first, then ``line_name`` without a product."""
+    text = _clean(name)
+
+    def parts(pattern: str) -> Column:
+        return F.struct(
+            _part(text, pattern, 1).alias("product"),
+            F.trim(_part(text, pattern, 2)).alias("line"),
+            _blank(_part(text, pattern, 3)).alias("line_no"),
+            F.lit(False).alias("outsourced"),
+        )
+
+    plain = line_name(name)
+    rest = F.struct(F.lit(None).cast("string").alias("product"), *[plain[c].alias(c) for c in ("line", "line_no", "outsourced")])
+    return _rules(text, [(p, parts(p)) for p in PRODUCT_LINES], rest)
+
+
 def line_name(name: Column) -> Column:
     """struct(line, line_no, outsourced); names of no known shape stay as they are."""
     text = _clean(name)

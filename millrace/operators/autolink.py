@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.operators import ordering
+from millrace.operators.gram import summed_batches
 
+#: Serials that a task turns into a matrix at once.
+SERIALS = 1024
 METHODS = ("count_keep_max", "count_keep_mean", "count_keep_all", "count_reversed", "function_count_reversed")
 
 
@@ -69,12 +75,31 @@ def process_scores(rows: DataFrame) -> DataFrame:
 
 
 def shared_serials(rows: DataFrame, processes: Sequence[str]) -> DataFrame:
-    """(a, b, shared): serials seen by both processes, from one row of flags per serial."""
-    flags = rows.groupBy("serial").agg(*[F.max(F.when(F.col("process") == p, 1).otherwise(0)).alias(f"f{i}") for i, p in enumerate(processes)])
-    pairs = [(i, j) for i in range(len(processes)) for j in range(i + 1, len(processes))]
-    wide = flags.agg(*[F.sum(F.col(f"f{i}") * F.col(f"f{j}")).alias(f"s{i}_{j}") for i, j in pairs])
-    cells = [F.struct(F.lit(processes[i]).alias("a"), F.lit(processes[j]).alias("b"), F.col(f"s{i}_{j}").alias("shared")) for i, j in pairs]
-    return wide.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    """(a, b, shared): serials seen by both processes.
+
+    One row per serial holds the numbers of its processes; tasks add up a matrix of all pairs with numpy, so there is no
+    expression per pair, and a thousand processes are one pass.
+    """
+    spark, many = rows.sparkSession, len(processes)
+    kind = rows.schema["process"]
+    numbers = spark.createDataFrame([(p, i) for i, p in enumerate(processes)], T.StructType([kind, T.StructField("number", T.IntegerType())]))
+    lists = rows.where(F.col("serial").isNotNull()).join(F.broadcast(numbers), "process").groupBy("serial").agg(F.collect_set("number").alias("numbers"))
+
+    def both(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        column = batch.column("numbers")
+        sizes, flat = pc.list_value_length(column).to_numpy(zero_copy_only=False), column.flatten().to_numpy(zero_copy_only=False)
+        total, ends = np.zeros((many, many)), np.concatenate([[0], np.cumsum(sizes)])
+        for at in range(0, len(sizes), SERIALS):
+            part = sizes[at : at + SERIALS]
+            seen = np.zeros((len(part), many), np.float32)
+            seen[np.repeat(np.arange(len(part)), part), flat[ends[at] : ends[at + len(part)]]] = 1
+            total += seen.T @ seen
+        return {"shared": total}
+
+    found = summed_batches(lists.select("numbers"), both).get("shared", np.zeros((many, many)))
+    pairs = [(processes[i], processes[j], int(found[i, j])) for i in range(many) for j in range(i + 1, many)]
+    schema = T.StructType([T.StructField("a", kind.dataType), T.StructField("b", kind.dataType), T.StructField("shared", T.LongType())])
+    return spark.createDataFrame(pairs, schema)
 
 
 def chains(rows: DataFrame, ordered: Sequence[str]) -> list[list[str]]:

@@ -34,12 +34,17 @@ def summed(df: DataFrame, cols: Sequence[str], terms: Callable[[np.ndarray], dic
     The sums, p × p doubles at most, reach the driver; one row per block and task is exchanged.
     """
     rows, names = _doubles(df, cols)
+    return summed_batches(rows, lambda batch: terms(matrix(batch, names)))
+
+
+def summed_batches(rows: DataFrame, terms: Callable[[pa.RecordBatch], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """Sums over all rows of the matrices of doubles that ``terms`` makes of a record batch."""
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             if batch.num_rows:
-                for name, part in terms(matrix(batch, names)).items():
+                for name, part in terms(batch).items():
                     total[name] = total[name] + part if name in total else part
         out: list[tuple] = []
         for name, whole in total.items():

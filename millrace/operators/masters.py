@@ -164,3 +164,20 @@ def number_repeated_names(df: DataFrame, process: str, name: str, data_id: str,
     number = F.coalesce("_most", F.lit(0)) + F.col("_extra")
     label = F.concat(F.col("_base"), F.lit("_"), F.lpad(number.cast("string"), 2, "0"))
     return joined.withColumn(out, F.when(F.col("_extra").isNull(), F.col(name)).otherwise(label)).select(*df.columns, out)
+
+
+def longest_contained(df: DataFrame, text: str, names: DataFrame, name: str, out: str) -> DataFrame:
+    """``df`` with the longest of ``names`` that its text contains (of several the first in code point order), else NULL.
+
+    Each distinct text gives its parts of the lengths that names have, which are joined with the names by equality: no
+    name is searched in every text, and neither side has to be small.
+    """
+    known = names.select(F.col(name).alias("_name")).where(F.length("_name") > 0).distinct()
+    lengths = sorted(r[0] for r in known.select(F.length("_name")).distinct().collect())  # as many as there are lengths
+    texts = df.select(F.col(text).alias("_text")).where(F.col("_text").isNotNull()).distinct()
+    parts = texts.select("_text", F.explode(F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")).alias("_size"))
+    parts = parts.where(F.length("_text") >= F.col("_size"))
+    parts = parts.select("_text", F.explode(F.sequence(F.lit(1), F.length("_text") - F.col("_size") + 1)).alias("_at"), "_size")
+    parts = parts.select("_text", F.expr("substring(_text, _at, _size)").alias("_name")).distinct()
+    best = parts.join(known, "_name").groupBy("_text").agg(F.min(F.struct((-F.length("_name")).alias("less"), "_name")).alias("_best"))
+    return look_up(df, best.select("_text", F.col("_best._name").alias(out)), [(F.col(text), "_text")])
