@@ -140,8 +140,12 @@ def date_time_text(date: Column, time: Column) -> Column:
 
 
 # Circled digits stand for their number, postal marks for T.
-CIRCLED = {chr(10102 + 10 * block + i): str(i + 1) for block in range(3) for i in range(10)}
-IRREGULAR = {**CIRCLED, chr(12306): "T", chr(12342): "T"}
+CIRCLED = {
+    "❶": "1", "❷": "2", "❸": "3", "❹": "4", "❺": "5", "❻": "6", "❼": "7", "❽": "8", "❾": "9", "❿": "10",
+    "➀": "1", "➁": "2", "➂": "3", "➃": "4", "➄": "5", "➅": "6", "➆": "7", "➇": "8", "➈": "9", "➉": "10",
+    "➊": "1", "➋": "2", "➌": "3", "➍": "4", "➎": "5", "➏": "6", "➐": "7", "➑": "8", "➒": "9", "➓": "10",
+}
+IRREGULAR = {**CIRCLED, "〒": "T", "〶": "T"}
 
 
 @F.pandas_udf(T.StringType())

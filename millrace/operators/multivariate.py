@@ -13,10 +13,12 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions.numeric import is_finite
 from millrace.operators import ordering
 from millrace.operators.gram import complete_sums, pair_sums, summed, with_columns
+from millrace.operators.lookup import look_up
 from millrace.operators.quantiles import quantile_literals
 
 
@@ -537,5 +539,9 @@ def stratified_sample(df: DataFrame, by: str, rows: int, seed: int = 1) -> DataF
     left = sorted(exact, key=lambda v: (take[v] - exact[v], v is None, str(v)))
     for v in left[: rows - sum(take.values())]:
         take[v] += 1
-    parts = [_by_hash(df.where(F.col(by).eqNullSafe(F.lit(v))), seed).limit(n) for v, n in take.items() if n]
-    return reduce(DataFrame.unionByName, parts)
+    kind = T.StructType([T.StructField("_stratum", df.schema[by].dataType), T.StructField("_take", T.LongType())])
+    wanted = df.sparkSession.createDataFrame([(v, n) for v, n in take.items()], kind)
+    hashed = df.withColumn("_hash", F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns]))
+    numbered = ordering.row_numbers(hashed, ["_hash", *df.columns], [by], "_rn")
+    kept = look_up(numbered, wanted, [(F.col(by), "_stratum")], null_safe=True, keep=lambda table: table)
+    return kept.where(F.col("_rn") <= F.col("_take")).select(*df.columns)

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Slices of the labels of an axis of a cross-tab.
+SLICES = 64
 
 
 def to_long(df: DataFrame, ids: Sequence[str], values: Sequence[str], distinct: bool = True, extra: Sequence[str] = ("data_id", "unit")) -> DataFrame:
@@ -107,7 +109,8 @@ def add_extra_rows(long: DataFrame, ids: Sequence[str], label: str, extra_id: st
 def matrix_cells(df: DataFrame, x: str, y: str, agg, out: str, limit: int | None = None) -> DataFrame:
     """Cross-tab in long form with every pair of an x and a y label, empty cells included.
 
-    The full grid is the result that is asked for: the distinct y labels, as one array, meet each distinct x label.
+    The full grid is the result that is asked for: each distinct x label meets the distinct y labels a slice of them at a
+    time, so no task holds all labels of an axis.
     ``limit`` keeps the first labels of each axis for a display.
     """
     known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
@@ -116,8 +119,9 @@ def matrix_cells(df: DataFrame, x: str, y: str, agg, out: str, limit: int | None
         found = known.select(c).distinct()
         return found.orderBy(c).limit(limit) if limit else found
 
-    along = labels(y).agg(F.collect_list(y).alias("_all"))
-    grid = labels(x).join(F.broadcast(along)).select(x, F.explode("_all").alias(y))
+    slices = labels(y).groupBy(F.pmod(F.xxhash64(y), F.lit(SLICES)).alias("_slice")).agg(F.collect_list(y).alias("_some"))
+    along = labels(x).withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SLICES - 1).cast("long"))))
+    grid = along.join(slices, "_slice").select(x, F.explode("_some").alias(y))
     cells = known.groupBy(x, y).agg(agg.alias(out))
     return grid.join(cells, [x, y], "left")
 

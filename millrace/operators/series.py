@@ -12,7 +12,7 @@ from millrace.functions.numeric import epoch_us, is_finite, is_inf
 from millrace.operators import ordering
 from millrace.operators.ordering import Order
 from millrace.operators.quantiles import modes, quantiles, ranked_values
-from millrace.operators.summary import join_on_keys
+from millrace.operators.summary import join_on_keys, to_rows
 
 THIN_SLOTS = 4000
 
@@ -158,7 +158,7 @@ def keep_chunks(df: DataFrame, most: int, latest: bool, keys: Sequence[str] = ()
     if not latest:
         return df.where(F.col(chunk) < most)
     last = df.groupBy(*keys).agg(F.max(chunk).alias("_last"))
-    return join_on_keys(df, last, keys).where(F.col(chunk) > F.col("_last") - most).drop("_last")
+    return to_rows(df, last, keys).where(F.col(chunk) > F.col("_last") - most).drop("_last")
 
 
 def limit_groups(df: DataFrame, key: str, most_groups: int, rows_each: int, order: Order, descending: bool = False) -> DataFrame:
