@@ -248,8 +248,9 @@ def near_duplicates(df: DataFrame, percent: int = 80, width: int = 5, id: str =
     spread = nodes.select("id", F.explode("bands").alias("key")).distinct()
     full = spread.groupBy("key").count().filter("count > 1")
     members = settle(spread.join(full, "key"))
-    ranked = members.join(members.groupBy("id").agg(F.sum("count").alias("rank")), "id")
-    leaders = ranked.groupBy("key").agg(F.max(F.struct("rank", (-F.col("id")).alias("less"))).alias("lead"))
+    # of equally full texts the one of the smallest id leads, which is likelier to be what the others were copied from
+    ranks = members.groupBy("id").agg(F.sum("count").alias("rank")).join(classes.select("id", (-F.col("first")).alias("early")), "id")
+    leaders = members.join(ranks, "id").groupBy("key").agg(F.max(F.struct("rank", "early", (-F.col("id")).alias("less"))).alias("lead"))
     led = members.join(leaders.select("key", (-F.col("lead.less")).alias("leader")), "key").filter("id != leader")
     tested = settle(search.close(led.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()))
     links = settle(search.confirm(tested))
