@@ -12,6 +12,7 @@ import zipfile
 from datetime import datetime, timedelta
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -53,14 +54,16 @@ def _noted(t: Tables, titles: list[str]) -> str:
     """Line items with a quoted note that holds delimiters, quotes and line ends; every file with its own title lines and header."""
     path = scratch(t, "noted")
     note = F.concat(F.lit('"'), F.replace(F.expr(NOTE), F.lit('"'), F.lit('""')), F.lit('"'))
-    lines = t.lineitem.repartition(4).select(F.concat_ws(",", "l_orderkey", "l_linenumber", note, F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss")).alias("value"))
+    files_wanted = max(4, t.spark.sparkContext.defaultParallelism)
+    lines = t.lineitem.repartition(files_wanted).select(F.concat_ws(",", "l_orderkey", "l_linenumber", note, F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss")).alias("value"))
     head = [*titles, "l_orderkey,l_linenumber,note,l_shipdate"]
 
     def with_head(batches):
-        yield pd.DataFrame({"value": head})
-        yield from batches
+        yield pa.RecordBatch.from_arrays([pa.array(head, pa.string())], ["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["value"])
 
-    lines.mapInPandas(with_head, "value string").write.text(path)
+    lines.mapInArrow(with_head, "value string").write.text(path)
     return path
 
 

@@ -4,6 +4,7 @@ import csv
 import io
 import random
 
+import pyarrow as pa
 import pytest
 
 from millrace.plans.ingest import read_folder
@@ -98,6 +99,45 @@ def test_state_of_lines():
             assert records.inside_after(line, ",", inside) == state, (line, inside)
 
 
+@pytest.mark.parametrize("delimiter", [",", "||"])
+def test_states_of_batches(delimiter):
+    rng = random.Random(3)
+    for _ in range(300):
+        lines = ["".join(rng.choice(["a", '"', '"', delimiter, "計"]) for _ in range(rng.randrange(9))) for _ in range(rng.randrange(1, 30))]
+        batch = pa.array(["x", *lines])[1:]  # a part of a larger one
+        for inside in (False, True):
+            want = [inside]
+            for line in lines:
+                want.append(records.inside_after(line, delimiter, want[-1]))
+            assert records.Quotes(batch, delimiter).states(inside).tolist() == want, lines
+
+
+def test_few_lines_are_looked_at_one_by_one(monkeypatch):
+    """Regular quotes, also doubled ones and delimiters in values, are counted a batch at a time."""
+    seen = []
+    known = records.inside_after
+    monkeypatch.setattr(records, "inside_after", lambda *a: seen.append(a) or known(*a))
+    lines = pa.array(['1,"a, ""b""",x', '2,"two', 'lines;', ',",y', '3,"",z', '4,bare 5" pipe,z'] * 100)
+    states = records.Quotes(lines, ",").states(False).tolist()
+    assert states == [False, False, True, True, False, False] * 100 + [False]
+    assert len(seen) == 100
+
+
+def test_small_splits_share_tasks(spark, tmp_path):
+    """A task reads several small splits; their number does not grow with the text."""
+    (tmp_path / "a.csv").write_text('id,note\n' + '1,"two\nlines"\n' * 20_000)
+    for name in SPLITS:
+        spark.conf.set(name, "700")
+    try:
+        lines = records._lines(spark, str(tmp_path), "UTF-8")
+        assert lines.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+        assert lines.select("block").distinct().count() > 300
+        assert records.read_records(spark, str(tmp_path)).count() == 20_001
+    finally:
+        for name in SPLITS:
+            spark.conf.unset(name)
+
+
 def test_folder_with_line_ends(spark, tmp_path, split_size):
     (tmp_path / "a.csv").write_text('id,note\n1,"two\nlines"\n2,plain\n')
     (tmp_path / "b.csv").write_text('id,note\n3,"a, b"\n')
