@@ -11,6 +11,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions import repair
 from millrace.operators import aggregate, cleaning, ordering
@@ -62,13 +63,27 @@ def null_safe(left: Sequence[str], prefix: str) -> list[Column]:
 def repeated_rows(df: DataFrame, keys: Sequence[str], order: ordering.Order, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
     """(kept, dropped): the last row in ``order`` is kept per key; with all columns as key any row will do.
 
-    ``keep`` may write the numbered rows once for both.
+    In that case equal rows are counted instead of sorted.  ``keep`` may write the numbered rows once for both.
     """
+    if set(df.columns) <= set(keys):
+        return repeated_whole_rows(df, keep)
     items = [(n, "asc" if desc else "desc") for n, desc in ordering.order_items(order)]
     numbered = keep(ordering.row_numbers(df, items, keys, "_rn"))
     return numbered.where(F.col("_rn") == 1).drop("_rn"), numbered.where(F.col("_rn") > 1).drop("_rn")
 
 
+def repeated_whole_rows(df: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """(kept, dropped): one of each set of equal rows, and all others."""
+    # of numbers that are equal but not the same, as 0.0 and -0.0, one is kept as it is
+    numbers = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    counted = df.groupBy(*df.columns).agg(F.count("*").alias("_n"), *[F.first(c).alias(f"_is_{c}") for c in numbers])
+    counted = keep(counted.select(*[F.col(f"_is_{c}").alias(c) if c in numbers else F.col(c) for c in df.columns], "_n"))
+    # the copies of a row in two steps, so that no list is as long as they are many
+    blocks = counted.where(F.col("_n") > 1).withColumn("_at", F.explode(F.sequence(F.lit(2).cast("long"), "_n", F.lit(4096).cast("long"))))
+    copies = blocks.withColumn("_at", F.explode(F.sequence("_at", F.least(F.col("_at") + 4095, F.col("_n")))))
+    return counted.drop("_n"), copies.drop("_n", "_at")
+
+
 def distinct_by(df: DataFrame, keys: Sequence[str], order: ordering.Order) -> DataFrame:
     """One row per natural key, the first in ``order``."""
     return ordering.first_rows(df, keys, order)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.repair import DATE_TEXT, TIME_TEXT, read_number
@@ -21,45 +21,49 @@ DATETIME_TEXT = r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}[\sT]\d{1,2}:\d{1,2}(:\d{1,2})?(\.
 def column_facts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column, counts of readings): what the decision needs.
 
-    One pass for the readings, and one that counts distinct values exactly.
+    One pass counts each distinct value; every value is then read once, for all its cells.
     """
     cols = list(cols)
-    text = F.col("value")
+    text, n = F.col("value"), F.col("n")
     moment = F.regexp_replace(text, "/", "-").try_cast("timestamp")
-    read = _cells(df, cols).select(
+    read = _cells(df, cols).groupBy("column", "value").agg(F.count("*").alias("n")).select(
         "column",
         "value",
+        "n",
         read_number(text).alias("number"),
         F.when(text.rlike(r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}"), moment).alias("moment"),
-    )
+    )
     number, at = F.col("number"), F.col("moment")
     whole = F.floor(number) == number
+
+    def cells(test: Column) -> Column:
+        return F.sum(F.when(test, n).otherwise(0))
+
     facts = {
-        "known": F.count("value"),
-        "numbers": F.count(number),
-        "whole": F.count_if(whole),
-        "bits": F.count_if(number.isin(0.0, 1.0)),
-        "int16": F.count_if(whole & number.between(-(2**15), 2**15 - 1)),
-        "int32": F.count_if(whole & number.between(-(2**31), 2**31 - 1)),
-        "int64": F.count_if(whole & text.try_cast("bigint").isNotNull()),
-        "double_zero": F.count_if(F.replace(text, F.lit("'"), F.lit("")).startswith("00")),
-        "moments": F.count(at),
-        "midnights": F.count_if(F.date_trunc("day", at) == at),
-        "dates": F.count_if(text.rlike(DATE_TEXT)),
-        "times": F.count_if(text.rlike(TIME_TEXT)),
-        "booleans": F.count_if(text.isin("true", "false")),
+        "known": F.sum(n),
+        "numbers": cells(number.isNotNull()),
+        "whole": cells(whole),
+        "bits": cells(number.isin(0.0, 1.0)),
+        "int16": cells(whole & number.between(-(2**15), 2**15 - 1)),
+        "int32": cells(whole & number.between(-(2**31), 2**31 - 1)),
+        "int64": cells(whole & text.try_cast("bigint").isNotNull()),
+        "double_zero": cells(F.replace(text, F.lit("'"), F.lit("")).startswith("00")),
+        "moments": cells(at.isNotNull()),
+        "midnights": cells(F.date_trunc("day", at) == at),
+        "dates": cells(text.rlike(DATE_TEXT)),
+        "times": cells(text.rlike(TIME_TEXT)),
+        "booleans": cells(text.isin("true", "false")),
         "longest": F.max(F.length(text)).cast("long"),
-        "plain_ints": F.count_if(text.rlike(r"^-?(0|[1-9]\d*)$")),
-        "separated": F.count_if(text.rlike(r"^[+-]?\d+,\d+$")),
-        "grouped": F.count_if(number.isNull() & text.rlike(r"^[+-]?[\d , \.]+$")),
-        "date_times": F.count_if(text.rlike(DATETIME_TEXT)),
+        "plain_ints": cells(text.rlike(r"^-?(0|[1-9]\d*)$")),
+        "separated": cells(text.rlike(r"^[+-]?\d+,\d+$")),
+        "grouped": cells(number.isNull() & text.rlike(r"^[+-]?[\d , \.]+$")),
+        "date_times": cells(text.rlike(DATETIME_TEXT)),
+        "distinct": F.count("*"),
     }
     found = read.groupBy("column").agg(*[v.alias(k) for k, v in facts.items()])
     rows = {r["column"]: tuple(r) for r in found.collect()}  # one row per column
-    distinct = {r["column"]: r["n"] for r in _exact_distinct(df, cols).collect()}
-    done = [(*rows[c], distinct[c]) if c in rows else (c, *[0] * (len(facts) + 1)) for c in cols]
-    names = [*facts, "distinct"]
-    return df.sparkSession.createDataFrame(done, "column string, " + ", ".join(f"`{k}` long" for k in names))
+    done = [rows.get(c, (c, *[0] * len(facts))) for c in cols]
+    return df.sparkSession.createDataFrame(done, "column string, " + ", ".join(f"`{k}` long" for k in facts))
 
 
 def _cells(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -68,10 +72,6 @@ def _cells(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return long.where(F.col("value").isNotNull())
 
 
-def _exact_distinct(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return _cells(df, cols).distinct().groupBy("column").agg(F.count("*").alias("n"))
-
-
 def is_category(known: int, distinct: int) -> bool:
     if known < 32:
         return False

@@ -178,3 +178,24 @@ def test_sub_parts(spark):
 
 def test_unique_names():
     assert reshape.number_names(["a", "a", "b", "a", "a_01"]) == ["a", "a_02", "b", "a_03", "a_01"]
+
+
+def test_equal_rows_are_counted_not_sorted(spark):
+    df = spark.createDataFrame([("a", 0.0, None)] * 3 + [("a", 1.0, "x"), (None, float("nan"), None), (None, float("nan"), None), ("b", -0.0, "y")], "k string, v double, t string")
+    kept, dropped = importer.repeated_rows(df, ["k", "v", "t"], [])
+    rows = lambda d: sorted(str(tuple(r)) for r in d.collect())
+    assert rows(kept) == sorted(["('a', 0.0, None)", "('a', 1.0, 'x')", "(None, nan, None)", "('b', -0.0, 'y')"])
+    assert rows(dropped) == sorted(["('a', 0.0, None)"] * 2 + ["(None, nan, None)"])
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    many = spark.range(9001).select(F.lit("a").alias("k"))
+    kept, dropped = importer.repeated_rows(many, ["k"], [])
+    assert (kept.count(), dropped.count()) == (1, 9000)
+
+
+def test_facts_read_each_value_once(spark):
+    df = spark.createDataFrame([("1", None), ("1", " x"), ("2.5", "x"), (None, "007")], "a string, b string")
+    facts = {r["column"]: r.asDict() for r in profile.column_facts(df.withColumn("c", F.lit(None).cast("string")), ["a", "b", "c"]).collect()}
+    assert [facts["a"][k] for k in ("known", "numbers", "whole", "bits", "plain_ints", "distinct", "longest")] == [3, 3, 2, 2, 2, 2, 3]
+    assert [facts["b"][k] for k in ("known", "numbers", "double_zero", "distinct")] == [3, 1, 1, 2]
+    assert set(facts["c"].values()) == {"c", 0}
