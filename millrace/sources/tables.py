@@ -96,6 +96,10 @@ def browse(df: DataFrame, column: str | None, descending: bool, limit: int) -> D
 
 
 def measurement_records(measures: DataFrame, events: DataFrame, equips: DataFrame, lines: DataFrame, on: Mapping[str, str]) -> DataFrame:
-    """Long records of an entity-attribute-value source: values with their event, equipment and line."""
-    out = measures.join(events, on["event"]).join(equips, on["equip"])
+    """Long records of an entity-attribute-value source: values with their event, equipment and line.
+
+    Events grow with the measures, so a task hashes its share of them only: they are not broadcast, however small Spark
+    takes them to be, and the measures, which are many more, are not sorted.
+    """
+    out = measures.join(events.hint("shuffle_hash"), on["event"]).join(equips, on["equip"])
     return out.join(lines, on["line"])
