@@ -50,6 +50,17 @@ SPLIT = {"spark.sql.files.maxPartitionBytes": "256k", "spark.sql.files.openCostI
 NOTE = "'Order ' || l_orderkey || case l_orderkey % 4 when 0 then ', part \"' || l_partkey || '\"' when 1 then chr(10) || 'second line;' || chr(10) || ',' when 2 then '' else ' plain' end"
 
 
+def _headed(lines: DataFrame, head: list[str]) -> DataFrame:
+    """Lines (``value``) with ``head`` before those of each partition, so that every file written begins with it."""
+
+    def run(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(head, pa.string())], ["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["value"])
+
+    return lines.mapInArrow(run, "value string")
+
+
 def _noted(t: Tables, titles: list[str]) -> str:
     """Line items with a quoted note that holds delimiters, quotes and line ends; every file with its own title lines and header."""
     path = scratch(t, "noted")
@@ -57,13 +68,7 @@ def _noted(t: Tables, titles: list[str]) -> str:
     files_wanted = max(4, t.spark.sparkContext.defaultParallelism)
     lines = t.lineitem.repartition(files_wanted).select(F.concat_ws(",", "l_orderkey", "l_linenumber", note, F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss")).alias("value"))
     head = [*titles, "l_orderkey,l_linenumber,note,l_shipdate"]
-
-    def with_head(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(head, pa.string())], ["value"])
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0)], ["value"])
-
-    lines.mapInArrow(with_head, "value string").write.text(path)
+    _headed(lines, head).write.text(path)
     return path
 
 
@@ -254,6 +259,20 @@ R.add(
 )
 
 
+FILE_ROWS = 1_000_000
+
+
+def _numbered_rows(df: DataFrame) -> DataFrame:
+    """Rows with their number ``_n`` from 0, partition after partition, from one count per partition."""
+    counts = df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
+    before, at = {}, 0
+    for r in sorted(counts):
+        before[r["p"]], at = at, at + r["n"]
+    offsets = F.coalesce(*[F.when(F.spark_partition_id() == p, F.lit(n)) for p, n in before.items()], F.lit(0)) if len(before) > 1 else F.lit(0)
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return df.withColumn("_n", offsets + inside)
+
+
 def _mixed_folder(t: Tables) -> str:
     """Files of different shapes: plain; other delimiter, title line and column order; Shift-JIS; two members in a zip."""
     path = scratch(t, "mixed")
@@ -263,10 +282,13 @@ def _mixed_folder(t: Tables) -> str:
     )
     part = F.pmod(F.col("l_orderkey").cast("long"), F.lit(4))
     rows.where(part == 0).write.option("header", True).csv(f"{path}/plain")
-    other = rows.where(part == 1).select(F.lit(2).alias("n"), F.concat_ws(";", "l_shipdate", "l_quantity", "l_orderkey", "l_linenumber").alias("line"))
-    head = t.spark.createDataFrame([(0, "shipments of the plant"), (1, "l_shipdate;l_quantity;l_orderkey;l_linenumber")], "n int, line string")
-    other.unionByName(head).coalesce(1).sortWithinPartitions("n").select("line").write.text(f"{path}/titled")
-    late = rows.where(part == 2).coalesce(1).withColumn("note", F.when(F.monotonically_increasing_id() > 1200, "計測値").otherwise("ok"))
+    # one file of a shape for each million line items, or less
+    count = max(1, -(-t.lineitem.count() // FILE_ROWS))
+    other = rows.where(part == 1).select(F.concat_ws(";", "l_shipdate", "l_quantity", "l_orderkey", "l_linenumber").alias("value"))
+    other = other.coalesce(1) if count == 1 else other.repartition(count)
+    _headed(other, ["shipments of the plant", "l_shipdate;l_quantity;l_orderkey;l_linenumber"]).write.text(f"{path}/titled")
+    late = _numbered_rows(rows.where(part == 2)).withColumn("note", F.when(F.col("_n") > 1200, "計測値").otherwise("ok")).drop("_n")
+    late = late.coalesce(1) if count == 1 else late
     late.write.option("header", True).option("encoding", "Shift_JIS").csv(f"{path}/japanese")
 
     def archive(batches):

@@ -60,6 +60,10 @@ def null_safe(left: Sequence[str], prefix: str) -> list[Column]:
     return [F.col(c).eqNullSafe(F.col(f"{prefix}{c}")) for c in left]
 
 
+#: Different rows that one task holds to count equal ones.
+COUNTED_ROWS = 500_000
+
+
 def repeated_rows(df: DataFrame, keys: Sequence[str], order: ordering.Order, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
     """(kept, dropped): the last row in ``order`` is kept per key; with all columns as key any row will do.
 
@@ -76,6 +80,9 @@ def repeated_whole_rows(df: DataFrame, keep: Callable[[DataFrame], DataFrame] =
     """(kept, dropped): one of each set of equal rows, and all others."""
     # of numbers that are equal but not the same, as 0.0 and -0.0, one is kept as it is
     numbers = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    tasks = -(-df.count() // COUNTED_ROWS)
+    if tasks > 1 and len(numbers) < len(df.columns):  # few copies are the rule: rows go to their tasks uncounted
+        df = df.repartition(tasks, *[c for c in df.columns if c not in numbers])
     counted = df.groupBy(*df.columns).agg(F.count("*").alias("_n"), *[F.first(c).alias(f"_is_{c}") for c in numbers])
     counted = keep(counted.select(*[F.col(f"_is_{c}").alias(c) if c in numbers else F.col(c) for c in df.columns], "_n"))
     # the copies of a row in two steps, so that no list is as long as they are many

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from millrace.functions import names
 from millrace.operators.reshape import number_names
 from millrace.plans.importer import ImportResult, ImportSpec, import_batch
-from millrace.session import prepare, written
+from millrace.session import dealt, prepare, written
 from millrace.sources import files, profile
 
+#: Cells whose values one task counts; a task's memory does not grow with the folder.
+CELLS = 3_000_000
+
 
 def read_folder(spark: SparkSession, path: str, glob: str = "*.csv", skip: int | None = None) -> DataFrame:
     """All rows of a folder as text, each file by its own encoding, delimiter, lines before the header and columns.
@@ -33,7 +36,7 @@ def read_folder(spark: SparkSession, path: str, glob: str = "*.csv", skip: int |
     ]
     if zipped:
         fields = list(dict.fromkeys(n for key in found if key[0] == "zip" for n in number_names(key[1:])))
-        parts.append(files.cells_to_frame(files.read_whole(spark, sorted(zipped), skip=skip), fields).drop("path", "row"))
+        parts.append(files.read_members(spark, sorted(zipped), fields, skip))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
@@ -49,7 +52,7 @@ def ingest_files(
     raw = read_folder(spark, path, glob, skip)
     raw = written(raw if n_rows is None else raw.limit(n_rows))
     data = [c for c in raw.columns if c != time]
-    kinds = profile.infer_types(raw, data)
+    kinds = profile.infer_types(dealt(raw, CELLS // max(1, len(data))), data)
     plain = {c: "TEXT" if k in ("CATEGORY", "DATE", "TIME") else k for c, k in kinds.items()}
     return import_batch(raw, ImportSpec(time, plain, zone=zone), stored)
 

@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "millrace", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -74,3 +75,11 @@ def written(df: DataFrame) -> DataFrame:
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, per_task: int, rows: int | None = None) -> DataFrame:
+    """Rows dealt over so many tasks that none gets many more than ``per_task``; unchanged if that is so already."""
+    tasks = -(-(df.count() if rows is None else rows) // per_task)
+    if tasks <= df.rdd.getNumPartitions():
+        return df
+    return df.withColumn("_dealt", F.monotonically_increasing_id()).repartition(tasks, "_dealt").drop("_dealt")

@@ -1,10 +1,15 @@
 """Cleaning, import and reshape on small tables."""
 
+import pathlib
+import zipfile
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import session
+from millrace.bindings import flows as flows_bindings
+from millrace.bindings.base import Tables
 from millrace.functions import names, repair
 from millrace.operators import cleaning, reshape
 from millrace.plans import importer
@@ -199,3 +204,55 @@ def test_facts_read_each_value_once(spark):
     assert [facts["a"][k] for k in ("known", "numbers", "whole", "bits", "plain_ints", "distinct", "longest")] == [3, 3, 2, 2, 2, 2, 3]
     assert [facts["b"][k] for k in ("known", "numbers", "double_zero", "distinct")] == [3, 1, 1, 2]
     assert set(facts["c"].values()) == {"c", 0}
+
+
+def test_events_are_not_broadcast(spark):
+    """Events grow with the measures: tasks hash their share of them."""
+    measures = spark.createDataFrame([(1, 1, "q", "5"), (2, 1, "q", "6"), (3, 9, "q", "7"), (4, None, "q", "8")], "id int, event int, data_name string, data_value string")
+    events = spark.createDataFrame([(1, 7), (2, 7), (None, 7)], "event int, equip int")
+    equips = spark.createDataFrame([(7, 3)], "equip int, line int")
+    lines = spark.createDataFrame([(3, "L")], "line int, name string")
+    out = tables.measurement_records(measures, events, equips, lines, {"event": "event", "equip": "equip", "line": "line"})
+    assert sorted((r["id"], r["name"]) for r in out.collect()) == [(1, "L"), (2, "L")]
+    assert "ShuffledHashJoin [event" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_members_side_by_side(spark, tmp_path):
+    """The same rows as from cells put together by row, without a shuffle."""
+    with zipfile.ZipFile(tmp_path / "a.csv", "w") as z:
+        z.writestr("0.csv", "id,x,x\n1,a\n\n2,b,c,more\n")
+        z.writestr("1.csv", "y;id\nz;3\n;4\n")
+        z.writestr("2.csv", "")
+    fields = ["id", "x", "x_1", "y"]
+    whole = files.read_whole(spark, str(tmp_path), skip=None)
+    fields += [r["field"] for r in whole.select("field").distinct().collect() if r["field"] not in fields]
+    out = files.read_members(spark, str(tmp_path), fields, skip=None)
+    want = files.cells_to_frame(whole, fields).drop("path", "row")
+    assert sorted(map(str, out.collect())) == sorted(map(str, want.collect())) and out.count() == 4
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_mixed_folder_has_many_files(spark, sf, monkeypatch):
+    """No file of the mixed folder takes a fixed share of the table; rows and notes are the same for any number of files."""
+    plain = flows_bindings._ingested_mixed("good")(Tables(spark, sf)).collect()
+    monkeypatch.setattr(flows_bindings, "FILE_ROWS", 2000)
+    t = Tables(spark, sf)
+    assert len(list(pathlib.Path(flows_bindings._mixed_folder(t).removesuffix("/*") + "/titled").glob("*.txt"))) >= 3
+    assert sorted(flows_bindings._ingested_mixed("good")(t).collect()) == sorted(plain)
+
+
+def test_numbered_rows(spark):
+    df = flows_bindings._numbered_rows(spark.range(0, 1000, 1, 7).where("id % 3 <> 0"))
+    rows = df.orderBy("id").collect()
+    assert [r["_n"] for r in rows] == list(range(len(rows)))
+
+
+def test_tasks_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    """Tasks grow in number, not in size: for counting equal rows and for counting values."""
+    monkeypatch.setattr(importer, "COUNTED_ROWS", 100)
+    df = spark.range(0, 1000, 1, 2).selectExpr("id % 700 as k", "double(id % 7) as v")
+    kept, dropped = importer.repeated_rows(df, df.columns, [])
+    assert (kept.count(), kept.distinct().count(), dropped.count()) == (700, 700, 300)
+    assert "hashpartitioning(k" in kept._jdf.queryExecution().executedPlan().toString() and kept.rdd.getNumPartitions() == 10
+    sizes = [r["n"] for r in session.dealt(df, 100).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 1000 and max(sizes) < 250 and session.dealt(df, 500) is df
