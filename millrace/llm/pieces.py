@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
+from collections import Counter
 from collections.abc import Sequence
 from functools import lru_cache
 from itertools import chain
@@ -34,7 +35,9 @@ SPACE = "▁"
 _MASK = (1 << 64) - 1
 LEFT, STOP, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 #: A symbol behind the last, and the rank of what is no piece.
-END, NEVER = (1 << 20) - 1, np.iinfo(np.int64).max
+END, NEVER = (1 << 20) - 1, np.int32(np.iinfo(np.int32).max)
+#: The steps of a unit without merges.
+NONE = np.empty(0, np.uint64)
 
 
 def skips(key: int, left: int, stop: int, limit: int) -> bool:
@@ -70,7 +73,20 @@ class Pieces:
         for c in {*inner, SPACE} - self.bare:
             self.symbol_of[ord(c)] = self.ids[c]
         found = [(self.ids[p[:i]] << 20 | self.ids[p[i:]], r, self.ids[p]) for p, r in self.rank.items() for i in range(1, len(p)) if p[:i] in self.ids and p[i:] in self.ids]
-        self.pairs, self.pair_rank, self.pair_id = (np.array(x) for x in zip(*sorted(found)))
+        self._lay_out(*(np.array(x) for x in zip(*sorted(found))))
+
+    def _lay_out(self, pairs: np.ndarray, ranks: np.ndarray, ids: np.ndarray) -> None:
+        """The pairs in a table by hash, each at its place or, where that is taken, at the next free one."""
+        bits = int(4 * len(pairs)).bit_length()
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.pairs, self.pair_rank, self.pair_id = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NEVER, np.int32), np.zeros(1 << bits, np.int32)
+        for pair, at, r, i in zip(pairs.tolist(), self._places(pairs).tolist(), ranks.tolist(), ids.tolist()):
+            while self.pairs[at] != -1:
+                at = (at + 1) & self.last
+            self.pairs[at], self.pair_rank[at], self.pair_id[at] = pair, r, i
+
+    def _places(self, pairs: np.ndarray) -> np.ndarray:
+        return ((pairs.astype(np.uint64) * LEFT) >> self.shift).astype(np.int64)
 
     def characters(self, unit: str) -> list[int]:
         """Ids of a piece of text that is one symbol: its own piece, or the bytes of its characters."""
@@ -91,7 +107,7 @@ class Pieces:
         """
         out: list[bytes] = [b""] * len(units)
         if steps is not None:
-            steps[:] = [np.empty(0, np.uint64) if len(u) == 1 else None for u in units]
+            steps[:] = [NONE if len(u) == 1 else None for u in units]
         sizes = np.fromiter(map(len, units), np.int64, len(units))
         alone = (sizes > SHORT) | (sizes == 1)
         if self.bare:
@@ -103,7 +119,7 @@ class Pieces:
         for at in range(0, len(rest), BLOCK):
             block = rest[at : at + BLOCK]
             merges: list | None = None if steps is None else []
-            ids, counts = self._block([units[i].replace(" ", SPACE) for i in block.tolist()], keys[block], dropout, merges)
+            ids, counts = self._block([units[i] for i in block.tolist()], keys[block], dropout, merges)
             if steps is not None:
                 r, left, stop = (np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*merges) if merges else ((), (), ())))
                 order = np.argsort(r, kind="stable")
@@ -119,25 +135,42 @@ class Pieces:
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank, id) of the union of two symbols; rank NEVER where it is no piece."""
         wanted = (left.astype(np.int64) << 20) | right
-        at = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
-        return np.where(self.pairs[at] == wanted, self.pair_rank[at], NEVER), self.pair_id[at]
+        at = self._places(wanted)
+        here = self.pairs[at]
+        rank = np.where(here == wanted, self.pair_rank[at], NEVER)
+        ids = self.pair_id[at]
+        more = np.nonzero((here != wanted) & (here != -1))
+        wanted, at = wanted[more], at[more]
+        while len(at):  # the few whose place is taken by another pair
+            at = (at + 1) & self.last
+            here = self.pairs[at]
+            hit = here == wanted
+            rank[tuple(m[hit] for m in more)], ids[tuple(m[hit] for m in more)] = self.pair_rank[at[hit]], self.pair_id[at[hit]]
+            on = ~hit & (here != -1)
+            more, wanted, at = tuple(m[on] for m in more), wanted[on], at[on]
+        return rank, ids
 
     def _block(self, texts: list[str], keys: np.ndarray, dropout: float, merges: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids per text); ``merges`` receives (text, left, stop) of those done.  Row r holds the symbols of text r at their first characters."""
         sizes = np.array([len(t) for t in texts])
         rows, width = len(texts), int(sizes.max())
-        symbol = np.full((rows, width + 1), END, np.int64)
-        symbol[:, :width][np.arange(width) < sizes[:, None]] = self.symbol_of[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)]
+        symbol = np.full((rows, width + 1), END, np.int32)
+        symbol[:, :width][np.arange(width) < sizes[:, None]] = self.symbol_of[np.frombuffer("".join(texts).replace(" ", SPACE).encode("utf-32-le"), np.uint32)]
         after = np.tile(np.arange(1, width + 2), (rows, 1))
         before = np.tile(np.arange(-1, width), (rows, 1))
         rank, union = self._ranks(symbol[:, :-1], symbol[:, 1:])
         alive = np.arange(width) < sizes[:, None]
         limit = np.uint64(min(int(dropout * (1 << 64)), _MASK))
+        done, left_over, place = symbol[:, :width], alive, np.arange(rows)  # what is ready, and the rows still worked on
         while True:
             best = rank.argmin(axis=1)
-            r = np.flatnonzero(rank[np.arange(rows), best] != NEVER)
-            if not len(r):
-                return symbol[:, :width][alive], alive.sum(axis=1)
+            r = np.flatnonzero(rank[np.arange(len(place)), best] != NEVER)
+            if 2 * len(r) <= len(place):
+                done[place], left_over[place] = symbol[:, :width], alive
+                if not len(r):
+                    return done[left_over], left_over.sum(axis=1)
+                symbol, after, before, rank, union, alive, keys, place, best = (x[r] for x in (symbol, after, before, rank, union, alive, keys, place, best))
+                r = np.arange(len(place))
             left = best[r]
             middle = after[r, left]
             stop = after[r, middle]
@@ -147,7 +180,7 @@ class Pieces:
                 rank[r[skipped], left[skipped]] = NEVER
                 r, left, middle, stop = (x[~skipped] for x in (r, left, middle, stop))
             if merges is not None:
-                merges.append((r, left, stop))
+                merges.append((place[r], left, stop))
             symbol[r, left] = union[r, left]
             after[r, left], before[r, stop] = stop, left
             rank[r, middle], alive[r, middle] = NEVER, False
@@ -199,7 +232,7 @@ class Encoder:
     """Encodes texts a batch at a time.  Every merge of every occurrence of a unit has a draw of its own.
 
     The plain segmentation of a unit is remembered with its merges; an occurrence for which none of them is skipped has
-    it, all others are segmented.  ``kept - 1`` further segmentations of a unit met are kept for inspection.  Results
+    it, all others are segmented, as are those of units not remembered yet.  ``kept - 1`` further segmentations of a unit met are kept for inspection.  Results
     do not depend on what is remembered.
     """
 
@@ -207,6 +240,7 @@ class Encoder:
         self.pieces, self.dropout, self.seed = pieces, dropout, seed
         self.known: list[dict[str, bytes]] = [{} for _ in range(kept)]
         self.steps: dict[str, np.ndarray | None] = {}
+        self.met: set[str] = set()
 
     def _learn(self, units: list[str]) -> None:
         steps: list = []
@@ -215,9 +249,9 @@ class Encoder:
 
     def _drawn(self, units: list[str], keys: np.ndarray) -> np.ndarray:
         """Places of the units of which the plain segmentation has a merge that is skipped, or is not known to have none."""
-        steps = [self.steps[u] for u in units]
+        steps = list(map(self.steps.get, units))
         alone = np.array([x is None for x in steps])
-        steps = [np.empty(0, np.uint64) if x is None else x for x in steps]
+        steps = [NONE if x is None else x for x in steps]
         many = np.fromiter(map(len, steps), np.int64, len(steps))
         draws = (np.repeat(keys, many) + np.concatenate(steps)) * SPREAD
         skipped = np.repeat(np.arange(len(units)), many)[draws < np.uint64(min(int(self.dropout * (1 << 64)), _MASK))]
@@ -226,15 +260,21 @@ class Encoder:
 
     def encode(self, texts: list[str | None], keys: list | None = None) -> list[bytes]:
         """Piece ids as 32-bit integers.  Draws follow from seed, text, the text's entry of ``keys``, and character."""
-        if len(self.known[0]) > REMEMBERED:
-            for known in [*self.known, self.steps]:
+        if len(self.known[0]) + len(self.met) > REMEMBERED:
+            for known in [*self.known, self.steps, self.met]:
                 known.clear()
         plain = self.known[0]
         cut = [self.pieces.units.findall(" " + text) if text else [] for text in texts]
         units = list(chain.from_iterable(cut))
-        if new := [u for u in dict.fromkeys(units) if u not in plain]:
+        counts = Counter(units)
+        new = [u for u in counts if u not in plain]
+        if self.dropout and len(self.known) == 1:  # a unit met for the first time, and once, is segmented as drawn only
+            first = {u for u in new if counts[u] == 1 and u not in self.met}
+            new = [u for u in new if u not in first]
+            self.met |= first
+        if new:
             self._learn(new)
-        found = list(map(plain.__getitem__, units))
+        found = list(map(plain.get, units))
         sizes = np.array([len(c) for c in cut], np.int64)
         if self.dropout and units:
             own = np.fromiter((xxhash.xxh3_64_intdigest(f"{key}:{text}".encode(), self.seed) for text, key in zip(texts, keys or [""] * len(texts))), np.uint64, len(texts))

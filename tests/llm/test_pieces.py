@@ -114,3 +114,32 @@ def test_copies_are_drawn_apart(spark):
 
     df = frame(spark, [(1, "several extraordinarily long documents " * 20, "s")] * 3)
     assert len({tuple(r.ids) for r in corpus_pipeline.encode(spark, df, "").collect()}) == 3
+
+
+def test_units_met_once_are_segmented_once(model, texts, monkeypatch):
+    """Only units that come back are remembered; pieces do not depend on it, nor on what is in the batch."""
+    encoder = pieces.Encoder(model, 0.3, 1)
+    seen = []
+    known = model.segment_many
+    monkeypatch.setattr(model, "segment_many", lambda units, *a: seen.extend(units) or known(units, *a))
+    encoder.encode(["quixotic zebras jumping jumping"], ["a"])
+    assert seen.count(" quixotic") == 1 and " quixotic" not in encoder.known[0] and " jumping" in encoder.known[0]
+    encoder.encode(["quixotic"], ["b"])
+    assert " quixotic" in encoder.known[0]
+    keys = [str(i) for i in range(len(texts))]
+    remembering = pieces.Encoder(model, 0.3, 1, 2).encode(texts, keys)
+    assert pieces.Encoder(model, 0.3, 1).encode(texts, keys) == remembering
+    assert [pieces.Encoder(model, 0.3, 1).encode([t], [k])[0] for t, k in zip(texts, keys)] == remembering
+
+
+def test_pair_table_against_pieces(model):
+    """Each pair of pieces whose union is a piece is found in the table, and no other."""
+    rng = np.random.default_rng(5)
+    some = rng.choice([i for i in model.ids.values()], 20_000)
+    names = {i: p for p, i in model.ids.items()}
+    joined = [(model.ids[p[:k]], model.ids[p[k:]]) for p in list(model.rank)[::7] for k in range(1, len(p)) if p[:k] in model.ids and p[k:] in model.ids]
+    left, right = (np.array([*x, *y]) for x, y in zip(zip(*joined), (some[::2], some[1::2])))
+    ranks, ids = model._ranks(left, right)
+    for a, b, r, i in zip(left.tolist(), right.tolist(), ranks.tolist(), ids.tolist()):
+        union = names[a] + names[b]
+        assert r == model.rank.get(union, pieces.NEVER) and (union not in model.rank or i == model.ids[union])
