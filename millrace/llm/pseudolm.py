@@ -17,15 +17,19 @@ round.  What a task holds is one batch and one network, whose size follows the v
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.words import append_columns, chunks, split_words, word_hashes
+from millrace.llm.words import append_columns, chunks, split_words
 from millrace.session import written
 
 #: Classes of words: frequent ones of their own, groups of vocabulary words, and one for the rest.  A class is one byte.
@@ -38,9 +42,16 @@ SHARE, LEAST = 1 << 18, 5
 #: Vectors that neighbours outside the vocabulary share.
 TAILS = 1024
 SIDE, HIDDEN = 2, 16
+OFFSETS = [*range(-SIDE, 0), *range(1, SIDE + 1)]
 ROUNDS, BATCH, RATE = 4, 4096, 0.15
 #: Weights that are added up as one row.
 BLOCK = 4096
+#: Words whose logits are held at once, so that they stay in a core's cache, and words scored at once.
+TILE, SCORED = 512, 1 << 13
+#: Text bytes whose words are counted or looked up at once; a word that occurs again there costs nothing more.
+TEXT_BYTES = 16 << 20
+#: Bias of a place without a word.
+EMPTY = -1e4
 #: Occurrences that the shorter context of a byte counts for; a word seen once must not pass for its own evidence.
 PRIOR = 20.0
 
@@ -50,29 +61,38 @@ class Spelling:
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
         order = np.argsort(keys)
-        self.keys, n = keys[order].astype(np.int64), counts[order].astype(np.float64)
-        pairs = np.bincount(self.keys & 0xFFFF, weights=n, minlength=1 << 16).reshape(256, 256)
-        self.short = (pairs + PRIOR / 256) / (pairs.sum(axis=1, keepdims=True) + PRIOR)
-        self.given = np.bincount(self.keys >> 8, weights=n, minlength=1 << 16)
-        self.n = n
+        self.keys, self.n = keys[order].astype(np.int64), counts[order].astype(np.float64)
+
+    @cached_property
+    def logs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(row of each two bytes, logarithm of the probability of each byte after them, row by row).  Two bytes that
+        were never seen share the row of the second."""
+        pairs = np.bincount(self.keys & 0xFFFF, weights=self.n, minlength=1 << 16).reshape(256, 256)
+        short = (pairs + PRIOR / 256) / (pairs.sum(axis=1, keepdims=True) + PRIOR)
+        seen, of = np.unique(self.keys >> 8, return_inverse=True)
+        row = np.arange(1 << 16) & 0xFF
+        row[seen] = 256 + np.arange(len(seen))
+        given = np.bincount(of, weights=self.n, minlength=len(seen))
+        likely = np.vstack([short, PRIOR * short[seen & 0xFF]])
+        likely[256 + of, self.keys & 0xFF] += self.n
+        likely[256:] /= (given + PRIOR)[:, None]
+        return row, np.log(likely, out=likely).ravel()
 
     @staticmethod
     def trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(trigram, number of its word) of all bytes of some words and the blanks that end them."""
         sizes = np.fromiter(map(len, words), np.int64, len(words)) + 3
-        line = np.frombuffer(b"".join([b"  " + w + b" " for w in words]), np.uint8).astype(np.int64)
-        of = np.repeat(np.arange(len(words)), sizes)
-        at = np.flatnonzero(np.arange(len(line)) < (np.cumsum(sizes) - 2)[of]) if len(words) else np.empty(0, np.int64)
-        return line[at] << 16 | line[at + 1] << 8 | line[at + 2], of[at]
+        line = np.frombuffer(b"  " + b"   ".join(words) + b" ", np.uint8).astype(np.int32)
+        whole = np.ones(len(line) - 2, bool)
+        for k in (2, 1):
+            whole[(np.cumsum(sizes) - k)[:-1]] = False  # those that reach into the next word
+        found = (line[:-2] << 16 | line[1:-1] << 8 | line[2:])[whole]
+        return found[: int(sizes.sum()) - 2 * len(words)], np.repeat(np.arange(len(words)), sizes - 2)
 
     def log_probabilities(self, words: list[bytes]) -> np.ndarray:
         found, of = self.trigrams(words)
-        n = np.zeros(len(found))
-        if len(self.keys):
-            place = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
-            n = np.where(self.keys[place] == found, self.n[place], 0)
-        short = self.short[found >> 8 & 0xFF, found & 0xFF]
-        return np.bincount(of, weights=np.log((n + PRIOR * short) / (self.given[found >> 8] + PRIOR)), minlength=len(words))
+        row, logs = self.logs
+        return np.bincount(of, weights=logs[row[found >> 8] << 8 | found & 0xFF], minlength=len(words))
 
 
 @dataclass
@@ -88,7 +108,7 @@ def frequent_words(df: DataFrame, text: str = "text") -> Vocabulary:
     """The vocabulary of all texts (ASCII lower case), ties by code point."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
+        for part in chunks(batches, limit=TEXT_BYTES):
             codes, words, _ = split_words(part.column("text"), lower=True)
             yield pa.RecordBatch.from_arrays([words.cast(pa.string()), pa.array(np.bincount(codes, minlength=len(words)))], ["word", "n"])
 
@@ -97,7 +117,7 @@ def frequent_words(df: DataFrame, text: str = "text") -> Vocabulary:
             found, of = Spelling.trigrams(part.column("word").cast(pa.binary()).to_pylist())
             keys, at = np.unique(found, return_inverse=True)
             n = np.bincount(at, weights=part.column("n").to_numpy()[of], minlength=len(keys)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["k", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n)], ["k", "n"])
 
     counts = df.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = written(counts)
@@ -119,36 +139,40 @@ def encode(df: DataFrame, vocabulary: Vocabulary, id: str = "doc_id", text: str
     """
 
     def make():
-        known = {w: i for i, w in enumerate(vocabulary.words)}
+        known = pa.array(vocabulary.words, pa.large_string())
         size, spelling = len(vocabulary.counts), vocabulary.spelling
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             codes, dictionary, bounds = split_words(batch.column("text"), lower=True)
-            own = np.array([known.get(w, -1) for w in dictionary.to_pylist()], np.int64)
+            own = pc.fill_null(pc.index_in(dictionary, known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
             rare = np.flatnonzero(own < 0)
-            hard = dictionary.take(pa.array(rare))
+            hard = dictionary.take(pa.array(rare)).cast(pa.large_binary()).to_pylist()
             spelt = np.zeros(len(own))
-            spelt[rare] = spelling.log_probabilities(hard.cast(pa.large_binary()).to_pylist())
+            spelt[rare] = spelling.log_probabilities(hard)
             fine = np.maximum(own - FREQUENT + 1, 0)
             classes = np.where(fine > 0, FREQUENT + (fine - 1) % GROUPS, own)
-            fine[rare] = 1 + size + (word_hashes(hard, 9) % np.uint64(TAILS)).astype(np.int64)
+            fine[rare] = 1 + size + (np.fromiter(map(xxhash.xxh3_64_intdigest, hard, repeat(9)), np.uint64, len(hard)) % np.uint64(TAILS)).astype(np.int64)
             classes[rare] = REST
-            flat, deep = classes.astype(np.uint8)[codes], fine.astype(np.int32)[codes]
             of = np.repeat(np.arange(len(batch)), np.diff(bounds))
-            sums = np.bincount(of, weights=spelt[codes], minlength=len(batch)).astype(np.float64)
-            cuts = list(zip(bounds[:-1], bounds[1:]))
-            return [pa.array([flat[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array([deep[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array(sums)]
+            sums = np.bincount(of, weights=spelt.take(codes), minlength=len(batch)).astype(np.float64)
+
+            def cut(values: np.ndarray) -> pa.Array:
+                ends = pa.py_buffer(bounds.astype(np.int32) * np.int32(values.itemsize))
+                return pa.Array.from_buffers(pa.binary(), len(batch), [None, ends, pa.py_buffer(values.take(codes))])
+
+            return [cut(classes.astype(np.uint8)), cut(fine.astype(np.int32)), pa.array(sums)]
 
         return work
 
     rows = df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("body"))
     new = {"codes": "binary", "fine": "binary", "spelt": "double"}
-    return append_columns(rows, {"text": F.col("body")}, new, make, by="text").select("id", *new)
+    return append_columns(rows, {"text": F.col("body")}, new, make, by="text", limit=TEXT_BYTES).select("id", *new)
 
 
 class Network:
     """Weights as single-precision arrays: a table per neighbour, a bias, an output matrix and its bias; and for words
-    within a class what each adds as a neighbour, an output vector each, and its bias, at first the logarithm of the count."""
+    within a class what each adds as a neighbour, and class by class an output vector each with its bias, at first the
+    logarithm of the count.  Places that a class lacks hold ``EMPTY`` and get no probability."""
 
     def __init__(self, seed: int = 0, counts: np.ndarray | None = None):
         rng = np.random.default_rng(seed)
@@ -158,12 +182,20 @@ class Network:
         self.out = rng.normal(0, 0.1, (HIDDEN, CLASSES)).astype(np.float32)
         self.base = np.zeros(CLASSES, np.float32)
         self.fine = np.zeros((1 + len(counts) + TAILS, HIDDEN), np.float32)
-        self.word = np.zeros((len(counts), HIDDEN), np.float32)
-        self.often = np.log(counts).astype(np.float32)
+        self.size = len(counts)
+        often = np.full(-(-self.size // GROUPS) * GROUPS, EMPTY, np.float32)
+        often[: self.size] = np.log(counts)
+        self.words = np.zeros((GROUPS, len(often) // GROUPS, HIDDEN + 1), np.float32)
+        self.words[..., HIDDEN] = often.reshape(-1, GROUPS).T
 
     @property
     def parts(self) -> list[np.ndarray]:
-        return [self.near, self.bias, self.out, self.base, self.fine, self.word, self.often]
+        return [self.near, self.bias, self.out, self.base, self.fine, self.words]
+
+    @property
+    def word(self) -> np.ndarray:
+        """The output vector of each word within a class."""
+        return self.words[..., :HIDDEN].transpose(1, 0, 2).reshape(-1, HIDDEN)[: self.size]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parts])
@@ -175,114 +207,173 @@ class Network:
             p[...], flat = flat[: p.size].reshape(p.shape), flat[p.size :]
         return net
 
-    def hidden(self, neighbours: np.ndarray, fine: np.ndarray | None = None) -> np.ndarray:
-        total = self.bias + self.near[0][neighbours[0]]
+    def hidden(self, neighbours: np.ndarray, fine: Sequence[np.ndarray] | None = None) -> np.ndarray:
+        """The hidden layer, and a column of ones for biases."""
+        total = self.near[0].take(neighbours[0], axis=0, mode="clip")
+        total += self.bias
         for table, words in zip(self.near[1:], neighbours[1:]):
-            total += table[words]
+            total += table.take(words, axis=0, mode="clip")
         for words in fine if fine is not None else ():
-            total += self.fine[words]
-        return np.tanh(total, out=total)
-
-    def within(self, own: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-        """(words of a class, places in ``own`` that hold one of them, which one), class by class."""
-        at = np.flatnonzero((own > 0) & (own <= len(self.word)))
+            total += self.fine.take(words, axis=0, mode="clip")
+        h = np.ones((len(total), HIDDEN + 1), np.float32)
+        np.tanh(total, out=h[:, :HIDDEN])
+        return h
+
+    def within(self, own: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, list[tuple[int, int, int]]]]:
+        """(classes, places in ``own`` that hold one of their words, which one, (class, first place, last) of each), a
+        tile of whole classes at a time."""
+        at = np.flatnonzero((own > 0) & (own <= self.size))
         place = own[at] - 1
-        order = np.argsort(place % GROUPS, kind="stable")
-        at, place = at[order], place[order]
-        ends = np.searchsorted(place % GROUPS, np.arange(GROUPS + 1))
-        for group in np.flatnonzero(np.diff(ends)).tolist():
-            part = slice(ends[group], ends[group + 1])
-            yield slice(group, None, GROUPS), at[part], place[part] // GROUPS
-
-    def log_probabilities(self, neighbours: np.ndarray, words: np.ndarray, fine: np.ndarray | None = None, own: np.ndarray | None = None) -> np.ndarray:
+        group = (place % GROUPS).astype(np.uint8)
+        order = np.argsort(group, kind="stable")
+        at, place = at[order], place[order] // GROUPS
+        ends = np.searchsorted(group[order], np.arange(GROUPS + 1)).tolist()
+        first = 0
+        for group in range(1, GROUPS + 1):
+            if ends[group] > ends[first] and (group == GROUPS or ends[group + 1] - ends[first] > TILE):
+                part = slice(ends[first], ends[group])
+                yield slice(first, group), at[part], place[part], [(g, ends[g] - part.start, ends[g + 1] - part.start) for g in range(first, group) if ends[g + 1] > ends[g]]
+                first = group
+
+    def _deep(self, h: np.ndarray, cuts: list[tuple[int, int, int]]) -> np.ndarray:
+        logits = np.empty((len(h), self.words.shape[1]), np.float32)
+        for g, a, b in cuts:
+            np.matmul(h[a:b], self.words[g].T, out=logits[a:b])
+        return logits
+
+    def log_probabilities(self, neighbours: np.ndarray, words: np.ndarray, fine: Sequence[np.ndarray] | None = None, own: np.ndarray | None = None) -> np.ndarray:
         """Logarithm of the probability of each word given its neighbours (2 * SIDE rows of codes).
 
         Without ``fine`` and ``own``, the fine codes of neighbours and words, this is that of the class alone.
         """
-        h = self.hidden(neighbours, fine)
-
-        def pick(logits: np.ndarray, which: np.ndarray) -> np.ndarray:
-            top = logits.max(axis=1, keepdims=True)
-            chosen = logits[np.arange(len(which)), which] - top[:, 0]
-            return chosen - np.log(np.exp(logits - top, out=logits).sum(axis=1))
-
-        found = pick(h @ self.out + self.base, words)
+        h, classes = self.hidden(neighbours, fine), np.vstack([self.out, self.base])
+        found = np.empty(len(words), np.float32)
+        for a in range(0, len(words), TILE):
+            part = slice(a, a + TILE)
+            _, total, chosen = exponentials(lambda: h[part] @ classes, words[part])
+            found[part] = chosen - np.log(total)
         if own is not None:
-            for group, at, which in self.within(own):
-                found[at] += pick(h[at] @ self.word[group].T + self.often[group], which)
+            for _, at, which, cuts in self.within(own):
+                rows = h.take(at, axis=0)
+                _, total, chosen = exponentials(lambda: self._deep(rows, cuts), which)
+                found[at] += chosen - np.log(total)
         return found
 
-    def learn(self, neighbours: np.ndarray, words: np.ndarray, squares: list[np.ndarray], rate: float = RATE, fine: np.ndarray | None = None, own: np.ndarray | None = None) -> None:
-        """One step of gradient descent with a rate per weight that falls with the squares of its gradients."""
-        h = self.hidden(neighbours, fine)
-
-        def errors(logits: np.ndarray, which: np.ndarray) -> np.ndarray:
-            logits -= logits.max(axis=1, keepdims=True)
-            np.exp(logits, out=logits)
-            logits /= logits.sum(axis=1, keepdims=True)
-            logits[np.arange(len(which)), which] -= 1
-            logits /= len(words)
-            return logits
-
-        def step(weight: np.ndarray, gradient: np.ndarray, square: np.ndarray, at=...) -> None:
-            square[at] += gradient * gradient
-            weight[at] -= rate * gradient / (np.sqrt(square[at]) + 1e-6)
-
-        p = h @ self.out
-        p += self.base
-        p = errors(p, words)
-        back = p @ self.out.T
-        deep = []
+    def learn(self, neighbours: np.ndarray, words: np.ndarray, squares: list[np.ndarray], rate: float = RATE, fine: tuple[np.ndarray, np.ndarray] | None = None, own: np.ndarray | None = None) -> None:
+        """One step of gradient descent with a rate per weight that falls with the squares of its gradients.
+
+        ``fine`` are the fine codes of a line of texts, with at least ``SIDE`` zeros between them, and the words' places.
+        """
+        line, at = fine or (None, None)
+        h, classes = self.hidden(neighbours, fine and [line.take(at + o) for o in OFFSETS]), np.vstack([self.out, self.base])
+
+        def step(weight: np.ndarray, gradient: np.ndarray, square: np.ndarray) -> None:
+            by = gradient * gradient
+            square += by
+            np.sqrt(square, out=by)
+            by += 1e-6
+            np.divide(gradient, by, out=by)
+            by *= rate
+            weight -= by
+
+        def errors(logits: Callable[[], np.ndarray], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            # errors of a row, and what they are to be multiplied by: cheaper on the hidden layer than on all classes
+            e, total, _ = exponentials(logits, which)
+            e[np.arange(len(which)), which] -= total
+            return e, (1 / (total * len(words)))[:, None]
+
+        back = np.empty((len(words), HIDDEN), np.float32)
+        outer = np.zeros_like(classes.T)
+        for a in range(0, len(words), TILE):
+            part = slice(a, a + TILE)
+            e, scale = errors(lambda: h[part] @ classes, words[part])
+            np.multiply(e @ self.out.T, scale, out=back[part])
+            outer += e.T @ (h[part] * scale)
         if own is not None:
-            for group, at, which in self.within(own):
-                q = errors(h[at] @ self.word[group].T + self.often[group], which)
-                back[at] += q @ self.word[group]
-                deep.append((group, q.T @ h[at], q.sum(axis=0)))
+            for groups, row, which, cuts in self.within(own):
+                rows = h.take(row, axis=0)
+                e, scale = errors(lambda: self._deep(rows, cuts), which)
+                rows *= scale
+                vectors, deep = np.zeros_like(self.words[groups]), np.empty((len(row), HIDDEN), np.float32)
+                for g, a, b in cuts:
+                    np.matmul(e[a:b], self.words[g, :, :HIDDEN], out=deep[a:b])
+                    np.matmul(e[a:b].T, rows[a:b], out=vectors[g - groups.start])
+                deep *= scale
+                back[row] += deep
+                step(self.words[groups], vectors, squares[5][groups])
+        h = h[:, :HIDDEN]
         inner = back * (1 - h * h)
-        places = np.arange(HIDDEN)
-        near = np.empty_like(self.near)
-        for table, codes in zip(near, neighbours):
-            at = (codes[:, None] * HIDDEN + places).ravel()
-            table[...] = np.bincount(at, weights=inner.ravel(), minlength=table.size).reshape(table.shape)
-        for weight, gradient, square in zip(self.parts, [near, inner.sum(axis=0), h.T @ p, p.sum(axis=0)], squares):
-            step(weight, gradient, square)
-        for group, vectors, biases in deep:
-            step(self.word, vectors, squares[5], group)
-            step(self.often, biases, squares[6], group)
-        if fine is not None:
-            side, row = np.nonzero(fine)
-            used, at = np.unique(fine[side, row], return_inverse=True)
-            total = np.bincount((at[:, None] * HIDDEN + places).ravel(), weights=inner[row].ravel(), minlength=len(used) * HIDDEN)
-            step(self.fine, total.reshape(-1, HIDDEN).astype(np.float32), squares[4], used)
+        places = np.arange(HIDDEN)[:, None]
 
+        def sums(codes: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
+            return np.bincount((places * size + codes).ravel(), weights=weights, minlength=HIDDEN * size).reshape(HIDDEN, size).T
 
-def _places(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        near, weights = np.empty_like(self.near), inner.T.astype(np.float64).ravel()
+        for table, codes in zip(near, neighbours):
+            table[...] = sums(codes, weights, len(table))
+        for weight, gradient, square in zip(self.parts, [near, inner.sum(axis=0), outer[:, :HIDDEN].T, outer[:, HIDDEN]], squares):
+            step(weight, gradient, square)
+        if line is not None:
+            first, size = at[0] - SIDE, at[-1] - at[0] + 1 + 2 * SIDE
+            spread = np.zeros((size + 2 * SIDE, HIDDEN), np.float32)
+            spread[at - first + SIDE] = inner
+            total, codes = sum(spread[SIDE - o : SIDE - o + size] for o in OFFSETS), line[first : first + size]
+            number = np.zeros(len(self.fine), np.int64)
+            number[codes] = 1
+            number[0] = 1  # no word of its own: summed with the others, and left out
+            used = np.flatnonzero(number)
+            number[used] = np.arange(len(used))
+            total = sums(number.take(codes), total.T.astype(np.float64).ravel(), len(used))[1:]
+            used = used[1:]
+            weight, square = self.fine.take(used, axis=0), squares[4].take(used, axis=0)
+            step(weight, total.astype(np.float32, order="C"), square)
+            self.fine[used], squares[4][used] = weight, square
+
+
+def exponentials(logits: Callable[[], np.ndarray], which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(exponentials, their sum, the logarithm that ``which`` names) of each row of ``logits()``.  Only if a sum could
+    leave the range of single precision, the largest logarithm of each row is taken off first."""
+    e = logits()
+    rows, ones = np.arange(len(which)), np.ones(e.shape[1], np.float32)
+    chosen = e[rows, which]
+    with np.errstate(over="ignore"):
+        np.exp(e, out=e)
+        total = e @ ones
+    if len(e) and not (total.min() > 1e-20 and total.max() < 1e20):
+        e = logits()
+        top = e.max(axis=1)
+        chosen -= top
+        np.exp(np.subtract(e, top[:, None], out=e), out=e)
+        total = e @ ones
+    return e, total, chosen
+
+
+def _places(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     of = np.repeat(np.arange(len(sizes)), sizes)
-    return of, np.arange(len(of)) + SIDE * (of + 1), [*range(-SIDE, 0), *range(1, SIDE + 1)]
+    return of, np.arange(len(of)) + SIDE * (of + 1)
 
 
 def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(neighbours, words, text number) of all words of some texts; texts do not see each other."""
-    of, at, offsets = _places(np.array([len(t) for t in texts], np.int64))
+    of, at = _places(np.array([len(t) for t in texts], np.int64))
     gap = np.full(SIDE, OUTSIDE, np.uint8).tobytes()
     line = np.frombuffer(gap + gap.join(texts) + gap, np.uint8).astype(np.int64)
-    return np.stack([line[at + o] for o in offsets]), line[at], of
+    return np.stack([line[at + o] for o in OFFSETS]), line[at], of
 
 
-def fine_windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(neighbours, words) in fine codes, in the order of ``windows``."""
-    _, at, offsets = _places(np.array([len(t) // 4 for t in texts], np.int64))
+def fine_line(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(fine codes of a line of all texts, places of their words in it), in the order of ``windows``."""
+    _, at = _places(np.array([len(t) // 4 for t in texts], np.int64))
     gap = bytes(4 * SIDE)
-    line = np.frombuffer(gap + gap.join(texts) + gap, np.int32).astype(np.int64)
-    return np.stack([line[at + o] for o in offsets]), line[at]
+    return np.frombuffer(gap + gap.join(texts) + gap, np.int32).astype(np.int64), at
 
 
 def _cuts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
-    """(neighbours, words, fine neighbours, fine words, text number, texts) of 256 rows at a time."""
+    """(neighbours, words, line of fine codes, places of words, text number, texts) of 256 rows at a time."""
     for at in range(0, batch.num_rows, 256):
         texts = batch.column("codes").slice(at, 256).to_pylist()
         near, words, of = windows(texts)
-        yield near, words, *fine_windows(batch.column("fine").slice(at, 256).to_pylist()), of, len(texts)
+        yield near, words, *fine_line(batch.column("fine").slice(at, 256).to_pylist()), of, len(texts)
 
 
 def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +394,7 @@ def train(coded: DataFrame, rounds: int = ROUNDS, seed: int = 1, counts: np.ndar
     ``counts`` are those of the vocabulary's words that are no class of their own.
     """
     net = Network(seed, counts)
-    size = len(net.word)
+    size = net.size
     part = F.pmod(F.xxhash64("id", "codes"), F.lit(rounds))
     for turn in range(rounds):
         start = net.flat()
@@ -312,10 +403,10 @@ def train(coded: DataFrame, rounds: int = ROUNDS, seed: int = 1, counts: np.ndar
             own, seen = Network.of(start, size), 0
             squares = [np.full(p.shape, 1e-4, np.float32) for p in own.parts]
             for batch in batches:
-                for near, words, fine, deep, _, _ in _cuts(batch):
+                for near, words, line, at, _, _ in _cuts(batch):
                     for a in range(0, len(words), BATCH):
                         b = slice(a, a + BATCH)
-                        own.learn(near[:, b], words[b], squares, RATE, fine[:, b], deep[b])
+                        own.learn(near[:, b], words[b], squares, RATE, (line, at[b]), line[at[b]])
                     seen += len(words)
             if seen:
                 flat = own.flat()
@@ -346,9 +437,9 @@ def score(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             total = []
-            for near, words, fine, deep, of, n in _cuts(batch):
-                cuts = [slice(a, a + BATCH) for a in range(0, len(words), BATCH)]
-                logs = [net.log_probabilities(near[:, b], words[b], fine[:, b], deep[b]) for b in cuts]
+            for near, words, line, at, of, n in _cuts(batch):
+                cuts = [slice(a, a + SCORED) for a in range(0, len(words), SCORED)]
+                logs = [net.log_probabilities(near[:, b], words[b], [line.take(at[b] + o) for o in OFFSETS], line[at[b]]) for b in cuts]
                 total.append(np.bincount(of, weights=np.concatenate(logs) if logs else None, minlength=n).astype(np.float64))
             return [pa.array(np.concatenate(total) + batch.column("spelt").to_numpy())]
 

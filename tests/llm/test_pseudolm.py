@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -94,3 +95,103 @@ def test_every_word_has_a_probability_of_its_own(spark):
     gain = net.log_probabilities(near, pseudolm.FREQUENT + group, fine, own) - net.log_probabilities(near, pseudolm.FREQUENT + group)
     assert np.allclose(np.bincount(group, weights=np.exp(gain)), 1, atol=1e-4)
     assert np.abs(net.fine[own]).sum(axis=1).all() and len(np.unique(net.fine[own], axis=0)) == len(own)
+
+
+def sample(seed=4, n=300, size=150):
+    """A network with words within classes, and a line of three texts: neighbours, words, fine neighbours, line, places."""
+    rng = np.random.default_rng(seed)
+    net = pseudolm.Network(seed, rng.integers(5, 90, size))
+    net.words[..., : pseudolm.HIDDEN] = rng.normal(0, 0.5, net.words[..., : pseudolm.HIDDEN].shape)
+    net.fine[1:] = rng.normal(0, 0.5, net.fine[1:].shape)
+    fine = rng.integers(0, size + 4, n).astype(np.int32) * (rng.random(n) < 0.8).astype(np.int32)
+    classes = np.where(fine > size, pseudolm.REST, np.where(fine > 0, pseudolm.FREQUENT + (fine - 1) % pseudolm.GROUPS, rng.integers(0, 9, n))).astype(np.uint8)
+    cuts = [(0, 1), (1, 120), (120, n)]
+    near, words, _ = pseudolm.windows([classes[a:b].tobytes() for a, b in cuts])
+    line, at = pseudolm.fine_line([fine[a:b].tobytes() for a, b in cuts])
+    return net, near, words, np.stack([line[at + o] for o in pseudolm.OFFSETS]), line, at
+
+
+def by_definition(net, near, words, fine, own):
+    """Log-probabilities and the gradient of their negated mean by every weight, a word at a time in double precision."""
+    p = [x.astype(np.float64) for x in net.parts]
+    grads, logs, depth = [np.zeros_like(x) for x in p], [], pseudolm.HIDDEN
+    for i, word in enumerate(words):
+        h = np.tanh(p[1] + sum(p[0][k][near[k, i]] + p[4][fine[k, i]] for k in range(4)))
+        heads = [(p[2].T, p[3], word, grads[2].T, grads[3])]
+        if 0 < own[i] <= net.size:
+            g, j = (own[i] - 1) % pseudolm.GROUPS, (own[i] - 1) // pseudolm.GROUPS
+            heads.append((p[5][g, :, :depth], p[5][g, :, depth], j, grads[5][g, :, :depth], grads[5][g, :, depth]))
+        log, back = 0.0, np.zeros(depth)
+        for vectors, bias, which, by_vectors, by_bias in heads:
+            z = vectors @ h + bias
+            z -= z.max() + np.log(np.exp(z - z.max()).sum())
+            log += z[which]
+            error = (np.exp(z) - (np.arange(len(z)) == which)) / len(words)
+            back += error @ vectors
+            by_vectors += np.outer(error, h)
+            by_bias += error
+        logs.append(log)
+        inner = back * (1 - h * h)
+        grads[1] += inner
+        for k in range(4):
+            grads[0][k][near[k, i]] += inner
+            if fine[k, i]:
+                grads[4][fine[k, i]] += inner
+    return np.array(logs), grads
+
+
+def test_step_against_definition(monkeypatch):
+    """Tiles of any size give the step of the definition, for classes, words within them and fine codes of neighbours."""
+    for tile in (16, 512):
+        monkeypatch.setattr(pseudolm, "TILE", tile)
+        net, near, words, fine, line, at = sample()
+        logs, grads = by_definition(net, near, words, fine, line[at])
+        assert np.allclose(net.log_probabilities(near, words, fine, line[at]), logs, atol=1e-4)
+        before, squares = [p.astype(np.float64) for p in net.parts], [np.full(p.shape, 1e-4, np.float32) for p in net.parts]
+        net.learn(near, words, squares, 0.1, (line, at), line[at])
+        for weight, old, gradient in zip(net.parts, before, grads):
+            assert np.allclose(weight, old - 0.1 * gradient / (np.sqrt(1e-4 + gradient**2) + 1e-6), atol=2e-4)
+            assert not np.array_equal(weight, old)
+
+
+def test_sums_beyond_single_precision():
+    net, near, words, fine, line, at = sample()
+    for shift in (300, -300):
+        net.base[:] = shift + np.arange(pseudolm.CLASSES) % 7
+        net.words[..., pseudolm.HIDDEN] += shift
+        logs, _ = by_definition(net, near, words, fine, line[at])
+        found = net.log_probabilities(near, words, fine, line[at])
+        assert np.isfinite(found).all() and np.allclose(found, logs, atol=2e-3)
+
+
+def test_spelling_against_definition():
+    words = [b"kalo", b"mi", b"x", "é".encode(), b"kalomi"]
+    found, of = pseudolm.Spelling.trigrams(words)
+    want = [((b"  " + w + b" ")[i : i + 3], k) for k, w in enumerate(words) for i in range(len(w) + 1)]
+    assert [(int(t).to_bytes(3, "big"), int(k)) for t, k in zip(found, of)] == want
+    assert len(pseudolm.Spelling.trigrams([])[0]) == 0
+    keys, n = np.unique(found, return_counts=True)
+    seen = {int(k): 10 * int(c) for k, c in zip(keys, n)}
+    spelling = pseudolm.Spelling(keys.astype(np.int64), 10 * n)
+    for word in [*words, b"zq", b"kax", b""]:
+        total, line = 0.0, b"  " + word + b" "
+        for a, b, c in zip(line, line[1:], line[2:]):
+            short = [sum(v for k, v in seen.items() if k & 0xFFFF == (b << 8 | x)) for x in range(256)]
+            likely = (short[c] + pseudolm.PRIOR / 256) / (sum(short) + pseudolm.PRIOR)
+            given = sum(v for k, v in seen.items() if k >> 8 == (a << 8 | b))
+            total += np.log((seen.get(a << 16 | b << 8 | c, 0) + pseudolm.PRIOR * likely) / (given + pseudolm.PRIOR))
+        assert abs(spelling.log_probabilities([word])[0] - total) < 1e-9
+
+
+def test_logits_are_held_a_tile_at_a_time():
+    """Scoring a batch never holds the logits of all its words: they would leave the cache, which made it slow."""
+    rng = np.random.default_rng(6)
+    net = pseudolm.Network(1, np.full(20_000, 9))
+    own = rng.integers(0, 20_001, 4096)
+    words = np.where(own > 0, pseudolm.FREQUENT + (own - 1) % pseudolm.GROUPS, 3)
+    near, fine = rng.integers(0, pseudolm.CLASSES, (4, 4096)), rng.integers(0, 20_001, (4, 4096))
+    tracemalloc.start()
+    found = net.log_probabilities(near, words, fine, own)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 4096 and peak < 4096 * pseudolm.CLASSES * 4
