@@ -11,7 +11,6 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
-from collections import Counter
 from collections.abc import Sequence
 from functools import lru_cache
 from itertools import chain
@@ -28,9 +27,9 @@ from millrace.llm.words import append_columns, mix
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Units a task remembers before it starts afresh, text bytes it encodes and units it draws for at once; only speed and
 #: memory.
-REMEMBERED, TEXT_BYTES, DRAWN = 80_000, 1 << 20, 1 << 16
+REMEMBERED, TEXT_BYTES, DRAWN = 80_000, 4 << 20, 1 << 16
 #: Units of up to so many characters are segmented a block at a time, longer ones alone; pieces are the same.
-SHORT, BLOCK = 40, 4096
+SHORT, BLOCK = 40, 8192
 SPACE = "▁"
 _MASK = (1 << 64) - 1
 LEFT, STOP, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -64,6 +63,7 @@ class Pieces:
                 self.bytes[i] = piece.replace(SPACE, " ").encode()
         order = {score: i for i, score in enumerate(sorted({scores[p] for p in self.ids if len(p) > 1}, reverse=True))}
         self.rank = {piece: order[scores[piece]] for piece in self.ids if len(piece) > 1}
+        self.table = pa.array(self.bytes, pa.large_binary())
         inner = sorted({c for piece in self.rank for c in piece} - {SPACE})
         # a unit: spaces with the run of mergeable characters after them, or one character that never merges
         self.units = re.compile(f" *[{re.escape(''.join(inner))}]+| +|.", re.DOTALL)
@@ -100,10 +100,11 @@ class Pieces:
             return [self.byte_ids[b] for b in unit.encode()] if unit == SPACE else self.characters(unit)
         return self._long(unit.replace(" ", SPACE), key, int(dropout * (1 << 64)))
 
-    def segment_many(self, units: list[str], keys: np.ndarray, dropout: float, steps: list | None = None) -> list[bytes]:
+    def segment_many(self, units: list[str], keys: np.ndarray, dropout: float, steps: list | None = None, skipped: np.ndarray | None = None) -> list[bytes]:
         """As ``segment`` for many units, as 32-bit integers: the same agenda, worked off for a block of units at once.
 
         ``steps`` receives what each merge of each unit adds to its key in ``skips``, None for units segmented alone.
+        ``skipped`` has a row of such numbers for each unit: the merges to skip, in place of those drawn by key.
         """
         out: list[bytes] = [b""] * len(units)
         if steps is not None:
@@ -119,7 +120,7 @@ class Pieces:
         for at in range(0, len(rest), BLOCK):
             block = rest[at : at + BLOCK]
             merges: list | None = None if steps is None else []
-            ids, counts = self._block([units[i] for i in block.tolist()], keys[block], dropout, merges)
+            ids, counts = self._block([units[i] for i in block.tolist()], keys[block], dropout, merges, None if skipped is None else skipped[block])
             if steps is not None:
                 r, left, stop = (np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*merges) if merges else ((), (), ())))
                 order = np.argsort(r, kind="stable")
@@ -134,12 +135,15 @@ class Pieces:
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank, id) of the union of two symbols; rank NEVER where it is no piece."""
-        wanted = (left.astype(np.int64) << 20) | right
+        wanted = left.astype(np.int64)
+        wanted <<= 20
+        wanted |= right
         at = self._places(wanted)
-        here = self.pairs[at]
-        rank = np.where(here == wanted, self.pair_rank[at], NEVER)
-        ids = self.pair_id[at]
-        more = np.nonzero((here != wanted) & (here != -1))
+        here, ids = self.pairs.take(at), self.pair_id.take(at)
+        other = here != wanted
+        rank = np.where(other, NEVER, self.pair_rank.take(at))
+        other &= here != -1
+        more = np.nonzero(other)
         wanted, at = wanted[more], at[more]
         while len(at):  # the few whose place is taken by another pair
             at = (at + 1) & self.last
@@ -150,44 +154,52 @@ class Pieces:
             more, wanted, at = tuple(m[on] for m in more), wanted[on], at[on]
         return rank, ids
 
-    def _block(self, texts: list[str], keys: np.ndarray, dropout: float, merges: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def _block(self, texts: list[str], keys: np.ndarray, dropout: float, merges: list | None = None, skipped: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids per text); ``merges`` receives (text, left, stop) of those done.  Row r holds the symbols of text r at their first characters."""
-        sizes = np.array([len(t) for t in texts])
-        rows, width = len(texts), int(sizes.max())
-        symbol = np.full((rows, width + 1), END, np.int32)
-        symbol[:, :width][np.arange(width) < sizes[:, None]] = self.symbol_of[np.frombuffer("".join(texts).replace(" ", SPACE).encode("utf-32-le"), np.uint32)]
-        after = np.tile(np.arange(1, width + 2), (rows, 1))
-        before = np.tile(np.arange(-1, width), (rows, 1))
-        rank, union = self._ranks(symbol[:, :-1], symbol[:, 1:])
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        rows, width = len(texts), int(sizes.max()) + 1
+        symbol, rank, union = (np.full((rows, width), x, np.int32) for x in (END, NEVER, 0))
         alive = np.arange(width) < sizes[:, None]
+        symbol[alive] = self.symbol_of[np.frombuffer("".join(texts).replace(" ", SPACE).encode("utf-32-le"), np.uint32)]
+        after = np.tile(np.arange(1, width + 1, dtype=np.int16), (rows, 1))
+        before = after - np.int16(2)
+        rank[:, :-1], union[:, :-1] = self._ranks(symbol[:, :-1], symbol[:, 1:])
         limit = np.uint64(min(int(dropout * (1 << 64)), _MASK))
-        done, left_over, place = symbol[:, :width], alive, np.arange(rows)  # what is ready, and the rows still worked on
+        done, left_over, place = symbol, alive, np.arange(rows)  # what is ready, and the rows still worked on
         while True:
             best = rank.argmin(axis=1)
-            r = np.flatnonzero(rank[np.arange(len(place)), best] != NEVER)
+            r = np.flatnonzero(rank.take(np.arange(len(place)) * width + best) != NEVER)
             if 2 * len(r) <= len(place):
-                done[place], left_over[place] = symbol[:, :width], alive
+                done[place], left_over[place] = symbol, alive
                 if not len(r):
                     return done[left_over], left_over.sum(axis=1)
-                symbol, after, before, rank, union, alive, keys, place, best = (x[r] for x in (symbol, after, before, rank, union, alive, keys, place, best))
+                skipped = None if skipped is None else skipped[r]
+                symbol, after, before, rank, union, alive, keys, place, best = (x.take(r, axis=0) for x in (symbol, after, before, rank, union, alive, keys, place, best))
                 r = np.arange(len(place))
-            left = best[r]
-            middle = after[r, left]
-            stop = after[r, middle]
-            if limit:
-                draw = (keys[r] + left.astype(np.uint64) * LEFT + stop.astype(np.uint64) * STOP) * SPREAD
-                skipped = draw < limit
-                rank[r[skipped], left[skipped]] = NEVER
-                r, left, middle, stop = (x[~skipped] for x in (r, left, middle, stop))
+            first, left = r * width, best[r]
+            at = first + left  # places in the block laid out flat
+            middle = first + after.take(at)
+            stop = after.take(middle).astype(np.int64)
+            if limit or skipped is not None:
+                added = left.astype(np.uint64) * LEFT + stop.astype(np.uint64) * STOP
+                skip = (keys[r] + added) * SPREAD < limit if skipped is None else (skipped[r] == added[:, None]).any(axis=1)
+                rank.put(at[skip], NEVER)
+                r, first, left, at, middle, stop = (x[~skip] for x in (r, first, left, at, middle, stop))
             if merges is not None:
                 merges.append((place[r], left, stop))
-            symbol[r, left] = union[r, left]
-            after[r, left], before[r, stop] = stop, left
-            rank[r, middle], alive[r, middle] = NEVER, False
-            rank[r, left], union[r, left] = self._ranks(symbol[r, left], symbol[r, stop])
-            prior = before[r, left]
-            r, left, prior = (x[prior >= 0] for x in (r, left, prior))
-            rank[r, prior], union[r, prior] = self._ranks(symbol[r, prior], symbol[r, left])
+            united, end = union.take(at), first + stop
+            symbol.put(at, united)
+            after.put(at, stop)
+            before.put(end, left)
+            rank.put(middle, NEVER)
+            alive.put(middle, False)
+            for x, y in zip((rank, union), self._ranks(united, symbol.take(end))):
+                x.put(at, y)
+            prior = before.take(at)
+            on = prior >= 0
+            prior = (first + prior)[on]
+            for x, y in zip((rank, union), self._ranks(symbol.take(prior), united[on])):
+                x.put(prior, y)
 
     def _long(self, text: str, key: int, limit: int) -> list[int]:
         """The agenda of one unit of any length, as a heap."""
@@ -222,6 +234,13 @@ class Pieces:
         """The text in UTF-8, without the space put in front of it when encoding."""
         return b"".join(map(self.bytes.__getitem__, ids))[1:]
 
+    def decode_many(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """``decode`` of each run of ids between two bounds."""
+        line = self.table.take(pa.array(ids))
+        ends, data = np.frombuffer(line.buffers()[1], np.int64)[bounds].tolist(), line.buffers()[2]
+        raw = data.to_pybytes() if data is not None else b""
+        return [raw[a + 1 : b] for a, b in zip(ends, ends[1:])]
+
 
 @lru_cache(maxsize=4)
 def load(path: str) -> Pieces:
@@ -232,8 +251,10 @@ class Encoder:
     """Encodes texts a batch at a time.  Every merge of every occurrence of a unit has a draw of its own.
 
     The plain segmentation of a unit is remembered with its merges; an occurrence for which none of them is skipped has
-    it, all others are segmented, as are those of units not remembered yet.  ``kept - 1`` further segmentations of a unit met are kept for inspection.  Results
-    do not depend on what is remembered.
+    it.  Occurrences whose first skipped merge is the same are again looked at together: the segmentation without that
+    merge is found once, and its later merges are drawn for each.  An occurrence that is alone in this, or whose unit is
+    not remembered yet, is segmented by itself.  ``kept - 1`` further segmentations of a unit met are kept for
+    inspection.  Results do not depend on what is remembered, nor on what is in the batch.
     """
 
     def __init__(self, pieces: Pieces, dropout: float, seed: int, kept: int = 1):
@@ -247,16 +268,43 @@ class Encoder:
         self.known[0].update(zip(units, self.pieces.segment_many(units, np.zeros(len(units), np.uint64), 0, steps)))
         self.steps.update(zip(units, steps))
 
-    def _drawn(self, units: list[str], keys: np.ndarray) -> np.ndarray:
-        """Places of the units of which the plain segmentation has a merge that is skipped, or is not known to have none."""
-        steps = list(map(self.steps.get, units))
-        alone = np.array([x is None for x in steps])
-        steps = [NONE if x is None else x for x in steps]
-        many = np.fromiter(map(len, steps), np.int64, len(steps))
-        draws = (np.repeat(keys, many) + np.concatenate(steps)) * SPREAD
-        skipped = np.repeat(np.arange(len(units)), many)[draws < np.uint64(min(int(self.dropout * (1 << 64)), _MASK))]
-        alone[skipped] = True
-        return np.flatnonzero(alone)
+    def _first_skips(self, keys: np.ndarray, at: np.ndarray, flat: np.ndarray, starts: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(occurrence, place in ``flat``) of the first merge that is skipped, for occurrences with one; ``at`` tells the
+        segmentation that an occurrence is to have, whose merges are ``many`` from ``starts`` on."""
+        found, limit = [], np.uint64(min(int(self.dropout * (1 << 64)), _MASK))
+        for a in range(0, len(at), DRAWN):
+            part = at[a : a + DRAWN]
+            n = many[part]
+            row = np.repeat(np.arange(len(part)), n)
+            place = np.arange(len(row)) + (starts[part] - np.cumsum(n) + n).take(row)
+            hit = np.flatnonzero((keys[a : a + DRAWN].take(row) + flat.take(place)) * SPREAD < limit)
+            hit = hit[np.diff(row[hit], prepend=-1) > 0]
+            found.append((row[hit] + a, place[hit]))
+        return tuple(map(np.concatenate, zip(*found)))
+
+    def _drawn(self, units: list[str], codes: np.ndarray, keys: np.ndarray) -> tuple[list[bytes | None], np.ndarray, np.ndarray]:
+        """(segmentations; place in them of each occurrence of a unit; occurrences to be segmented by themselves)."""
+        ids, steps = list(map(self.known[0].get, units)), list(map(self.steps.get, units))
+        alone = np.array([x is None for x in steps], bool)[codes]
+        where, row = codes.copy(), np.flatnonzero(~alone)
+        single, at, steps = [np.flatnonzero(alone)], codes[row], [NONE if x is None else x for x in steps]
+        of, skipped = np.arange(len(units)), np.empty((len(units), 0), np.uint64)
+        while len(row):
+            many, flat = np.fromiter(map(len, steps), np.int64, len(steps)), np.concatenate(steps)
+            ends = np.cumsum(many)
+            hit, place = self._first_skips(keys[row], at, flat, ends - many, many)
+            place, at, n = np.unique(place, return_inverse=True, return_counts=True)
+            row, shared = row[hit], n > 1
+            single.append(row[~shared[at]])
+            row, at = row[shared[at]], (np.cumsum(shared) - 1)[at][shared[at]]
+            place = place[shared]
+            before = np.searchsorted(ends, place, side="right")  # the segmentations that these merges belong to
+            of, skipped = of[before], np.hstack([skipped[before], flat[place][:, None]])
+            steps = []
+            where[row] = len(ids) + at
+            ids += self.pieces.segment_many([units[i] for i in of.tolist()], np.zeros(len(of), np.uint64), 0, steps, skipped)
+            steps = [x[k:] for x, k in zip(steps, (place - ends[before] + many[before]).tolist())]  # those before are done
+        return ids, where, np.concatenate(single)
 
     def encode(self, texts: list[str | None], keys: list | None = None) -> list[bytes]:
         """Piece ids as 32-bit integers.  Draws follow from seed, text, the text's entry of ``keys``, and character."""
@@ -265,30 +313,34 @@ class Encoder:
                 known.clear()
         plain = self.known[0]
         cut = [self.pieces.units.findall(" " + text) if text else [] for text in texts]
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
         units = list(chain.from_iterable(cut))
-        counts = Counter(units)
-        new = [u for u in counts if u not in plain]
+        codes = pa.array(units, pa.large_string()).dictionary_encode().indices.to_numpy().astype(np.int64)
+        # codes rise in the order of first occurrence
+        units = [units[i] for i in np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1)).tolist()]
+        new = [u for u in units if u not in plain]
         if self.dropout and len(self.known) == 1:  # a unit met for the first time, and once, is segmented as drawn only
-            first = {u for u in new if counts[u] == 1 and u not in self.met}
+            once = (np.bincount(codes, minlength=len(units)) == 1).tolist()
+            first = {u for u, x in zip(units, once) if x and u not in plain} - self.met
             new = [u for u in new if u not in first]
             self.met |= first
         if new:
             self._learn(new)
-        found = list(map(plain.get, units))
-        sizes = np.array([len(c) for c in cut], np.int64)
         if self.dropout and units:
             own = np.fromiter((xxhash.xxh3_64_intdigest(f"{key}:{text}".encode(), self.seed) for text, key in zip(texts, keys or [""] * len(texts))), np.uint64, len(texts))
-            ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
+            ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units))[codes])
             starts = np.concatenate([[0], ends])[np.cumsum(sizes) - sizes]
             places = mix(mix((ends - np.repeat(starts, sizes)).astype(np.uint64)) ^ np.repeat(own, sizes))
-            for at in range(0, len(units), DRAWN):
-                part, part_keys = units[at : at + DRAWN], places[at : at + DRAWN]
-                drawn = self._drawn(part, part_keys)
-                again = [part[i] for i in drawn.tolist()]
-                for n, (i, u, ids) in enumerate(zip(drawn.tolist(), again, self.pieces.segment_many(again, part_keys[drawn], self.dropout))):
-                    found[at + i] = ids
-                    if len(self.known) > 1:
-                        self.known[1 + n % (len(self.known) - 1)][u] = ids
+            ids, where, single = self._drawn(units, codes, places)
+            found = list(map(ids.__getitem__, where.tolist()))
+            for i, x in zip(single.tolist(), self.pieces.segment_many([units[i] for i in codes[single].tolist()], places[single], self.dropout)):
+                found[i] = x
+            if len(self.known) > 1:
+                where[single] = -1
+                for n, i in enumerate(np.flatnonzero(where != codes).tolist()):
+                    self.known[1 + n % (len(self.known) - 1)][units[codes[i]]] = found[i]
+        else:
+            found = list(map(list(map(plain.get, units)).__getitem__, codes.tolist()))
         bounds = np.concatenate([[0], np.cumsum(sizes)]).tolist()
         return [b"".join(found[x:y]) for x, y in zip(bounds, bounds[1:])]
 
@@ -311,12 +363,12 @@ def encode(df: DataFrame, dropout: float = 0.1, seed: int = 1, model: str = MODE
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             texts = batch.column("text").to_pylist()
             coded = encoder.encode(texts, batch.column("key").to_pylist())
-            counts = np.array([len(c) // 4 for c in coded], np.int64)
+            counts, flat = np.array([len(c) // 4 for c in coded], np.int64), np.frombuffer(b"".join(coded), np.int32)
             absent = np.array([t is None for t in texts] + [False])
-            bounds = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), mask=absent)
-            out = [pa.ListArray.from_arrays(bounds, pa.array(np.frombuffer(b"".join(coded), np.int32))), pa.array(counts)]
+            bounds = np.concatenate([[0], np.cumsum(counts)])
+            out = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32), mask=absent), pa.array(flat)), pa.array(counts)]
             if verify:
-                out.append(pa.array([pieces.decode(np.frombuffer(c, np.int32).tolist()) == (t or "").encode() for c, t in zip(coded, texts)]))
+                out.append(pa.array([x == (t or "").encode() for x, t in zip(pieces.decode_many(flat, bounds), texts)]))
             return out
 
         return work

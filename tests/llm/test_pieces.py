@@ -143,3 +143,24 @@ def test_pair_table_against_pieces(model):
     for a, b, r, i in zip(left.tolist(), right.tolist(), ranks.tolist(), ids.tolist()):
         union = names[a] + names[b]
         assert r == model.rank.get(union, pieces.NEVER) and (union not in model.rank or i == model.ids[union])
+
+
+@pytest.mark.parametrize("dropout", [0.1, 0.5, 1])
+def test_equal_skips_are_followed_together(model, texts, monkeypatch, dropout):
+    """Occurrences that skip the same merges are segmented once, and get what each gets by itself."""
+    many = [*texts, "extraordinarily incomprehensible " * 400, " ".join(texts[:20]), None]
+    keys = [str(i) for i in range(len(many))]
+    seen, known = [], model.segment_many
+    monkeypatch.setattr(model, "segment_many", lambda units, *a: seen.extend(units) or known(units, *a))
+    together = pieces.Encoder(model, dropout, 1).encode(many, keys)
+    assert seen.count(" extraordinarily") < 200
+    monkeypatch.setattr(pieces.Encoder, "_drawn", lambda self, units, codes, keys: ([None] * len(units), codes.copy(), np.arange(len(codes))))
+    assert pieces.Encoder(model, dropout, 1).encode(many, keys) == together
+
+
+def test_many_texts_are_decoded_at_once(model, texts):
+    coded = [*pieces.Encoder(model, 0.2, 1).encode(texts), b""]
+    bounds = np.cumsum([0, *[len(c) // 4 for c in coded]])
+    found = model.decode_many(np.frombuffer(b"".join(coded), np.int32), bounds)
+    assert found == [model.decode(np.frombuffer(c, np.int32).tolist()) for c in coded] == [*[t.encode() for t in texts], b""]
+    assert model.decode_many(np.empty(0, np.int32), np.zeros(3, np.int64)) == [b"", b""]
