@@ -56,6 +56,11 @@ EMPTY = -1e4
 PRIOR = 20.0
 
 
+def byte_list(words: pa.Array) -> list[bytes]:
+    """The words in UTF-8; by way of numpy in a fraction of the time that a scalar for each takes."""
+    return words.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+
+
 class Spelling:
     """Probability of a word byte by byte, each given the two before it; a blank stands before and after a word."""
 
@@ -114,7 +119,7 @@ def frequent_words(df: DataFrame, text: str = "text") -> Vocabulary:
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "word"):
-            found, of = Spelling.trigrams(part.column("word").cast(pa.binary()).to_pylist())
+            found, of = Spelling.trigrams(byte_list(part.column("word")))
             keys, at = np.unique(found, return_inverse=True)
             n = np.bincount(at, weights=part.column("n").to_numpy()[of], minlength=len(keys)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n)], ["k", "n"])
@@ -146,7 +151,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, id: str = "doc_id", text: str
             codes, dictionary, bounds = split_words(batch.column("text"), lower=True)
             own = pc.fill_null(pc.index_in(dictionary, known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
             rare = np.flatnonzero(own < 0)
-            hard = dictionary.take(pa.array(rare)).cast(pa.large_binary()).to_pylist()
+            hard = byte_list(dictionary.take(pa.array(rare)))
             spelt = np.zeros(len(own))
             spelt[rare] = spelling.log_probabilities(hard)
             fine = np.maximum(own - FREQUENT + 1, 0)
@@ -166,7 +171,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, id: str = "doc_id", text: str
 
     rows = df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("body"))
     new = {"codes": "binary", "fine": "binary", "spelt": "double"}
-    return append_columns(rows, {"text": F.col("body")}, new, make, by="text", limit=TEXT_BYTES).select("id", *new)
+    return append_columns(rows, {"text": "body"}, new, make, by="text", limit=TEXT_BYTES, keep=["id"])
 
 
 class Network:
@@ -445,6 +450,7 @@ def score(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
 
         return work
 
-    scored = append_columns(coded, {c: F.col(c) for c in ("codes", "fine", "spelt")}, {"log_likelihood": "double"}, make)
-    n = F.length("codes").cast("long")
-    return scored.select(F.col("id").alias(id), n.alias("n_words"), "log_likelihood", F.when(n > 0, F.col("log_likelihood") / n).alias("mean_log_likelihood"))
+    coded = coded.withColumn("n", F.length("codes").cast("long"))
+    scored = append_columns(coded, {c: c for c in ("codes", "fine", "spelt")}, {"log_likelihood": "double"}, make, keep=["id", "n"])
+    mean = F.when(F.col("n") > 0, F.col("log_likelihood") / F.col("n"))
+    return scored.select(F.col("id").alias(id), F.col("n").alias("n_words"), "log_likelihood", mean.alias("mean_log_likelihood"))

@@ -6,7 +6,7 @@ batch smaller, never shorter.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -114,25 +114,35 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> list[np.ndarray]:
     return out
 
 
-def append_columns(df: DataFrame, inputs: dict[str, Column], new: dict[str, str], make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], by: str | None = None, limit: int = CHUNK_BYTES) -> DataFrame:
+def as_input(df: DataFrame, column: str, kind: str) -> Column | str:
+    """An input for ``append_columns``: the column cast to a type, or its name alone if it is of that type already."""
+    plain = "." not in column and df.columns.count(column) == 1 and df.schema[column].dataType == T.DataType.fromDDL(kind)
+    return column if plain else F.col(column).cast(kind)
+
+
+def append_columns(df: DataFrame, inputs: dict[str, Column | str], new: dict[str, str], make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], by: str | None = None, limit: int = CHUNK_BYTES, keep: Sequence[str] | None = None) -> DataFrame:
     """``df`` with columns computed by Arrow tasks; rows pass through whole, in place, without a shuffle.
 
     ``inputs`` names the expressions that the task sees, ``new`` the types of the columns it returns, ``make()`` is
     called once in each task and gives the function for a batch.  Batches hold a bounded number of bytes of the
-    string input ``by``.  Columns of ``df`` named like a new one are replaced; any other names are safe.
+    string input ``by``.  Columns of ``df`` named like a new one are replaced; any other names are safe.  An input given
+    as the name of a column that is kept is sent once, not beside it.  ``keep`` names the columns to keep, if not all.
     """
-    kept = [f for f in df.schema.fields if f.name not in new]
+    kept = [f for f in df.schema.fields if f.name not in new and (keep is None or f.name in keep)]
     carried, names, many = [f"c{i}" for i in range(len(kept))], list(inputs), len(new)
-    seen = [f"i_{name}" for name in names]
+    shared = {f.name: c for f, c in zip(kept, carried)}
+    seen = [shared.get(e, f"i_{name}") if isinstance(e, str) else f"i_{name}" for name, e in inputs.items()]
+    sent = {c: F.col(f"`{e}`") if isinstance(e, str) else e for c, e in zip(seen, inputs.values()) if c not in carried}
+    text = seen[names.index(by)] if by else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for part in chunks(batches, f"i_{by}", limit) if by else batches:
+        for part in chunks(batches, text, limit) if text else batches:
             if part.num_rows:
                 given = pa.RecordBatch.from_arrays([part.column(c) for c in seen], names)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in carried], *work(given)], [*carried, *[f"n{i}" for i in range(many)]])
 
-    plain = df.select(*[F.col(f"`{f.name}`").alias(c) for f, c in zip(kept, carried)], *[e.alias(c) for e, c in zip(inputs.values(), seen)])
+    plain = df.select(*[F.col(f"`{f.name}`").alias(c) for f, c in zip(kept, carried)], *[e.alias(c) for c, e in sent.items()])
     schema = T.StructType([T.StructField(c, f.dataType) for f, c in zip(kept, carried)])
     for i, kind in enumerate(new.values()):
         schema = schema.add(f"n{i}", T.DataType.fromDDL(kind))

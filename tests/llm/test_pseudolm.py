@@ -2,6 +2,7 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from millrace.llm import pseudolm
 from tests.llm.common import frame
@@ -195,3 +196,9 @@ def test_logits_are_held_a_tile_at_a_time():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(found) == 4096 and peak < 4096 * pseudolm.CLASSES * 4
+
+
+def test_byte_list():
+    words = pa.array(["", "é", "kalo", "b", "x y"], pa.large_string())
+    assert pseudolm.byte_list(words.slice(1, 3)) == ["é".encode(), b"kalo", b"b"] and pseudolm.byte_list(words.slice(0, 0)) == []
+    assert pseudolm.byte_list(pa.array(["a", "b"], pa.string())) == [b"a", b"b"]
