@@ -21,13 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.words import append_columns, mix
+from millrace.llm.words import append_columns, as_input, mix
 
 #: Vocabulary file on every executor.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Units a task remembers before it starts afresh, text bytes it encodes and units it draws for at once; only speed and
 #: memory.
-REMEMBERED, TEXT_BYTES, DRAWN = 80_000, 4 << 20, 1 << 16
+REMEMBERED, TEXT_BYTES, DRAWN = 80_000, 1 << 20, 1 << 16
 #: Units of up to so many characters are segmented a block at a time, longer ones alone; pieces are the same.
 SHORT, BLOCK = 40, 8192
 SPACE = "▁"
@@ -374,7 +374,7 @@ def encode(df: DataFrame, dropout: float = 0.1, seed: int = 1, model: str = MODE
         return work
 
     keys = F.to_json(F.struct(*[F.col(k) for k in key])) if key else F.lit("")
-    return append_columns(df, {"text": F.col(text).cast("string"), "key": keys}, new, make, by="text", limit=TEXT_BYTES)
+    return append_columns(df, {"text": as_input(df, text, "string"), "key": keys}, new, make, by="text", limit=TEXT_BYTES)
 
 
 def decode(df: DataFrame, model: str = MODEL, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.words import append_columns, split_words, whole, word_hashes
+from millrace.llm.words import append_columns, as_input, split_words, whole, word_hashes
 from millrace.session import written
 
 #: Bytes by kind; each kind's share of a text is a feature.  The last kind is everything that is not ASCII.
@@ -32,6 +32,8 @@ CONFIDENT = 0.98
 ROUNDS, STEPS = 2, 4
 #: One labelled document in so many is kept from training and calibrates.
 HOLDOUT = 5
+#: Text bytes whose features are computed at once; each takes about 15 bytes of memory meanwhile.
+TEXT_BYTES = 1 << 20
 RIDGE = 1e-3
 
 
@@ -80,9 +82,9 @@ def meta_features(source: list, lang: list, chars: np.ndarray) -> np.ndarray:
     return out
 
 
-def _inputs(text: str, source: str, lang: str, chars: str) -> dict:
+def _inputs(df: DataFrame, text: str, source: str, lang: str, chars: str) -> dict:
     kinds = {"text": (text, "string"), "source": (source, "string"), "lang": (lang, "string"), "n_chars": (chars, "double")}
-    return {name: F.col(column).cast(kind) for name, (column, kind) in kinds.items()}
+    return {name: as_input(df, column, kind) for name, (column, kind) in kinds.items()}
 
 
 def _both(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -96,8 +98,8 @@ def features(df: DataFrame, id: str, inputs: dict) -> DataFrame:
     def work(batch: pa.RecordBatch) -> list[pa.Array]:
         return [pa.ListArray.from_arrays(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1], v.ravel()) for v in _both(batch)]
 
-    rows = append_columns(df.select(F.col(id).cast("long").alias("id"), *[e.alias(f"x_{n}") for n, e in inputs.items()]), {n: F.col(f"x_{n}") for n in inputs}, {"t": "array<float>", "m": "array<float>"}, lambda: work, by="text")
-    return rows.select("id", "t", "m")
+    rows = df.select(F.col(id).cast("long").alias("id"), *[(F.col(e) if isinstance(e, str) else e).alias(f"x_{n}") for n, e in inputs.items()])
+    return append_columns(rows, {n: f"x_{n}" for n in inputs}, {"t": "array<float>", "m": "array<float>"}, lambda: work, by="text", limit=TEXT_BYTES, keep=["id"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -232,16 +234,16 @@ def score(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     kept.  Columns of ``df`` named like the new ones are replaced, all others stay; repeated rows stay repeated; an
     empty table gives an empty result.  Texts are read twice, and rows are not moved.
     """
-    inputs = _inputs(text, source, lang, chars)
+    inputs = _inputs(df, text, source, lang, chars)
     _, model = train(written(features(df, id, inputs)), labels, id, label)
     if model is None:
         return _unscored(df)
-    return append_columns(df, inputs, NEW, lambda: lambda batch: model.scores(_both(batch)), by="text")
+    return append_columns(df, inputs, NEW, lambda: lambda batch: model.scores(_both(batch)), by="text", limit=TEXT_BYTES)
 
 
 def document_scores(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", chars: str = "n_chars", label: str = "quality") -> DataFrame:
     """(id, text_score, meta_score, score, kept) only: as ``score``, but texts are read once."""
-    data, model = train(written(features(df, id, _inputs(text, source, lang, chars))), labels, id, label)
+    data, model = train(written(features(df, id, _inputs(df, text, source, lang, chars))), labels, id, label)
     data = data.withColumnRenamed("id", id)
     if model is None:
         return _unscored(data.select(id))
